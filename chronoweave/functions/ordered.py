@@ -42,12 +42,13 @@ def _c(c: str | Column) -> Column:
 def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
                     partition_by: list[str] | None = None, bucket: str = "day",
                     lag: dict | None = None, lead: dict | None = None,
-                    cumsum: dict | None = None, cummax_before: dict | None = None) -> DataFrame:
+                    cumsum: dict | None = None, cummax_before: dict | None = None,
+                    bucket_col: Column | None = None) -> DataFrame:
     """Add ordered-window columns computed per ``partition_by`` in ``order``.
 
-    ``order`` defaults to ``[ts]``; its first element must be monotone with
-    ``ts`` (it is what the bucket is derived from).  Rows with a null ``ts``
-    form their own bucket and are ordered on their own.
+    ``order`` defaults to ``[ts]``; the bucket (``bucket_of(ts, bucket)``,
+    or ``bucket_col`` when given) must be non-decreasing along ``order``.
+    Rows with a null ``ts`` form their own bucket and are ordered on their own.
     """
     keys = list(partition_by or [])
     order = list(order or [ts])
@@ -59,7 +60,8 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
         return df
     srcs = [s for _, _, s, _ in feats]
 
-    d = df.withColumn(_B, bucket_of(ts, bucket)).withColumn(_R, F.lit(1))
+    b = bucket_col if bucket_col is not None else bucket_of(ts, bucket)
+    d = df.withColumn(_B, b).withColumn(_R, F.lit(1))
     d = d.select("*", *[e.alias(s) for _, _, s, e in feats])
 
     # Per-bucket summary: partial aggregation shrinks it before its shuffle.
