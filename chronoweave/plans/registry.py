@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("checks_gaps", "checks_series")
+_AREAS = ("checks_gaps", "checks_series", "checks_meta")
 
 
 def _mods():
