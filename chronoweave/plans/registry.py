@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("checks_gaps", "checks_series", "checks_meta")
+_AREAS = ("checks_gaps", "checks_series", "checks_meta", "checks_sources")
 
 
 def _mods():
