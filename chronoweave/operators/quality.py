@@ -112,14 +112,28 @@ def symmetric_range(df: DataFrame, cols: list[str], partition_by: list[str] | No
             .select(*[q(k) for k in keys], (-m).alias("range_low"), m.alias("range_high")))
 
 
-def profile(df: DataFrame, cols: list[str], split_count: int = 1024) -> DataFrame:
+def _bucket_of_value(v: Column, splits: Column, k: int) -> Column:
+    """Number of splits below ``v`` as a binary search (nested CASE, codegen'd)."""
+    def rec(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(v <= F.element_at(splits, mid + 1), rec(lo, mid)).otherwise(rec(mid + 1, hi))
+    return rec(0, k - 1)
+
+
+def profile(df: DataFrame, cols: list[str], split_count: int = 128) -> DataFrame:
     """Count, mean, sample std, min, exact 25/50/75 % (linear), max per column.
 
-    Exact quantiles without gathering a column into one task: values are cut
-    into ``split_count`` value ranges by approximate quantiles (any monotone
-    cut is correct, it only balances work), ranked per range with a running
-    count that carries across ranges, and only the rows at the needed ranks
-    are kept.  Returns (column, count, mean, std, min, q25, q50, q75, max).
+    Exact quantiles without gathering a column into one task:
+    1. rows are counted per distinct value (map-side combine shrinks
+       low-cardinality measurements to a few rows);
+    2. distinct values are cut into ``split_count`` ranges at approximate
+       quantiles (any monotone cut is correct; it only balances tasks);
+    3. a running row count in value order, carried across ranges, gives
+       each distinct value its rank interval, and only the values at the
+       needed ranks are kept.
+    Returns (column, count, mean, std, min, q25, q50, q75, max).
     """
     present = [c for c in cols if c in df.columns]
     lng = (df.select(*[q(c).cast("double").alias(c) for c in present])
@@ -127,31 +141,34 @@ def profile(df: DataFrame, cols: list[str], split_count: int = 1024) -> DataFram
     lng = lng.where(q("value").isNotNull() & ~F.isnan(q("value")))
     stats = lng.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    dv = lng.groupBy("column", "value").agg(F.count(F.lit(1)).alias("__c"))
+    splits = dv.groupBy("column").agg(
         F.percentile_approx("value", [i / split_count for i in range(1, split_count)],
-                            split_count * 4).alias("__splits"))
-    cut = lng.join(stats.select("column", "count", "__splits"), "column")
-    bucket = F.size(F.filter(F.col("__splits"), lambda s: s < F.col("value")))
-    ranked = ordered_columns(cut, "value", order=["value"], partition_by=["column"],
-                             bucket_col=bucket, cumsum={"__rn": F.lit(1).cast("bigint")})
+                            split_count * 8).alias("__splits"))
+    cut = dv.join(splits, "column")
+    bucket = _bucket_of_value(F.col("value"), F.col("__splits"), split_count)
+    ranked = ordered_columns(cut.withColumn("__b", bucket).drop("__splits"), "value", order=["value"],
+                             partition_by=["column"], bucket_col=F.col("__b"),
+                             cumsum={"__cum": F.col("__c")})
+    ranked = ranked.join(stats.select("column", "count"), "column")
     qs = (0.25, 0.5, 0.75)
-    want = None
+
+    def at_rank(r: Column) -> Column:
+        return (F.col("__cum") - F.col("__c") < r) & (r <= F.col("__cum"))
+
+    want, qcols = None, []
     for p in qs:
         pos = F.lit(p) * (F.col("count") - 1)
-        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        h = (F.col("__rn") == lo) | (F.col("__rn") == hi)
+        lo_r, hi_r = F.floor(pos) + 1, F.ceil(pos) + 1
+        h = at_rank(lo_r) | at_rank(hi_r)
         want = h if want is None else (want | h)
-    picked = ranked.where(want).select("column", "__rn", "value")
-    qcols = []
-    for i, p in enumerate(qs):
-        pos = F.lit(p) * (F.col("count") - 1)
-        lo_rn, hi_rn = F.floor(pos) + 1, F.ceil(pos) + 1
-        vlo = F.max(F.when(F.col("__rn") == lo_rn, q("value")))
-        vhi = F.max(F.when(F.col("__rn") == hi_rn, q("value")))
+        vlo = F.max(F.when(at_rank(lo_r), q("value")))
+        vhi = F.max(F.when(at_rank(hi_r), q("value")))
         frac = F.first(pos - F.floor(pos))
         qcols.append((vlo + (vhi - vlo) * frac).alias(f"q{int(p * 100)}"))
-    qv = picked.join(stats.select("column", "count"), "column").groupBy("column").agg(*qcols)
-    return (stats.drop("__splits").join(qv, "column", "left")
+    qv = ranked.where(want).groupBy("column").agg(*qcols)
+    return (stats.join(qv, "column", "left")
             .select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 

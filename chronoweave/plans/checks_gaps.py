@@ -173,7 +173,7 @@ ORACLE = {
         CASE WHEN abs(l_discount - 0.05) <= 1e-6 THEN NULL ELSE l_discount END AS l_discount, l_tax
         FROM lineitem""",
     "sentinel_counts": """SELECT * FROM (
-        SELECT 'l_discount' AS "column", 0.05 AS sentinel, CAST(count_if(abs(l_discount - 0.05) <= 1e-6) AS BIGINT) AS replaced FROM lineitem
+        SELECT 'l_discount' AS "column", CAST(0.05 AS DOUBLE) AS sentinel, CAST(count_if(abs(l_discount - 0.05) <= 1e-6) AS BIGINT) AS replaced FROM lineitem
         UNION ALL SELECT 'l_discount', 0.02, CAST(count_if(abs(l_discount - 0.02) <= 1e-6) AS BIGINT) FROM lineitem
         UNION ALL SELECT 'l_tax', 0.05, CAST(count_if(abs(l_tax - 0.05) <= 1e-6) AS BIGINT) FROM lineitem
         UNION ALL SELECT 'l_tax', 0.02, CAST(count_if(abs(l_tax - 0.02) <= 1e-6) AS BIGINT) FROM lineitem)""",
