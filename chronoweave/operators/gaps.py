@@ -41,6 +41,7 @@ def _mode_of_steps(steps: DataFrame, keys: list[str]) -> DataFrame:
                .groupBy(*[q(k) for k in keys], "__step_us").count())
     best = F.min_by(F.col("__step_us"), F.struct((-F.col("count")).alias("n"), F.col("__step_us")))
     return (counted.groupBy(*[q(k) for k in keys]).agg(best.alias("resolution_us"))
+            .where(F.col("resolution_us").isNotNull())
             .withColumn("resolution_seconds", F.col("resolution_us") / F.lit(1e6)))
 
 
