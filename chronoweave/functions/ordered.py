@@ -65,13 +65,15 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
     d = d.select("*", *[e.alias(s) for _, _, s, e in feats])
 
     # Per-bucket summary: partial aggregation shrinks it before its shuffle.
-    okey = F.struct(*[F.col(o) for o in order])
+    okey = F.struct(*[F.col(o) for o in order]) if len(order) > 1 else F.col(order[0])
+    same = {s for _, _, s, e in feats if len(order) == 1 and str(e) == str(F.col(order[0]))}
     aggs = []
     for _, kind, s, _ in feats:
+        # the order column itself needs no by-aggregate: its last value is its max
         if kind == "lag":
-            aggs.append(F.max_by(s, okey).alias(s))
+            aggs.append((F.max(s) if s in same else F.max_by(s, okey)).alias(s))
         elif kind == "lead":
-            aggs.append(F.min_by(s, okey).alias(s))
+            aggs.append((F.min(s) if s in same else F.min_by(s, okey)).alias(s))
         elif kind == "cumsum":
             aggs.append(F.sum(s).alias(s))
         else:

@@ -174,7 +174,7 @@ def profile(df: DataFrame, cols: list[str], split_count: int = 128) -> DataFrame
 
 def bad_runs(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] | None = None,
              res: DataFrame | None = None, margin: float = gaps.MARGIN_SECONDS,
-             bucket: str = "day") -> DataFrame:
+             bucket: str = "day", materialize_bounds: bool = True) -> DataFrame:
     """Runs of sentinel rows per (keys, series, class) -> shaded intervals.
 
     A new run starts where the step to the previous sentinel row of the same
@@ -205,9 +205,10 @@ def bad_runs(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] |
     bnd = (nb.select("*", opens.alias("__open"), closes.alias("__close"))
            .where(F.col("__open") | F.col("__close"))
            .withColumn("__o", F.when(F.col("__open"), F.lit(0)).otherwise(F.lit(1))))
-    # boundary rows are at most two per run: write them once so the second
-    # ordered pass does not re-run the first one over all sentinel rows
-    bnd = cut_lineage(bnd, "run-bounds")
+    if materialize_bounds:
+        # boundary rows are at most two per run: write them once so the
+        # second ordered pass does not re-run the first over all sentinel rows
+        bnd = cut_lineage(bnd, "run-bounds")
     paired = ordered_columns(bnd, ts, order=[ts, "__o"], partition_by=part, bucket=bucket,
                              lag={"__prev_open": q(ts)})
     half = F.col("resolution_us") / F.lit(2)
