@@ -42,3 +42,14 @@ def bucket_of(ts: str | Column, unit: str = "day") -> Column:
     if unit == "day":
         return F.to_date(_c(ts))
     return F.date_trunc(unit, _c(ts)).cast("timestamp_ntz")
+
+
+def attach_scalars(big, one_row, cols: list[str]):
+    """Add the columns of a table that holds at most one row (a global
+    aggregate) to every row of ``big`` as ONE scalar subquery: computed
+    once, shipped as a value, no join (NULLs when the table is empty)."""
+    from pyspark.sql import functions as F
+
+    packed = one_row.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__one")).scalar()
+    out = big.withColumn("__one", packed)
+    return out.withColumns({c: F.col("__one")[c] for c in cols}).drop("__one")

@@ -85,12 +85,11 @@ def event_options(groups: DataFrame, columns: DataFrame) -> DataFrame:
 def measure_options_fallback(options: DataFrame, columns: DataFrame) -> DataFrame:
     """C4: when no option matched, every column except ``timestamp`` (any case).
 
-    No driver action: the option count is a one-row table cross-joined to
-    the column list.
+    No driver action: the option count is a scalar subquery in the filter.
     """
-    n = options.agg(F.count(F.lit(1)).alias("__n"))
+    n = options.agg(F.count(F.lit(1)).alias("__n")).scalar()
     cols = columns.where(F.lower("column") != F.lit(TIME_COLUMN))
-    fb = (cols.crossJoin(F.broadcast(n)).where(F.col("__n") == 0)
+    fb = (cols.where(n == 0)
           .select(F.col("ordinal").cast("bigint").alias("ordinal"), F.col("column").alias("label"),
                   F.col("column").alias("value")))
     return options.select("ordinal", "label", "value").unionByName(fb)
@@ -166,23 +165,23 @@ def filter_type(options: DataFrame, type_value: str | None, catalogue: DataFrame
     if type_value in (None, ALL_VALUE):
         return options
     by_label = options.where(F.lower("label").contains(type_value.lower()))
-    n = by_label.agg(F.count(F.lit(1)).alias("__n"))
+    n = by_label.agg(F.count(F.lit(1)).alias("__n")).scalar()
     keys = catalogue.where(F.col("type") == F.lit(type_value)).select(F.col("measurement").alias("__k"),
                                                                      F.col("ordinal").alias("__ko"))
     tail = F.regexp_extract("value", r"^.*::(.*)$", 1)
     exact = options.join(keys, F.col("value") == F.col("__k"))
     suffix = options.where(F.col("value").contains("::")).join(keys, tail == F.col("__k"))
-    by_meta = (exact.unionByName(suffix).crossJoin(F.broadcast(n)).where(F.col("__n") == 0)
+    by_meta = (exact.unionByName(suffix).where(n == 0)
                .select("ordinal", "label", "value"))
     return by_label.select("ordinal", "label", "value").unionByName(by_meta)
 
 
 def filter_selected(options: DataFrame, selected: DataFrame) -> DataFrame:
     """Options whose value is selected; an empty selection keeps all."""
-    n = selected.agg(F.count(F.lit(1)).alias("__n"))
+    n = selected.agg(F.count(F.lit(1)).alias("__n")).scalar()
     hit = options.join(selected.select(F.col("value").alias("__v")).distinct(),
                        F.col("value") == F.col("__v"), "left_semi")
-    rest = options.crossJoin(F.broadcast(n)).where(F.col("__n") == 0).drop("__n")
+    rest = options.where(n == 0)
     return hit.unionByName(rest)
 
 

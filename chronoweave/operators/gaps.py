@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from chronoweave.functions.ordered import ordered_columns
-from chronoweave.functions.timecols import add_micros, micros_between
+from chronoweave.functions.timecols import add_micros, attach_scalars, micros_between
 from chronoweave.operators.clean import NUMERIC, q
 
 # Fixed values (the reference's defaults): fill value for inserted rows
@@ -70,9 +70,9 @@ def resolution_with_fallback(df: DataFrame, ts: str = "Timestamp",
         base = df.select(*[q(k) for k in keys]).distinct()
         out = base.join(res, on=keys, how="left")
     else:
-        # a global aggregate has exactly one row: a proven-size broadcast
-        out = (df.agg(F.count(F.lit(1)).alias("__n"))
-               .join(F.broadcast(res), how="left").drop("__n"))
+        # without keys the resolution is one value: attach it as a scalar
+        out = attach_scalars(df.agg(F.count(F.lit(1)).alias("__n")), res,
+                             ["resolution_us"]).drop("__n")
     fb_us = int(round(fallback_seconds * 1e6))
     return (out.withColumn("resolution_us", F.coalesce("resolution_us", F.lit(fb_us).cast("bigint")))
             .withColumn("resolution_seconds", F.col("resolution_us") / F.lit(1e6))
@@ -80,10 +80,11 @@ def resolution_with_fallback(df: DataFrame, ts: str = "Timestamp",
 
 
 def _join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join a per-key table; without keys it is one row (proven bound → broadcast)."""
+    """Join a per-key table (AQE broadcasts it once its size is measured);
+    without keys it holds at most one row and is attached as a scalar."""
     if keys:
         return big.join(small, on=keys, how=how)
-    return big.join(F.broadcast(small), how="cross" if how == "inner" else how)
+    return attach_scalars(big, small, [c for c in small.columns])
 
 
 def _report_with_res(df: DataFrame, ts: str, keys: list[str], margin: float, bucket: str,

@@ -53,10 +53,8 @@ def q_resolution_axis(spark, d):
 
 def _events_error_cut(spark, d):
     em = events_minute(spark, d)
-    first_err = em.where("event_type = 'error'").agg(F.min("ts").alias("__first"))
-    return (em.join(F.broadcast(first_err), how="cross")
-            .where((F.col("event_type") != "error") | (F.col("ts") == F.col("__first")))
-            .drop("__first"))
+    first_err = em.where("event_type = 'error'").agg(F.min("ts")).scalar()
+    return em.where((F.col("event_type") != "error") | (F.col("ts") == first_err))
 
 
 def q_resolution_fallback(spark, d):
