@@ -5,7 +5,7 @@ and shaded boxes (P4 P5 A3 A4 A6 A9 W4 W5 W6).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronoweave.functions.ordered import ordered_columns
 from chronoweave.functions.timecols import add_micros, attach_scalars, micros_between
@@ -139,11 +139,11 @@ def profile(df: DataFrame, cols: list[str], fan: int = 32) -> DataFrame:
     Exact quantiles without gathering a column into one task:
     1. rows are counted per distinct value (map-side combine shrinks
        low-cardinality measurements to a few rows);
-    2. distinct values are cut into ``fan**2`` ranges at approximate
-       quantiles (any monotone cut is correct; it only balances tasks);
-    3. a running row count in value order, carried across ranges, gives
-       each distinct value its rank interval, and only the values at the
-       needed ranks are kept.
+    2. distinct values are cut into ``fan**2`` value ranges at approximate
+       quantiles (any monotone cut is correct; it only balances the work);
+    3. row counts per range and their prefix sums (one row per range) show
+       which ranges hold the six ranks needed (lo/hi rank of each quartile);
+    4. only those ranges are ranked, each in its own window partition.
     Returns (column, count, mean, std, min, q25, q50, q75, max).
     """
     present = [c for c in cols if c in df.columns]
@@ -156,29 +156,44 @@ def profile(df: DataFrame, cols: list[str], fan: int = 32) -> DataFrame:
     dv = lng.groupBy("column", "value").agg(F.count(F.lit(1)).alias("__c"))
     k = fan * fan
     splits = dv.groupBy("column").agg(
-        F.percentile_approx("value", [i / k for i in range(1, k)], k * 8).alias("__splits"))
+        F.percentile_approx("value", [i / k for i in range(1, k)], k * 4).alias("__splits"))
     # one row per measured column: a proven-size broadcast
-    cut = _bucket_of_value(dv.join(F.broadcast(splits), "column"), "value", "__splits", fan, "__b")
-    ranked = ordered_columns(cut.drop("__splits"), "value", order=["value"],
-                             partition_by=["column"], bucket_col=F.col("__b"),
-                             cumsum={"__cum": F.col("__c")})
-    ranked = ranked.join(stats.select("column", "count"), "column")
+    cut = _bucket_of_value(dv.join(F.broadcast(splits), "column"), "value", "__splits", fan, "__b") \
+        .drop("__splits")
+    # per-range counts and their running totals: at most fan**2 rows per column
+    per = cut.groupBy("column", "__b").agg(F.sum("__c").alias("__bc"))
+    wb = Window.partitionBy("column").orderBy("__b")
+    per = per.withColumn("__before", F.coalesce(F.sum("__bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
+                                                F.lit(0)))
     qs = (0.25, 0.5, 0.75)
+    per = per.join(stats.select("column", "count"), "column")
+    ranks = []
+    for p in qs:
+        pos = F.lit(p) * (F.col("count") - 1)
+        ranks += [F.floor(pos) + 1, F.ceil(pos) + 1]
+    holds = None
+    for r in ranks:
+        h = (F.col("__before") < r) & (r <= F.col("__before") + F.col("__bc"))
+        holds = h if holds is None else (holds | h)
+    need = per.where(holds).select("column", "__b", "__before", "count")
+    # rank inside the few needed ranges only (each range is one window partition)
+    rows = cut.join(F.broadcast(need), ["column", "__b"])
+    wr = Window.partitionBy("column", "__b").orderBy("value")
+    rows = rows.withColumn("__cum", F.col("__before") + F.sum("__c").over(
+        wr.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
     def at_rank(r: Column) -> Column:
         return (F.col("__cum") - F.col("__c") < r) & (r <= F.col("__cum"))
 
-    want, qcols = None, []
+    qcols = []
     for p in qs:
         pos = F.lit(p) * (F.col("count") - 1)
         lo_r, hi_r = F.floor(pos) + 1, F.ceil(pos) + 1
-        h = at_rank(lo_r) | at_rank(hi_r)
-        want = h if want is None else (want | h)
         vlo = F.max(F.when(at_rank(lo_r), q("value")))
         vhi = F.max(F.when(at_rank(hi_r), q("value")))
         frac = F.first(pos - F.floor(pos))
         qcols.append((vlo + (vhi - vlo) * frac).alias(f"q{int(p * 100)}"))
-    qv = ranked.where(want).groupBy("column").agg(*qcols)
+    qv = rows.groupBy("column").agg(*qcols)
     return (stats.join(qv, "column", "left")
             .select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
