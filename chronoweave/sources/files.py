@@ -40,11 +40,15 @@ def select_files(spark: SparkSession, pattern, max_files: int | None = None,
     return paths[:max_files] if max_files else paths
 
 
-def _headers(spark: SparkSession, paths: list[str], sep: str) -> dict[str, tuple[str, ...]]:
-    """First line of every file, in ONE job (a limit-1 read per file)."""
-    parts = [spark.read.text(p).limit(1).select(F.lit(p).alias("p"), "value") for p in paths]
-    rows = reduce(DataFrame.unionByName, parts).collect()
-    return {r.p: tuple(c.strip().strip('"') for c in r.value.split(sep)) for r in rows}
+def _headers(spark: SparkSession, paths: list[str], sep: str, batch: int = 256) -> dict[str, tuple[str, ...]]:
+    """First line of every file: one job per ``batch`` files, each file read
+    with a limit-1 scan (only the start of its first split is touched)."""
+    out: dict[str, tuple[str, ...]] = {}
+    for i in range(0, len(paths), batch):
+        parts = [spark.read.text(p).limit(1).select(F.lit(p).alias("p"), "value") for p in paths[i:i + batch]]
+        for r in reduce(DataFrame.unionByName, parts).collect():
+            out[r.p] = tuple(c.strip().strip('"') for c in r.value.split(sep))
+    return out
 
 
 def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep: str = ",",
@@ -160,6 +164,22 @@ def write_event_groups(groups: DataFrame, path: str) -> None:
     groups.orderBy("component").write.mode("overwrite").json(path)
 
 
+def ensure_event_groups(spark: SparkSession, dictionary_path: str, groups_path: str,
+                        mode: str = "compact") -> DataFrame:
+    """The grouped dictionary of an event dataset, built from its
+    dictionary (required) and written only when it does not exist yet."""
+    from chronoweave.operators.events import event_groups
+
+    try:
+        return spark.read.json(groups_path)
+    except Exception:  # noqa: BLE001 - absent: build it
+        pass
+    if not dictionary_path:
+        raise ValueError("an event-encoded dataset needs its dictionary to build the grouped catalogue")
+    write_event_groups(event_groups(read_event_dictionary(spark, dictionary_path), mode), groups_path)
+    return spark.read.json(groups_path)
+
+
 def cache_dataset(spark: SparkSession, table_name: str) -> DataFrame:
     """Keep a materialised table in executor memory for repeated chart queries."""
     spark.catalog.cacheTable(table_name)
