@@ -52,6 +52,8 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
     """
     keys = list(partition_by or [])
     order = list(order or [ts])
+    if bucket == "auto" and bucket_col is None:
+        bucket = choose_bucket(df, ts, keys)
     feats = []
     for kind, mapping in (("lag", lag), ("lead", lead), ("cumsum", cumsum), ("cmax", cummax_before)):
         for out, src in (mapping or {}).items():
@@ -141,3 +143,35 @@ def ordered_row_number(df: DataFrame, ts: str, out: str, *, order: list[str],
     """1-based row number in ``order`` (give a total order for a stable result)."""
     return ordered_columns(df, ts, order=order, partition_by=partition_by, bucket=bucket,
                            cumsum={out: F.lit(1).cast("bigint")})
+
+
+# Candidate widths, coarsest first, for ``bucket="auto"``.
+AUTO_WIDTHS = ("month", "day", "hour", "15 minutes", "minute", "10 seconds", "1 second")
+
+
+def choose_bucket(df: DataFrame, ts: str, partition_by: list[str] | None = None,
+                  target_rows: int = 2_000_000) -> str:
+    """Coarsest bucket width whose densest (key, bucket) holds <= ``target_rows``.
+
+    One distributed aggregate: rows per (key, second) are counted with a
+    map-side combine, then re-summed per candidate width; only one number
+    per candidate reaches the driver.  A key that holds a third of all rows
+    but spreads over time is split into many buckets; a key that is dense
+    in time gets a finer width.
+    """
+    keys = list(partition_by or [])
+    per_sec = (df.select(*[F.col(f"`{k}`") for k in keys], bucket_of(ts, "1 second").alias("__s"))
+               .groupBy(*keys, "__s").count())
+    widths = [w for w in AUTO_WIDTHS if w not in ("1 second",)]
+    secs = {"month": 31 * 86400, "day": 86400, "hour": 3600, "15 minutes": 900, "minute": 60,
+            "10 seconds": 10}
+    aggs = []
+    for w in widths:
+        g = per_sec.groupBy(*keys, F.floor(F.col("__s") / F.lit(secs[w])).alias("__b")).agg(
+            F.sum("count").alias("n"))
+        aggs.append(g.agg(F.max("n").alias("m")).select(F.lit(w).alias("w"), "m"))
+    maxima = {r.w: r.m for r in reduce(DataFrame.unionByName, aggs).collect()}
+    for w in widths:
+        if (maxima.get(w) or 0) <= target_rows:
+            return w
+    return "1 second"

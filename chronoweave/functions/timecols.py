@@ -34,14 +34,31 @@ def seconds_to_micros(sec: Column) -> Column:
     return F.round(sec * F.lit(float(MICROS_PER_SECOND))).cast("bigint")
 
 
+CALENDAR_UNITS = ("minute", "hour", "day", "week", "month", "quarter", "year")
+_DURATION_UNITS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000,
+                   "hour": 3_600_000_000, "day": 86_400_000_000}
+
+
+def duration_micros(text: str) -> int:
+    """'15 minutes' -> 900000000."""
+    n, unit = text.split()
+    unit = unit.rstrip("s").lower()
+    return int(float(n) * _DURATION_UNITS[unit])
+
+
 def bucket_of(ts: str | Column, unit: str = "day") -> Column:
     """Monotone coarse bucket of a time column, used to split ordered windows.
 
-    ``date_trunc`` returns a session-zone timestamp; cast back to NTZ.
+    ``unit`` is a calendar unit (``date_trunc``, cast back to NTZ) or a fixed
+    width such as ``"15 minutes"`` (whole widths since 1970-01-01, bigint).
     """
     if unit == "day":
         return F.to_date(_c(ts))
-    return F.date_trunc(unit, _c(ts)).cast("timestamp_ntz")
+    if unit in CALENDAR_UNITS:
+        return F.date_trunc(unit, _c(ts)).cast("timestamp_ntz")
+    width = duration_micros(unit)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(micros_between(epoch, ts) / F.lit(width)).cast("bigint")
 
 
 def attach_scalars(big, one_row, cols: list[str]):

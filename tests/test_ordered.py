@@ -29,3 +29,21 @@ def test_no_single_partition_window_over_rows(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     # the window over rows is partitioned by the time bucket
     assert "__cw_bucket" in plan
+
+
+def test_auto_bucket_refines_dense_key(spark):
+    from chronoweave.functions.ordered import choose_bucket
+    # key "hot": 3000 rows inside one hour; key "cold": 30 rows over 30 days
+    rows = [("hot", ts(i)) for i in range(3000)] + [("cold", ts(i * 86400)) for i in range(30)]
+    df = frame(spark, rows, "k string, t timestamp_ntz")
+    w = choose_bucket(df, "t", ["k"], target_rows=500)
+    assert w in ("minute", "10 seconds")
+    got = ordered_columns(df, "t", partition_by=["k"], bucket="auto", lag={"p": "t"})
+    ref = df.select("*", F.lag("t").over(Window.partitionBy("k").orderBy("t")).alias("p"))
+    assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+
+
+def test_fixed_width_bucket(spark):
+    df = frame(spark, [(ts(i * 7),) for i in range(300)], "t timestamp_ntz")
+    got = ordered_columns(df, "t", bucket="15 minutes", cumsum={"c": F.lit(1).cast("bigint")})
+    assert sorted(r.c for r in got.collect()) == list(range(1, 301))
