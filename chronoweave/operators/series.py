@@ -72,7 +72,10 @@ def time_range_clip(df: DataFrame, ts: str, lo=None, hi=None) -> DataFrame:
     a, b = _parse_bound(lo), _parse_bound(hi)
     if a is None or b is None:
         return df
-    return df.where(q(ts).between(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz")))
+    # text literals cast to NTZ: no time-zone conversion on either side
+    lo_lit = F.lit(a.isoformat(sep=" ")).cast("timestamp_ntz")
+    hi_lit = F.lit(b.isoformat(sep=" ")).cast("timestamp_ntz")
+    return df.where(q(ts).between(lo_lit, hi_lit))
 
 
 def time_bounds(df: DataFrame, ts: str, partition_by: list[str] | None = None) -> DataFrame:

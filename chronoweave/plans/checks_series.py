@@ -93,8 +93,10 @@ def q_interval_boxes(spark, d):
 
 
 def q_symmetric_range(spark, d):
-    e = table(spark, d, "events")
-    return quality.symmetric_range(e, ["value", "user_id"], EV)
+    """Symmetric y-range of the selected series over the visible positional window."""
+    e = table(spark, d, "events").select("event_id", "ts", "value", "user_id")
+    w = series.positional_window(e, "ts", 100, order=["ts", "event_id"])
+    return quality.symmetric_range(w, ["value", "user_id"])
 
 
 def q_profile(spark, d):
@@ -195,9 +197,12 @@ ORACLE = {
     "merge_intervals": _F + 'SELECT event_type, start, "end", class FROM merged',
     "interval_boxes": _F + """SELECT event_type, start, "end", class, round(y_min, 6) AS y_low, round(y_max, 6) AS y_high
         FROM merged LEFT JOIN ext USING (event_type)""",
-    "symmetric_range": """SELECT event_type, -m AS range_low, m AS range_high FROM (
-        SELECT event_type, greatest(abs(least(min(value), min(user_id))), abs(greatest(max(value), max(user_id)))) AS m
-        FROM events GROUP BY event_type)""",
+    "symmetric_range": """WITH r AS (SELECT event_id, ts, value, user_id,
+            row_number() OVER (ORDER BY ts, event_id) - 1 AS row_pos, count(*) OVER () AS n FROM events),
+        p AS (SELECT *, greatest(200, n // 10) AS size FROM r),
+        w AS (SELECT * FROM p WHERE row_pos >= least(100, greatest(0, n - size)) AND row_pos < least(100, greatest(0, n - size)) + size)
+        SELECT -m AS range_low, m AS range_high FROM (
+        SELECT greatest(abs(least(min(value), min(user_id))), abs(greatest(max(value), max(user_id)))) AS m FROM w)""",
     "profile": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
         round(min({c}), 6) AS "min", round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50,
