@@ -158,7 +158,23 @@ def q_lttb_downsample(spark, d):
     return series.lttb_downsample(e, "ts", "value", 100, EV)
 
 
+def lineitem_daily(spark, d):
+    """Wide single-axis table: lineitem measures averaged per ship date."""
+    from chronoweave.operators import clean
+    li = table(spark, d, "lineitem").select("l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    u = clean.unify_duplicates(li, "l_shipdate")
+    return u.select("l_shipdate", *[r6(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+
+
+def q_chart_points(spark, d):
+    from chronoweave.plans.chart import series_query
+    c = series_query(lineitem_daily(spark, d), ["l_quantity", "part::raw::l_tax", "no_such"], "l_shipdate",
+                     "1995-01-01", "1996-12-31", n=100)
+    return c.points
+
+
 QUERIES = {
+    "chart_points": q_chart_points,
     "valid_values": q_valid_values,
     "sentinel_classes": q_sentinel_classes,
     "series_extrema": q_series_extrema,
@@ -184,6 +200,19 @@ _F = f"WITH {filled_ctes()}\n"
 _PROFILE_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 ORACLE = {
+    "chart_points": """WITH w AS (SELECT l_shipdate, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_tax), 6) AS l_tax
+            FROM lineitem GROUP BY l_shipdate),
+        v AS (SELECT 'l_quantity' AS series, l_shipdate, l_quantity AS value FROM w
+              UNION ALL SELECT 'l_tax', l_shipdate, l_tax FROM w),
+        c AS (SELECT * FROM v WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'
+              AND value BETWEEN -999998.0 AND 999998.0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY l_shipdate, value) AS rn,
+              count(*) OVER (PARTITION BY series) AS cnt FROM c),
+        b AS (SELECT *, CASE WHEN cnt <= 100 THEN rn ELSE ((rn - 1) * 50) // cnt END AS bk FROM r),
+        lo AS (SELECT series, bk, arg_min(l_shipdate, (value, l_shipdate)) AS l_shipdate FROM b GROUP BY ALL),
+        hi AS (SELECT series, bk, arg_min(l_shipdate, (-value, l_shipdate)) AS l_shipdate FROM b GROUP BY ALL)
+        SELECT DISTINCT c.series, c.l_shipdate, c.value FROM c JOIN
+          (SELECT series, l_shipdate FROM lo UNION SELECT series, l_shipdate FROM hi) p USING (series, l_shipdate)""",
     "valid_values": _F + "SELECT event_type, ts, round(value, 6) AS value FROM f WHERE value BETWEEN -999998.0 AND 999998.0",
     "sentinel_classes": _F + """SELECT event_type, ts, round(value, 6) AS value,
         CASE WHEN value = -999999.0 THEN 'anomaly' WHEN value = 999999.0 THEN 'gap'

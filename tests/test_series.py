@@ -53,3 +53,17 @@ def test_lttb_properties(spark):
 def test_ts_label(spark):
     df = frame(spark, [(dt.datetime(2024, 3, 4, 5, 6, 7),)], "t timestamp_ntz")
     assert df.select(series.ts_label(F.col("t"))).first()[0] == "2024-03-04\n05:06:07"
+
+
+def test_chart_request_outputs(spark):
+    from chronoweave.plans.chart import series_query
+    rows = [(ts(i * 10), float(i % 13), 999999.0 if 20 <= i < 25 else 1.0) for i in range(500)]
+    df = frame(spark, rows, "Timestamp timestamp_ntz, a double, b double")
+    c = series_query(df, ["a", "x::raw::b", "zz"], "Timestamp", ts(0), ts(4000), n=50)
+    assert c.points.where("series = 'a'").count() <= 50
+    assert {r.series for r in c.extrema.collect()} == {"a", "b"}
+    assert c.overall.first().marker_level == 0.0
+    assert c.markers.count() == 5
+    box = c.boxes.collect()
+    assert len(box) == 1 and box[0].start == ts(195) and box[0].end == ts(245)
+    assert c.bounds.first().ts_max == ts(4990)
