@@ -29,7 +29,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chronoweave.functions.timecols import bucket_of
+from chronoweave.functions.timecols import CALENDAR_UNITS, bucket_of
 
 _B, _R = "__cw_bucket", "__cw_rank"
 _UNB = Window.unboundedPreceding
@@ -83,22 +83,13 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
     summary = d.groupBy(*keys, _B).agg(*aggs)
 
     # Carry values across buckets: a window over the summary (one row per bucket).
-    ws = Window.partitionBy(*keys).orderBy(_B)
-    before, after = [], []
-    for _, kind, s, _ in feats:
-        if kind == "lag":
-            before.append(F.lag(s).over(ws).alias(s))
-        elif kind == "cumsum":
-            before.append(F.sum(s).over(ws.rowsBetween(_UNB, -1)).alias(s))
-        elif kind == "cmax":
-            before.append(F.max(s).over(ws.rowsBetween(_UNB, -1)).alias(s))
-        else:
-            after.append(F.lead(s).over(ws).alias(s))
+    fine = bucket_col is None and bucket not in CALENDAR_UNITS
+    carry, before, after = _carries(summary, keys, feats, fine)
     pieces = [d]
     if before:
-        pieces.append(summary.select(*keys, _B, F.lit(0).alias(_R), *before))
+        pieces.append(carry.select(*keys, _B, F.lit(0).alias(_R), *before))
     if after:
-        pieces.append(summary.select(*keys, _B, F.lit(2).alias(_R), *after))
+        pieces.append(carry.select(*keys, _B, F.lit(2).alias(_R), *after))
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
 
     w = Window.partitionBy(*keys, _B).orderBy(F.col(_R), *[F.col(o) for o in order])
@@ -117,6 +108,52 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
     return res.drop(_R)
 
 
+_SUPER = 4096  # buckets per super-bucket when the summary itself is split
+
+
+def _carries(summary: DataFrame, keys: list[str], feats, fine: bool):
+    """Per-bucket carry columns: (before-row expressions, after-row expressions).
+
+    With calendar buckets the summary has one row per (key, bucket) and a
+    window partitioned by key is small.  Fixed-width buckets can be many
+    (one per second over years), so the summary's own ordered problem is
+    solved with the same bucketed method, ``_SUPER`` buckets at a time.
+    """
+    if not fine:
+        ws = Window.partitionBy(*keys).orderBy(_B)
+        before, after = [], []
+        for _, kind, s, _ in feats:
+            if kind == "lag":
+                before.append(F.lag(s).over(ws).alias(s))
+            elif kind == "cumsum":
+                before.append(F.sum(s).over(ws.rowsBetween(_UNB, -1)).alias(s))
+            elif kind == "cmax":
+                before.append(F.max(s).over(ws.rowsBetween(_UNB, -1)).alias(s))
+            else:
+                after.append(F.lead(s).over(ws).alias(s))
+        return summary, before, after
+    fb = "__cw_fine_bucket"
+    sm = summary.select(*[F.col(f"`{k}`") for k in keys], F.col(_B).alias(fb),
+                        *[F.col(s).alias(f"{s}_v") for _, _, s, _ in feats])
+    spec = {"lag": {}, "lead": {}, "cumsum": {}, "cmax": {}}
+    for _, kind, s, _ in feats:
+        spec[kind][f"{s}_c"] = F.col(f"{s}_v")
+    c = ordered_columns(sm, fb, order=[fb], partition_by=keys,
+                        bucket_col=F.floor(F.col(fb) / F.lit(_SUPER)),
+                        lag=spec["lag"], lead=spec["lead"], cumsum=spec["cumsum"],
+                        cummax_before=spec["cmax"]).withColumnRenamed(fb, _B)
+    before, after = [], []
+    for _, kind, s, _ in feats:
+        if kind == "cumsum":
+            # inclusive running total over buckets minus the bucket's own total
+            before.append((F.col(f"{s}_c") - F.col(f"{s}_v")).alias(s))
+        elif kind == "lead":
+            after.append(F.col(f"{s}_c").alias(s))
+        else:
+            before.append(F.col(f"{s}_c").alias(s))
+    return c, before, after
+
+
 def ordered_lag(df: DataFrame, col: str | Column, ts: str, out: str, *,
                 partition_by: list[str] | None = None, order: list[str] | None = None,
                 bucket: str = "day") -> DataFrame:

@@ -47,3 +47,19 @@ def test_fixed_width_bucket(spark):
     df = frame(spark, [(ts(i * 7),) for i in range(300)], "t timestamp_ntz")
     got = ordered_columns(df, "t", bucket="15 minutes", cumsum={"c": F.lit(1).cast("bigint")})
     assert sorted(r.c for r in got.collect()) == list(range(1, 301))
+
+
+def test_fine_buckets_recursive_carry(spark):
+    rnd = random.Random(11)
+    secs = sorted({rnd.randrange(0, 20000) for _ in range(600)})
+    rows = [(i, ts(s), rnd.choice(["a", "b"]), float(rnd.randrange(50))) for i, s in enumerate(secs)]
+    df = frame(spark, rows, "id long, t timestamp_ntz, k string, v double")
+    for keys in ([], ["k"]):
+        got = ordered_columns(df, "t", order=["t", "id"], partition_by=keys, bucket="1 second",
+                              lag={"p": "v"}, lead={"n": "v"}, cumsum={"c": F.lit(1).cast("bigint")},
+                              cummax_before={"m": "v"})
+        w = Window.partitionBy(*keys).orderBy("t", "id")
+        ref = df.select("*", F.lag("v").over(w).alias("p"), F.lead("v").over(w).alias("n"),
+                        F.row_number().over(w).cast("bigint").alias("c"),
+                        F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("m"))
+        assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
