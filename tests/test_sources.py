@@ -63,3 +63,23 @@ def test_scan_datasets(spark, tmp_path):
     r = reg[0]
     assert r.name == "My-Set" and r.table_name == "my_set" and r.type == "TabularDataSet"
     assert r.steps[0].name == "clean_and_unify_duplicates" and r.steps[0].enabled
+
+
+def test_build_dataset_once(spark, tmp_path):
+    from chronoweave.plans import steps
+    (tmp_path / "202401.csv").write_text(
+        "Timestamp,MG-LV-MSB_Frequency,b\n2024-01-01 00:00:00,50,1\n2024-01-01 00:00:00,-327.679993,3\n"
+        "2024-01-01 00:00:10,-327.679993,NA\n2024-01-01 00:00:40,49,2\nbad,1,1\n")
+    (tmp_path / "202402.csv").write_text("Timestamp,b\n2024-01-01 00:00:50,5\n")
+    cfg = {"run_enabled": True, "available_functions": [
+        {"merge_all_datasets": {"enabled": True}}, {"clean_and_unify_duplicates": {"enabled": True}},
+        {"negative_freq_report": {"enabled": True}}, {"rellenar_timestamps": {"enabled": True}},
+        {"normalize_timestamp_column": {"enabled": True}}]}
+    paths = [str(tmp_path / "202401.csv"), str(tmp_path / "202402.csv")]
+    t = steps.build_dataset(spark, "cw_test_ds", paths, cfg)
+    rows = {r.Timestamp.second: r for r in t.collect()}
+    assert sorted(rows) == [0, 10, 20, 30, 40, 50]
+    assert rows[10]["MG-LV-MSB_Frequency"] is None          # fault value removed
+    assert rows[20]["b"] == 999999.0 and rows[30]["b"] == 999999.0  # gap rows
+    (tmp_path / "202401.csv").write_text("Timestamp,b\n2030-01-01 00:00:00,1\n")
+    assert steps.build_dataset(spark, "cw_test_ds", paths, cfg).count() == 6   # not rebuilt
