@@ -52,7 +52,7 @@ def _headers(spark: SparkSession, paths: list[str], sep: str, batch: int = 256)
 
 
 def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep: str = ",",
-               ts_format: str | None = None, infer: bool = True) -> DataFrame:
+               ts_format: str | None = None, infer: bool = True, with_file: bool = False) -> DataFrame:
     """Read CSV files whose headers differ, binding columns BY NAME.
 
     Files are grouped by header; each group is read with an all-string
@@ -69,10 +69,14 @@ def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep
     frames = []
     for header, files in groups.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        frames.append(spark.read.csv(files, header=True, schema=schema, sep=sep, enforceSchema=True))
+        f = spark.read.csv(files, header=True, schema=schema, sep=sep, enforceSchema=True)
+        if with_file:
+            f = f.withColumn("_source_file", F.col("_metadata.file_name"))
+        frames.append(f)
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    df = df.withColumns({c: F.when(q(c).isin(*NA_TOKENS), F.lit(None)).otherwise(q(c)) for c in df.columns})
-    others = [c for c in df.columns if c != ts]
+    df = df.withColumns({c: F.when(q(c).isin(*NA_TOKENS), F.lit(None)).otherwise(q(c))
+                         for c in df.columns if c != "_source_file"})
+    others = [c for c in df.columns if c not in (ts, "_source_file")]
     if infer and others:
         stats = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(others)],
                        *[F.count(q(c).try_cast("bigint")).alias(f"i{i}") for i, c in enumerate(others)],

@@ -83,3 +83,21 @@ def test_build_dataset_once(spark, tmp_path):
     assert rows[20]["b"] == 999999.0 and rows[30]["b"] == 999999.0  # gap rows
     (tmp_path / "202401.csv").write_text("Timestamp,b\n2030-01-01 00:00:00,1\n")
     assert steps.build_dataset(spark, "cw_test_ds", paths, cfg).count() == 6   # not rebuilt
+
+
+def test_run_metrics_counts(spark, tmp_path):
+    from chronoweave.plans import steps
+    (tmp_path / "a.csv").write_text("Timestamp,MG-LV-MSB_Frequency\n2024-01-01 00:00:00,-327.679993\n"
+                                    "2024-01-01 00:00:10,50\n2024-01-01 00:00:10,52\n")
+    (tmp_path / "b.csv").write_text("Timestamp,MG-LV-MSB_Frequency\n2024-01-01 00:00:40,49\nbad,1\n")
+    raw = files.scan_union(spark, files.select_files(spark, str(tmp_path / "*.csv")), with_file=True)
+    cfg = {"run_enabled": True, "available_functions": [
+        {"merge_all_datasets": {"enabled": True}}, {"clean_and_unify_duplicates": {"enabled": True}},
+        {"negative_freq_report": {"enabled": True}}, {"rellenar_timestamps": {"enabled": True}}]}
+    out, ctx = steps.run_steps(raw.drop("_source_file"), cfg)
+    m = {(r.step, r.metric): r.value for r in steps.run_metrics(raw, out, ctx).collect()}
+    assert m[("load", "rows_in")] == 5 and m[("load", "rows_valid_ts")] == 4 and m[("load", "files")] == 2
+    assert m[("load", "rows:a.csv")] == 3
+    assert m[("unify", "rows_with_duplicate_ts")] == 2
+    assert m[("sentinel", "replaced:MG-LV-MSB_Frequency:-327.679993")] == 1
+    assert m[("fill", "rows_inserted")] == 2 and m[("final", "rows_out")] == 5
