@@ -248,23 +248,62 @@ def bad_runs(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] |
 
 
 def merge_intervals(iv: DataFrame, partition_by: list[str] | None = None, start: str = "start",
-                    end: str = "end", cls: str = "class", bucket: str = "day") -> DataFrame:
+                    end: str = "end", cls: str = "class", bucket: str = "day",
+                    classes: tuple[str, ...] | None = tuple(SENTINEL_CLASSES.values())) -> DataFrame:
     """Merge overlapping or touching intervals of the same class.
 
     In (start, end, class) order an interval joins the current merged one
     when it starts no later than that one's end AND has the same class; a
-    different class in between breaks the merge.  Formulation: class runs
-    (a running count of class changes), then a running max of (run, end)
-    over earlier intervals; a new group starts on a new run or when the
-    start exceeds the max end of the run so far.
+    different class in between breaks the merge.
+
+    With the class set known (bad-run intervals are red/orange), three
+    ordered passes: (1) running row count and running count per class give
+    each row a barrier tag B = rows of other classes so far, constant
+    inside a class run and larger in later runs; (2) per class, the running
+    max of (B, end) over earlier intervals of that class -- its B equals the
+    row's own exactly when an earlier interval of the same run exists, and
+    then its end is the run's max end so far; a group starts where that is
+    absent or the start exceeds it; (3) a running count of group starts
+    numbers the groups.  ``classes=None`` uses the generic four-pass form
+    (class-run ids first).
     """
     keys = list(partition_by or [])
     order = [start, end, cls]
-    # intervals are few (one per run); writing them once keeps the four
-    # ordered passes from re-running the plan that found them
+    # intervals are few (one per run); writing them once keeps the ordered
+    # passes from re-running the plan that found them
     iv = cut_lineage(iv.select(*[q(k) for k in keys], start, end, cls), "intervals")
-    a = ordered_columns(iv, start, order=order,
-                        partition_by=keys, bucket=bucket, lag={"__pc": F.col(cls)})
+    if classes is None:
+        return _merge_generic(iv, keys, start, end, cls, bucket)
+    classes = tuple(classes)
+    counts = {"__rn": F.lit(1).cast("bigint")}
+    counts.update({f"__n{i}": F.when(F.col(cls) == c, 1).otherwise(0).cast("bigint") for i, c in enumerate(classes)})
+    a = ordered_columns(iv, start, order=order, partition_by=keys, bucket=bucket, cumsum=counts)
+    own = F.lit(None).cast("bigint")
+    for i, c in enumerate(classes):
+        own = F.when(F.col(cls) == c, F.col(f"__n{i}")).otherwise(own)
+    a = a.withColumn("__bt", F.col("__rn") - own)
+    runmax = {f"__m{i}": F.when(F.col(cls) == c, F.struct(F.col("__bt").alias("b"), F.col(end).alias("e")))
+              for i, c in enumerate(classes)}
+    b = ordered_columns(a, start, order=order, partition_by=keys, bucket=bucket, cummax_before=runmax)
+    pm = F.lit(None)
+    for i, c in enumerate(classes):
+        pm = F.when(F.col(cls) == c, F.col(f"__m{i}")).otherwise(pm)
+    b = b.withColumn("__pm", pm)
+    new = (F.col("__pm").isNull() | (F.col("__pm.b") != F.col("__bt")) | (F.col(start) > F.col("__pm.e")))
+    # written once more so the last pass does not re-run the first two twice
+    b = cut_lineage(b.select(*[q(k) for k in keys], start, end, cls, new.cast("bigint").alias("__new")),
+                    "interval-groups")
+    c = ordered_columns(b, start, order=order, partition_by=keys, bucket=bucket, cumsum={"__g": F.col("__new")})
+    return (c.groupBy(*[q(k) for k in keys], "__g")
+            .agg(F.min(start).alias(start), F.max(end).alias(end), F.first(cls).alias(cls))
+            .drop("__g"))
+
+
+def _merge_generic(iv: DataFrame, keys: list[str], start: str, end: str, cls: str, bucket: str) -> DataFrame:
+    """Four ordered passes: class changes, class-run ids, running max of
+    (run, end) over earlier intervals, group ids."""
+    order = [start, end, cls]
+    a = ordered_columns(iv, start, order=order, partition_by=keys, bucket=bucket, lag={"__pc": F.col(cls)})
     a = a.withColumn("__chg", F.when(F.col("__pc").isNull() | (F.col("__pc") != F.col(cls)), 1)
                      .otherwise(0).cast("bigint"))
     b = ordered_columns(a, start, order=order, partition_by=keys, bucket=bucket,

@@ -31,10 +31,10 @@ def _merge_ref(iv):
     return sorted(tuple(x) for x in out)
 
 
-def _merge(spark, iv):
+def _merge(spark, iv, classes=("red", "orange")):
     df = frame(spark, [(ts(s), ts(e), c) for s, e, c in iv], "start timestamp_ntz, end timestamp_ntz, class string")
     return sorted(((r.start - ts(0)).total_seconds(), (r.end - ts(0)).total_seconds(), r["class"])
-                  for r in quality.merge_intervals(df).collect())
+                  for r in quality.merge_intervals(df, classes=classes).collect())
 
 
 def test_merge_cases(spark):
@@ -51,7 +51,9 @@ def test_merge_matches_sequential_rule(spark):
             s = rnd.randrange(0, 500)
             iv.append((s, s + rnd.randrange(0, 40), rnd.choice(["red", "orange"])))
         iv = sorted(set(iv))
-        assert _merge(spark, iv) == [(float(a), float(b), c) for a, b, c in _merge_ref(iv)]
+        ref = [(float(a), float(b), c) for a, b, c in _merge_ref(iv)]
+        assert _merge(spark, iv) == ref
+        assert _merge(spark, iv, classes=None) == ref
 
 
 def test_marker_level_zero_without_valid(spark):
@@ -74,3 +76,10 @@ def test_profile_matches_pandas(spark):
     ref = pd.Series(vals).describe()
     for k, rk in (("q25", "25%"), ("q50", "50%"), ("q75", "75%"), ("mean", "mean"), ("std", "std")):
         assert abs(got[k] - ref[rk]) < 1e-9
+
+
+def test_merge_three_classes(spark):
+    rnd = random.Random(9)
+    iv = sorted({(s, s + rnd.randrange(0, 30), rnd.choice("abc")) for s in (rnd.randrange(0, 400) for _ in range(60))})
+    ref = [(float(a), float(b), c) for a, b, c in _merge_ref(iv)]
+    assert _merge(spark, iv, classes=("a", "b", "c")) == ref
