@@ -38,6 +38,24 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, executor_cores_total: int,
+                 target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Sizing for a cluster run: shuffle partitions so that each holds about
+    ``target_partition_bytes`` (at least 3 waves of the cores), AQE
+    coalescing/skew splitting at the same size, and scan splits of the same
+    size.  Example: 100 TB on 8,000 cores -> 800,000 initial partitions that
+    AQE coalesces where the data shrinks (aggregates, filters)."""
+    parts = max(3 * executor_cores_total, input_bytes // target_partition_bytes)
+    size = str(target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": size,
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
