@@ -21,6 +21,7 @@ WINDOW_MIN_ROWS = 200
 WINDOW_FRACTION_DIVISOR = 10
 SAMPLE_ROWS = 5
 TS_LABEL_FORMAT = "yyyy-MM-dd\nHH:mm:ss"
+MONTH_COLUMN = "ts_month"  # partition column of materialised tables (yyyy-MM)
 
 
 def selector_decode(code: Column) -> Column:
@@ -75,7 +76,11 @@ def time_range_clip(df: DataFrame, ts: str, lo=None, hi=None) -> DataFrame:
     # text literals cast to NTZ: no time-zone conversion on either side
     lo_lit = F.lit(a.isoformat(sep=" ")).cast("timestamp_ntz")
     hi_lit = F.lit(b.isoformat(sep=" ")).cast("timestamp_ntz")
-    return df.where(q(ts).between(lo_lit, hi_lit))
+    out = df.where(q(ts).between(lo_lit, hi_lit))
+    if MONTH_COLUMN in df.columns:
+        # materialised tables are partitioned by month: prune whole folders too
+        out = out.where(F.col(MONTH_COLUMN).between(F.lit(a.strftime("%Y-%m")), F.lit(b.strftime("%Y-%m"))))
+    return out
 
 
 def time_bounds(df: DataFrame, ts: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -101,3 +101,14 @@ def test_run_metrics_counts(spark, tmp_path):
     assert m[("unify", "rows_with_duplicate_ts")] == 2
     assert m[("sentinel", "replaced:MG-LV-MSB_Frequency:-327.679993")] == 1
     assert m[("fill", "rows_inserted")] == 2 and m[("final", "rows_out")] == 5
+
+
+def test_clip_prunes_month_folders(spark, tmp_path):
+    from chronoweave.operators import series
+    rows = [(dt.datetime(2024, m, 15), float(m)) for m in range(1, 13)]
+    back = files.materialize(spark.createDataFrame(rows, "Timestamp timestamp_ntz, a double"),
+                             str(tmp_path / "t"), "Timestamp")
+    clipped = series.time_range_clip(back, "Timestamp", "2024-03-01", "2024-04-30")
+    assert sorted(r.a for r in clipped.collect()) == [3.0, 4.0]
+    plan = clipped._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ts_month" in plan
