@@ -133,8 +133,10 @@ def duplicate_report(df: DataFrame, ts: str = "Timestamp",
     map-side combine and AQE's skew-join split, never by one window group.
     """
     keys = list(partition_by or []) + [ts]
-    dup = df.groupBy(*keys).count().where(F.col("count") > 1).drop("count")
-    return df.join(dup, on=keys, how="left_semi")
+    from chronoweave.functions.joins import join_on_keys
+
+    dup = df.groupBy(*[q(k) for k in keys]).count().where(F.col("count") > 1).drop("count")
+    return join_on_keys(df, dup, keys, "left_semi")
 
 
 def unify_duplicates(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | None = None,

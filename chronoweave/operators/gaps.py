@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from chronoweave.functions.joins import join_on_keys
 from chronoweave.functions.ordered import ordered_columns
 from chronoweave.functions.timecols import add_micros, attach_scalars, micros_between
 from chronoweave.operators.clean import NUMERIC, q
@@ -68,7 +69,7 @@ def resolution_with_fallback(df: DataFrame, ts: str = "Timestamp",
     res = resolution(df, ts, keys, bucket)
     if keys:
         base = df.select(*[q(k) for k in keys]).distinct()
-        out = base.join(res, on=keys, how="left")
+        out = join_on_keys(base, res, keys, "left")
     else:
         # without keys the resolution is one value: attach it as a scalar
         out = attach_scalars(df.agg(F.count(F.lit(1)).alias("__n")), res,
@@ -83,7 +84,7 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     """Join a per-key table (AQE broadcasts it once its size is measured);
     without keys it holds at most one row and is attached as a scalar."""
     if keys:
-        return big.join(small, on=keys, how=how)
+        return join_on_keys(big, small, keys, how)
     return attach_scalars(big, small, [c for c in small.columns])
 
 

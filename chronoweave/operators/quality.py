@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chronoweave.functions.joins import join_on_keys
 from chronoweave.functions.ordered import ordered_columns
 from chronoweave.functions.timecols import add_micros, attach_scalars, micros_between
 from chronoweave.operators import gaps
@@ -92,7 +93,7 @@ def marker_points(df: DataFrame, ts: str, cols: list[str],
     lng = to_long(df, ts, cols, keys)
     hits = lng.where(q("value").isin(GAP_VALUE, ANOMALY_VALUE)).withColumn(
         "class", F.when(q("value") == F.lit(GAP_VALUE), F.lit("red")).otherwise(F.lit("orange")))
-    j = hits.join(ext, on=keys, how="left") if keys else attach_scalars(hits, ext, ["marker_level"])
+    j = join_on_keys(hits, ext, keys, "left") if keys else attach_scalars(hits, ext, ["marker_level"])
     return j.select(*[q(k) for k in keys], "series", q(ts), "class", F.col("marker_level").alias("y"))
 
 
@@ -221,7 +222,7 @@ def bad_runs(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] |
     hits = lng.where(q("value").isin(GAP_VALUE, ANOMALY_VALUE)).select(
         *[q(k) for k in keys], "series", q(ts),
         F.when(q("value") == F.lit(GAP_VALUE), F.lit("red")).otherwise(F.lit("orange")).alias("class"))
-    hits = (hits.join(rs, on=keys, how="inner") if keys
+    hits = (join_on_keys(hits, rs, keys) if keys
             else attach_scalars(hits, rs, ["resolution_us", "threshold_seconds"]))
     part = keys + ["series", "class"]
     nb = ordered_columns(hits, ts, partition_by=part, bucket=bucket,
@@ -327,4 +328,4 @@ def interval_boxes(merged: DataFrame, extrema: DataFrame,
     keys = list(partition_by or [])
     ext = extrema.select(*[q(k) for k in keys], F.col("y_min").alias("y_low"),
                          F.col("y_max").alias("y_high"))
-    return merged.join(ext, on=keys, how="left") if keys else attach_scalars(merged, ext, ["y_low", "y_high"])
+    return join_on_keys(merged, ext, keys, "left") if keys else attach_scalars(merged, ext, ["y_low", "y_high"])

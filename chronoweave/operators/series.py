@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from chronoweave.functions.joins import join_on_keys
 from chronoweave.functions.ordered import ordered_columns
 from chronoweave.functions.timecols import attach_scalars
 from chronoweave.operators.clean import q
@@ -122,7 +123,7 @@ def positional_window(df: DataFrame, ts: str, start: int, order: list[str] | Non
                            F.greatest(F.lit(0).cast("bigint"), F.col("__n") - size)).alias("__start"))
     ranked = ordered_columns(df, ts, order=order, partition_by=keys, bucket=bucket,
                              cumsum={"__rn": F.lit(1).cast("bigint")})
-    j = ranked.join(lim, on=keys) if keys else attach_scalars(ranked, lim, ["__size", "__start"])
+    j = join_on_keys(ranked, lim, keys) if keys else attach_scalars(ranked, lim, ["__size", "__start"])
     pos = F.col("__rn") - 1
     return (j.where((pos >= F.col("__start")) & (pos < F.col("__start") + F.col("__size")))
             .withColumn("row_pos", pos).drop("__rn", "__size", "__start"))
@@ -142,7 +143,7 @@ def minmax_downsample(df: DataFrame, ts: str, value: str = "value", n: int = DEF
     cnt = v.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("__cnt"))
     ranked = ordered_columns(v, ts, order=[ts, value], partition_by=keys, bucket=bucket,
                              cumsum={"__rn": F.lit(1).cast("bigint")})
-    j = ranked.join(cnt, on=keys) if keys else attach_scalars(ranked, cnt, ["__cnt"])
+    j = join_on_keys(ranked, cnt, keys) if keys else attach_scalars(ranked, cnt, ["__cnt"])
     j = j.withColumn("__bk", F.when(F.col("__cnt") <= n, F.col("__rn"))
                      .otherwise(F.expr(f"((__rn - 1) * {half}) div __cnt")))
     kb = [q(k) for k in keys] + ["__bk"]

@@ -66,3 +66,12 @@ def test_keyed_resolution(spark):
     assert r == {"x": 5.0, "y": 60.0}
     rep = gaps.gap_report(df, partition_by=["k"]).collect()
     assert [(x.k, x.missing_samples) for x in rep] == [("y", 2)]
+
+
+def test_null_key_series_kept(spark):
+    rows = [(None, ts(s), 1.0) for s in (0, 10, 40)] + [("y", ts(s), 1.0) for s in (0, 5, 10)]
+    df = frame(spark, rows, "k string, Timestamp timestamp_ntz, a double")
+    rep = gaps.gap_report(df, partition_by=["k"]).collect()
+    assert [(r.k, r.missing_samples) for r in rep] == [(None, 2)]
+    filled, _ = gaps.gap_fill(df, partition_by=["k"])
+    assert filled.where("k is null").count() == 5
