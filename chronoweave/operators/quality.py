@@ -113,6 +113,16 @@ def symmetric_range(df: DataFrame, cols: list[str], partition_by: list[str] | No
             .select(*[q(k) for k in keys], (-m).alias("range_low"), m.alias("range_high")))
 
 
+def table_info(df: DataFrame) -> DataFrame:
+    """A9 ``info``: (position, column, non_null, dtype) for every column, one aggregate pass."""
+    row = df.agg(*[F.count(q(c)).alias(f"__n{i}") for i, c in enumerate(df.columns)])
+    items = F.array(*[F.struct(F.lit(i).cast("bigint").alias("position"), F.lit(f.name).alias("column"),
+                               F.col(f"__n{i}").alias("non_null"),
+                               F.lit(f.dataType.simpleString()).alias("dtype"))
+                      for i, f in enumerate(df.schema.fields)])
+    return row.select(F.explode(items).alias("__r")).select("__r.*")
+
+
 def _search(v: Column, splits: Column, lo: int, hi: int, base: Column | None, stride: int) -> Column:
     """Binary search over split positions base + i*stride (1-based), i in [lo, hi]."""
     if lo == hi:

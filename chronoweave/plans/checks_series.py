@@ -105,6 +105,10 @@ def q_profile(spark, d):
     return p.select("column", "count", *[r6(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
+def q_table_info(spark, d):
+    return quality.table_info(table(spark, d, "lineitem"))
+
+
 def q_series_projection(spark, d):
     e = table(spark, d, "events")
     return series.series_projection(e, "ts", ["value", "no_such_col", "web::raw::user_id", "value"])
@@ -184,6 +188,7 @@ QUERIES = {
     "interval_boxes": q_interval_boxes,
     "symmetric_range": q_symmetric_range,
     "profile": q_profile,
+    "table_info": q_table_info,
     "series_projection": q_series_projection,
     "selector_decode": q_selector_decode,
     "time_range_clip": q_time_range_clip,
@@ -236,6 +241,12 @@ ORACLE = {
         f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
         round(min({c}), 6) AS "min", round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50,
         round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS "max" FROM lineitem""" for c in _PROFILE_COLS),
+    "table_info": " UNION ALL ".join(
+        f"""SELECT CAST({i} AS BIGINT) AS position, '{c}' AS "column", count({c}) AS non_null, '{t}' AS dtype FROM lineitem"""
+        for i, (c, t) in enumerate([("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+                                    ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
+                                    ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
+                                    ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")])),
     "series_projection": "SELECT ts, value, user_id FROM events",
     "selector_decode": """WITH c AS (
         SELECT p_partkey, p_brand || '::raw::' || p_name AS code FROM part
