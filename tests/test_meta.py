@@ -91,3 +91,26 @@ def test_scan_union_by_name(spark, tmp_path):
     assert rows[0].a == 1.5 and rows[0].b is None and rows[0].c is None
     assert rows[10].a is None and rows[10].b is None and rows[10].c == 7
     assert dict(df.dtypes)["a"] == "double"
+
+
+def test_yaml_catalogue_and_groups(spark, tmp_path):
+    from chronoweave.sources import configs
+    (tmp_path / "components.yml").write_text(
+        "components:\n"
+        "  Pump:\n    name: Water pump\n    measurements:\n"
+        "      Pump_Power: {unit: kW, type: potencia, display_name: P_Pump}\n"
+        "      Pump_Speed: {unit: rpm, type: velocidad}\n"
+        "  Timestamp:\n    measurements:\n      Timestamp: {type: tiempo}\n")
+    c = configs.read_catalogue(spark, str(tmp_path / "components.yml"))
+    rows = [(r.component_id, r.measurement, r.display_name, r.unit) for r in c.orderBy("ordinal").collect()]
+    assert rows == [("Pump", "Pump_Power", "P_Pump", "kW"), ("Pump", "Pump_Speed", None, "rpm"),
+                    ("Timestamp", "Timestamp", None, None)]
+    opts = cat.measure_options(c, cols(spark, ["Timestamp", "P_Pump", "Pump_Speed"]))
+    assert sorted(r.label for r in opts.collect()) == ["P_Pump (Water pump)", "Pump_Speed (Water pump)", "Timestamp (Timestamp)"]
+    (tmp_path / "groups.yml").write_text(
+        "components:\n  Pump_Power:\n    name: Pump_Power\n    measurements:\n"
+        "      raw: {columns: [Q05, Q50], columns_encoded: [1, 2]}\n"
+        "      from_to: {columns: [Q05_to_Q50], columns_encoded: [3]}\n")
+    g = configs.read_event_groups(spark, str(tmp_path / "groups.yml"))
+    eo = cat.event_options(g, cols(spark, ["Timestamp", "Q50", "Q05_to_Q50"]))
+    assert sorted(r.value for r in eo.collect()) == ["Pump_Power::from_to::Q05_to_Q50", "Pump_Power::raw::Q50"]
