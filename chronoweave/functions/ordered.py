@@ -63,8 +63,8 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
     srcs = [s for _, _, s, _ in feats]
 
     b = bucket_col if bucket_col is not None else bucket_of(ts, bucket)
-    d = df.withColumn(_B, b).withColumn(_R, F.lit(1))
-    d = d.select("*", *[e.alias(s) for _, _, s, e in feats])
+    # one projection (each DataFrame step is analysed eagerly on the driver)
+    d = df.select("*", b.alias(_B), F.lit(1).alias(_R), *[e.alias(s) for _, _, s, e in feats])
 
     # Per-bucket summary: partial aggregation shrinks it before its shuffle.
     okey = F.struct(*[F.col(o) for o in order]) if len(order) > 1 else F.col(order[0])
@@ -104,8 +104,8 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
         else:
             x = F.max(s).over(w.rowsBetween(_UNB, -1))
         outs.append(x.alias(out))
-    res = u.select(*[F.col(c) for c in df.columns], _R, *outs).where(F.col(_R) == 1)
-    return res.drop(_R)
+    kept = u.select(*[F.col(f"`{c}`") for c in df.columns], _R, *outs).where(F.col(_R) == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(o) for o, _, _, _ in feats])
 
 
 _SUPER = 4096  # buckets per super-bucket when the summary itself is split
