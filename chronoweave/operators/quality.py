@@ -280,9 +280,12 @@ def merge_intervals(iv: DataFrame, partition_by: list[str] | None = None, start:
     """
     keys = list(partition_by or [])
     order = [start, end, cls]
-    # intervals are few (one per run); writing them once keeps the ordered
-    # passes from re-running the plan that found them
-    iv = cut_lineage(iv.select(*[q(k) for k in keys], start, end, cls), "intervals")
+    # Identical intervals (e.g. the same gap seen in several series) always
+    # merge into each other, so they are removed first: (start, end, class)
+    # is then a total order and every ordered pass ranks ties the same way.
+    # Intervals are few (one per run); writing them once keeps the ordered
+    # passes from re-running the plan that found them.
+    iv = cut_lineage(iv.select(*[q(k) for k in keys], start, end, cls).distinct(), "intervals")
     if classes is None:
         return _merge_generic(iv, keys, start, end, cls, bucket)
     classes = tuple(classes)

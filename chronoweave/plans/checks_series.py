@@ -26,34 +26,100 @@ MARKED_SQL = (f"SELECT event_type, ts, CASE WHEN value > 200 THEN -999999.0 ELSE
               f"FROM ({EVENTS_MINUTE_SQL})")
 
 
-def filled_ctes() -> str:
-    """CTEs ending in f(event_type, ts, value): the filled marked series."""
-    return f"""{_gap_ctes(MARKED_SQL, 'ts', EV)},
-ins AS (SELECT event_type, prev_ts + to_microseconds(j * res_us) AS ts FROM
+def interval_ctes(src_sql: str, ts: str, keys: list[str], values: list[str] | str) -> str:
+    """CTEs over a source series: f (filled), fr (resolution with fallback),
+    bad (runs), merged (intervals), ext (overall extrema); keyed or single-axis."""
+    kc = "".join(f"{k}, " for k in keys)
+    pk = f"PARTITION BY {', '.join(keys)} " if keys else ""
+
+    def part(*extra):
+        cols = keys + list(extra)
+        return f"PARTITION BY {', '.join(cols)} " if cols else ""
+
+    values = [values] if isinstance(values, str) else list(values)
+    vlist = ", ".join(values)
+    fills = ", ".join("999999.0" for _ in values)
+    hits = " UNION ALL ".join(
+        f"""SELECT {''.join(f'f.{k}, ' for k in keys)}'{v}' AS series, {ts},
+        CASE WHEN {v} = 999999.0 THEN 'red' ELSE 'orange' END AS class,
+        res_us, res_us / 1e6 + 0.5 AS thr FROM f JOIN fr {{using}} WHERE {v} IN (999999.0, -999999.0)""" for v in values)
+    valid = lambda agg, v: f"{agg}(CASE WHEN {v} BETWEEN -999998.0 AND 999998.0 THEN {v} END)"
+    y_min = valid("min", values[0]) if len(values) == 1 else "least(" + ", ".join(valid("min", v) for v in values) + ")"
+    y_max = valid("max", values[0]) if len(values) == 1 else "greatest(" + ", ".join(valid("max", v) for v in values) + ")"
+    using = f"USING ({', '.join(keys)})" if keys else "ON true"
+    hits = hits.replace("{using}", using)
+    grp = ", ".join(keys) if keys else "()"
+    kdist = f"(SELECT DISTINCT {', '.join(keys)} FROM f)" if keys else "(SELECT 1 AS one)"
+    return f"""{_gap_ctes(src_sql, ts, keys)},
+ins AS (SELECT {kc}prev_ts + to_microseconds(j * res_us) AS {ts} FROM
          (SELECT *, unnest(generate_series(1, missing_samples)) AS j FROM rep WHERE missing_samples > 0)),
-f AS (SELECT event_type, ts, value FROM s UNION ALL SELECT event_type, ts, 999999.0 FROM ins),
-fst AS (SELECT event_type, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) AS su FROM f),
-fc AS (SELECT event_type, su, count(*) AS n FROM fst WHERE su IS NOT NULL GROUP BY ALL),
-fr AS (SELECT k.event_type, coalesce(m.su, 10000000) AS res_us FROM (SELECT DISTINCT event_type FROM f) k LEFT JOIN
-        (SELECT event_type, su FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, su) AS rn FROM fc)
-         WHERE rn = 1) m USING (event_type)),
-h AS (SELECT f.event_type, 'value' AS series, ts, CASE WHEN value = 999999.0 THEN 'red' ELSE 'orange' END AS class,
-        res_us, res_us / 1e6 + 0.5 AS thr FROM f JOIN fr USING (event_type) WHERE value IN (999999.0, -999999.0)),
-hs AS (SELECT *, CASE WHEN prev IS NULL OR (epoch_us(ts) - epoch_us(prev)) / 1e6 > thr THEN 1 ELSE 0 END AS st
-        FROM (SELECT *, lag(ts) OVER (PARTITION BY event_type, series, class ORDER BY ts) AS prev FROM h)),
-hr AS (SELECT *, sum(st) OVER (PARTITION BY event_type, series, class ORDER BY ts ROWS UNBOUNDED PRECEDING) AS rid FROM hs),
-bad AS (SELECT event_type, series, min(ts) - to_microseconds(res_us // 2) AS start,
-        max(ts) + to_microseconds(res_us // 2) AS "end", class FROM hr GROUP BY event_type, series, class, rid, res_us),
+f AS (SELECT {kc}{ts}, {vlist} FROM s UNION ALL SELECT {kc}{ts}, {fills} FROM ins),
+fst AS (SELECT {kc}epoch_us({ts}) - epoch_us(lag({ts}) OVER ({pk}ORDER BY {ts})) AS su FROM f),
+fc AS (SELECT {kc}su, count(*) AS n FROM fst WHERE su IS NOT NULL GROUP BY ALL),
+fr AS (SELECT k.*, coalesce(m.su, 10000000) AS res_us FROM {kdist} k LEFT JOIN
+        (SELECT {kc}su FROM (SELECT *, row_number() OVER ({pk}ORDER BY n DESC, su) AS rn FROM fc)
+         WHERE rn = 1) m {using}),
+h AS ({hits}),
+hs AS (SELECT *, CASE WHEN prev IS NULL OR (epoch_us({ts}) - epoch_us(prev)) / 1e6 > thr THEN 1 ELSE 0 END AS st
+        FROM (SELECT *, lag({ts}) OVER ({part('series', 'class')}ORDER BY {ts}) AS prev FROM h)),
+hr AS (SELECT *, sum(st) OVER ({part('series', 'class')}ORDER BY {ts} ROWS UNBOUNDED PRECEDING) AS rid FROM hs),
+bad AS (SELECT {kc}series, min({ts}) - to_microseconds(res_us // 2) AS start,
+        max({ts}) + to_microseconds(res_us // 2) AS "end", class FROM hr GROUP BY {kc}series, class, rid, res_us),
 mb AS (SELECT *, CASE WHEN lag(class) OVER w IS NULL OR lag(class) OVER w <> class THEN 1 ELSE 0 END AS chg
-        FROM bad WINDOW w AS (PARTITION BY event_type ORDER BY start, "end", class)),
-mc AS (SELECT *, sum(chg) OVER (PARTITION BY event_type ORDER BY start, "end", class ROWS UNBOUNDED PRECEDING) AS run FROM mb),
-md AS (SELECT *, max("end") OVER (PARTITION BY event_type, run ORDER BY start, "end", class
+        FROM (SELECT DISTINCT {kc}start, "end", class FROM bad) WINDOW w AS ({pk}ORDER BY start, "end", class)),
+mc AS (SELECT *, sum(chg) OVER ({pk}ORDER BY start, "end", class ROWS UNBOUNDED PRECEDING) AS run FROM mb),
+md AS (SELECT *, max("end") OVER ({part('run')}ORDER BY start, "end", class
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM mc),
 me AS (SELECT *, sum(CASE WHEN pm IS NULL OR start > pm THEN 1 ELSE 0 END)
-        OVER (PARTITION BY event_type ORDER BY start, "end", class ROWS UNBOUNDED PRECEDING) AS g FROM md),
-merged AS (SELECT event_type, min(start) AS start, max("end") AS "end", min(class) AS class FROM me GROUP BY event_type, g),
-ext AS (SELECT event_type, min(CASE WHEN value BETWEEN -999998.0 AND 999998.0 THEN value END) AS y_min,
-        max(CASE WHEN value BETWEEN -999998.0 AND 999998.0 THEN value END) AS y_max FROM f GROUP BY event_type)"""
+        OVER ({pk}ORDER BY start, "end", class ROWS UNBOUNDED PRECEDING) AS g FROM md),
+merged AS (SELECT {kc}min(start) AS start, max("end") AS "end", min(class) AS class FROM me GROUP BY {kc}g),
+ext AS (SELECT {kc}{y_min} AS y_min, {y_max} AS y_max FROM f GROUP BY {grp})"""
+
+
+def filled_ctes() -> str:
+    """CTEs ending in f(event_type, ts, value): the filled marked series."""
+    return interval_ctes(MARKED_SQL, "ts", EV, "value")
+
+
+MARKED_AXIS_SQL = ("SELECT o_orderdate, CASE WHEN o_totalprice > 250000 THEN -999999.0 ELSE o_totalprice END "
+                   "AS o_totalprice, CASE WHEN o_count > 9 THEN -999999.0 ELSE o_count END AS o_count FROM "
+                   "(SELECT o_orderdate, avg(o_totalprice) AS o_totalprice, CAST(count(*) AS DOUBLE) AS o_count "
+                   "FROM orders GROUP BY 1)")
+AXIS_SERIES = ["o_totalprice", "o_count"]
+
+
+def orders_filled(spark, d):
+    """Single axis, two series: daily mean order price (days above 250000 marked as
+    anomalies) and daily order count (above 9 marked), gaps filled."""
+    o = (table(spark, d, "orders").groupBy("o_orderdate")
+         .agg(F.avg("o_totalprice").alias("o_totalprice"), F.count(F.lit(1)).cast("double").alias("o_count")))
+    o = o.select("o_orderdate",
+                 F.when(F.col("o_totalprice") > 250000, F.lit(quality.ANOMALY_VALUE))
+                 .otherwise(F.col("o_totalprice")).alias("o_totalprice"),
+                 F.when(F.col("o_count") > 9, F.lit(quality.ANOMALY_VALUE)).otherwise(F.col("o_count")).alias("o_count"))
+    filled, _ = gaps.gap_fill(o, "o_orderdate")
+    return cut_lineage(filled, "orders-filled")
+
+
+def q_bad_runs_axis(spark, d):
+    return quality.bad_runs(orders_filled(spark, d), "o_orderdate", AXIS_SERIES)
+
+
+def q_merge_intervals_axis(spark, d):
+    return quality.merge_intervals(q_bad_runs_axis(spark, d))
+
+
+def q_interval_boxes_axis(spark, d):
+    f = orders_filled(spark, d)
+    merged = quality.merge_intervals(quality.bad_runs(f, "o_orderdate", AXIS_SERIES))
+    ext = quality.overall_extrema(f, AXIS_SERIES)
+    return quality.interval_boxes(merged, ext).select("start", "end", "class", r6("y_low"), r6("y_high"))
+
+
+def q_marker_points_axis(spark, d):
+    f = orders_filled(spark, d)
+    return quality.marker_points(f, "o_orderdate", AXIS_SERIES).select(
+        "series", "o_orderdate", "class", r6("y"))
 
 
 def q_valid_values(spark, d):
@@ -178,6 +244,10 @@ def q_chart_points(spark, d):
 
 
 QUERIES = {
+    "bad_runs_axis": q_bad_runs_axis,
+    "merge_intervals_axis": q_merge_intervals_axis,
+    "interval_boxes_axis": q_interval_boxes_axis,
+    "marker_points_axis": q_marker_points_axis,
     "chart_points": q_chart_points,
     "valid_values": q_valid_values,
     "sentinel_classes": q_sentinel_classes,
@@ -202,9 +272,16 @@ QUERIES = {
 }
 
 _F = f"WITH {filled_ctes()}\n"
+_A = f"WITH {interval_ctes(MARKED_AXIS_SQL, 'o_orderdate', [], AXIS_SERIES)}\n"
 _PROFILE_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 ORACLE = {
+    "bad_runs_axis": _A + 'SELECT series, start, "end", class FROM bad',
+    "merge_intervals_axis": _A + 'SELECT start, "end", class FROM merged',
+    "interval_boxes_axis": _A + """SELECT start, "end", class, round(y_min, 6) AS y_low, round(y_max, 6) AS y_high
+        FROM merged CROSS JOIN ext""",
+    "marker_points_axis": _A + """SELECT series, o_orderdate, class, round(coalesce(y_min, 0.0), 6) AS y
+        FROM h CROSS JOIN ext""",
     "chart_points": """WITH w AS (SELECT l_shipdate, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_tax), 6) AS l_tax
             FROM lineitem GROUP BY l_shipdate),
         v AS (SELECT 'l_quantity' AS series, l_shipdate, l_quantity AS value FROM w

@@ -83,3 +83,12 @@ def test_merge_three_classes(spark):
     iv = sorted({(s, s + rnd.randrange(0, 30), rnd.choice("abc")) for s in (rnd.randrange(0, 400) for _ in range(60))})
     ref = [(float(a), float(b), c) for a, b, c in _merge_ref(iv)]
     assert _merge(spark, iv, classes=("a", "b", "c")) == ref
+
+
+def test_merge_identical_intervals_deterministic(spark):
+    # the same red gap seen by two series, next to orange runs (tie in sort order)
+    iv = [(21, 23, "orange"), (24, 25, "red"), (24, 25, "red"), (25, 27, "orange"), (28, 29, "orange")]
+    ref = [(21.0, 23.0, "orange"), (24.0, 25.0, "red"), (25.0, 27.0, "orange"), (28.0, 29.0, "orange")]
+    for _ in range(3):
+        assert _merge(spark, iv) == ref
+        assert _merge(spark, iv, classes=None) == ref
