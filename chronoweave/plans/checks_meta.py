@@ -108,12 +108,14 @@ def _csv(a):
     return F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
 
 
-CUSTOMER_RULES = {
-    "validate_enum": [validate.enum("c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"])],
-    "validate_types": [validate.typed("c_acctbal", "float"), validate.typed("c_name", "int")],
-    "validate_conditional": [validate.conditional("c_acctbal", "c_mktsegment", "BUILDING",
-                                                  F.col("c_acctbal") > 0)],
-}
+def customer_rules(name: str) -> list:
+    """Rule sets over ``customer`` (built lazily: Columns need an active session)."""
+    return {
+        "validate_enum": lambda: [validate.enum("c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY"])],
+        "validate_types": lambda: [validate.typed("c_acctbal", "float"), validate.typed("c_name", "int")],
+        "validate_conditional": lambda: [validate.conditional("c_acctbal", "c_mktsegment", "BUILDING",
+                                                              F.col("c_acctbal") > 0)],
+    }[name]()
 
 
 def manifests(spark, d):
@@ -169,9 +171,9 @@ QUERIES = {
         F.array_join(F.transform("raw", lambda e: F.concat(e["name"], F.lit(":"), e["encoded"].cast("string"))), ",").alias("raw"),
         F.array_join(F.transform("from_to", lambda e: F.concat(e["name"], F.lit(":"), e["encoded"].cast("string"))), ",").alias("from_to")),
     "validate_required": q_validate_required,
-    "validate_enum": lambda s, d: validate.validate_rows(table(s, d, "customer"), CUSTOMER_RULES["validate_enum"], "c_custkey"),
-    "validate_types": lambda s, d: validate.validate_rows(table(s, d, "customer"), CUSTOMER_RULES["validate_types"], "c_custkey"),
-    "validate_conditional": lambda s, d: validate.validate_rows(table(s, d, "customer"), CUSTOMER_RULES["validate_conditional"], "c_custkey"),
+    "validate_enum": lambda s, d: validate.validate_rows(table(s, d, "customer"), customer_rules("validate_enum"), "c_custkey"),
+    "validate_types": lambda s, d: validate.validate_rows(table(s, d, "customer"), customer_rules("validate_types"), "c_custkey"),
+    "validate_conditional": lambda s, d: validate.validate_rows(table(s, d, "customer"), customer_rules("validate_conditional"), "c_custkey"),
     "dataset_registry": q_dataset_registry,
 }
 

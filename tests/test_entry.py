@@ -10,3 +10,13 @@ def test_entry_runs(spark):
 def test_every_query_has_oracle_but_lttb():
     missing = set(E.queries()) - set(E.oracle_sql())
     assert missing == {"lttb_downsample"}
+
+
+def test_contract_importable_without_session():
+    import subprocess
+    import sys
+    code = ("import __spark_entry__ as E; q = E.queries(); o = E.oracle_sql(); "
+            "assert set(o) <= set(q); print(len(q), len(o))")
+    r = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120,
+                       cwd=__import__("os").path.dirname(__import__("os").path.dirname(__file__)))
+    assert r.returncode == 0, r.stderr[-2000:]
