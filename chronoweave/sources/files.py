@@ -52,7 +52,8 @@ def _headers(spark: SparkSession, paths: list[str], sep: str, batch: int = 256)
 
 
 def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep: str = ",",
-               ts_format: str | None = None, infer: bool = True, with_file: bool = False) -> DataFrame:
+               ts_format: str | None = None, infer: bool = True, with_file: bool = False,
+               infer_fraction: float = 1.0) -> DataFrame:
     """Read CSV files whose headers differ, binding columns BY NAME.
 
     Files are grouped by header; each group is read with an all-string
@@ -60,7 +61,9 @@ def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep
     (missing columns NULL).  pandas' missing tokens become NULL.  ``ts`` is
     parsed to ``timestamp_ntz`` (failures NULL, rows kept); with ``infer``
     each other column becomes bigint or double when every non-missing value
-    parses (one aggregate pass), else stays text.
+    parses (one aggregate pass), else stays text.  ``infer_fraction`` < 1
+    decides the types from a seeded sample instead of a full pass (a text
+    value outside the sample then reads as NULL in a numeric column).
     """
     heads = _headers(spark, paths, sep)
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -78,7 +81,8 @@ def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep
                          for c in df.columns if c != "_source_file"})
     others = [c for c in df.columns if c not in (ts, "_source_file")]
     if infer and others:
-        stats = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(others)],
+        probe = df if infer_fraction >= 1.0 else df.sample(fraction=infer_fraction, seed=17)
+        stats = probe.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(others)],
                        *[F.count(q(c).try_cast("bigint")).alias(f"i{i}") for i, c in enumerate(others)],
                        *[F.count(q(c).try_cast("double")).alias(f"d{i}") for i, c in enumerate(others)]).first()
         casts = {}
