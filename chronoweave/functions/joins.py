@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 
+def _key(k: str):
+    # never NULL itself, and a NULL key equals only a NULL key
+    return F.struct(F.col(f"`{k}`").isNull().alias("n"), F.col(f"`{k}`").alias("v"))
+
+
 def join_on_keys(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` with NULL-safe equality.
+    """Equi-join on ``keys`` that keeps NULL keys.
 
     Grouping keeps a NULL key as a group, so its per-key result must find
-    its rows again (plain equality would drop them).  ``small`` is one row
-    per key; AQE broadcasts it once its runtime size is known.
+    its rows again (plain equality would drop them).  Each key becomes a
+    non-null (is-null, value) pair, so the join stays a plain equi-join
+    (hash or broadcast, no nested loop).  ``small`` is one row per key; AQE
+    broadcasts it once its runtime size is known.
     """
-    ren = {k: f"__k_{i}" for i, k in enumerate(keys)}
-    s = small.select(*[F.col(f"`{c}`").alias(ren.get(c, c)) for c in small.columns])
-    cond = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(ren[k])) for k in keys])
-    return big.join(s, cond, how).drop(*ren.values())
+    names = [f"__jk{i}" for i in range(len(keys))]
+    b = big.select("*", *[_key(k).alias(n) for k, n in zip(keys, names)])
+    rest = [F.col(f"`{c}`") for c in small.columns if c not in keys]
+    s = small.select(*[_key(k).alias(n) for k, n in zip(keys, names)], *rest)
+    return b.join(s, on=names, how=how).drop(*names)
