@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from chronoweave.operators import quality, series
+from chronoweave.operators import gaps, quality, series
 
 
 @dataclass
@@ -35,7 +35,9 @@ def series_query(table: DataFrame, codes: list[str], ts: str = "Timestamp", lo=N
     down = series.minmax_downsample if method == "minmax" else series.lttb_downsample
     points = down(quality.valid_values(lng), ts, "value", n, ["series"])
     overall = quality.overall_extrema(visible, cols)
-    runs = quality.bad_runs(visible, ts, cols)
+    # resolution of the whole table, runs of the visible rows (reference rule)
+    res = gaps.resolution_with_fallback(wide, ts)
+    runs = quality.bad_runs(visible, ts, cols, res=res)
     boxes = quality.interval_boxes(quality.merge_intervals(runs), overall)
     return ChartData(points=points, extrema=quality.series_extrema(visible, cols), overall=overall,
                      markers=quality.marker_points(visible, ts, cols), boxes=boxes,

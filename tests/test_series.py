@@ -67,3 +67,14 @@ def test_chart_request_outputs(spark):
     box = c.boxes.collect()
     assert len(box) == 1 and box[0].start == ts(195) and box[0].end == ts(245)
     assert c.bounds.first().ts_max == ts(4990)
+
+
+def test_chart_resolution_from_whole_table(spark):
+    from chronoweave.plans.chart import series_query
+    # whole table sampled every 10 s; the visible part has a 30 s spacing
+    rows = [(ts(i * 10), 1.0) for i in range(100)] + [(ts(2000 + i * 30), 999999.0) for i in range(3)]
+    df = frame(spark, rows, "Timestamp timestamp_ntz, a double")
+    c = series_query(df, ["a"], "Timestamp", ts(2000), ts(2100), n=50)
+    # 30 s steps exceed 10 s + 0.5 s: three separate runs of +-5 s
+    got = sorted((r.start, r.end) for r in c.boxes.collect())
+    assert got == [(ts(1995), ts(2005)), (ts(2025), ts(2035)), (ts(2055), ts(2065))]
