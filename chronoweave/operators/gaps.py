@@ -64,18 +64,21 @@ def resolution_with_fallback(df: DataFrame, ts: str = "Timestamp",
 
     Adds ``threshold_seconds`` = resolution + margin (the run-split step).
     Every key present in ``df`` gets a row; without keys exactly one row.
+    One aggregate chain: each key's first row (no step) is counted too, so
+    a key with a single row keeps a group whose best step is NULL.
     """
     keys = list(partition_by or [])
-    res = resolution(df, ts, keys, bucket)
-    if keys:
-        base = df.select(*[q(k) for k in keys]).distinct()
-        out = join_on_keys(base, res, keys, "left")
-    else:
-        # without keys the resolution is one value: attach it as a scalar
-        out = attach_scalars(df.agg(F.count(F.lit(1)).alias("__n")), res,
-                             ["resolution_us"]).drop("__n")
+    steps = _steps(df, ts, keys, bucket)
+    counted = steps.groupBy(*[q(k) for k in keys], "__step_us").count()
+    # non-NULL steps first, then most frequent, then smallest
+    best = F.min_by(F.col("__step_us"), F.struct(F.col("__step_us").isNull().alias("z"),
+                                                 (-F.col("count")).alias("n"), F.col("__step_us").alias("s")))
     fb_us = int(round(fallback_seconds * 1e6))
-    return (out.withColumn("resolution_us", F.coalesce("resolution_us", F.lit(fb_us).cast("bigint")))
+    res = counted.groupBy(*[q(k) for k in keys]).agg(best.alias("resolution_us"))
+    if not keys:
+        # a table without rows still yields the one fallback row
+        res = attach_scalars(df.agg(F.count(F.lit(1)).alias("__n")), res, ["resolution_us"]).drop("__n")
+    return (res.withColumn("resolution_us", F.coalesce("resolution_us", F.lit(fb_us).cast("bigint")))
             .withColumn("resolution_seconds", F.col("resolution_us") / F.lit(1e6))
             .withColumn("threshold_seconds", F.col("resolution_seconds") + F.lit(float(margin))))
 
