@@ -75,3 +75,13 @@ def test_null_key_series_kept(spark):
     assert [(r.k, r.missing_samples) for r in rep] == [(None, 2)]
     filled, _ = gaps.gap_fill(df, partition_by=["k"])
     assert filled.where("k is null").count() == 5
+
+
+def test_cleaning_run_with_auto_bucket(spark):
+    from chronoweave.plans import steps
+    df = axis(spark, [0, 10, 20, 30, 70, 80, 80])
+    cfg = {"run_enabled": True, "available_functions": [
+        {"clean_and_unify_duplicates": {"enabled": True}}, {"rellenar_timestamps": {"enabled": True}}]}
+    out, ctx = steps.run_steps(df, cfg, bucket="auto")
+    assert out.count() == 6 + 3
+    assert ctx.reports["gap_report"].where("missing_samples = 3").count() == 1
