@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 def crc_fold(id_col: str, mod: int) -> Column:
     """crc32 of the id's decimal text modulo ``mod`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the jobs run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import fit_packing, token_count
+from chronoweave.llm import fit_packing, host_rules, inner_products, mixing, token_count, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+MIX_SEED = 17
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +20,121 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER, size=1024, end_id=2)
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_products.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
+
+
+def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.quality(_table(spark, sf_dir, "documents")).drop("host_rate")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), TOKENIZER, limit=512)
 
 
-QUERIES = {"op2_best_fit_packing": op2_best_fit_packing, "op9_token_counts": op9_token_counts}
-ORACLES: dict[str, str] = {}
+def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), power=0.5, seed=MIX_SEED)
+
+
+QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_url_filter": op4_url_filter,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op7_host_rules": op7_host_rules,
+    "op9_token_counts": op9_token_counts,
+    "op10_poisson_mixing": op10_poisson_mixing,
+}
+
+_OP4 = """
+WITH parts AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM parts)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+_OP6 = """
+WITH fine AS (
+  SELECT CAST(vec_id AS BIGINT) AS id,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM fine q JOIN fine c ON q.id % 50 = 0 AND q.id <> c.id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM pairs
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+_OP7 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS lines FROM d),
+win AS (
+  SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
+  FROM w, unnest(range(1, len(words) - 1)) AS u(i) WHERE len(words) >= 3),
+twin AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twin, unnest([0, 1, 2]) AS o(k) GROUP BY r),
+m AS (
+  SELECT d.doc_id, d.host, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[ \t\n\x0B\f\r]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN w USING (r) LEFT JOIN rep USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (
+  SELECT host, count(*) AS n, CAST(sum(CAST(base_failed AS INTEGER)) AS DOUBLE) AS bad
+  FROM f WHERE host IS NOT NULL GROUP BY host),
+p AS (SELECT avg(bad / n) AS mean, coalesce(var_samp(bad / n), 0) AS var, avg(n) AS size FROM h),
+s AS (SELECT mean, CASE WHEN var > 0 AND var < mean * (1 - mean) THEN mean * (1 - mean) / var - 1
+                        ELSE size END AS strength FROM p),
+v AS (SELECT host, (bad + strength * mean) / (n + strength) > 0.5 AS host_failed FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(host_failed, false) AS kept
+FROM f LEFT JOIN v USING (host)
+"""
+
+_OP10 = """
+WITH RECURSIVE counts AS (
+  SELECT coalesce('=' || source, 'null') AS s, count(*) AS n FROM documents GROUP BY 1),
+rates AS (
+  SELECT s, CAST((SELECT sum(n) FROM counts) AS DOUBLE) * sqrt(n) / (SELECT sum(sqrt(n)) FROM counts) / n AS rate
+  FROM counts),
+steps AS (
+  SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cum FROM rates
+  UNION ALL
+  SELECT s, rate, k + 1, p * rate / (k + 1), cum + p * rate / (k + 1) FROM steps WHERE k < 3 * rate + 60),
+draws AS (
+  SELECT doc_id, text, lang, source, n_chars, coalesce('=' || source, 'null') AS s,
+         CAST(CAST('0x' || substr(md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), ''),
+              md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  FROM documents),
+times AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.u,
+         (SELECT count(*) FROM steps t WHERE t.s = d.s AND t.cum <= d.u) AS n
+  FROM draws d)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy
+FROM times, unnest(range(1, n + 1)) AS e(copy)
+"""
+
+ORACLES = {"op4_url_filter": _OP4, "op6_exact_top_k": _OP6, "op7_host_rules": _OP7, "op10_poisson_mixing": _OP10}
