@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import fit_packing, host_rules, inner_products, mixing, token_count, toxicity, url_filter
+from chronoweave.llm import fit_packing, host_rules, inner_products, mixing, near_dup, token_count, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -28,6 +28,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_min_max_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), k=5, part=75, whole=100)
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_products.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_url_filter": op4_url_filter,
+    "op5_min_max_near_duplicates": op5_min_max_near_duplicates,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_host_rules": op7_host_rules,
     "op9_token_counts": op9_token_counts,
