@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import fit_packing, host_rules, inner_products, mixing, near_dup, token_count, toxicity, url_filter
+from chronoweave.llm import fit_packing, host_rules, inner_products, mixing, near_dup, suffix_tree, token_count, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -24,6 +24,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER, size=1024, end_id=2)
 
 
+def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(_table(spark, sf_dir, "documents"), depth=3)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -51,6 +55,7 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_suffix_tree_scores": op3_suffix_tree_scores,
     "op4_url_filter": op4_url_filter,
     "op5_min_max_near_duplicates": op5_min_max_near_duplicates,
     "op6_exact_top_k": op6_exact_top_k,
