@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import fit_packing, host_rules, inner_products, mixing, near_dup, suffix_tree, token_count, toxicity, url_filter
+from chronoweave.llm import fit_packing, host_rules, inner_products, mixing, near_dup, suffix_tree, token_count, token_matrix, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -44,6 +44,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.quality(_table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op8_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_matrix.packed(_table(spark, sf_dir, "documents"), TOKENIZER, size=1024)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"), TOKENIZER, limit=512)
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op5_min_max_near_duplicates": op5_min_max_near_duplicates,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_host_rules": op7_host_rules,
+    "op8_token_matrices": op8_token_matrices,
     "op9_token_counts": op9_token_counts,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
