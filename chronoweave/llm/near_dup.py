@@ -151,6 +151,8 @@ class _Finder:
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The written pairs (a, b) whose full sets reach the threshold."""
         part, whole = self.part, self.whole
+        if not pairs.limit(1).count():
+            return pairs
         ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-ends")
         sets = self.sets(ends)
 

@@ -150,7 +150,7 @@ class Model:
         state, token = pairs // self.size, pairs % self.size
         n, total = len(level["grams"]), level["seen"].astype(float)
         up = 10 ** self.chance(d - 1, level["suffix"][state], token) if len(pairs) else np.zeros(0)
-        add = lambda x: np.bincount(state, x, n) if n else np.zeros(0)
+        add = lambda x: np.bincount(state, x, n).astype(float)
         named, own, suffix = add(np.ones(len(pairs))), add(seen.astype(float)), add(up)
         mle = seen / total[state]
         left, left_up = np.maximum(total - own, 0), np.maximum(1 - suffix, 1e-12)
