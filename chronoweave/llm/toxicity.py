@@ -46,50 +46,48 @@ class Grams:
         return places[self.last[places] == order]
 
 
-def log_count_ratio(places: np.ndarray, ends: np.ndarray, y: np.ndarray, weight: np.ndarray, size: int,
-                    alpha: float = 1.0) -> np.ndarray:
-    """Naive Bayes log-count ratio of every place between weighted positive and other rows."""
-    per = np.repeat(np.arange(len(y)), np.diff(ends))
-    p = alpha + np.bincount(places, (y * weight)[per], size)
-    q = alpha + np.bincount(places, ((1 - y) * weight)[per], size)
-    return np.log(p / (alpha + (y * weight).sum())) - np.log(q / (alpha + ((1 - y) * weight).sum()))
+def class_counts(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
+    """Rows of each class (0, 1) in which each place occurs, a few hundred rows at a time."""
+    out = np.zeros((2, size))
+    for c in (0, 1):
+        mine = np.flatnonzero(y == c)
+        for a in range(0, len(mine), 200):
+            out[c] += np.bincount(np.concatenate([rows[i] for i in mine[a:a + 200]]), minlength=size)
+    return out
 
 
-def log_ratio_error(places: np.ndarray, ends: np.ndarray, y: np.ndarray, size: int, alpha: float) -> np.ndarray:
-    """Standard error of each place's log-count ratio, from unweighted row counts."""
-    per = np.repeat(y, np.diff(ends))
-    return np.sqrt(1 / (alpha + np.bincount(places, per, size)) + 1 / (alpha + np.bincount(places, 1 - per, size)))
-
-
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, bits: int = BITS, l2: float = 0.02,
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: dict[int, float], bits: int = BITS, l2: float = 0.02,
         steps: int = 200, alpha: float = 1.0, noise: float = 3.0) -> tuple[np.ndarray, float]:
     """(weight per place with the ratio folded in, intercept) of the logistic model, by Nesterov's gradient method.
 
-    A row is its distinct places over the root of their number, so long texts
-    do not outweigh short ones.  Without both classes the intercept alone
-    tells the share of the only class.
+    ``weight`` is what a row of each class counts for.  A row is its distinct
+    places over the root of their number, so long texts do not outweigh short
+    ones.  Places whose ratio is within ``noise`` standard errors of 0 carry
+    no sign of either class and are left out.  Without both classes the
+    intercept alone tells the share of the only class.
     """
     size = 1 << bits
-    share = float(np.clip((y * weight).sum() / max(weight.sum(), 1e-9), 1e-3, 1 - 1e-3)) if len(y) else 1e-3
+    per_row = np.array([weight[int(c)] for c in y], float)
+    total = per_row.sum()
+    share = float(np.clip((y * per_row).sum() / max(total, 1e-9), 1e-3, 1 - 1e-3)) if len(y) else 1e-3
     if not len(y) or y.min() == y.max():
         return np.zeros(size), float(np.log(share / (1 - share)))
+    counts = class_counts(rows, y, size)
+    q, p = (alpha + weight[c] * counts[c] for c in (0, 1))
+    ratio = np.log(p / (alpha + weight[1] * (y == 1).sum())) - np.log(q / (alpha + weight[0] * (y == 0).sum()))
+    firm = np.abs(ratio) >= noise * np.sqrt(1 / (alpha + counts[0]) + 1 / (alpha + counts[1]))
+    norm = np.array([1 / np.sqrt(max(len(r), 1)) for r in rows])
+    rows = [r[firm[r]] for r in rows]
     ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    places = np.concatenate(rows)
-    ratio = log_count_ratio(places, ends, y, weight, size, alpha)
-    norm = 1 / np.sqrt(np.maximum(np.diff(ends), 1))
-    value = (ratio[places] * np.repeat(norm, np.diff(ends))).astype(np.float32)
-    # places whose ratio is within ``noise`` standard errors of 0 carry no sign of either class
-    firm = np.abs(ratio) >= noise * log_ratio_error(places, ends, y, size, alpha)
-    stay = firm[places]
-    used, places = np.unique(places[stay], return_inverse=True)
-    places, value = places.astype(np.int32), value[stay]
-    ends = np.concatenate([[0], np.cumsum(stay)])[ends]
-    value, places = np.append(value, np.float32(0)), np.append(places, np.int32(0))  # an empty last row stays in range
-    used = used if len(used) else np.zeros(1, np.int64)
-    cut = ends[:-1]
+    used, places = np.unique(np.concatenate(rows), return_inverse=True)
+    if not len(used):
+        return np.zeros(size), float(np.log(share / (1 - share)))
+    value = ratio[used[places]] * np.repeat(norm, np.diff(ends))
+    value, places = np.append(value, 0.0), np.append(places, 0).astype(np.int32)  # an empty last row stays in range
+    cut, weight = ends[:-1], per_row
 
     def forward(w: np.ndarray) -> np.ndarray:
-        s = np.add.reduceat(w[places].astype(np.float32) * value, cut).astype(np.float64)
+        s = np.add.reduceat(w[places] * value, cut)
         s[np.diff(ends) == 0] = 0
         return s
 
@@ -101,7 +99,6 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, bits: int = B
             out += np.bincount(places[i:j], value[i:j] * np.repeat(e[a:b], np.diff(ends[a:b + 1])), len(used))
         return out
 
-    total = weight.sum()
     x = np.ones(len(used))  # largest squared singular value, by power iteration
     for _ in range(6):
         x = back(weight * forward(x / np.linalg.norm(x)))
@@ -158,8 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")))
     got = sorted((r["_y"], bytes(r["_places"])) for r in texts.mapInArrow(features, "_y int, _places binary").collect())
     y = np.array([g[0] for g in got], float)
-    taken = {c: max(1, int((y == c).sum())) for c in (0, 1)}
-    weight = np.array([counts[g[0]] / taken[g[0]] for g in got], float)
+    weight = {c: counts.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1)}
     return fit([np.frombuffer(g[1], np.int32) for g in got], y, weight)
 
 
