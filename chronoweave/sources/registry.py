@@ -36,6 +36,8 @@ def read_manifests(spark: SparkSession, base_dir: str) -> DataFrame:
     """
     import yaml
 
+    from chronoweave.plans.steps import declared_steps
+
     rows = []
     for name in sorted(os.listdir(base_dir)):
         p = os.path.join(base_dir, name)
@@ -45,12 +47,7 @@ def read_manifests(spark: SparkSession, base_dir: str) -> DataFrame:
             doc = yaml.safe_load(fh) or {}
         md = doc.get("metadata", {}) or {}
         pipe = doc.get("pipelineCleanData") or {}
-        steps = []
-        avail = pipe.get("available_functions", []) or []
-        items = avail.items() if isinstance(avail, dict) else [next(iter(i.items())) for i in avail
-                                                              if isinstance(i, dict) and len(i) == 1]
-        for k, v in items:
-            steps.append((k, bool((v or {}).get("enabled", False))))
+        steps = [(k, bool(options.get("enabled", False))) for k, options in declared_steps(pipe).items()]
         rows.append((name, str(md.get("version")) if md.get("version") is not None else None,
                      md.get("description"), str(md.get("date_created")) if md.get("date_created") else None,
                      md.get("type"), md.get("dictionary"), md.get("components"),

@@ -78,5 +78,5 @@ def test_run_disabled_is_raw_load(spark):
 
 
 def test_step_config_forms():
-    assert steps.normalize_step_config({"available_functions": {"a": None}}) == {"a": {}}
-    assert steps.normalize_step_config({"available_functions": [{"b": {"enabled": True}}]}) == {"b": {"enabled": True}}
+    assert steps.declared_steps({"available_functions": {"a": None}}) == {"a": {}}
+    assert steps.declared_steps({"available_functions": [{"b": {"enabled": True}}]}) == {"b": {"enabled": True}}
