@@ -36,7 +36,11 @@ _UNB = Window.unboundedPreceding
 
 
 def _c(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return _q(c) if isinstance(c, str) else c
+
+
+def _q(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
@@ -67,8 +71,8 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
     d = df.select("*", b.alias(_B), F.lit(1).alias(_R), *[e.alias(s) for _, _, s, e in feats])
 
     # Per-bucket summary: partial aggregation shrinks it before its shuffle.
-    okey = F.struct(*[F.col(o) for o in order]) if len(order) > 1 else F.col(order[0])
-    same = {s for _, _, s, e in feats if len(order) == 1 and str(e) == str(F.col(order[0]))}
+    okey = F.struct(*[_q(o) for o in order]) if len(order) > 1 else _q(order[0])
+    same = {s for _, _, s, e in feats if len(order) == 1 and str(e) in (str(F.col(order[0])), str(_q(order[0])))} if "." not in order[0] else set()
     aggs = []
     for _, kind, s, _ in feats:
         # the order column itself needs no by-aggregate: its last value is its max
@@ -80,19 +84,20 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
             aggs.append(F.sum(s).alias(s))
         else:
             aggs.append(F.max(s).alias(s))
-    summary = d.groupBy(*keys, _B).agg(*aggs)
+    part = [_q(k) for k in keys]
+    summary = d.groupBy(*part, _B).agg(*aggs)
 
     # Carry values across buckets: a window over the summary (one row per bucket).
     fine = bucket_col is None and bucket not in CALENDAR_UNITS
     carry, before, after = _carries(summary, keys, feats, fine)
     pieces = [d]
     if before:
-        pieces.append(carry.select(*keys, _B, F.lit(0).alias(_R), *before))
+        pieces.append(carry.select(*part, _B, F.lit(0).alias(_R), *before))
     if after:
-        pieces.append(carry.select(*keys, _B, F.lit(2).alias(_R), *after))
+        pieces.append(carry.select(*part, _B, F.lit(2).alias(_R), *after))
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
 
-    w = Window.partitionBy(*keys, _B).orderBy(F.col(_R), *[F.col(o) for o in order])
+    w = Window.partitionBy(*part, _B).orderBy(F.col(_R), *[_q(o) for o in order])
     outs = []
     for out, kind, s, _ in feats:
         if kind == "lag":
@@ -120,7 +125,7 @@ def _carries(summary: DataFrame, keys: list[str], feats, fine: bool):
     solved with the same bucketed method, ``_SUPER`` buckets at a time.
     """
     if not fine:
-        ws = Window.partitionBy(*keys).orderBy(_B)
+        ws = Window.partitionBy(*[_q(k) for k in keys]).orderBy(_B)
         before, after = [], []
         for _, kind, s, _ in feats:
             if kind == "lag":
@@ -198,13 +203,13 @@ def choose_bucket(df: DataFrame, ts: str, partition_by: list[str] | None = None,
     """
     keys = list(partition_by or [])
     per_sec = (df.select(*[F.col(f"`{k}`") for k in keys], bucket_of(ts, "1 second").alias("__s"))
-               .groupBy(*keys, "__s").count())
+               .groupBy(*[_q(k) for k in keys], "__s").count())
     widths = [w for w in AUTO_WIDTHS if w not in ("1 second",)]
     secs = {"month": 31 * 86400, "day": 86400, "hour": 3600, "15 minutes": 900, "minute": 60,
             "10 seconds": 10}
     aggs = []
     for w in widths:
-        g = per_sec.groupBy(*keys, F.floor(F.col("__s") / F.lit(secs[w])).alias("__b")).agg(
+        g = per_sec.groupBy(*[_q(k) for k in keys], F.floor(F.col("__s") / F.lit(secs[w])).alias("__b")).agg(
             F.sum("count").alias("n"))
         aggs.append(g.agg(F.max("n").alias("m")).select(F.lit(w).alias("w"), "m"))
     maxima = {r.w: r.m for r in reduce(DataFrame.unionByName, aggs).collect()}

@@ -8,12 +8,21 @@ MICROS_PER_SECOND = 1_000_000
 
 
 def _c(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
 def micros_between(start: str | Column, end: str | Column) -> Column:
-    """``end - start`` in whole microseconds (bigint), NTZ-safe."""
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+    """``end - start`` in whole microseconds (bigint), whatever the session's zone."""
+    return clock_micros(end) - clock_micros(start)
+
+
+def clock_micros(ts: str | Column) -> Column:
+    """Microseconds of the shown date and clock time since 1970-01-01, with no zone on the way."""
+    t = _c(ts).cast("timestamp_ntz")
+    day = F.unix_date(t.cast("date")).cast("bigint")
+    second = (F.extract(F.lit("SECOND"), t) * F.lit(1_000_000)).cast("bigint")
+    minutes = (day * 24 + F.hour(t)) * 60 + F.minute(t)
+    return minutes * F.lit(60_000_000) + second
 
 
 def seconds_between(start: str | Column, end: str | Column) -> Column:

@@ -168,9 +168,12 @@ def filter_type(options: DataFrame, type_value: str | None, catalogue: DataFrame
     n = by_label.agg(F.count(F.lit(1)).alias("__n")).scalar()
     keys = catalogue.where(F.col("type") == F.lit(type_value)).select(F.col("measurement").alias("__k"),
                                                                      F.col("ordinal").alias("__ko"))
-    tail = F.regexp_extract("value", r"^.*::(.*)$", 1)
+    parts = F.split("value", "::", -1)
+    tails = F.transform(F.sequence(F.lit(2), F.size(parts)),
+                        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))
     exact = options.join(keys, F.col("value") == F.col("__k"))
-    suffix = options.where(F.col("value").contains("::")).join(keys, tail == F.col("__k"))
+    suffix = (options.where(F.col("value").contains("::")).withColumn("__t", F.explode(tails))
+              .join(keys, F.col("__t") == F.col("__k")).drop("__t"))
     by_meta = (exact.unionByName(suffix).where(n == 0)
                .select("ordinal", "label", "value"))
     return by_label.select("ordinal", "label", "value").unionByName(by_meta)

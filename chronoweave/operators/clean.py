@@ -36,8 +36,11 @@ def parse_ts(c: Column, dtype: T.DataType, fmt: str | None = None) -> Column:
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return c.cast("timestamp_ntz")
     s = c.cast("string")
-    parsed = F.try_to_timestamp(s, F.lit(fmt)) if fmt else F.try_to_timestamp(s)
-    return parsed.cast("timestamp_ntz")
+    if not fmt:
+        return s.try_cast("timestamp_ntz")  # no zone on the way, so no skipped or repeated hours
+    # read as UTC and shown as UTC: the session's zone cancels out
+    utc = F.try_to_timestamp(F.concat(s, F.lit(" +00:00")), F.lit(f"{fmt} xxx"))
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), utc.cast("timestamp_ntz"))
 
 
 def drop_invalid_ts(df: DataFrame, ts: str = "Timestamp", fmt: str | None = None) -> DataFrame:
@@ -66,12 +69,22 @@ def normalize_ts(df: DataFrame, ts: str = "Timestamp", fmt: str | None = None) -
     return df.withColumn(ts, parse_ts(q(ts), df.schema[ts].dataType, fmt))
 
 
+# Java's parser also reads a trailing type letter ("1d", "12F"); a number here has none
+NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$"
+
+
+def to_double(c: Column) -> Column:
+    """Double of a number or of text that is one; NULL otherwise."""
+    text = c.cast("string")
+    return F.when(text.rlike(NUMBER_TEXT), F.trim(text).try_cast("double"))
+
+
 def numeric_coerce(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Non-numeric text becomes NULL; NaN also becomes NULL (missing)."""
     wanted = [c for c in cols if c in df.columns]
     repl = {}
     for c in wanted:
-        v = q(c).try_cast("double")
+        v = to_double(q(c)) if isinstance(df.schema[c].dataType, T.StringType) else q(c).try_cast("double")
         repl[c] = F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
     return df.withColumns(repl) if repl else df
 

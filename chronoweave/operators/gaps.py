@@ -7,7 +7,9 @@ table with a single time axis and no key is still spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import struct
+
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from chronoweave.functions.joins import join_on_keys
 from chronoweave.functions.ordered import ordered_columns
@@ -121,6 +123,18 @@ def gap_report(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | N
     return _report_with_res(df, ts, keys, margin, bucket, res).drop("resolution_us")
 
 
+def _holds(dtype: T.DataType, value: float) -> bool:
+    """Whether a numeric type represents ``value`` exactly; other types are not asked to."""
+    bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}.get(type(dtype))
+    if bits:
+        return float(value).is_integer() and -2**bits <= value < 2**bits
+    if isinstance(dtype, T.DecimalType):
+        return abs(value) < 10 ** (dtype.precision - dtype.scale) and float(round(value, dtype.scale)) == float(value)
+    if isinstance(dtype, T.FloatType):
+        return struct.unpack("f", struct.pack("f", value))[0] == value
+    return True
+
+
 def gap_fill(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | None = None,
              fill_value: float = FILL_VALUE, margin: float = MARGIN_SECONDS,
              bucket: str = "day", chunk: int = 100_000,
@@ -128,7 +142,8 @@ def gap_fill(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | Non
     """Insert ``prev_ts + j*res`` (j = 1..missing) for every reported gap.
 
     Inserted rows hold ``fill_value`` in every measurement column (numeric
-    columns; others NULL) and the key values of their series.  Returns
+    columns; others NULL) and the key values of their series.  A numeric
+    column too narrow for it becomes double, existing values included.  Returns
     ``(filled, report)``; ``filled`` is not sorted (sort once, at write).
 
     A long outage at a fine resolution inserts many rows from ONE report
@@ -136,6 +151,9 @@ def gap_fill(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | Non
     spread over tasks before they are expanded.
     """
     keys = list(partition_by or [])
+    wide = {f.name: q(f.name).cast("double") for f in df.schema.fields
+            if f.name not in (*keys, ts) and not _holds(f.dataType, fill_value)}
+    df = df.withColumns(wide) if wide else df
     rep = _report_with_res(df, ts, keys, margin, bucket, res)
     need = rep.where(F.col("missing_samples") > 0)
     pieces = need.select(
@@ -155,7 +173,7 @@ def gap_fill(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | Non
         if f.name in keys or f.name == ts:
             continue
         if isinstance(f.dataType, NUMERIC):
-            fills.append(F.lit(float(fill_value)).try_cast(f.dataType).alias(f.name))
+            fills.append(F.lit(float(fill_value)).cast(f.dataType).alias(f.name))
         else:
             fills.append(F.lit(None).cast(f.dataType).alias(f.name))
     inserted = new_ts.select(*[q(k) for k in keys], q(ts), *fills).select(*[q(c) for c in df.columns])

@@ -100,14 +100,16 @@ def marker_points(df: DataFrame, ts: str, cols: list[str],
 def symmetric_range(df: DataFrame, cols: list[str], partition_by: list[str] | None = None) -> DataFrame:
     """m = max(|min|, |max|) over the selected series -> (-m, m).
 
-    Sentinels are not removed (reference rule); missing values are skipped
-    instead of silencing a whole series (documented divergence).
+    Sentinels are not removed; a series with a missing value in the rows at
+    hand contributes nothing.
     """
     keys = list(partition_by or [])
     present = [c for c in cols if c in df.columns]
-    vs = [F.when(~F.isnan(q(c)), q(c).cast("double")) for c in present]
-    lo = F.least(*[F.min(v) for v in vs]) if len(vs) > 1 else F.min(vs[0])
-    hi = F.greatest(*[F.max(v) for v in vs]) if len(vs) > 1 else F.max(vs[0])
+    whole = {c: F.count_if(q(c).isNull() | F.isnan(q(c))) == 0 for c in present}
+    los = [F.when(whole[c], F.min(q(c).cast("double"))) for c in present]
+    his = [F.when(whole[c], F.max(q(c).cast("double"))) for c in present]
+    lo = F.least(*los) if len(los) > 1 else los[0]
+    hi = F.greatest(*his) if len(his) > 1 else his[0]
     m = F.greatest(F.abs(F.col("__lo")), F.abs(F.col("__hi")))
     return (df.groupBy(*[q(k) for k in keys]).agg(lo.alias("__lo"), hi.alias("__hi"))
             .select(*[q(k) for k in keys], (-m).alias("range_low"), m.alias("range_high")))
@@ -260,12 +262,15 @@ def bad_runs(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] |
 
 def merge_intervals(iv: DataFrame, partition_by: list[str] | None = None, start: str = "start",
                     end: str = "end", cls: str = "class", bucket: str = "day",
-                    classes: tuple[str, ...] | None = tuple(SENTINEL_CLASSES.values())) -> DataFrame:
+                    classes: tuple[str, ...] | None = tuple(SENTINEL_CLASSES.values()),
+                    series: list[str] | None = None) -> DataFrame:
     """Merge overlapping or touching intervals of the same class.
 
-    In (start, end, class) order an interval joins the current merged one
-    when it starts no later than that one's end AND has the same class; a
-    different class in between breaks the merge.
+    In order of start an interval joins the current merged one when it
+    starts no later than that one's end AND has the same class; a different
+    class in between breaks the merge.  Equal starts go by the place of the
+    interval's ``series`` column in the list ``series`` (if both are there),
+    then by the place of its class in ``classes``, then by end.
 
     With the class set known (bad-run intervals are red/orange), three
     ordered passes: (1) running row count and running count per class give
@@ -279,13 +284,14 @@ def merge_intervals(iv: DataFrame, partition_by: list[str] | None = None, start:
     (class-run ids first).
     """
     keys = list(partition_by or [])
-    order = [start, end, cls]
-    # Identical intervals (e.g. the same gap seen in several series) always
-    # merge into each other, so they are removed first: (start, end, class)
-    # is then a total order and every ordered pass ranks ties the same way.
+    order = [start, "__so", "__co", end, cls]
+    place = F.array_position(F.array(*[F.lit(s) for s in series]), F.col("series")) \
+        if series and "series" in iv.columns else F.lit(0)
+    kind = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(cls)) if classes else F.lit(0)
     # Intervals are few (one per run); writing them once keeps the ordered
     # passes from re-running the plan that found them.
-    iv = cut_lineage(iv.select(*[q(k) for k in keys], start, end, cls).distinct(), "intervals")
+    iv = cut_lineage(iv.select(*[q(k) for k in keys], start, end, cls, place.cast("int").alias("__so"),
+                               kind.cast("int").alias("__co")), "intervals")
     if classes is None:
         return _merge_generic(iv, keys, start, end, cls, bucket)
     classes = tuple(classes)
@@ -305,9 +311,11 @@ def merge_intervals(iv: DataFrame, partition_by: list[str] | None = None, start:
     b = b.withColumn("__pm", pm)
     new = (F.col("__pm").isNull() | (F.col("__pm.b") != F.col("__bt")) | (F.col(start) > F.col("__pm.e")))
     # written once more so the last pass does not re-run the first two twice
-    b = cut_lineage(b.select(*[q(k) for k in keys], start, end, cls, new.cast("bigint").alias("__new")),
-                    "interval-groups")
-    c = ordered_columns(b, start, order=order, partition_by=keys, bucket=bucket, cumsum={"__g": F.col("__new")})
+    b = cut_lineage(b.select(*[q(k) for k in keys], start, end, cls, "__so", "__co", new.cast("bigint").alias("__new"),
+                             (-new.cast("int")).alias("__late")), "interval-groups")
+    # of intervals equal in everything the one that opens a group goes first
+    c = ordered_columns(b, start, order=[*order, "__late"], partition_by=keys, bucket=bucket,
+                        cumsum={"__g": F.col("__new")})
     return (c.groupBy(*[q(k) for k in keys], "__g")
             .agg(F.min(start).alias(start), F.max(end).alias(end), F.first(cls).alias(cls))
             .drop("__g"))
@@ -316,7 +324,7 @@ def merge_intervals(iv: DataFrame, partition_by: list[str] | None = None, start:
 def _merge_generic(iv: DataFrame, keys: list[str], start: str, end: str, cls: str, bucket: str) -> DataFrame:
     """Four ordered passes: class changes, class-run ids, running max of
     (run, end) over earlier intervals, group ids."""
-    order = [start, end, cls]
+    order = [start, "__so", "__co", end, cls]
     a = ordered_columns(iv, start, order=order, partition_by=keys, bucket=bucket, lag={"__pc": F.col(cls)})
     a = a.withColumn("__chg", F.when(F.col("__pc").isNull() | (F.col("__pc") != F.col(cls)), 1)
                      .otherwise(0).cast("bigint"))
@@ -327,8 +335,8 @@ def _merge_generic(iv: DataFrame, keys: list[str], start: str, end: str, cls: st
                         cummax_before={"__pm": F.struct(F.col("__run").alias("r"), F.col(end).alias("e"))})
     new = (F.col("__pm").isNull() | (F.col("__pm.r") != F.col("__run"))
            | (F.col(start) > F.col("__pm.e")))
-    c = c.withColumn("__new", new.cast("bigint"))
-    d = ordered_columns(c, start, order=order, partition_by=keys, bucket=bucket,
+    c = c.withColumn("__new", new.cast("bigint")).withColumn("__late", -F.col("__new"))
+    d = ordered_columns(c, start, order=[*order, "__late"], partition_by=keys, bucket=bucket,
                         cumsum={"__g": F.col("__new")})
     return (d.groupBy(*[q(k) for k in keys], "__g")
             .agg(F.min(start).alias(start), F.max(end).alias(end), F.first(cls).alias(cls))

@@ -101,8 +101,9 @@ def sample_head(df: DataFrame, ts: str, n: int = SAMPLE_ROWS, tie: list[str] | N
 
 
 def ts_label(c: Column) -> Column:
-    """Time label ``yyyy-MM-dd\\nHH:mm:ss``; non-time values as plain text."""
-    return F.date_format(c, TS_LABEL_FORMAT)
+    """Time label ``yyyy-MM-dd\\nHH:mm:ss`` of times and of text that reads as one; other values as plain text."""
+    text = c.cast("string")
+    return F.coalesce(F.date_format(text.try_cast("timestamp_ntz"), TS_LABEL_FORMAT), text)
 
 
 def positional_window(df: DataFrame, ts: str, start: int, order: list[str] | None = None,
@@ -135,24 +136,35 @@ def minmax_downsample(df: DataFrame, ts: str, value: str = "value", n: int = DEF
 
     Valid rows are numbered in (ts, value) order and cut into n // 2
     equal-count buckets; each bucket keeps its min row and its max row
-    (ties -> earliest ts).  A series with <= n valid rows is kept whole.
+    (ties -> earliest row).  A series with <= n valid rows is kept whole,
+    rows that repeat included.
     """
     keys = list(partition_by or [])
-    half = max(1, n // 2)
+    return _minmax_rows(_numbered_valid(df, ts, value, keys, bucket), ts, value, n, keys).select(
+        *[q(k) for k in keys], q(ts), q(value))
+
+
+def _numbered_valid(df: DataFrame, ts: str, value: str, keys: list[str], bucket: str) -> DataFrame:
+    """Valid rows with their number ``__rn`` in (ts, value) order and their series' row count ``__cnt``."""
     v = df.where(is_valid(q(value)) & ~F.isnan(q(value))).select(*[q(k) for k in keys], q(ts), q(value))
     cnt = v.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("__cnt"))
     ranked = ordered_columns(v, ts, order=[ts, value], partition_by=keys, bucket=bucket,
                              cumsum={"__rn": F.lit(1).cast("bigint")})
-    j = join_on_keys(ranked, cnt, keys) if keys else attach_scalars(ranked, cnt, ["__cnt"])
-    j = j.withColumn("__bk", F.when(F.col("__cnt") <= n, F.col("__rn"))
+    return join_on_keys(ranked, cnt, keys) if keys else attach_scalars(ranked, cnt, ["__cnt"])
+
+
+def _minmax_rows(numbered: DataFrame, ts: str, value: str, n: int, keys: list[str]) -> DataFrame:
+    """The min and max row of every bucket, by row number, so that equal rows stay apart."""
+    half = max(1, n // 2)
+    j = numbered.withColumn("__bk", F.when(F.col("__cnt") <= n, F.col("__rn"))
                      .otherwise(F.expr(f"((__rn - 1) * {half}) div __cnt")))
     kb = [q(k) for k in keys] + ["__bk"]
-    picks = j.groupBy(*kb).agg(
-        F.min_by(F.struct(q(ts).alias("t"), q(value).alias("v")), F.struct(q(value), q(ts))).alias("__lo"),
-        F.min_by(F.struct(q(ts).alias("t"), q(value).alias("v")), F.struct(-q(value), q(ts))).alias("__hi"))
-    both = picks.select(*[q(k) for k in keys], F.explode(F.array("__lo", "__hi")).alias("__p"))
-    return (both.select(*[q(k) for k in keys], F.col("__p.t").alias(ts), F.col("__p.v").alias(value))
-            .dropDuplicates([*keys, ts, value]))
+    row = F.struct(F.col("__rn").alias("n"), q(ts).alias("t"), q(value).alias("v"))
+    picks = j.groupBy(*kb).agg(F.min_by(row, F.struct(q(value), F.col("__rn"))).alias("__lo"),
+                               F.min_by(row, F.struct(-q(value), F.col("__rn"))).alias("__hi"))
+    both = picks.select(*[q(k) for k in keys], F.explode(F.array_distinct(F.array("__lo", "__hi"))).alias("__p"))
+    return both.select(*[q(k) for k in keys], F.col("__p.n").alias("__rn"), F.col("__p.t").alias(ts),
+                       F.col("__p.v").alias(value))
 
 
 def _lttb_indices(x: np.ndarray, y: np.ndarray, n_out: int) -> np.ndarray:
@@ -160,16 +172,14 @@ def _lttb_indices(x: np.ndarray, y: np.ndarray, n_out: int) -> np.ndarray:
     m = len(x)
     if n_out >= m or n_out < 3:
         return np.arange(m)
+    # whole-number bucket edges over the inner points: bucket i is [edge(i), edge(i + 1))
+    edge = [1 + i * (m - 2) // (n_out - 2) for i in range(n_out - 1)] + [m]
     idx = np.empty(n_out, dtype=np.int64)
     idx[0], idx[-1] = 0, m - 1
-    edges = np.linspace(1, m - 1, n_out - 1)
     a = 0
     for i in range(n_out - 2):
-        lo, hi = int(edges[i]), int(edges[i + 1])
-        hi = max(hi, lo + 1)
-        nlo, nhi = hi, int(edges[i + 2]) if i + 2 < len(edges) else m
-        nhi = max(nhi, nlo + 1)
-        avg_x, avg_y = x[nlo:nhi].mean(), y[nlo:nhi].mean()
+        lo, hi, nhi = edge[i], edge[i + 1], edge[i + 2]
+        avg_x, avg_y = x[hi:nhi].mean(), y[hi:nhi].mean()
         area = np.abs((x[a] - avg_x) * (y[lo:hi] - y[a]) - (x[a] - x[lo:hi]) * (avg_y - y[a]))
         a = lo + int(np.argmax(area))
         idx[i + 1] = a
@@ -184,20 +194,16 @@ def lttb_downsample(df: DataFrame, ts: str, value: str = "value", n: int = DEFAU
     keeps the first and last row, and returns <= n rows, a subset of the input.
     """
     keys = list(partition_by or [])
-    pre = minmax_downsample(df, ts, value, 4 * n, keys, bucket)
-    valid = df.where(is_valid(q(value)) & ~F.isnan(q(value)))
-    ends = valid.groupBy(*[q(k) for k in keys]).agg(
-        F.min_by(F.struct(q(ts).alias("t"), q(value).alias("v")), F.struct(q(ts), q(value))).alias("a"),
-        F.max_by(F.struct(q(ts).alias("t"), q(value).alias("v")), F.struct(q(ts), q(value))).alias("b"))
-    ends = (ends.select(*[q(k) for k in keys], F.explode(F.array("a", "b")).alias("p"))
-            .select(*[q(k) for k in keys], F.col("p.t").alias(ts), F.col("p.v").alias(value)))
-    cand = pre.unionByName(ends).dropDuplicates([*keys, ts, value])
+    numbered = _numbered_valid(df, ts, value, keys, bucket)
+    ends = numbered.where((F.col("__rn") == 1) | (F.col("__rn") == F.col("__cnt")))
+    cand = (_minmax_rows(numbered, ts, value, 4 * n, keys)
+            .unionByName(ends.select(*[q(k) for k in keys], "__rn", q(ts), q(value))).dropDuplicates([*keys, "__rn"]))
     out_schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField(ts, T.TimestampNTZType()), T.StructField(value, T.DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, value], kind="mergesort").reset_index(drop=True)
-        x = pdf[ts].astype("int64").to_numpy(dtype=np.float64)
+        pdf = pdf.sort_values("__rn").drop(columns="__rn").reset_index(drop=True)
+        x = ((pdf[ts] - pdf[ts].iloc[0]) // pd.Timedelta(microseconds=1)).to_numpy(dtype=np.float64)
         y = pdf[value].to_numpy(dtype=np.float64)
         return pdf.iloc[_lttb_indices(x, y, n)]
 

@@ -2,18 +2,23 @@
 -> time clip -> valid values -> extrema, markers, bad-data boxes, downsampled
 points, time bounds.
 
-Everything is lazy; the parquet scan reads only the time column and the
-selected measurements, with the clip pushed into it.  Each output is small
-(<= n points per series, one row per interval or series).
+The parquet scan reads only the time column and the selected measurements,
+with the clip pushed into it and month folders pruned.  Points, extrema,
+markers and bounds are lazy; ``boxes`` writes its interval tables when it is
+first asked for.  Each output is small (<= n points per series, one row per
+interval or series).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from chronoweave.operators import gaps, quality, series
+from chronoweave.operators.clean import q
 
 
 @dataclass
@@ -22,23 +27,30 @@ class ChartData:
     extrema: DataFrame     # (series, min, max)
     overall: DataFrame     # (y_min, y_max, marker_level)
     markers: DataFrame     # (series, ts, class, y)
-    boxes: DataFrame       # (start, end, class, y_low, y_high)
     bounds: DataFrame      # (ts_min, ts_max) of the unclipped table
+    make_boxes: Callable[[], DataFrame]
+
+    @cached_property
+    def boxes(self) -> DataFrame:  # (start, end, class, y_low, y_high)
+        return self.make_boxes()
 
 
 def series_query(table: DataFrame, codes: list[str], ts: str = "Timestamp", lo=None, hi=None,
                  n: int = series.DEFAULT_POINTS, method: str = "minmax") -> ChartData:
-    wide = series.series_projection(table, ts, codes)
-    cols = [c for c in wide.columns if c != ts]
-    visible = series.time_range_clip(wide, ts, lo, hi)
+    # clip first: the projection drops the month column that prunes folders
+    visible = series.series_projection(series.time_range_clip(table, ts, lo, hi), ts, codes)
+    cols = [c for c in visible.columns if c != ts]
     lng = quality.to_long(visible, ts, cols)
     down = series.minmax_downsample if method == "minmax" else series.lttb_downsample
     points = down(quality.valid_values(lng), ts, "value", n, ["series"])
     overall = quality.overall_extrema(visible, cols)
-    # resolution of the whole table, runs of the visible rows (reference rule)
-    res = gaps.resolution_with_fallback(wide, ts)
-    runs = quality.bad_runs(visible, ts, cols, res=res)
-    boxes = quality.interval_boxes(quality.merge_intervals(runs), overall)
+
+    def boxes() -> DataFrame:
+        # resolution of the whole table, runs of the visible rows (reference rule)
+        res = gaps.resolution_with_fallback(table.select(q(ts)), ts)
+        runs = quality.bad_runs(visible, ts, cols, res=res)
+        return quality.interval_boxes(quality.merge_intervals(runs, series=cols), overall)
+
     return ChartData(points=points, extrema=quality.series_extrema(visible, cols), overall=overall,
-                     markers=quality.marker_points(visible, ts, cols), boxes=boxes,
-                     bounds=series.time_bounds(table, ts))
+                     markers=quality.marker_points(visible, ts, cols), bounds=series.time_bounds(table, ts),
+                     make_boxes=boxes)

@@ -51,14 +51,14 @@ def q_resolution_axis(spark, d):
     return gaps.resolution(orders_daily(spark, d), "o_orderdate")
 
 
-def _events_error_cut(spark, d):
-    em = events_minute(spark, d)
-    first_err = em.where("event_type = 'error'").agg(F.min("ts")).scalar()
-    return em.where((F.col("event_type") != "error") | (F.col("ts") == first_err))
+def customer_days(spark, d):
+    """A series per customer: mean order price by day.  Customers with one order day have no resolution."""
+    o = table(spark, d, "orders")
+    return o.groupBy("o_custkey", "o_orderdate").agg(F.avg("o_totalprice").alias("o_totalprice"))
 
 
 def q_resolution_fallback(spark, d):
-    return gaps.resolution_with_fallback(_events_error_cut(spark, d), "ts", EV_KEYS)
+    return gaps.resolution_with_fallback(customer_days(spark, d), "o_orderdate", ["o_custkey"])
 
 
 def q_gap_report(spark, d):
@@ -186,12 +186,12 @@ ORACLE = {
     "resolution_axis": f"""WITH {_gap_ctes(ORDERS_DAILY_SQL, 'o_orderdate', [])}
         SELECT res_us AS resolution_us, res_us / 1e6 AS resolution_seconds FROM r""",
     "resolution_fallback": f"""WITH {_gap_ctes(
-        "SELECT * FROM (" + EVENTS_MINUTE_SQL + ") WHERE event_type <> 'error' OR ts = "
-        "(SELECT min(date_trunc('minute', ts)) FROM events WHERE event_type = 'error')", 'ts', EV_KEYS)}
-        SELECT k.event_type, coalesce(res_us, 10000000) AS resolution_us,
+        "SELECT o_custkey, o_orderdate, avg(o_totalprice) AS o_totalprice FROM orders GROUP BY 1, 2",
+        'o_orderdate', ['o_custkey'])}
+        SELECT k.o_custkey, coalesce(res_us, 10000000) AS resolution_us,
                coalesce(res_us, 10000000) / 1e6 AS resolution_seconds,
                coalesce(res_us, 10000000) / 1e6 + 0.5 AS threshold_seconds
-        FROM (SELECT DISTINCT event_type FROM s) k LEFT JOIN r USING (event_type)""",
+        FROM (SELECT DISTINCT o_custkey FROM s) k LEFT JOIN r USING (o_custkey)""",
     "gap_report": f"""WITH {_gap_ctes(EVENTS_MINUTE_SQL, 'ts', EV_KEYS)}
         SELECT event_type, prev_ts, curr_ts, gap_seconds, missing_samples FROM rep""",
     "gap_report_axis": f"""WITH {_gap_ctes(ORDERS_DAILY_SQL, 'o_orderdate', [])}

@@ -38,9 +38,9 @@ def part_catalogue(spark, d):
 
 
 def reading_columns(spark, d):
-    """Column list of a readings table: measurements with returned lineitems."""
+    """Column list of a readings table: measurements that have lineitems (renamed ones are absent by name)."""
     p = table(spark, d, "part")
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
     used = p.join(li, "p_partkey", "left_semi")
     names = (used.select(F.col("p_name").alias("column"))
              .unionByName(used.select(F.lower("p_type").alias("column")))
@@ -96,11 +96,12 @@ def dictionary_rows(spark, d):
 
 
 def event_columns(spark, d):
-    p = table(spark, d, "part").where("p_retailprice > 950")
+    """Event columns; those of every third size carry another prefix and so are absent by name."""
+    p = table(spark, d, "part")
     sz = F.lpad(F.col("p_size").cast("string"), 2, "0")
     to = F.lpad((F.lit(51) - F.col("p_size")).cast("string"), 2, "0")
-    return (p.select(F.explode(F.array(F.concat(F.lit("Q"), sz),
-                                       F.concat(F.lit("Q"), sz, F.lit("_to_Q"), to))).alias("column"))
+    prefix = F.when(F.col("p_size") % 3 == 0, F.lit("old_Q")).otherwise(F.lit("Q"))
+    return (p.select(F.explode(F.array(F.concat(prefix, sz), F.concat(prefix, sz, F.lit("_to_Q"), to))).alias("column"))
             .distinct())
 
 
@@ -187,7 +188,7 @@ cat AS (SELECT ordinal, p_brand AS component_id,
    CASE WHEN sz % 3 = 0 THEN lower(ptype) WHEN sz % 3 = 1 THEN NULL ELSE p_name || '*' END AS display_name,
    CASE WHEN sz % 2 = 0 THEN 'kW' WHEN sz % 5 = 0 THEN '' END AS unit,
    't_' || lower(ptype) AS type, 'size ' || CAST(sz AS VARCHAR) AS description FROM g),
-used AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')),
+used AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
 cn AS (SELECT p_name AS "column" FROM used UNION SELECT lower(p_type) FROM used UNION SELECT 'Timestamp'),
 cols AS (SELECT row_number() OVER (ORDER BY "column") AS ordinal, "column" FROM cn),
 opts AS (SELECT * FROM (SELECT ordinal,
@@ -264,9 +265,9 @@ ORACLE = {
         UNION ALL SELECT ordinal, "column" AS label, "column" AS value FROM cols
         WHERE lower("column") <> 'timestamp' AND NOT EXISTS (SELECT 1 FROM no WHERE value IS NOT NULL)""",
     "event_options": f"""WITH {DICT},
-        ec AS (SELECT DISTINCT 'Q' || lpad(CAST(p_size AS VARCHAR), 2, '0') AS "column" FROM part WHERE p_retailprice > 950
-               UNION SELECT 'Q' || lpad(CAST(p_size AS VARCHAR), 2, '0') || '_to_Q' || lpad(CAST(51 - p_size AS VARCHAR), 2, '0')
-               FROM part WHERE p_retailprice > 950),
+        ep AS (SELECT CASE WHEN p_size % 3 = 0 THEN 'old_Q' ELSE 'Q' END || lpad(CAST(p_size AS VARCHAR), 2, '0') AS q,
+               '_to_Q' || lpad(CAST(51 - p_size AS VARCHAR), 2, '0') AS t FROM part),
+        ec AS (SELECT q AS "column" FROM ep UNION SELECT q || t FROM ep),
         co AS (SELECT component, row_number() OVER (ORDER BY component) AS r FROM (SELECT DISTINCT component FROM c)),
         ranked AS (SELECT c.*, co.r, row_number() OVER (PARTITION BY c.component, kind ORDER BY ord) - 1 AS p FROM c JOIN co USING (component))
         SELECT r * 10000000 + (CASE WHEN kind = 'raw' THEN 0 ELSE 1 END) * 1000000 + p AS ordinal,

@@ -38,6 +38,7 @@ def interval_ctes(src_sql: str, ts: str, keys: list[str], values: list[str] | st
 
     values = [values] if isinstance(values, str) else list(values)
     vlist = ", ".join(values)
+    order = "[" + ", ".join(f"'{v}'" for v in values) + "]"
     fills = ", ".join("999999.0" for _ in values)
     hits = " UNION ALL ".join(
         f"""SELECT {''.join(f'f.{k}, ' for k in keys)}'{v}' AS series, {ts},
@@ -65,13 +66,15 @@ hs AS (SELECT *, CASE WHEN prev IS NULL OR (epoch_us({ts}) - epoch_us(prev)) / 1
 hr AS (SELECT *, sum(st) OVER ({part('series', 'class')}ORDER BY {ts} ROWS UNBOUNDED PRECEDING) AS rid FROM hs),
 bad AS (SELECT {kc}series, min({ts}) - to_microseconds(res_us // 2) AS start,
         max({ts}) + to_microseconds(res_us // 2) AS "end", class FROM hr GROUP BY {kc}series, class, rid, res_us),
+mo AS (SELECT *, row_number() OVER ({pk}ORDER BY start, list_position({order}, series),
+        CASE class WHEN 'red' THEN 1 ELSE 2 END, "end") AS o FROM bad),
 mb AS (SELECT *, CASE WHEN lag(class) OVER w IS NULL OR lag(class) OVER w <> class THEN 1 ELSE 0 END AS chg
-        FROM (SELECT DISTINCT {kc}start, "end", class FROM bad) WINDOW w AS ({pk}ORDER BY start, "end", class)),
-mc AS (SELECT *, sum(chg) OVER ({pk}ORDER BY start, "end", class ROWS UNBOUNDED PRECEDING) AS run FROM mb),
-md AS (SELECT *, max("end") OVER ({part('run')}ORDER BY start, "end", class
+        FROM mo WINDOW w AS ({pk}ORDER BY o)),
+mc AS (SELECT *, sum(chg) OVER ({pk}ORDER BY o ROWS UNBOUNDED PRECEDING) AS run FROM mb),
+md AS (SELECT *, max("end") OVER ({part('run')}ORDER BY o
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM mc),
 me AS (SELECT *, sum(CASE WHEN pm IS NULL OR start > pm THEN 1 ELSE 0 END)
-        OVER ({pk}ORDER BY start, "end", class ROWS UNBOUNDED PRECEDING) AS g FROM md),
+        OVER ({pk}ORDER BY o ROWS UNBOUNDED PRECEDING) AS g FROM md),
 merged AS (SELECT {kc}min(start) AS start, max("end") AS "end", min(class) AS class FROM me GROUP BY {kc}g),
 ext AS (SELECT {kc}{y_min} AS y_min, {y_max} AS y_max FROM f GROUP BY {grp})"""
 
@@ -106,12 +109,12 @@ def q_bad_runs_axis(spark, d):
 
 
 def q_merge_intervals_axis(spark, d):
-    return quality.merge_intervals(q_bad_runs_axis(spark, d))
+    return quality.merge_intervals(q_bad_runs_axis(spark, d), series=AXIS_SERIES)
 
 
 def q_interval_boxes_axis(spark, d):
     f = orders_filled(spark, d)
-    merged = quality.merge_intervals(quality.bad_runs(f, "o_orderdate", AXIS_SERIES))
+    merged = quality.merge_intervals(quality.bad_runs(f, "o_orderdate", AXIS_SERIES), series=AXIS_SERIES)
     ext = quality.overall_extrema(f, AXIS_SERIES)
     return quality.interval_boxes(merged, ext).select("start", "end", "class", r6("y_low"), r6("y_high"))
 
@@ -219,7 +222,9 @@ def q_positional_window(spark, d):
 
 
 def q_minmax_downsample(spark, d):
-    e = table(spark, d, "events").select("event_type", "ts", "value")
+    """Quantities per return flag and ship date: many rows are equal in all three, and each counts."""
+    e = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("event_type"), F.col("l_shipdate").alias("ts"),
+                                           F.col("l_quantity").alias("value"))
     return series.minmax_downsample(e, "ts", "value", 100, EV)
 
 
@@ -271,6 +276,16 @@ QUERIES = {
     "lttb_downsample": q_lttb_downsample,
 }
 
+
+def _minmax_ctes(src: str, key: str, ts: str, n: int) -> str:
+    """CTEs r (numbered valid rows) and picked (min and max row of each bucket, equal rows kept apart)."""
+    return f"""v AS (SELECT {key}, {ts}, value FROM {src} WHERE value BETWEEN -999998.0 AND 999998.0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {ts}, value) AS rn, count(*) OVER (PARTITION BY {key}) AS cnt FROM v),
+        b AS (SELECT *, CASE WHEN cnt <= {n} THEN rn ELSE ((rn - 1) * {n // 2}) // cnt END AS bk FROM r),
+        ends AS (SELECT {key}, arg_min(rn, (value, rn)) AS lo, arg_min(rn, (-value, rn)) AS hi FROM b GROUP BY {key}, bk),
+        picked AS (SELECT r.* FROM r JOIN (SELECT {key}, lo AS rn FROM ends UNION SELECT {key}, hi FROM ends) USING ({key}, rn))"""
+
+
 _F = f"WITH {filled_ctes()}\n"
 _A = f"WITH {interval_ctes(MARKED_AXIS_SQL, 'o_orderdate', [], AXIS_SERIES)}\n"
 _PROFILE_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -284,17 +299,11 @@ ORACLE = {
         FROM h CROSS JOIN ext""",
     "chart_points": """WITH w AS (SELECT l_shipdate, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_tax), 6) AS l_tax
             FROM lineitem GROUP BY l_shipdate),
-        v AS (SELECT 'l_quantity' AS series, l_shipdate, l_quantity AS value FROM w
+        lv AS (SELECT 'l_quantity' AS series, l_shipdate, l_quantity AS value FROM w
               UNION ALL SELECT 'l_tax', l_shipdate, l_tax FROM w),
-        c AS (SELECT * FROM v WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'
+        c AS (SELECT * FROM lv WHERE l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'
               AND value BETWEEN -999998.0 AND 999998.0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY l_shipdate, value) AS rn,
-              count(*) OVER (PARTITION BY series) AS cnt FROM c),
-        b AS (SELECT *, CASE WHEN cnt <= 100 THEN rn ELSE ((rn - 1) * 50) // cnt END AS bk FROM r),
-        lo AS (SELECT series, bk, arg_min(l_shipdate, (value, l_shipdate)) AS l_shipdate FROM b GROUP BY ALL),
-        hi AS (SELECT series, bk, arg_min(l_shipdate, (-value, l_shipdate)) AS l_shipdate FROM b GROUP BY ALL)
-        SELECT DISTINCT c.series, c.l_shipdate, c.value FROM c JOIN
-          (SELECT series, l_shipdate FROM lo UNION SELECT series, l_shipdate FROM hi) p USING (series, l_shipdate)""",
+        """ + _minmax_ctes("c", "series", "l_shipdate", 100) + " SELECT series, l_shipdate, value FROM picked",
     "valid_values": _F + "SELECT event_type, ts, round(value, 6) AS value FROM f WHERE value BETWEEN -999998.0 AND 999998.0",
     "sentinel_classes": _F + """SELECT event_type, ts, round(value, 6) AS value,
         CASE WHEN value = -999999.0 THEN 'anomaly' WHEN value = 999999.0 THEN 'gap'
@@ -346,12 +355,26 @@ ORACLE = {
         p AS (SELECT *, greatest(200, n // 10) AS size FROM r),
         q AS (SELECT *, least(greatest(100, 0), greatest(0, n - size)) AS st FROM p)
         SELECT event_id, ts, row_pos FROM q WHERE row_pos >= st AND row_pos < st + size""",
-    "minmax_downsample": """WITH v AS (SELECT event_type, ts, value FROM events WHERE value BETWEEN -999998.0 AND 999998.0),
-        r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) AS rn,
-              count(*) OVER (PARTITION BY event_type) AS cnt FROM v),
-        b AS (SELECT *, CASE WHEN cnt <= 100 THEN rn ELSE ((rn - 1) * 50) // cnt END AS bk FROM r),
-        lo AS (SELECT event_type, bk, arg_min(ts, (value, ts)) AS ts FROM b GROUP BY ALL),
-        hi AS (SELECT event_type, bk, arg_min(ts, (-value, ts)) AS ts FROM b GROUP BY ALL)
-        SELECT DISTINCT v.event_type, v.ts, v.value FROM v JOIN
-          (SELECT event_type, ts FROM lo UNION SELECT event_type, ts FROM hi) p USING (event_type, ts)""",
+    "minmax_downsample": f"WITH {_minmax_ctes('(SELECT l_returnflag AS event_type, l_shipdate AS ts, l_quantity AS value FROM lineitem)', 'event_type', 'ts', 100)} SELECT event_type, ts, value FROM picked",
+    # candidates, then the pick of each bucket from the pick before it
+    "lttb_downsample": f"""WITH RECURSIVE {_minmax_ctes('events', 'event_type', 'ts', 400)},
+        cand AS (SELECT event_type, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY rn) - 1 AS idx,
+                 count(*) OVER (PARTITION BY event_type) AS m,
+                 CAST(epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY event_type)) AS DOUBLE) AS x
+                 FROM (SELECT event_type, ts, value, rn FROM picked
+                       UNION SELECT event_type, ts, value, rn FROM r WHERE rn = 1 OR rn = cnt)),
+        steps AS (SELECT event_type, m, unnest(generate_series(0, 97)) AS i FROM (SELECT DISTINCT event_type, m FROM cand WHERE m > 100)),
+        edges AS (SELECT event_type, i, 1 + (i * (m - 2)) // 98 AS lo, 1 + ((i + 1) * (m - 2)) // 98 AS hi,
+                  CASE WHEN i = 97 THEN m ELSE 1 + ((i + 2) * (m - 2)) // 98 END AS nhi FROM steps),
+        ahead AS (SELECT e.event_type, e.i, any_value(lo) AS lo, any_value(hi) AS hi, avg(c.x) AS ax, avg(c.value) AS ay
+                  FROM edges e JOIN cand c ON c.event_type = e.event_type AND c.idx >= e.hi AND c.idx < e.nhi GROUP BY e.event_type, e.i),
+        pick AS (SELECT DISTINCT event_type, -1 AS i, CAST(0 AS BIGINT) AS idx FROM steps
+                 UNION ALL
+                 SELECT p.event_type, p.i + 1, arg_min(c.idx, (-abs((a.x - v.ax) * (c.value - a.value) - (a.x - c.x) * (v.ay - a.value)), c.idx))
+                 FROM pick p JOIN cand a ON a.event_type = p.event_type AND a.idx = p.idx
+                 JOIN ahead v ON v.event_type = p.event_type AND v.i = p.i + 1
+                 JOIN cand c ON c.event_type = p.event_type AND c.idx >= v.lo AND c.idx < v.hi
+                 GROUP BY p.event_type, p.i)
+        SELECT event_type, ts, value FROM cand WHERE m <= 100 OR idx = m - 1
+            OR (event_type, idx) IN (SELECT event_type, idx FROM pick)""",
 }

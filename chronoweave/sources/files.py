@@ -8,12 +8,13 @@ S10 write_event_groups, S11 cache_dataset.
 
 from __future__ import annotations
 
+import csv
 import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from chronoweave.operators.clean import parse_ts, q
+from chronoweave.operators.clean import parse_ts, q, to_double
 from chronoweave.operators.series import SAMPLE_ROWS
 
 # The text tokens pandas' CSV reader treats as missing by default.
@@ -21,6 +22,13 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
+def path_exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or glob matches anything, on whichever file system it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def select_files(spark: SparkSession, pattern, max_files: int | None = None,
                  year_filter: str | None = None) -> list[str]:
     """Files for a glob or a list of paths/globs, sorted by name.
@@ -47,13 +55,12 @@ def _headers(spark: SparkSession, paths: list[str], sep: str, batch: int = 256)
     for i in range(0, len(paths), batch):
         parts = [spark.read.text(p).limit(1).select(F.lit(p).alias("p"), "value") for p in paths[i:i + batch]]
         for r in reduce(DataFrame.unionByName, parts).collect():
-            out[r.p] = tuple(c.strip().strip('"') for c in r.value.split(sep))
+            out[r.p] = tuple(c.strip() for c in next(csv.reader([r.value], delimiter=sep)))
     return out
 
 
 def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep: str = ",",
-               ts_format: str | None = None, infer: bool = True, with_file: bool = False,
-               infer_fraction: float = 1.0) -> DataFrame:
+               ts_format: str | None = None, infer: bool = True, with_file: bool = False) -> DataFrame:
     """Read CSV files whose headers differ, binding columns BY NAME.
 
     Files are grouped by header; each group is read with an all-string
@@ -61,9 +68,8 @@ def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep
     (missing columns NULL).  pandas' missing tokens become NULL.  ``ts`` is
     parsed to ``timestamp_ntz`` (failures NULL, rows kept); with ``infer``
     each other column becomes bigint or double when every non-missing value
-    parses (one aggregate pass), else stays text.  ``infer_fraction`` < 1
-    decides the types from a seeded sample instead of a full pass (a text
-    value outside the sample then reads as NULL in a numeric column).
+    is such a number, boolean when every row holds true or false (any case),
+    else stays text.  Types come from one aggregate pass over all rows.
     """
     heads = _headers(spark, paths, sep)
     groups: dict[tuple[str, ...], list[str]] = {}
@@ -81,17 +87,20 @@ def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep
                          for c in df.columns if c != "_source_file"})
     others = [c for c in df.columns if c not in (ts, "_source_file")]
     if infer and others:
-        probe = df if infer_fraction >= 1.0 else df.sample(fraction=infer_fraction, seed=17)
-        stats = probe.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(others)],
+        stats = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(others)],
                        *[F.count(q(c).try_cast("bigint")).alias(f"i{i}") for i, c in enumerate(others)],
-                       *[F.count(q(c).try_cast("double")).alias(f"d{i}") for i, c in enumerate(others)]).first()
+                       *[F.count(to_double(q(c))).alias(f"d{i}") for i, c in enumerate(others)],
+                       *[F.count_if(F.lower(q(c)).isin("true", "false")).alias(f"b{i}")
+                         for i, c in enumerate(others)]).first()
         casts = {}
         for i, c in enumerate(others):
             n, ni, nd = stats[f"n{i}"], stats[f"i{i}"], stats[f"d{i}"]
             if n and ni == n:
                 casts[c] = q(c).try_cast("bigint")
+            elif n and stats[f"b{i}"] == stats["rows"]:
+                casts[c] = q(c).cast("boolean")
             elif nd == n:
-                v = q(c).try_cast("double")
+                v = to_double(q(c))
                 casts[c] = F.when(F.isnan(v), F.lit(None)).otherwise(v)
         df = df.withColumns(casts) if casts else df
     if ts in df.columns:
@@ -107,10 +116,10 @@ def raw_load(spark: SparkSession, paths: list[str], ts: str = "Timestamp", **kw)
 def read_first_csv(spark: SparkSession, folder: str, sep: str = ",") -> tuple[DataFrame | None, str | None]:
     """First CSV of a folder (name order); column 0 becomes a time column
     only when every non-missing value parses.  Returns (df, file name) or (None, None)."""
-    try:
-        paths = select_files(spark, os.path.join(folder, "*.csv"))
-    except Exception:  # noqa: BLE001 - no file, unreadable folder
+    pattern = os.path.join(folder, "*.csv")
+    if not path_exists(spark, pattern):
         return None, None
+    paths = select_files(spark, pattern)
     df = scan_union(spark, paths[:1], ts="__none__", sep=sep)
     first = df.columns[0]
     parsed = parse_ts(q(first), T.StringType())
@@ -178,10 +187,8 @@ def ensure_event_groups(spark: SparkSession, dictionary_path: str, groups_path:
     dictionary (required) and written only when it does not exist yet."""
     from chronoweave.operators.events import event_groups
 
-    try:
-        return spark.read.json(groups_path)
-    except Exception:  # noqa: BLE001 - absent: build it
-        pass
+    if path_exists(spark, groups_path):
+        return spark.read.json(groups_path)  # there but unreadable is an error, never a reason to overwrite
     if not dictionary_path:
         raise ValueError("an event-encoded dataset needs its dictionary to build the grouped catalogue")
     write_event_groups(event_groups(read_event_dictionary(spark, dictionary_path), mode), groups_path)

@@ -16,18 +16,31 @@ from chronoweave.operators import clean
 
 def clean_stream(stream: DataFrame, ts: str = "Timestamp", partition_by: list[str] | None = None,
                  fault_columns=clean.DEFAULT_FAULT_COLUMNS, fault_sentinels=clean.DEFAULT_FAULT_SENTINELS,
-                 atol: float = clean.DEFAULT_ATOL, watermark: str = "10 minutes",
-                 unify: bool = True) -> DataFrame:
+                 atol: float = clean.DEFAULT_ATOL, watermark: str | None = None,
+                 unify: bool = True, non_numeric: str = "error") -> DataFrame:
+    """The row-level steps on a stream; text columns are treated as in the batch step.
+
+    Unifying needs a bound on lateness, which only the caller knows: rows
+    later than ``watermark`` are left out of their time stamp's mean and
+    counted by the running query (see ``late_rows``).
+    """
+    if unify and not watermark:
+        raise ValueError("unify needs a watermark: how late a row may come")
     d = clean.drop_invalid_ts(stream, ts)
     if unify:
         # event-time watermarks need a session-zone timestamp: convert for the
         # stateful step and back (exact in a UTC session)
         d = d.withColumn(ts, clean.q(ts).cast("timestamp")).withWatermark(ts, watermark)
-        d = clean.unify_duplicates(d, ts, partition_by, non_numeric="drop")
+        d = clean.unify_duplicates(d, ts, partition_by, non_numeric=non_numeric)
         d = d.withColumn(ts, clean.q(ts).cast("timestamp_ntz"))
     return clean.sentinel_to_null(d, fault_columns, fault_sentinels, atol)
 
 
+def late_rows(query) -> int:
+    """Rows a running or stopped query has left out so far because they came after the watermark."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def start(stream: DataFrame, sink_path: str, checkpoint: str, **kw):
     """Run ``clean_stream`` into parquet files (append: a time stamp is final
     once the watermark has passed it)."""

@@ -7,9 +7,9 @@ def test_entry_runs(spark):
     assert df.columns == ["o_orderdate", "o_totalprice"]
 
 
-def test_every_query_has_oracle_but_lttb():
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == {"lttb_downsample"}
+def test_every_query_of_the_library_has_an_oracle():
+    from chronoweave.plans import registry
+    assert set(registry.all_queries()) == set(registry.all_oracle_sql())
 
 
 def test_contract_importable_without_session():

@@ -20,8 +20,9 @@ def test_bad_runs_intervals(spark):
     assert [(r.start, r.end, r["class"]) for r in out] == [(ts(-5), ts(25), "red"), (ts(45), ts(55), "red")]
 
 
-def _merge_ref(iv):
-    iv = sorted(iv)
+def _merge_ref(iv, order=("red", "orange")):
+    """The sequential rule; equal starts by class place, then end (without known classes by end, then class)."""
+    iv = sorted(iv, key=lambda x: (x[0], order.index(x[2]), x[1]) if order else x)
     out = [list(iv[0])]
     for s, e, c in iv[1:]:
         if s <= out[-1][1] and c == out[-1][2]:
@@ -50,12 +51,22 @@ def test_merge_matches_sequential_rule(spark):
         for _ in range(40):
             s = rnd.randrange(0, 500)
             iv.append((s, s + rnd.randrange(0, 40), rnd.choice(["red", "orange"])))
-        iv = sorted(set(iv))
+        iv += iv[:5]  # equal intervals
         ref = [(float(a), float(b), c) for a, b, c in _merge_ref(iv)]
         assert _merge(spark, iv) == ref
+        ref = [(float(a), float(b), c) for a, b, c in _merge_ref(iv, None)]
         assert _merge(spark, iv, classes=None) == ref
 
 
+def test_merge_breaks_ties_by_series_then_class(spark):
+    iv = [("b", 0, 5, "red"), ("a", 0, 5, "orange"), ("a", 0, 9, "red")]
+    df = frame(spark, [(s, ts(x), ts(y), c) for s, x, y, c in iv],
+               "series string, start timestamp_ntz, end timestamp_ntz, class string")
+    out = quality.merge_intervals(df, series=["a", "b"])  # red, orange, red: no two neighbours share a class
+    assert out.count() == 3
+    assert quality.merge_intervals(df, series=["b", "a"]).count() == 2
+
+
 def test_marker_level_zero_without_valid(spark):
     df = frame(spark, [(ts(0), 999999.0)], "Timestamp timestamp_ntz, a double")
     assert quality.marker_points(df, "Timestamp", ["a"]).collect()[0].y == 0.0
@@ -81,7 +92,7 @@ def test_profile_matches_pandas(spark):
 def test_merge_three_classes(spark):
     rnd = random.Random(9)
     iv = sorted({(s, s + rnd.randrange(0, 30), rnd.choice("abc")) for s in (rnd.randrange(0, 400) for _ in range(60))})
-    ref = [(float(a), float(b), c) for a, b, c in _merge_ref(iv)]
+    ref = [(float(a), float(b), c) for a, b, c in _merge_ref(iv, ("a", "b", "c"))]
     assert _merge(spark, iv, classes=("a", "b", "c")) == ref
 
 

@@ -7,7 +7,7 @@ def test_stream_matches_batch(spark, tmp_path):
     src = tmp_path / "in"
     spark.createDataFrame(rows, "Timestamp timestamp_ntz, `MG-LV-MSB_Frequency` double").write.parquet(str(src))
     stream = spark.readStream.schema("Timestamp timestamp_ntz, `MG-LV-MSB_Frequency` double").parquet(str(src))
-    q = (clean_stream(stream).writeStream.format("memory").queryName("cw_stream").outputMode("update")
+    q = (clean_stream(stream, watermark="10 minutes").writeStream.format("memory").queryName("cw_stream").outputMode("update")
          .option("checkpointLocation", str(tmp_path / "ck")).start())
     q.processAllAvailable()
     q.stop()
