@@ -18,9 +18,10 @@ Features (each maps an output name to a source column or expression):
 * ``cumsum``         running sum including the current row
 * ``cummax_before``  running max over the rows strictly before the row
 
-The bucket width (``hour``, ``day``, ``month``, ``year``) should be chosen
-so that one bucket of one key fits a task comfortably; the summary table has
-one row per (key, bucket).
+The bucket width follows the data by default (``"auto"``, see
+``choose_bucket``), so that one bucket of one key fits a task at any size of
+the table.  A caller who knows the density can name a width and save that
+count.  The summary table has one row per (key, bucket).
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def _q(name: str) -> Column:
 
 
 def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
-                    partition_by: list[str] | None = None, bucket: str = "day",
+                    partition_by: list[str] | None = None, bucket: str = "auto",
                     lag: dict | None = None, lead: dict | None = None,
                     cumsum: dict | None = None, cummax_before: dict | None = None,
                     bucket_col: Column | None = None) -> DataFrame:
@@ -53,6 +54,7 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
     ``order`` defaults to ``[ts]``; the bucket (``bucket_of(ts, bucket)``,
     or ``bucket_col`` when given) must be non-decreasing along ``order``.
     Rows with a null ``ts`` form their own bucket and are ordered on their own.
+    ``bucket="auto"`` counts rows per key and second first (one job).
     """
     keys = list(partition_by or [])
     order = list(order or [ts])
@@ -161,59 +163,74 @@ def _carries(summary: DataFrame, keys: list[str], feats, fine: bool):
 
 def ordered_lag(df: DataFrame, col: str | Column, ts: str, out: str, *,
                 partition_by: list[str] | None = None, order: list[str] | None = None,
-                bucket: str = "day") -> DataFrame:
+                bucket: str = "auto") -> DataFrame:
     return ordered_columns(df, ts, order=order, partition_by=partition_by, bucket=bucket,
                            lag={out: col})
 
 
 def ordered_lead(df: DataFrame, col: str | Column, ts: str, out: str, *,
                  partition_by: list[str] | None = None, order: list[str] | None = None,
-                 bucket: str = "day") -> DataFrame:
+                 bucket: str = "auto") -> DataFrame:
     return ordered_columns(df, ts, order=order, partition_by=partition_by, bucket=bucket,
                            lead={out: col})
 
 
 def ordered_cumsum(df: DataFrame, col: str | Column, ts: str, out: str, *,
                    partition_by: list[str] | None = None, order: list[str] | None = None,
-                   bucket: str = "day") -> DataFrame:
+                   bucket: str = "auto") -> DataFrame:
     return ordered_columns(df, ts, order=order, partition_by=partition_by, bucket=bucket,
                            cumsum={out: col})
 
 
 def ordered_row_number(df: DataFrame, ts: str, out: str, *, order: list[str],
-                       partition_by: list[str] | None = None, bucket: str = "day") -> DataFrame:
+                       partition_by: list[str] | None = None, bucket: str = "auto") -> DataFrame:
     """1-based row number in ``order`` (give a total order for a stable result)."""
     return ordered_columns(df, ts, order=order, partition_by=partition_by, bucket=bucket,
                            cumsum={out: F.lit(1).cast("bigint")})
 
 
-# Candidate widths, coarsest first, for ``bucket="auto"``.
-AUTO_WIDTHS = ("month", "day", "hour", "15 minutes", "minute", "10 seconds", "1 second")
+# Candidate widths for ``bucket="auto"``, finest first, each a whole multiple of
+# the one before; the last two name calendar units.
+AUTO_SECONDS = (("1 second", 1), ("10 seconds", 10), ("1 minute", 60), ("15 minutes", 900), ("1 hour", 3600),
+                ("day", 86_400), ("month", 31 * 86_400))
+AUTO_MICROS = (("1 microsecond", 1), ("100 microseconds", 100), ("10 milliseconds", 10_000), ("100 milliseconds", 100_000))
+TARGET_ROWS = 2_000_000
 
 
 def choose_bucket(df: DataFrame, ts: str, partition_by: list[str] | None = None,
-                  target_rows: int = 2_000_000) -> str:
+                  target_rows: int = TARGET_ROWS) -> str:
     """Coarsest bucket width whose densest (key, bucket) holds <= ``target_rows``.
 
-    One distributed aggregate: rows per (key, second) are counted with a
-    map-side combine, then re-summed per candidate width; only one number
-    per candidate reaches the driver.  A key that holds a third of all rows
-    but spreads over time is split into many buckets; a key that is dense
-    in time gets a finer width.
+    One distributed aggregate: rows per (key, second), counted with a
+    map-side combine, are summed width by width, and one row of maxima
+    reaches the driver.  Only if a single second is too dense, finer widths
+    are counted the same way.  A key that holds a third of all rows but
+    spreads over time is split into many buckets; one that is dense in time
+    gets a finer width.  A time stamp cannot be split: rows of one key that
+    share it stay together.
     """
-    keys = list(partition_by or [])
-    per_sec = (df.select(*[F.col(f"`{k}`") for k in keys], bucket_of(ts, "1 second").alias("__s"))
-               .groupBy(*[_q(k) for k in keys], "__s").count())
-    widths = [w for w in AUTO_WIDTHS if w not in ("1 second",)]
-    secs = {"month": 31 * 86400, "day": 86400, "hour": 3600, "15 minutes": 900, "minute": 60,
-            "10 seconds": 10}
-    aggs = []
-    for w in widths:
-        g = per_sec.groupBy(*[_q(k) for k in keys], F.floor(F.col("__s") / F.lit(secs[w])).alias("__b")).agg(
-            F.sum("count").alias("n"))
-        aggs.append(g.agg(F.max("n").alias("m")).select(F.lit(w).alias("w"), "m"))
-    maxima = {r.w: r.m for r in reduce(DataFrame.unionByName, aggs).collect()}
-    for w in widths:
-        if (maxima.get(w) or 0) <= target_rows:
-            return w
-    return "1 second"
+    for widths, unit in ((AUTO_SECONDS, "1 second"), (AUTO_MICROS, "1 microsecond")):
+        densest = _densest(df, ts, list(partition_by or []), widths, unit)
+        fitting = [w for w, _ in widths if densest[w] <= target_rows]
+        if fitting:
+            return fitting[-1]
+    return AUTO_MICROS[0][0]
+
+
+def _densest(df: DataFrame, ts: str, keys: list[str], widths, unit: str) -> dict[str, int]:
+    """Rows of the densest (key, bucket) of every width; the widths nest, so each level sums the one before."""
+    part = [_q(k) for k in keys]
+    level = (df.select(*part, bucket_of(ts, unit).alias("__s")).groupBy(*part, "__s").agg(F.count(F.lit(1)).alias("__n"))
+             .withColumn("__m0", F.col("__n")))
+    maxima = ["__m0"]
+    for i, (_, width) in enumerate(widths[1:], 1):
+        step = width // widths[i - 1][1]
+        level = (level.groupBy(*part, F.floor(F.col("__s") / F.lit(step)).alias("__s"))
+                 .agg(F.sum("__n").alias("__n"), *[F.max(m).alias(m) for m in maxima])
+                 .withColumn(f"__m{i}", F.col("__n")))
+        maxima.append(f"__m{i}")
+    top = level.agg(*[F.max(m).alias(m) for m in maxima]).first()
+    out = {w: top[m] or 0 for (w, _), m in zip(widths, maxima)}
+    if "month" in out:
+        out["month"] *= 2  # a calendar month can reach into two spans of 31 days
+    return out

@@ -43,14 +43,14 @@ def seconds_to_micros(sec: Column) -> Column:
     return F.round(sec * F.lit(float(MICROS_PER_SECOND))).cast("bigint")
 
 
-CALENDAR_UNITS = ("minute", "hour", "day", "week", "month", "quarter", "year")
+CALENDAR_UNITS = ("day", "week", "month", "quarter", "year")
 _DURATION_UNITS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000,
                    "hour": 3_600_000_000, "day": 86_400_000_000}
 
 
 def duration_micros(text: str) -> int:
-    """'15 minutes' -> 900000000."""
-    n, unit = text.split()
+    """'15 minutes' -> 900000000; 'hour' -> 3600000000."""
+    n, unit = text.split() if " " in text else (1, text)
     unit = unit.rstrip("s").lower()
     return int(float(n) * _DURATION_UNITS[unit])
 
@@ -59,7 +59,7 @@ def bucket_of(ts: str | Column, unit: str = "day") -> Column:
     """Monotone coarse bucket of a time column, used to split ordered windows.
 
     ``unit`` is a calendar unit (``date_trunc``, cast back to NTZ) or a fixed
-    width such as ``"15 minutes"`` (whole widths since 1970-01-01, bigint).
+    width such as ``"15 minutes"`` or ``"hour"`` (whole widths since 1970-01-01, bigint).
     """
     if unit == "day":
         return F.to_date(_c(ts))

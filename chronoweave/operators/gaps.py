@@ -24,7 +24,7 @@ FALLBACK_RESOLUTION_SECONDS = 10.0
 
 
 def ts_delta(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | None = None,
-             bucket: str = "day", prev_col: str = "prev_ts",
+             bucket: str = "auto", prev_col: str = "prev_ts",
              delta_col: str = "delta_seconds") -> DataFrame:
     """Previous time stamp and the step to it in seconds (NULL on first row)."""
     d = ordered_columns(df, ts, partition_by=partition_by, bucket=bucket, lag={prev_col: q(ts)})
@@ -49,7 +49,7 @@ def _mode_of_steps(steps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def resolution(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | None = None,
-               bucket: str = "day") -> DataFrame:
+               bucket: str = "auto") -> DataFrame:
     """Sampling resolution per key (one row per key having >= 2 rows).
 
     Columns: keys..., resolution_us (bigint), resolution_seconds (double).
@@ -59,7 +59,7 @@ def resolution(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | N
 
 
 def resolution_with_fallback(df: DataFrame, ts: str = "Timestamp",
-                             partition_by: list[str] | None = None, bucket: str = "day",
+                             partition_by: list[str] | None = None, bucket: str = "auto",
                              fallback_seconds: float = FALLBACK_RESOLUTION_SECONDS,
                              margin: float = MARGIN_SECONDS) -> DataFrame:
     """Resolution, or ``fallback_seconds`` where none can be computed.
@@ -111,7 +111,7 @@ def _report_with_res(df: DataFrame, ts: str, keys: list[str], margin: float, buc
 
 
 def gap_report(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | None = None,
-               margin: float = MARGIN_SECONDS, bucket: str = "day",
+               margin: float = MARGIN_SECONDS, bucket: str = "auto",
                res: DataFrame | None = None) -> DataFrame:
     """Steps off the resolution by more than ``margin`` seconds.
 
@@ -137,7 +137,7 @@ def _holds(dtype: T.DataType, value: float) -> bool:
 
 def gap_fill(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | None = None,
              fill_value: float = FILL_VALUE, margin: float = MARGIN_SECONDS,
-             bucket: str = "day", chunk: int = 100_000,
+             bucket: str = "auto", chunk: int = 100_000,
              res: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert ``prev_ts + j*res`` (j = 1..missing) for every reported gap.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronoweave.functions.joins import join_on_keys
-from chronoweave.functions.ordered import ordered_columns
+from chronoweave.functions.ordered import choose_bucket, ordered_columns
 from chronoweave.functions.timecols import add_micros, attach_scalars, micros_between
 from chronoweave.operators import gaps
 from chronoweave.operators.clean import q
@@ -213,7 +213,7 @@ def profile(df: DataFrame, cols: list[str], fan: int = 32) -> DataFrame:
 
 def bad_runs(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] | None = None,
              res: DataFrame | None = None, margin: float = gaps.MARGIN_SECONDS,
-             bucket: str = "day", materialize_bounds: bool = True) -> DataFrame:
+             bucket: str = "auto", materialize_bounds: bool = True) -> DataFrame:
     """Runs of sentinel rows per (keys, series, class) -> shaded intervals.
 
     A new run starts where the step to the previous sentinel row of the same
@@ -227,6 +227,8 @@ def bad_runs(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] |
     the opening row just before it.
     """
     keys = list(partition_by or [])
+    if bucket == "auto":  # sentinel and boundary rows are fewer than the rows counted here
+        bucket = choose_bucket(df, ts, keys)
     if res is None:
         res = gaps.resolution_with_fallback(df, ts, keys, bucket, margin=margin)
     rs = res.select(*[q(k) for k in keys], "resolution_us", "threshold_seconds")
@@ -261,7 +263,7 @@ def bad_runs(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] |
 
 
 def merge_intervals(iv: DataFrame, partition_by: list[str] | None = None, start: str = "start",
-                    end: str = "end", cls: str = "class", bucket: str = "day",
+                    end: str = "end", cls: str = "class", bucket: str = "auto",
                     classes: tuple[str, ...] | None = tuple(SENTINEL_CLASSES.values()),
                     series: list[str] | None = None) -> DataFrame:
     """Merge overlapping or touching intervals of the same class.
@@ -292,6 +294,8 @@ def merge_intervals(iv: DataFrame, partition_by: list[str] | None = None, start:
     # passes from re-running the plan that found them.
     iv = cut_lineage(iv.select(*[q(k) for k in keys], start, end, cls, place.cast("int").alias("__so"),
                                kind.cast("int").alias("__co")), "intervals")
+    if bucket == "auto":
+        bucket = choose_bucket(iv, start, keys)
     if classes is None:
         return _merge_generic(iv, keys, start, end, cls, bucket)
     classes = tuple(classes)

@@ -107,7 +107,7 @@ def ts_label(c: Column) -> Column:
 
 
 def positional_window(df: DataFrame, ts: str, start: int, order: list[str] | None = None,
-                      partition_by: list[str] | None = None, bucket: str = "day") -> DataFrame:
+                      partition_by: list[str] | None = None, bucket: str = "auto") -> DataFrame:
     """P10: rows [start, start + size) in time order, size = max(200, n // 10).
 
     ``start`` is clamped to [0, max(0, n - size)].  Row positions come from
@@ -131,7 +131,7 @@ def positional_window(df: DataFrame, ts: str, start: int, order: list[str] | Non
 
 
 def minmax_downsample(df: DataFrame, ts: str, value: str = "value", n: int = DEFAULT_POINTS,
-                      partition_by: list[str] | None = None, bucket: str = "day") -> DataFrame:
+                      partition_by: list[str] | None = None, bucket: str = "auto") -> DataFrame:
     """About ``n`` points per series from its valid rows.
 
     Valid rows are numbered in (ts, value) order and cut into n // 2
@@ -187,7 +187,7 @@ def _lttb_indices(x: np.ndarray, y: np.ndarray, n_out: int) -> np.ndarray:
 
 
 def lttb_downsample(df: DataFrame, ts: str, value: str = "value", n: int = DEFAULT_POINTS,
-                    partition_by: list[str] | None = None, bucket: str = "day") -> DataFrame:
+                    partition_by: list[str] | None = None, bucket: str = "auto") -> DataFrame:
     """Min-max preselection to 4n points (distributed), then LTTB per series.
 
     The Python step sees at most ~4n + 2 rows per series (bounded group),

@@ -26,8 +26,8 @@ MARKED_SQL = (f"SELECT event_type, ts, CASE WHEN value > 200 THEN -999999.0 ELSE
               f"FROM ({EVENTS_MINUTE_SQL})")
 
 
-def interval_ctes(src_sql: str, ts: str, keys: list[str], values: list[str] | str) -> str:
-    """CTEs over a source series: f (filled), fr (resolution with fallback),
+def interval_ctes(src_sql: str, ts: str, keys: list[str], values: list[str] | str, clip: str = "true") -> str:
+    """CTEs (runs and extrema of the rows that meet ``clip``) over a source series: f (filled), fr (resolution with fallback),
     bad (runs), merged (intervals), ext (overall extrema); keyed or single-axis."""
     kc = "".join(f"{k}, " for k in keys)
     pk = f"PARTITION BY {', '.join(keys)} " if keys else ""
@@ -43,7 +43,7 @@ def interval_ctes(src_sql: str, ts: str, keys: list[str], values: list[str] | st
     hits = " UNION ALL ".join(
         f"""SELECT {''.join(f'f.{k}, ' for k in keys)}'{v}' AS series, {ts},
         CASE WHEN {v} = 999999.0 THEN 'red' ELSE 'orange' END AS class,
-        res_us, res_us / 1e6 + 0.5 AS thr FROM f JOIN fr {{using}} WHERE {v} IN (999999.0, -999999.0)""" for v in values)
+        res_us, res_us / 1e6 + 0.5 AS thr FROM f JOIN fr {{using}} WHERE {v} IN (999999.0, -999999.0) AND {clip}""" for v in values)
     valid = lambda agg, v: f"{agg}(CASE WHEN {v} BETWEEN -999998.0 AND 999998.0 THEN {v} END)"
     y_min = valid("min", values[0]) if len(values) == 1 else "least(" + ", ".join(valid("min", v) for v in values) + ")"
     y_max = valid("max", values[0]) if len(values) == 1 else "greatest(" + ", ".join(valid("max", v) for v in values) + ")"
@@ -76,7 +76,7 @@ md AS (SELECT *, max("end") OVER ({part('run')}ORDER BY o
 me AS (SELECT *, sum(CASE WHEN pm IS NULL OR start > pm THEN 1 ELSE 0 END)
         OVER ({pk}ORDER BY o ROWS UNBOUNDED PRECEDING) AS g FROM md),
 merged AS (SELECT {kc}min(start) AS start, max("end") AS "end", min(class) AS class FROM me GROUP BY {kc}g),
-ext AS (SELECT {kc}{y_min} AS y_min, {y_max} AS y_max FROM f GROUP BY {grp})"""
+ext AS (SELECT {kc}{y_min} AS y_min, {y_max} AS y_max FROM f WHERE {clip} GROUP BY {grp})"""
 
 
 def filled_ctes() -> str:
@@ -248,7 +248,24 @@ def q_chart_points(spark, d):
     return c.points
 
 
+CHART_LO, CHART_HI = "1993-06-15", "1996-03-31"
+
+
+def _chart(spark, d):
+    from chronoweave.plans.chart import series_query
+    return series_query(orders_filled(spark, d), [*AXIS_SERIES, "no_such"], "o_orderdate", CHART_LO, CHART_HI, n=100)
+
+
+def q_chart_boxes(spark, d):
+    return _chart(spark, d).boxes.select("start", "end", "class", r6("y_low"), r6("y_high"))
+
+
 QUERIES = {
+    "chart_extrema": lambda s, d: _chart(s, d).extrema.select("series", r6("min"), r6("max")),
+    "chart_overall": lambda s, d: _chart(s, d).overall.select(r6("y_min"), r6("y_max"), r6("marker_level")),
+    "chart_markers": lambda s, d: _chart(s, d).markers.select("series", "o_orderdate", "class", r6("y")),
+    "chart_boxes": q_chart_boxes,
+    "chart_bounds": lambda s, d: _chart(s, d).bounds,
     "bad_runs_axis": q_bad_runs_axis,
     "merge_intervals_axis": q_merge_intervals_axis,
     "interval_boxes_axis": q_interval_boxes_axis,
@@ -288,9 +305,18 @@ def _minmax_ctes(src: str, key: str, ts: str, n: int) -> str:
 
 _F = f"WITH {filled_ctes()}\n"
 _A = f"WITH {interval_ctes(MARKED_AXIS_SQL, 'o_orderdate', [], AXIS_SERIES)}\n"
+_CLIP = f"o_orderdate BETWEEN TIMESTAMP '{CHART_LO}' AND TIMESTAMP '{CHART_HI}'"
+_C = f"WITH {interval_ctes(MARKED_AXIS_SQL, 'o_orderdate', [], AXIS_SERIES, _CLIP)}\n"
 _PROFILE_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 ORACLE = {
+    "chart_extrema": _C + " UNION ALL ".join(
+        f"""SELECT '{c}' AS series, round(min({c}), 6) AS "min", round(max({c}), 6) AS "max" FROM f
+        WHERE {_CLIP} AND {c} BETWEEN -999998.0 AND 999998.0 HAVING count(*) > 0""" for c in AXIS_SERIES),
+    "chart_overall": _C + "SELECT round(y_min, 6) AS y_min, round(y_max, 6) AS y_max, round(coalesce(y_min, 0.0), 6) AS marker_level FROM ext",
+    "chart_markers": _C + "SELECT series, o_orderdate, class, round(coalesce(y_min, 0.0), 6) AS y FROM h CROSS JOIN ext",
+    "chart_boxes": _C + """SELECT start, "end", class, round(y_min, 6) AS y_low, round(y_max, 6) AS y_high FROM merged CROSS JOIN ext""",
+    "chart_bounds": _C + "SELECT min(o_orderdate) AS ts_min, max(o_orderdate) AS ts_max FROM f",
     "bad_runs_axis": _A + 'SELECT series, start, "end", class FROM bad',
     "merge_intervals_axis": _A + 'SELECT start, "end", class FROM merged',
     "interval_boxes_axis": _A + """SELECT start, "end", class, round(y_min, 6) AS y_low, round(y_max, 6) AS y_high

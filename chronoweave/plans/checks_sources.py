@@ -12,7 +12,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from chronoweave.operators import clean
+from chronoweave.plans import steps
 from chronoweave.plans.checks_common import r6, table
+from chronoweave.plans.checks_gaps import _fill_sql
+from chronoweave.plans.checks_meta import DICT, dictionary_rows
 from chronoweave.session import checkpoint_dir
 from chronoweave.sources import files
 
@@ -65,7 +68,102 @@ def q_materialize_table(spark, d):
         .select("ts_month", "n", r6("value_sum"))
 
 
+def _yearly_files(spark, d, name):
+    """One CSV per order year, named after it, as monthly exports are."""
+    base = _scratch(spark, name)
+    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"),
+                                         "o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
+    o.repartition("year").write.partitionBy("year").csv(os.path.join(base, "parts"), header=True)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(path(os.path.join(base, "parts", "year=*"))):
+        year = folder.getPath().getName().split("=")[1]
+        for i, part in enumerate(fs.globStatus(path(folder.getPath().toString() + "/part-*.csv"))):
+            fs.rename(part.getPath(), path(os.path.join(base, f"orders_{year}_{i}.csv")))
+    return base
+
+
+def q_select_files(spark, d):
+    """Files by pattern, without the years 1995 (a list of globs), then one year by filter."""
+    base = _yearly_files(spark, d, "by-year")
+    some = files.select_files(spark, [os.path.join(base, "orders_199[^5]*.csv"), os.path.join(base, "orders_20*.csv")])
+    one = files.select_files(spark, os.path.join(base, "*.csv"), year_filter="1995", max_files=100)
+    df = files.scan_union(spark, some + one, with_file=True)
+    return df.select("Timestamp", "o_orderkey", r6("o_totalprice"), F.col("_source_file").substr(1, 11).alias("file"))
+
+
+def q_raw_load(spark, d):
+    """Cleaning switched off: all files as they are, unreadable times NULL."""
+    base = _scratch(spark, "raw")
+    dirty_orders(spark, d).withColumnRenamed("O_ORDERDATE", "Timestamp").write.csv(base, header=True)
+    raw = files.raw_load(spark, files.select_files(spark, os.path.join(base, "*.csv")))
+    out, _ = steps.run_steps(raw, {"run_enabled": False})
+    return out.select("o_orderkey", "Timestamp", "o_totalprice")
+
+
+def q_first_csv(spark, d):
+    """A folder's first CSV; its first column holds times only, so it becomes a time column."""
+    base = _scratch(spark, "first")
+    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("when"), "o_orderkey")
+    o.coalesce(1).write.csv(base, header=True)
+    df, _ = files.read_first_csv(spark, base)
+    return df.select("when", "o_orderkey")
+
+
+def _dictionary_file(spark, d):
+    """The event dictionary as one JSON object, keys in order of (code, key)."""
+    base = _scratch(spark, "dictionary")
+    pairs = F.array_sort(F.collect_list(F.struct("code", "key")))
+    rows = dictionary_rows(spark, d).agg(F.to_json(F.map_from_entries(
+        F.transform(pairs, lambda p: F.struct(p["key"], p["code"])))).alias("value"))
+    rows.write.text(base)
+    return base
+
+
+def q_event_dictionary(spark, d):
+    return files.read_event_dictionary(spark, _dictionary_file(spark, d))
+
+
+def q_event_groups_file(spark, d):
+    """Grouped dictionary built from the dictionary file because it is absent, then read from its file."""
+    path = _scratch(spark, "groups")
+    source = _dictionary_file(spark, d)
+    files.ensure_event_groups(spark, source, path)
+    g = files.ensure_event_groups(spark, source, path)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return g.select("component", "name", *[text(c) for c in ("raw_columns", "raw_encoded", "from_to_columns", "from_to_encoded")])
+
+
+FREQUENCY = "MG-LV-MSB_Frequency"
+RUN_CONFIG = {
+    "run_enabled": True,
+    "available_functions": {name: {"enabled": name != "load_and_process_data"} for name in steps.STEP_ORDER},
+}
+
+
+def q_clean_pipeline(spark, d):
+    """The whole cleaning run from CSV files, every step acting: unreadable times are dropped, a day's orders
+    averaged, the fault value of every fifth day removed, missing days filled, the time column renamed."""
+    base = _scratch(spark, "run")
+    day = F.dayofmonth("o_orderdate")
+    o = table(spark, d, "orders").select(
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("bad"))
+         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("TIMESTAMP"), "o_totalprice",
+        F.when(day % 5 == 0, F.lit(clean.DEFAULT_FAULT_SENTINELS[0])).otherwise(F.col("o_totalprice") - 7).alias(FREQUENCY))
+    o.write.csv(base, header=True)
+    raw = files.scan_union(spark, files.select_files(spark, os.path.join(base, "*.csv")), ts="TIMESTAMP")
+    out, _ = steps.run_steps(raw, RUN_CONFIG, ts="TIMESTAMP")
+    return clean.normalize_ts(out, "Timestamp").select("Timestamp", r6("o_totalprice"),
+                                                       F.round(F.col(f"`{FREQUENCY}`"), 6).alias("frequency"))
+
+
 QUERIES = {
+    "select_files": q_select_files,
+    "raw_load": q_raw_load,
+    "first_csv": q_first_csv,
+    "event_dictionary": q_event_dictionary,
+    "event_groups_file": q_event_groups_file,
+    "clean_pipeline": q_clean_pipeline,
     "scan_union": q_scan_union,
     "drop_invalid_ts": q_drop_invalid_ts,
     "normalize_ts": q_normalize_ts,
@@ -73,7 +171,21 @@ QUERIES = {
     "materialize_table": q_materialize_table,
 }
 
+_RUN_SQL = """SELECT "Timestamp", o_totalprice, CASE WHEN abs(f + 327.679993) <= 1e-6 THEN NULL ELSE f END AS frequency FROM (
+    SELECT o_orderdate AS "Timestamp", avg(o_totalprice) AS o_totalprice,
+           avg(CASE WHEN day(o_orderdate) % 5 = 0 THEN CAST(-327.679993 AS DOUBLE) ELSE o_totalprice - 7 END) AS f
+    FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1)"""
+
 ORACLE = {
+    "select_files": """SELECT o_orderdate AS "Timestamp", o_orderkey, round(o_totalprice, 6) AS o_totalprice,
+        'orders_' || CAST(year(o_orderdate) AS VARCHAR) AS file FROM orders""",
+    "raw_load": """SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderdate END AS "Timestamp",
+        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders""",
+    "first_csv": 'SELECT o_orderdate AS "when", o_orderkey FROM orders',
+    "event_dictionary": f"WITH {DICT} SELECT row_number() OVER (ORDER BY code, key) - 1 AS ord, key, code FROM k",
+    "event_groups_file": f"""WITH {DICT} SELECT component, component AS name, raw_columns, raw_encoded,
+        from_to_columns, from_to_encoded FROM grp""",
+    "clean_pipeline": _fill_sql(_RUN_SQL, '"Timestamp"', [], ["o_totalprice", "frequency"]),
     "scan_union": """SELECT o_orderdate AS "Timestamp", o_orderkey,
         CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN o_orderstatus END AS o_orderstatus, o_totalprice FROM orders""",
     "drop_invalid_ts": """SELECT o_orderkey, o_orderdate AS "O_ORDERDATE" FROM orders WHERE o_orderpriority <> '5-LOW'""",

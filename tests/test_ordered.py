@@ -37,7 +37,7 @@ def test_auto_bucket_refines_dense_key(spark):
     rows = [("hot", ts(i)) for i in range(3000)] + [("cold", ts(i * 86400)) for i in range(30)]
     df = frame(spark, rows, "k string, t timestamp_ntz")
     w = choose_bucket(df, "t", ["k"], target_rows=500)
-    assert w in ("minute", "10 seconds")
+    assert w in ("1 minute", "10 seconds")
     got = ordered_columns(df, "t", partition_by=["k"], bucket="auto", lag={"p": "t"})
     ref = df.select("*", F.lag("t").over(Window.partitionBy("k").orderBy("t")).alias("p"))
     assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
@@ -63,3 +63,27 @@ def test_fine_buckets_recursive_carry(spark):
                         F.row_number().over(w).cast("bigint").alias("c"),
                         F.max("v").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("m"))
         assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0
+
+
+def test_buckets_of_a_dense_day_grow_with_its_rows(spark):
+    from chronoweave.functions.ordered import choose_bucket
+    from chronoweave.functions.timecols import bucket_of
+    counts = []
+    for n in (400, 4_000, 40_000):
+        df = spark.range(n).select((F.lit("2024-01-01").cast("timestamp_ntz") + F.expr(f"make_dt_interval(0, 0, 0, id * {80_000 / n})"))
+                                   .alias("t"))
+        width = choose_bucket(df, "t", target_rows=500)
+        b = df.groupBy(bucket_of("t", width).alias("b")).count().agg(F.count("b"), F.max("count")).first()
+        assert b[1] <= 500
+        counts.append(b[0])
+    assert counts[0] == 1 and counts[1] >= 8 and counts[2] >= 80
+
+
+def test_a_dense_second_is_split(spark):
+    from chronoweave.functions.ordered import choose_bucket
+    df = spark.range(5000).select("id", (F.lit("2024-01-01").cast("timestamp_ntz")
+                                         + F.expr("make_dt_interval(0, 0, 0, id * 0.0001)")).alias("t"))
+    width = choose_bucket(df, "t", target_rows=500)
+    assert width == "10 milliseconds"
+    got = ordered_columns(df, "t", bucket=width, lag={"p": "id"}, cumsum={"c": F.lit(1).cast("bigint")})
+    assert all((r.p is None if r.id == 0 else r.p == r.id - 1) and r.c == r.id + 1 for r in got.collect())
