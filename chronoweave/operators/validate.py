@@ -100,6 +100,44 @@ def validate_rows(df: DataFrame, rules: list[Rule], key: str) -> DataFrame:
             .select("row_key", "v.rule", "v.column", "v.message"))
 
 
+# The manifest schema, as (section, field, type, required).  A "step"
+# row speaks of every entry of pipelineCleanData.available_functions.
+MANIFEST_FIELDS = (
+    ("metadata", "version", "str", True), ("metadata", "dataset", "str", True), ("metadata", "description", "str", True),
+    ("metadata", "date_created", "str", True), ("metadata", "type", "str", True), ("metadata", "components", "str", False),
+    ("metadata", "dictionary", "str", False), ("pipelineCleanData", "run_enabled", "bool", True),
+    ("pipelineCleanData", "available_functions", "seq", False),
+    ("step", "enabled", "bool", True), ("step", "module", "str", True), ("step", "func", "str", True),
+    ("step", "description", "str", True),
+)
+
+
+def validate_manifest_values(values: DataFrame) -> DataFrame:
+    """V1/V3 on manifests as they were written: (dataset, section, step, rule, field, message).
+
+    Input: one row per value (dataset, section, step, field, type, text), with
+    the value's own type, and one row with a NULL field per section or step
+    that is there at all.  A required field is missed where its section or
+    step is there but the field is not, or is empty; ``metadata`` must be there.
+    """
+    spark = values.sparkSession
+    schema = spark.createDataFrame([(s, f, t, r) for s, f, t, r in MANIFEST_FIELDS],
+                                   "section string, field string, want string, required boolean")  # a fixed few rows
+    there = values.select("dataset", "section", "step").unionByName(
+        values.select("dataset", F.lit("metadata").alias("section"), F.lit(None).cast("string").alias("step"))).distinct()
+    asked = there.join(F.broadcast(schema), "section")
+    found = values.where(F.col("field").isNotNull()).select("dataset", "section", F.coalesce("step", F.lit("")).alias("s"),
+                                                            "field", "type", "text")
+    j = asked.withColumn("s", F.coalesce("step", F.lit(""))).join(found, ["dataset", "section", "s", "field"], "left")
+    missing = F.col("required") & (F.col("type").isNull() | (F.col("type") == "null")
+                                   | ((F.col("type") == "str") & (F.trim("text") == "")))
+    wrong = F.col("type").isNotNull() & (F.col("type") != "null") & (F.col("type") != F.col("want"))
+    verdict = F.when(missing, F.lit("required")).when(wrong, F.lit("type"))
+    message = F.when(missing, F.concat("field", F.lit(" is required"))).otherwise(
+        F.concat("field", F.lit(" must be of type "), "want"))
+    return (j.where(missing | wrong).select("dataset", "section", "step", verdict.alias("rule"), "field", message.alias("message")))
+
+
 def manifest_rules() -> list[Rule]:
     """The manifest schema as rules over a flattened manifest table (V1-V4)."""
     return [

@@ -131,6 +131,38 @@ def manifests(spark, d):
         F.when(k % 5 == 0, F.lit("Events_Dictionary.json")).alias("dictionary"))
 
 
+def part_manifest_values(spark, d):
+    """Manifest values derived from part: one dataset per part, with a section or field absent, empty or of another type."""
+    p = table(spark, d, "part")
+    name, z = F.concat(F.lit("ds-"), F.col("p_partkey").cast("string")), F.col("p_size")
+    null = F.lit(None).cast("string")
+
+    def row(section, step, field, kind, text, when):
+        return F.when(when, F.struct(F.lit(section).alias("section"), (F.lit(step) if step else null).alias("step"),
+                                     (F.lit(field) if field else null).alias("field"),
+                                     (kind if kind is not None else null).alias("type"),
+                                     (text if text is not None else null).alias("text")))
+
+    s, b, always = F.lit("str"), F.lit("bool"), F.lit(True)
+    has = z % 4 != 0  # a cleaning section
+    rows = [
+        row("metadata", None, "version", F.when(z % 3 == 0, F.lit("float")).otherwise(s), F.lit("1.0"), always),
+        row("metadata", None, "dataset", s, F.col("p_name"), always),
+        row("metadata", None, "description", s, F.when(z % 5 == 0, F.lit(" ")).otherwise(F.col("p_type")), always),
+        row("metadata", None, "date_created", s, F.lit("2024-01-01"), z % 7 != 0),
+        row("metadata", None, "type", s, F.lit("TabularDataSet"), always),
+        row("pipelineCleanData", None, None, None, None, has),
+        row("pipelineCleanData", None, "run_enabled", F.when(z % 6 == 1, s).otherwise(b), F.lit("true"), has & (z % 9 != 1)),
+    ]
+    for step, k in (("merge_all_datasets", 2), ("rellenar_timestamps", 3)):
+        there = has & (z % k != 1)
+        rows.append(row("step", step, None, None, None, there))
+        rows += [row("step", step, f, b if f == "enabled" else s, F.lit("x"), there & (z % (k + i + 3) != 2))
+                 for i, f in enumerate(("enabled", "module", "func", "description"))]
+    every = F.filter(F.array(*rows), lambda x: x.isNotNull())
+    return p.select(name.alias("dataset"), F.explode(every).alias("v")).select("dataset", "v.*")
+
+
 def q_dataset_registry(spark, d):
     return registry.registry_from_manifests(manifests(spark, d), base_path="/datasets")
 
@@ -176,6 +208,7 @@ QUERIES = {
     "validate_types": lambda s, d: validate.validate_rows(table(s, d, "customer"), customer_rules("validate_types"), "c_custkey"),
     "validate_conditional": lambda s, d: validate.validate_rows(table(s, d, "customer"), customer_rules("validate_conditional"), "c_custkey"),
     "dataset_registry": q_dataset_registry,
+    "validate_manifests": lambda s, d: validate.validate_manifest_values(part_manifest_values(s, d)),
 }
 
 # ---------------------------------------------------------------- oracle SQL
@@ -254,7 +287,27 @@ MANIFESTS = """m AS (SELECT replace(n_name, ' ', '-') AS dataset, '1.0' AS versi
     CASE WHEN n_nationkey % 3 = 0 THEN 'TabularDataSet' WHEN n_nationkey % 3 = 1 THEN 'EventEncodedDataSet' END AS type,
     CASE WHEN n_nationkey % 5 = 0 THEN 'Events_Dictionary.json' END AS dictionary FROM nation)"""
 
+def _manifest_sql() -> str:
+    """Violations of part_manifest_values, field by field."""
+    def need(section, step, field, cond):
+        return (f"SELECT 'ds-' || CAST(p_partkey AS VARCHAR) AS dataset, '{section}' AS section, "
+                f"{repr(step) if step else 'CAST(NULL AS VARCHAR)'} AS step, 'required' AS rule, '{field}' AS field, "
+                f"'{field} is required' AS message FROM part WHERE {cond}")
+
+    out = [need("metadata", None, "description", "p_size % 5 = 0"), need("metadata", None, "date_created", "p_size % 7 = 0"),
+           need("pipelineCleanData", None, "run_enabled", "p_size % 4 <> 0 AND p_size % 9 = 1")]
+    typed = need("metadata", None, "version", "p_size % 3 = 0") + " UNION ALL " + \
+        need("pipelineCleanData", None, "run_enabled", "p_size % 4 <> 0 AND p_size % 9 <> 1 AND p_size % 6 = 1")
+    typed = typed.replace("'required'", "'type'").replace("version is required", "version must be of type str") \
+        .replace("run_enabled is required", "run_enabled must be of type bool")
+    for step, k in (("merge_all_datasets", 2), ("rellenar_timestamps", 3)):
+        out += [need("step", step, f, f"p_size % 4 <> 0 AND p_size % {k} <> 1 AND p_size % {k + i + 3} = 2")
+                for i, f in enumerate(("enabled", "module", "func", "description"))]
+    return " UNION ALL ".join([*out, typed])
+
+
 ORACLE = {
+    "validate_manifests": _manifest_sql(),
     "catalogue_flat": f"WITH {NATION_CAT} SELECT * FROM nc",
     "measure_options": f"WITH {PART_CAT} SELECT * FROM opts",
     "measure_options_fallback": f"""WITH {PART_CAT}, {NATION_CAT},

@@ -115,3 +115,25 @@ def test_chart_reads_only_the_months_it_shows_and_writes_nothing_unasked(spark,
     if shared:
         assert set(os.listdir(shared)) == seen
     assert c.boxes.count() == 0
+
+
+def test_manifest_values_keep_their_types(spark, tmp_path):
+    from chronoweave.operators.validate import validate_manifest_values
+    from chronoweave.sources.registry import read_manifest_values, scan_datasets
+    (tmp_path / "a set").mkdir()
+    (tmp_path / "a set" / "control_dataset.yml").write_text(
+        "metadata: {version: 1.0, dataset: a, description: '', date_created: '2024', type: TabularDataSet}\n"
+        "pipelineCleanData:\n  run_enabled: 'yes'\n  available_functions:\n"
+        "    - merge_all_datasets: {enabled: true, module: m, func: f, description: d}\n"
+        "    - rellenar_timestamps: {enabled: 1, module: m}\n")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "control_dataset.yml").write_text("other: 1\nmetadata: {}\n")
+    got = {(r.dataset, r.section, r.step, r.rule, r.field) for r in
+           validate_manifest_values(read_manifest_values(spark, str(tmp_path))).collect()}
+    assert {g[1:] for g in got if g[0] == "a set"} == {
+        ("metadata", None, "type", "version"), ("metadata", None, "required", "description"),
+        ("pipelineCleanData", None, "type", "run_enabled"), ("step", "rellenar_timestamps", "type", "enabled"),
+        ("step", "rellenar_timestamps", "required", "func"), ("step", "rellenar_timestamps", "required", "description")}
+    assert {g[4] for g in got if g[0] == "empty"} == {"version", "dataset", "description", "date_created", "type"}
+    assert [r["name"] for r in scan_datasets(spark, str(tmp_path)).orderBy("name").collect()] == ["a set", "empty"]
+    assert scan_datasets(spark, str(tmp_path / "nowhere")).count() == 0
