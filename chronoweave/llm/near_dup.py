@@ -16,8 +16,11 @@ paired with everything:
 3. In large buckets of that kind, shingles that no other node there has bound
    what a node can share: J <= m / (n + n' - m) with m its shared shingles.
    Nodes that cannot reach the threshold with the smallest member leave the
-   bucket.  What stays is compared in chunks, members outside the largest
-   component against all members.
+   bucket.  The others carry a bitmap of the centre's shingles they hold; two
+   members share at most the common bits plus the smaller number of shared
+   shingles outside the centre.
+4. Members outside the largest component are compared with all members, in
+   chunks: sizes, signatures and those bounds leave the pairs to confirm.
 
 A signature estimate five deviations under the threshold drops a pair before
 its sets are fetched; every link is confirmed on the full sets.
@@ -184,8 +187,8 @@ class _Finder:
 
     def stars(self, buckets: DataFrame) -> DataFrame:
         """Pairs (a: centre, b: member) that sizes and signatures allow."""
-        centre = written(buckets.groupBy("key").agg(F.max(F.struct("meets", "node", "n", "sig")).alias("c")), "centres")
-        pairs = (buckets.join(centre, "key").where(F.col("node") != F.col("c.node"))
+        self.centre = written(buckets.groupBy("key").agg(F.max(F.struct("meets", "node", "n", "sig")).alias("c")), "centres")
+        pairs = (buckets.join(self.centre, "key").where(F.col("node") != F.col("c.node"))
                  .where(self.whole * F.least("n", "c.n") >= self.part * F.greatest("n", "c.n"))
                  .select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.sig").alias("sa"), F.col("sig").alias("sb")))
         least = self.estimate
@@ -198,8 +201,11 @@ class _Finder:
         return written(pairs.mapInArrow(close, "a binary, b binary").distinct(), "star-pairs")
 
     def thin(self, mixed: DataFrame) -> DataFrame:
-        """Large mixed buckets without the nodes that no other component there can reach."""
-        sets = self.sets(written(mixed.select("node").distinct(), "large-nodes"))
+        """Large mixed buckets without the nodes that no other component there can reach; the rest with their
+        bitmap over the bucket's centre (``bits``) and their shared shingles outside it (``extra``)."""
+        mixed = written(mixed.drop("bits", "extra").join(
+            self.centre.select("key", F.col("c.node").alias("centre")), "key"), "large-members")
+        sets = self.sets(written(mixed.select(F.explode(F.array("node", "centre")).alias("node")).distinct(), "large-nodes"))
         alone = (sets.select("node", F.explode("set").alias("x")).groupBy("x")
                  .agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where(F.col("c") == 1)
                  .groupBy("node").agg(F.count(F.lit(1)).alias("own")))
@@ -208,7 +214,29 @@ class _Finder:
         m = F.col("n") - F.coalesce("own", F.lit(0))
         # J >= part/whole with a set of n' shingles needs whole * m >= part * (n + n' - m)
         able = self.whole * m >= self.part * (F.col("n") + F.greatest("least_n", m) - m)
-        return known.where(able).drop("own", "least_n")
+        known = written(known.withColumn("shared", m).where(able).drop("own", "least_n"), "able-members")
+        pairs = known.select("centre", "node").distinct()
+        full = (pairs.join(sets.select("node", F.col("set").alias("sb")), "node")
+                .join(sets.select(F.col("node").alias("centre"), F.col("set").alias("sa")), "centre"))
+
+        def overlap(batches):
+            for b in batches:
+                bits, same = [], []
+                for x, y in zip(b.column("sa"), b.column("sb")):
+                    hit = np.isin(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False),
+                                  assume_unique=True)
+                    bits.append(np.packbits(hit).tobytes())
+                    same.append(int(hit.sum()))
+                yield pa.RecordBatch.from_arrays([b.column("centre"), b.column("node"), pa.array(bits, pa.binary()),
+                                                  pa.array(same, pa.int64())], ["centre", "node", "bits", "same"])
+
+        with batch_rows(self.spark, 64):
+            over = written(full.select("centre", "node", "sa", "sb")
+                           .mapInArrow(overlap, "centre binary, node binary, bits binary, same long"), "centre-bits")
+        # a centre's own shingles may be unshared, so what lies outside is at least 0
+        return (known.join(over, ["centre", "node"])
+                .withColumn("extra", F.greatest(F.col("shared") - F.col("same"), F.lit(0).cast("long")))
+                .drop("centre", "same", "shared"))
 
     def mixed(self, members: DataFrame) -> DataFrame:
         """Members of buckets with several components, with the bucket's size and whether a member is outside its largest one."""
@@ -216,13 +244,13 @@ class _Finder:
         kinds = written(sizes.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"),
                                                  F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1), "mixed-keys")
         return written(members.drop("size").join(kinds, "key").select(
-            "key", "node", "n", "sig", "comp", "size", (F.col("comp") != F.col("top.comp")).alias("out"),
+            "key", "node", "n", "sig", "comp", "bits", "extra", "size", (F.col("comp") != F.col("top.comp")).alias("out"),
             (F.col("size") - F.col("top.c")).alias("outs")), "mixed")
 
     def cross(self, mixed: DataFrame) -> DataFrame:
         """Pairs of different components within buckets, chunk against chunk, that sizes and signatures allow."""
         k_out, k_all = F.ceil(F.col("outs") / CHUNK_OUT), F.ceil(F.col("size") / CHUNK_ALL)
-        row = F.struct("node", "n", "sig", "comp")
+        row = F.struct("node", "n", "sig", "comp", "bits", "extra")
         here = lambda k: F.pmod(F.xxhash64("node"), k)
         out = (mixed.where("out").select("key", row.alias("r"), here(k_out).alias("i"),
                                          F.explode(F.sequence(F.lit(0).cast("long"), k_all - 1)).alias("j"))
@@ -235,16 +263,24 @@ class _Finder:
         def read(v):
             v = v.values
             sig = np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint8).reshape(len(v), -1)
-            return v.field("node").to_pylist(), v.field("n").to_numpy(), sig, v.field("comp").to_pylist()
+            bits = None
+            if not v.field("bits").null_count:
+                bits = np.unpackbits(np.frombuffer(b"".join(v.field("bits").to_pylist()), np.uint8).reshape(len(v), -1),
+                                     axis=1).astype(np.float32)
+            return v.field("node").to_pylist(), v.field("n").to_numpy(), sig, v.field("comp").to_pylist(), bits, v.field("extra")
 
         def compare(batches):
             for b in batches:
                 a_, b_ = [], []
                 for x, y in zip(b.column("outs"), b.column("members")):
-                    (n1, c1, s1, k1), (n2, c2, s2, k2) = read(x), read(y)
+                    (n1, c1, s1, k1, b1, e1), (n2, c2, s2, k2, b2, e2) = read(x), read(y)
+                    e1, e2 = (e.to_numpy(zero_copy_only=False) for e in (e1, e2))
                     for i in range(len(n1)):
                         ok = (s2 == s1[i]).mean(axis=1) >= least
                         ok &= whole * np.minimum(c1[i], c2) >= part * np.maximum(c1[i], c2)
+                        if b1 is not None and b2 is not None:  # both of a large bucket, over the same centre
+                            most = b2 @ b1[i] + np.minimum(e1[i], e2)
+                            ok &= whole * most >= part * (c1[i] + c2 - most)
                         for j in np.flatnonzero(ok).tolist():
                             if k1[i] != k2[j]:
                                 a_.append(min(n1[i], n2[j]))
@@ -262,7 +298,8 @@ class _Finder:
         links = self.confirm(stars)
         comp = components(links)
         members = self.mixed(buckets.join(comp, "node", "left")
-                             .withColumn("comp", F.coalesce("comp", "node")))
+                             .withColumn("comp", F.coalesce("comp", "node"))
+                             .withColumn("bits", F.lit(None).cast("binary")).withColumn("extra", F.lit(None).cast("long")))
         large = members.where(F.col("size") > LARGE_BUCKET)
         if large.limit(1).count():
             rest = self.mixed(written(self.thin(large), "thinned"))
