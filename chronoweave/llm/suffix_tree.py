@@ -2,20 +2,27 @@
 
 Tokens are lower-cased words and one end token per text; the end token also
 stands before the first word, as its context.  A context of d words is a
-candidate when it makes up at least ``context_share`` of all training tokens.
-Its next-token counts are gathered over the whole training corpus, one depth
-after the other.  A candidate becomes a state when the log-likelihood gained
-over its suffix beats half the log of its count per next token it names
-(divergence test); next tokens that make up at least ``token_share`` of the
-corpus are named, the others keep the suffix's distribution, rescaled.
+candidate when it was seen ``CONTEXT_SEEN`` times in training (in a corpus so
+small that ``context_share`` of its tokens is less, that often, at least
+twice).  Its next-token counts are gathered over the whole training corpus,
+one depth after the other, and each next token seen ``NEXT_SEEN`` times is
+named.  A candidate becomes a state when the log-likelihood gained over its
+suffix beats half the log of its count per next token it names (divergence
+test); next tokens it does not name keep the suffix's distribution, rescaled.
 Named probabilities are smoothed towards the suffix, down to the add-one
 unigram base.  A token is scored by the longest suffix of its history that is
 a state.
 
-Shares bound what a task must hold: at most 1/token_share frequent tokens and
-named next tokens per depth, whatever the corpus size.  Rarer tokens never
-enter a state's list, so they only need their own count, which a join brings
-to each text; a token rare in that sense cannot be a hot join key.
+Contexts, named next tokens and states grow with the corpus, so they are
+written tables, joined on 64-bit gram keys and never held by one process.
+What a state adds to a token's log probability depends on the gram of context
+and token alone: a state's rescaling belongs to its own gram, and a named
+token's difference from that to the gram one token longer.  A text's score is
+therefore the sum of the weights of its grams.  Weights of grams that make up
+a share of the corpus (at most 1/share of each length) are broadcast and
+summed where the text is read, which also takes the hot keys out of the join;
+the others are joined.  A bitmap of fixed size says which grams can be in a
+table at all; the joins decide.
 """
 
 from __future__ import annotations
@@ -27,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import bound_batches, crc_fold, written
-from chronoweave.llm.words import word_hashes
+from chronoweave.llm.common import bound_batches, crc_fold, shared_path, written
+from chronoweave.llm.words import mix, word_hashes
 
 END = np.uint64(0x656E642D6F66646F)
 FLUSH_TOKENS = 4_000_000
 PRIOR = 20.0
+CONTEXT_SEEN, NEXT_SEEN = 10, 2
+MAP_BITS = 27
+_B = 0xD1342543DE82EF95
+_B_INV = pow(_B, -1, 1 << 64)
 
 
 class Lookup:
@@ -81,7 +92,8 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Frequent tokens with their base probabilities, and the states of each depth."""
+    """The whole model in the memory of one process, for small corpora: tokens with their base probabilities, and the
+    states of each depth."""
 
     def __init__(self, keys: np.ndarray, train: np.ndarray, total: int, distinct: int):
         order = np.argsort(keys)
@@ -164,27 +176,6 @@ class Model:
         stays = keep[state]
         level["next"], level["next_log"] = pairs[stays], np.log10(smooth[stays])
 
-    def score(self, col: pa.Array) -> tuple[np.ndarray, ...]:
-        """Per row: tokens, frequent tokens seen in training, their base sum, the model's sum without rare tokens'
-        base terms; then the rare tokens' keys and row offsets into them."""
-        keys, off = tokens(col)
-        ids = self.lookup.find(keys)
-        hot = ids >= 0
-        base = np.where(hot, self.base[ids], 0.0) if len(self.base) else np.zeros(len(ids))
-        log = base.copy()
-        for level, state in zip(self.depths, self.histories(ids, off, len(self.depths))):
-            at = np.flatnonzero(state >= 0)
-            s, t = state[at], ids[at]
-            named = np.where(t >= 0, _sorted_find(level["next"], s * self.size + t), -1)
-            yes = named >= 0
-            log[at[yes]] = level["next_log"][named[yes]]
-            log[at[~yes]] += level["rest_log"][s[~yes]]
-        known = np.zeros(len(ids))
-        known[hot] = self.count[ids[hot]] > 0
-        per = lambda x: np.add.reduceat(x, off[:-1]) if len(off) > 1 else np.zeros(0)
-        rare = np.concatenate([[0], np.cumsum(~hot)])[off]
-        return np.diff(off), per(known).astype(np.int64), per(base), per(log), keys[~hot], rare
-
 
 def _emit(keys: list[np.ndarray], train: list[np.ndarray] | None = None):
     """One batch of distinct keys with their occurrences (and those in training)."""
@@ -230,18 +221,31 @@ def _next_tokens(shared, depth: int):
     return run
 
 
-def train(rows: DataFrame, depth: int, context_share: float, token_share: float) -> tuple[Model, DataFrame, int]:
-    """(model, counts of all tokens (key, c, t), training tokens) from rows (_text, _train)."""
-    spark = rows.sparkSession
+def least_seen(context_share: float, total: int) -> float:
+    """How often a context must be seen: a fixed count, less in a small corpus, whatever the size of a larger one."""
+    return max(2.0, min(float(CONTEXT_SEEN), context_share * total))
+
+
+def token_counts(rows: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """(counts of all tokens (key, c, t), tokens, training tokens, distinct training tokens) from rows (_text, _train)."""
     counts = written(rows.mapInArrow(_unigrams, "key long, c long, t long").groupBy("key")
                      .agg(F.sum("c").alias("c"), F.sum("t").alias("t")), "token-counts")
     all_ = counts.agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.sum((F.col("t") > 0).cast("long")).alias("v")).first()
-    total, distinct = all_["t"] or 0, all_["v"] or 0
-    hot = counts.where(F.col("c") >= max(1.0, token_share * (all_["c"] or 0))).select("key", "t").toArrow()
-    model = Model(hot["key"].to_numpy().view(np.uint64).copy(), hot["t"].to_numpy(), total, distinct)
-    least_context, least_token = max(2.0, context_share * total), max(2.0, token_share * total)
+    return counts, all_["c"] or 0, all_["t"] or 0, all_["v"] or 0
+
+
+def train(rows: DataFrame, depth: int, context_share: float, token_share: float) -> tuple[Model, DataFrame, int]:
+    """(model, counts of all tokens (key, c, t), training tokens) from rows (_text, _train), the model in memory.
+
+    For corpora whose model fits the driver; ``gram_weights`` makes the same model as tables.
+    """
+    spark = rows.sparkSession
+    counts, _, total, distinct = token_counts(rows)
+    held = counts.select("key", "t").toArrow()
+    model = Model(held["key"].to_numpy().view(np.uint64).copy(), held["t"].to_numpy(), total, distinct)
+    least = least_seen(context_share, total)
     texts = rows.where("_train").select("_text")
-    grams = np.flatnonzero(model.count >= least_context).astype(np.int64)
+    grams = np.flatnonzero(model.count >= least).astype(np.int64)
     seen = model.count[grams]
     for d in range(1, depth + 1):
         if not len(grams):
@@ -249,16 +253,159 @@ def train(rows: DataFrame, depth: int, context_share: float, token_share: float)
         model.add_depth(grams, seen)
         shared = spark.sparkContext.broadcast(model)
         found = (texts.mapInArrow(_next_tokens(shared, d), "key long, c long").groupBy("key")
-                 .agg(F.sum("c").alias("c")).where(F.col("c") >= least_token).toArrow())
+                 .agg(F.sum("c").alias("c")).where(F.col("c") >= NEXT_SEEN).toArrow())
         pairs, seen = found["key"].to_numpy(), found["c"].to_numpy()
         order = np.argsort(pairs)
         pairs, seen = pairs[order], seen[order]
         model.learn(pairs, seen)
-        more = (seen >= least_context) & (pairs % model.size != model.end)
+        more = (seen >= least) & (pairs % model.size != model.end)
         grams, seen = pairs[more], seen[more]
     return model, counts, total
 
 
+def spread(keys: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' tokens with the end token before each, and the row of each."""
+    rows = len(off) - 1
+    row = np.repeat(np.arange(rows), np.diff(off) + 1)
+    out = np.empty(len(row), np.uint64)
+    first = off[:-1] + np.arange(rows)
+    rest = np.ones(len(row), bool)
+    rest[first] = False
+    out[first], out[rest] = END, keys
+    return out, row
+
+
+def windows(ext: np.ndarray, row: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, key) of each gram of ``m`` tokens within a row."""
+    start = np.flatnonzero(row[:len(row) - m + 1] == row[m - 1:]) if len(row) >= m else np.zeros(0, np.int64)
+    key = ext[start]
+    for j in range(1, m):
+        key = key * np.uint64(_B) + ext[start + j]
+    return start, key
+
+
+def _map_place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = mix(keys) >> np.uint64(64 - MAP_BITS)
+    return (place >> np.uint64(6)).astype(np.int64), place & np.uint64(63)
+
+
+def key_map(keys: DataFrame) -> np.ndarray:
+    """Bitmap of the places of the table's ``key`` column: 2 ** MAP_BITS bits at any number of keys."""
+    def run(batches):
+        for b in batches:
+            word, bit = _map_place(b.column("key").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit).view(np.int64))], ["word", "bits"])
+
+    got = keys.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _mapped(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    word, bit = _map_place(keys)
+    return (bits[word] >> bit & np.uint64(1)).astype(bool)
+
+
+def _gram_counts(shared, d: int):
+    """Counts of the grams of ``d`` + 1 tokens whose first ``d`` can be a candidate, with their last and first token."""
+    def emit(keys, last, first):
+        u, at, c = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+        last, first = np.concatenate(last)[at], np.concatenate(first)[at]
+        order = np.argsort(last)  # equal values side by side compress
+        u, c, last, first = u[order], c[order], last[order], first[order]
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(last.view(np.int64)),
+                                           pa.array(first.view(np.int64)), pa.array(c.astype(np.int64))],
+                                          ["key", "last", "first", "c"])
+
+    def run(batches):
+        bits, keys, last, first, n = shared.value, [], [], [], 0
+        for b in batches:
+            ext, row = spread(*tokens(b.column("_text")))
+            start, key = windows(ext, row, d + 1)
+            ok = _mapped(bits, (key - ext[start + d]) * np.uint64(_B_INV))
+            start, key = start[ok], key[ok]
+            keys.append(key)
+            last.append(ext[start + d])
+            first.append(ext[start])
+            n += len(key)
+            if n >= FLUSH_TOKENS:
+                yield emit(keys, last, first)
+                keys, last, first, n = [], [], [], 0
+        if n:
+            yield emit(keys, last, first)
+    return run
+
+
+def _gram_parts(d: int):
+    """Each gram's context (without its last token) and suffix (without its first)."""
+    high = np.uint64(pow(_B, d, 1 << 64))
+
+    def run(batches):
+        for b in batches:
+            key, last, first = (b.column(c).to_numpy().view(np.uint64) for c in ("key", "last", "first"))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key"), pa.array(((key - last) * np.uint64(_B_INV)).view(np.int64)),
+                 pa.array((key - first * high).view(np.int64)), pa.array(last == END), b.column("c")],
+                ["key", "ctx", "suf", "ends", "c"])
+    return run
+
+
+def _release(spark, *paths: str) -> None:
+    """Delete tables that later written tables have taken in, and let Spark's cleaner drop unreferenced shuffle files."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    spark._jvm.System.gc()
+
+
+def gram_weights(rows: DataFrame, counts: DataFrame, total: int, room: int, depth: int, context_share: float) -> DataFrame:
+    """(key, c, w): the states' grams with their training counts and what each adds to a log10 probability.
+
+    A gram seen as often as a named next token or a context must be has a
+    suffix seen as often, so one join on the suffix finds what the next
+    shorter context says of the same token.
+    """
+    spark = rows.sparkSession
+    least = least_seen(context_share, total)
+    texts = rows.where("_train").select("_text")
+    lower = counts.select("key", F.log10((F.col("t") + 1) / F.lit(float(room))).alias("chance"))
+    contexts = counts.where(F.col("t") >= least).select("key", F.col("t").alias("seen"))
+    out, before = None, []
+    for d in range(1, depth + 1):
+        shared = spark.sparkContext.broadcast(key_map(contexts))
+        found = (texts.mapInArrow(_gram_counts(shared, d), "key long, last long, first long, c long").groupBy("key")
+                 .agg(F.first("last").alias("last"), F.first("first").alias("first"), F.sum("c").alias("c"))
+                 .where(F.col("c") >= NEXT_SEEN)
+                 .mapInArrow(_gram_parts(d), "key long, ctx long, suf long, ends boolean, c long"))
+        up = lower.select(F.col("key").alias("suf"), F.col("chance").alias("up"))
+        at, named_at = shared_path(spark, f"lm-grams-{d}"), shared_path(spark, f"lm-named-{d}")
+        pairs = written(found.join(up, "suf").drop("suf"), "lm-grams", at)
+        told = pairs.groupBy("ctx").agg(
+            F.count(F.lit(1)).alias("named"), F.sum("c").alias("own"), F.sum(F.pow(F.lit(10.0), "up")).alias("suffix"),
+            F.sum(F.col("c") * (F.log("c") - F.col("up") * math.log(10))).alias("gain"))
+        left, seen = F.col("seen") - F.col("own"), F.col("seen").cast("double")
+        left_up = F.greatest(1 - F.col("suffix"), F.lit(1e-12))
+        gain = F.col("gain") - F.col("own") * F.log(seen) + F.when(left > 0, left * F.log(F.greatest(left, F.lit(1)) / seen / left_up)).otherwise(0.0)
+        rest = F.greatest(1 - (F.col("own") + PRIOR * F.col("suffix")) / (seen + PRIOR), F.lit(1e-12)) / left_up
+        states = written(told.join(contexts.withColumnRenamed("key", "ctx"), "ctx")
+                         .where(gain > 0.5 * F.log(F.greatest(seen, F.lit(2.0))) * F.col("named"))
+                         .select("ctx", "seen", F.log10(rest).alias("rest")), f"lm-states-{d}")
+        smooth = F.log10((F.col("c") + PRIOR * F.pow(F.lit(10.0), "up")) / (F.col("seen") + PRIOR))
+        weight = smooth - F.col("up") - F.col("rest")
+        here = written(states.select(F.col("ctx").alias("key"), F.col("seen").alias("c"), F.col("rest").alias("w"))
+                       .unionAll(pairs.join(states, "ctx").select("key", "c", weight.alias("w"))), f"lm-weights-{d}")
+        out = here if out is None else out.unionAll(here)
+        if d < depth:
+            lower = written(pairs.join(states, "ctx", "left").select("key", "c", "ends", F.coalesce(smooth, "up").alias("chance")),
+                            "lm-named", named_at)
+            contexts = lower.where((F.col("c") >= least) & ~F.col("ends")).select("key", F.col("c").alias("seen"))
+        _release(spark, at, *before)
+        before = [named_at]
+    # a gram of 2 tokens or more can be both a named token's and a state's
+    return out.groupBy("key").agg(F.max("c").alias("c"), F.sum("w").alias("w"))
+
+
 def score(docs: DataFrame, depth: int = 3, context_share: float = 1e-4, token_share: float = 5e-7, id_col: str = "doc_id",
           text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score per row.
@@ -268,34 +415,74 @@ def score(docs: DataFrame, depth: int = 3, context_share: float = 1e-4, token_sh
     in training, base_score is the add-one unigram log10 probability, score
     the suffix tree's.  A null or wordless text is its end token.  Repeated
     rows are trained on and scored as often as they occur; without training
-    rows every probability is 1 over one, so scores are 0.
+    rows every probability is 1 over one, so scores are 0.  Weights of
+    tokens and grams that make up ``token_share`` of all tokens are broadcast
+    (2 million of each length at most by default), others joined; this
+    changes no score.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
                        (crc_fold(id_col, folds) != held_out).alias("_train"))
-    model, counts, total = train(rows.select("_text", "_train"), depth, context_share, token_share)
-    shared = spark.sparkContext.broadcast(model)
+    counts, every, total, distinct = token_counts(rows)
+    room = total + distinct + 1
+    weights = gram_weights(rows, counts, total, room, depth, context_share)
+    facts = written(
+        counts.withColumnRenamed("c", "n").join(weights.select("key", F.col("c").alias("seen"), "w"), "key", "full").select(
+            "key", F.coalesce("w", F.lit(0.0)).alias("w"), F.col("n").isNotNull().alias("token"),
+            F.coalesce(F.log10((F.col("t") + 1) / F.lit(float(room))), F.lit(0.0)).alias("base"),
+            F.coalesce((F.col("t") > 0).cast("long"), F.lit(0).cast("long")).alias("known"),
+            (F.when(F.col("n").isNotNull(), F.col("n") >= max(1.0, token_share * every))
+             .otherwise(F.col("seen") >= max(1.0, token_share * total))
+             | (F.col("key") == F.lit(int(END)))).alias("hot")), "lm-facts")
+    hot = facts.where("hot").select("key", "w", "base", "known").toArrow()
+    order = np.argsort(hot["key"].to_numpy().view(np.uint64))
+    held = {c: hot[c].to_numpy()[order] for c in ("key", "w", "base", "known")}
+    cold = facts.where("not hot")
+    shared = spark.sparkContext.broadcast((Lookup(held["key"].view(np.uint64)), held["w"], held["base"], held["known"],
+                                           key_map(cold.where("not token"))))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        m = shared.value
+        lookup, w, base, known, bits = shared.value
         for b in batches:
-            n, known, base, log, rare, ends = m.score(b.column("_text"))
+            keys, off = tokens(b.column("_text"))
+            n = len(b)
+            per = lambda row, x: np.bincount(row, x, n).astype(float)
+            row = np.repeat(np.arange(n), np.diff(off))
+            at = lookup.find(keys)
+            yes, at = at >= 0, at[at >= 0]
+            # a word is a token and a context; the end token is one after the text and the other before it
+            sums = per(row[yes], base[at])
+            log, seen = sums + per(row[yes], w[at]), per(row[yes], known[at]).astype(np.int64)
+            rare_row, rare = [row[~yes]], [keys[~yes]]
+            ext, of = spread(keys, off)
+            for m in range(2, depth + 2):
+                start, key = windows(ext, of, m)
+                at = lookup.find(key)
+                yes = at >= 0
+                log += per(of[start[yes]], w[at[yes]])
+                start, key = start[~yes], key[~yes]
+                may = _mapped(bits, key)
+                rare_row.append(of[start[may]])
+                rare.append(key[may])
+            rare_row, rare = np.concatenate(rare_row), np.concatenate(rare)
+            rare = rare[np.argsort(rare_row, kind="stable")]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rare_row, minlength=n))])
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), b.column("_train"), pa.array(n), pa.array(known), pa.array(base), pa.array(log),
+                [b.column("_id"), b.column("_train"), pa.array(np.diff(off)), pa.array(seen), pa.array(sums), pa.array(log),
                  pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rare.view(np.int64)))],
                 ["_id", "_train", "n", "known", "base", "log", "rare"])
 
     parts = written(rows.mapInArrow(run, f"_id {kind}, _train boolean, n long, known long, base double, log double, "
                                          "rare array<bigint>").withColumn("row", F.monotonically_increasing_id()), "lm-parts")
-    rare = parts.select("row", F.explode("rare").alias("key")).join(counts.select("key", "t"), "key")
-    room = float(model.room)
-    sums = written(rare.groupBy("row").agg(F.sum(F.log10((F.col("t") + 1) / F.lit(room))).alias("rare_base"),
-                                           F.sum((F.col("t") > 0).cast("long")).alias("rare_known")), "lm-rare")
+    rare = parts.select("row", F.explode("rare").alias("key")).join(cold.select("key", "w", "base", "known"), "key")
+    sums = written(rare.groupBy("row").agg(F.sum("base").alias("rare_base"), F.sum("w").alias("rare_w"),
+                                           F.sum("known").alias("rare_known")), "lm-rare")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return parts.join(sums, "row", "left").select(
+    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
+    return parts.drop("rare").join(sums, "row", "left").select(
         F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), F.col("n").alias("n_tokens"),
         (F.col("known") + zero("rare_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("log") + F.coalesce("rare_base", F.lit(0.0))).alias("score"))
+        base.alias("base_score"),
+        (F.col("log") + F.coalesce("rare_base", F.lit(0.0)) + F.coalesce("rare_w", F.lit(0.0))).alias("score"))

@@ -242,6 +242,44 @@ def test_scores_match_a_slow_walk(spark):
         assert abs(got[r["doc_id"]] - slow_score(model, r["text"])) < 1e-6 * abs(got[r["doc_id"]])
 
 
+def follow_rows(n, length, vocabulary, seed):
+    """Texts in which each word has two likely successors of its own."""
+    rng = random.Random(seed)
+    names = [f"w{i}" for i in range(vocabulary)]
+    follow = {w: rng.choices(names, k=2) for w in names}
+    rows = []
+    for i in range(n):
+        t = [rng.choice(names)]
+        while len(t) < length:
+            t.append(rng.choice(follow[t[-1]]) if rng.random() < 0.9 else rng.choice(names))
+        rows.append((i, " ".join(t), "en", "a", 1))
+    return rows
+
+
+def test_contexts_need_a_fixed_count_whatever_the_corpus(spark):
+    # 300 words of about 170 occurrences each: under a share of 1e-2 (510 of 51,000 tokens) none would be a context
+    rows = follow_rows(300, 200, 300, 21)
+    df = frame(spark, rows).select(F.col("text").alias("_text"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).alias("_train"))
+    counts, _, total, distinct = suffix_tree.token_counts(df)
+    weights = suffix_tree.gram_weights(df, counts, total, total + distinct + 1, 3, 1e-2)
+    assert suffix_tree.least_seen(1e-2, total) == suffix_tree.least_seen(1e-2, 10**9) == suffix_tree.CONTEXT_SEEN
+    assert weights.join(counts, "key").count() > 250
+    out = [r for r in suffix_tree.score(frame(spark, rows), context_share=1e-2).collect() if r["held_out"]]
+    assert all(r["score"] > r["base_score"] + 50 for r in out)
+
+
+@pytest.mark.parametrize("share", [1e-9, 1.0])  # weights broadcast; all but the end token's joined
+def test_joined_and_broadcast_weights_match_the_slow_walk(spark, share):
+    rows = follow_rows(80, 60, 40, 22) + messy_rows()
+    df = frame(spark, rows).select(F.col("text").alias("_text"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2).alias("_train"))
+    model, _, _ = suffix_tree.train(df, 3, 1e-3, 5e-7)
+    assert all(len(level["next"]) for level in model.depths[:2])
+    got = sorted((r["doc_id"], round(r["score"], 5)) for r in
+                 suffix_tree.score(frame(spark, rows), context_share=1e-3, token_share=share).collect() if r["doc_id"] is not None)
+    want = sorted((r[0], round(slow_score(model, r[1] or ""), 5)) for r in rows if r[0] is not None)
+    assert len(got) == len(want) and all(i == j and abs(x - y) < 1e-3 for (i, x), (j, y) in zip(got, want))
+
+
 def test_lm_of_nothing_and_without_training(spark):
     assert suffix_tree.score(spark.createDataFrame([], DOCS)).count() == 0
     held = next(i for i in range(100) if crc_mod(i, 7) == 2)
