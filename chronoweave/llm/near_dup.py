@@ -312,13 +312,13 @@ class _Finder:
         return components(links.unionByName(more))
 
     def documents(self) -> DataFrame:
-        """(_id, _text_key, n, node, component_id) per row."""
+        """(_id, _text_key, n, node, comp, component_id) per row; comp names the class, which its smallest id need not."""
         least = self.sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("_id").alias("first"))
         first = written(least, "first-ids")
         comp = self.classes()
         named = written(first.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
         lowest = written(named.groupBy("comp").agg(F.min("first").alias("component_id")), "lowest")
-        named = written(named.join(lowest, "comp").select("node", "component_id"), "node-classes")
+        named = written(named.join(lowest, "comp").select("node", "comp", "component_id"), "node-classes")
         return (self.sketch.select("_id", "_text_key", "n", "node").join(named, "node", "left")
                 .withColumn("component_id", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id"))))
 
@@ -349,10 +349,10 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     are broadcast only up to ``BROADCAST_ROWS`` of them.
     """
     found = written(_Finder(docs, id_col, text_col, k, part, whole).documents().where(F.col("node").isNotNull())
-                    .drop("n", "node"), "classes")
-    best = written(found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_text_key"))
-                                                     .alias("s")), "stays")
-    drop = (found.join(best, found.component_id.eqNullSafe(best.component_id))
+                    .select("_id", "_text_key", "comp"), "classes")
+    best = written(found.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_text_key"))
+                                             .alias("s")), "stays")
+    drop = (found.join(best, "comp")
             .where(~(F.col("_id").eqNullSafe(F.col("s._id")) & (F.col("_text_key") == F.col("s._text_key"))))
             .select("_id", "_text_key").distinct())
     drop = _small(written(drop, "drops"))

@@ -135,6 +135,29 @@ def test_keep_leaves_one_row_of_each_class(spark):
     assert all(any((r[0], r[1]) == k for r in rows) for k in got)
 
 
+def class_texts(rows):
+    """Per brute-force class of rows with words, by class and not by id: its (id, text) pairs."""
+    sets, out = sets_of(rows), []
+    for r, s in zip(rows, sets):
+        near = [c for c in out if any(100 * len(s & t) >= 75 * len(s | t) for _, _, t in c)] if s else []
+        if s:
+            out = [c for c in out if not any(c is x for x in near)] + [[x for c in near for x in c] + [(r[0], r[1], s)]]
+    return [{(i, t) for i, t, _ in c} for c in out]
+
+
+def test_keep_counts_classes_not_ids(spark):
+    rng = random.Random(31)
+    twin = prose(rng, 40)
+    rows = [(None, prose(rng, 40), "en", "a", 1) for _ in range(6)]  # unrelated, without ids
+    rows += [(7, prose(rng, 40), "en", "a", 1) for _ in range(4)]  # unrelated, one id
+    rows += [(None, twin, "en", "a", 1), (None, twin, "en", "a", 1), (None, twin + " end", "en", "a", 1)]
+    rows += [(7, rows[0][1] + " end", "en", "a", 1), (9, rows[6][1] + " end", "en", "a", 1), (None, None, "en", "a", 1)]
+    got = [(r["doc_id"], r["text"]) for r in near_dup.keep(frame(spark, rows)).collect()]
+    classes = class_texts(rows)
+    assert len(classes) == 11 and len(got) == 12 and (None, None) in got
+    assert all(sum(k in c for k in got) == 1 for c in classes)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.keep(spark.createDataFrame([], DOCS)).count() == 0
     only = [(1, None, "en", "a", 1), (2, " ", "en", "a", 1)]
