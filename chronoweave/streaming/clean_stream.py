@@ -37,7 +37,8 @@ def clean_stream(stream: DataFrame, ts: str = "Timestamp", partition_by: list[st
 
 
 def late_rows(query) -> int:
-    """Rows a running or stopped query has left out so far because they came after the watermark."""
+    """Rows left out because they came after the watermark, in the recent batches whose progress the query still holds
+    (``spark.sql.streaming.numRecentProgressUpdates``, 100 by default); earlier batches are not counted."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
