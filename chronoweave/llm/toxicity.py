@@ -130,13 +130,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     At most ``rows`` texts of each class, those with the lowest id hashes, are
     used; each stands for its share of its class, so scores follow the class
-    shares of all labels.  An id labelled twice takes the larger label, an id
+    shares of all labels that name a row of ``docs``.  An id labelled twice takes the larger label, an id
     with several texts the smallest text; null ids and labels are left out.
     """
     spark = docs.sparkSession
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
              .groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_y"))
-             .where(crc_fold("_id", folds) != held_out))
+             .where(crc_fold("_id", folds) != held_out)
+             .join(docs.select(F.col(id_col).alias("_id")), "_id", "left_semi"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = None
     for y in (0, 1):

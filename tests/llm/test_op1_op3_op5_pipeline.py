@@ -357,6 +357,17 @@ def test_toxicity_of_nothing_and_without_labels(spark):
     assert {r["predicted"] for r in out} == {0} and len(out) == len(messy_rows())
 
 
+def test_toxicity_bound_counts_only_labels_of_rows_at_hand(spark, monkeypatch):
+    rows = [(i, prose(random.Random(i), 20), "en", "a", 1) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(2000)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda places, y, weight: seen.append((list(y), weight)))
+    toxicity.train(frame(spark, rows), labels, rows=5)
+    y, weight = seen[0]
+    usable = [sum(i % 2 == c and crc_mod(i, 4) != 2 for i in range(60)) for c in (0, 1)]
+    assert [y.count(c) for c in (0, 1)] == [5, 5] and [weight[c] * 5 for c in (0, 1)] == usable
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark):
