@@ -106,19 +106,23 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, max_documents: int |
 
     The document capacity defaults to ``size`` and the attention capacity to
     ``size**2``, the most that ``size`` tokens can ask for.  Pieces are cut
-    and written once, then dealt by hash into groups of about
-    ``GROUP_PIECES`` that fill their sequences apart from each other, so a
-    group leaves about one sequence part-full and no task holds more than a
-    group.  Every row is packed, repeated rows and null ids too; an empty or
+    and written once.  A piece of ``size`` tokens is a sequence of its own
+    (with a negative sequence_id); shorter ones are dealt by hash into groups
+    of about ``GROUP_PIECES`` that fill their sequences apart from each
+    other, so a group leaves about one sequence part-full and no task holds
+    more than a group.  Every row is packed, repeated rows and null ids too; an empty or
     null text is its end id.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     documents, attention = max_documents or size, max_attention or size * size
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = written(token_pieces(docs, tokenizer, size, end_id, id_col, text_col), "pieces")
-    n = pieces.where(F.col("length") < size).count()
+    # under a smaller attention capacity a full piece fits nowhere, which best_fit reports
+    whole = (F.col("length") == size) if attention >= size * size else F.lit(False)
+    short = pieces.where(~whole)
+    n = short.count()
     groups = max(1, math.ceil(n / GROUP_PIECES))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("_id", "piece", "ids_crc32", F.monotonically_increasing_id()),
+    dealt = short.withColumn("_group", F.pmod(F.xxhash64("_id", "piece", "ids_crc32", F.monotonically_increasing_id()),
                                                F.lit(groups)).cast("long"))
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -129,5 +133,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, max_documents: int |
         base = int(pdf["_group"].iloc[0]) << 32
         return pdf.drop(columns="_group").assign(sequence_id=base + place, offset=offset)
 
-    return (dealt.groupBy("_group").applyInPandas(fill, schema)
+    alone = pieces.where(whole).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return (dealt.groupBy("_group").applyInPandas(fill, schema).unionByName(alone)
             .select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))

@@ -141,3 +141,12 @@ def test_cache_holds_distinct_texts_and_only_misses_are_added(spark, tmp_path):
 
 def test_counts_of_nothing(spark):
     assert token_count.token_counts(spark.createDataFrame([], DOCS), TOKENIZER).count() == 0
+
+
+def test_full_pieces_stay_out_of_the_groups(spark):
+    from llm_helpers import prose
+    rows = [(i, prose(random.Random(i), 400), "en", "a", 1) for i in range(6)]
+    out = fit_packing.pack(frame(spark, rows), TOKENIZER, size=64).collect()
+    full = [r for r in out if r["length"] == 64]
+    assert len(full) > 20 and all((r["sequence_id"] < 0) == (r["length"] == 64) for r in out)
+    assert len({r["sequence_id"] for r in full}) == len(full) and {r["offset"] for r in full} == {0}
