@@ -35,6 +35,36 @@ def written(df: DataFrame, name: str, path: str | None = None, **options: str) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of this library's own in the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Tables:
+    """Intermediate tables of one operator, removed together at the end of a ``with`` block.
+
+    What the operator returns may only read tables written outside the block's
+    care (``keep=True``), since the others are gone by then.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Tables":
+        return self
+
+    def __exit__(self, *error) -> None:
+        for path in self.paths:
+            removed(self.spark, path)
+
+    def written(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        path = shared_path(self.spark, name)
+        if not keep:
+            self.paths.append(path)
+        return written(df, name, path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whichever file system it names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

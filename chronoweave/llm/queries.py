@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.llm import fit_packing, host_rules, inner_products, mixing, near_dup, suffix_tree, token_count, token_matrix, toxicity, url_filter
+from chronoweave.llm import (filter_audit, fit_packing, host_rules, importance, inner_products, mixing, near_dup, repeated_text, suffix_tree,
+                             token_count, token_matrix, toxicity, url_filter)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -56,6 +57,19 @@ def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), power=0.5, seed=MIX_SEED)
 
 
+def op11_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_text.remove_repeats(_table(spark, sf_dir, "documents"), window=200).drop("cuts")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), longest=1,
+                               buckets=10_000, min_words=20, percent=10, seed=2024)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -67,6 +81,9 @@ QUERIES = {
     "op8_token_matrices": op8_token_matrices,
     "op9_token_counts": op9_token_counts,
     "op10_poisson_mixing": op10_poisson_mixing,
+    "op11_repeated_strings": op11_repeated_strings,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _OP4 = """
@@ -157,4 +174,103 @@ SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy
 FROM times, unnest(range(1, n + 1)) AS e(copy)
 """
 
-ORACLES = {"op4_url_filter": _OP4, "op6_exact_top_k": _OP6, "op7_host_rules": _OP7, "op10_poisson_mixing": _OP10}
+_OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT r, doc_id, x, length(x) // 2 AS n FROM d),
+w AS (SELECT r, i, hash(substr(x, CAST(2 * i + 1 AS BIGINT), 400)) AS h
+      FROM n, unnest(range(0, n - 199)) AS u(i) WHERE n >= 200),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM w SEMI JOIN twice USING (h)),
+run AS (SELECT r, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM hit),
+span AS (SELECT r, k, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY r, k),
+keep AS (
+  SELECT r, k, b AS f, lead(a) OVER (PARTITION BY r ORDER BY a) AS t FROM span
+  UNION ALL SELECT r, 0, 0, min(a) FROM span GROUP BY r),
+rest AS (
+  SELECT r, string_agg(substr(x, CAST(2 * f + 1 AS BIGINT), CAST(2 * (coalesce(t, n) - f) AS BIGINT)), '' ORDER BY f) AS x
+  FROM keep JOIN n USING (r) GROUP BY r),
+gone AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest.x, n.x))) AS kept_sha256
+FROM n LEFT JOIN gone USING (r) LEFT JOIN rest USING (r)
+"""
+
+_OP12 = r"""
+WITH crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i) AS c
+    FROM range(256) AS u(i))),
+text_words AS (
+  SELECT 's' AS side, row_number() OVER () AS r, text FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), text FROM benchmark),
+words AS (
+  SELECT side, r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM text_words),
+kinds AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM words),
+hashed AS (
+  SELECT w, xor(4294967295, list_reduce(
+    list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+    lambda c, b: xor(t[xor(c % 256, b) + 1], c // 256), 4294967295)) % 10000 AS b
+  FROM kinds, crc),
+uses AS (SELECT side, r, b, count(*) AS c FROM words JOIN hashed USING (w) GROUP BY side, r, b),
+totals AS (SELECT b, coalesce(sum(c) FILTER (side = 's'), 0) AS s, coalesce(sum(c) FILTER (side = 't'), 0) AS t FROM uses GROUP BY b),
+alls AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM totals),
+gain AS (
+  SELECT b, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS g
+  FROM totals, alls),
+weights AS (SELECT r, sum(c) AS n, sum(c * g) AS weight FROM uses JOIN gain USING (b) WHERE side = 's' GROUP BY r),
+rows AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM documents),
+scored AS (
+  SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM rows LEFT JOIN weights USING (r)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS p,
+         count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS k FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND p <= k THEN CAST(p AS BIGINT) END AS rank FROM placed
+"""
+
+_OP13 = r"""
+WITH firsts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS first FROM documents GROUP BY 1),
+flags AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+          FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (
+  SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+m AS (
+  SELECT part, CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN coalesce(d.doc_id > first, false) THEN 'E' ELSE '' END AS fails,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d JOIN firsts USING (t) LEFT JOIN flags ON flags.doc_id = d.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(s AS INTEGER) AS step, filter_order[s] AS f, filter_order[1:s - 1] AS past
+          FROM orders, range(1, 6) AS u(s)),
+acts AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails,
+         len(list_intersect(string_split(fails, ''), string_split(past, ''))) > 0 AND fails <> '' AND past <> '' AS went,
+         contains(fails, f) AS hit FROM cells, steps),
+counts AS (
+  SELECT part, filter_order, step, f,
+    CAST(coalesce(sum(n) FILTER (NOT went AND NOT hit), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (NOT went AND hit), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (went AND hit), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (fails = f), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (NOT went AND hit), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (NOT went AND hit), 0) AS BIGINT) AS toxic_lost
+  FROM acts GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counts
+"""
+
+ORACLES = {"op4_url_filter": _OP4, "op6_exact_top_k": _OP6, "op7_host_rules": _OP7, "op10_poisson_mixing": _OP10,
+           "op11_repeated_strings": _OP11, "op12_importance_resampling": _OP12, "op13_filter_audit": _OP13}
