@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
+from functools import reduce
 
-def _key(k: str):
-    # never NULL itself, and a NULL key equals only a NULL key
-    return F.struct(F.col(f"`{k}`").isNull().alias("n"), F.col(f"`{k}`").alias("v"))
+from pyspark.sql import DataFrame, functions as F
 
 
 def join_on_keys(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` that keeps NULL keys.
+    """Null-safe equi-join on ``keys``; the result has the columns of ``big``, then the others of ``small``.
 
-    Grouping keeps a NULL key as a group, so its per-key result must find
-    its rows again (plain equality would drop them).  Each key becomes a
-    non-null (is-null, value) pair, so the join stays a plain equi-join
-    (hash or broadcast, no nested loop).  ``small`` is one row per key; AQE
-    broadcasts it once its runtime size is known.
+    Grouping keeps a NULL key as a group, so its per-key result must find its
+    rows again.  ``small`` is one row per key; AQE broadcasts it once its
+    runtime size is known.
     """
     names = [f"__jk{i}" for i in range(len(keys))]
-    b = big.select("*", *[_key(k).alias(n) for k, n in zip(keys, names)])
     rest = [F.col(f"`{c}`") for c in small.columns if c not in keys]
-    s = small.select(*[_key(k).alias(n) for k, n in zip(keys, names)], *rest)
-    return b.join(s, on=names, how=how).drop(*names)
+    s = small.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], *rest)
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    return big.join(s, on=same, how=how).drop(*names)

@@ -18,19 +18,23 @@ Features (each maps an output name to a source column or expression):
 * ``cumsum``         running sum including the current row
 * ``cummax_before``  running max over the rows strictly before the row
 
-The bucket width follows the data by default (``"auto"``, see
-``choose_bucket``), so that one bucket of one key fits a task at any size of
-the table.  A caller who knows the density can name a width and save that
-count.  The summary table has one row per (key, bucket).
+The buckets follow the data by default (``"auto"``, see ``time_buckets``):
+calendar months, cut finer for just those (key, month) spans that are too
+dense for one task.  A caller who knows the density can name a width, or hand
+on the ``Buckets`` of the table, and save that count.  The summary table has
+one row per (key, bucket).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chronoweave.functions.timecols import CALENDAR_UNITS, bucket_of
+from chronoweave.functions.joins import join_on_keys
+from chronoweave.functions.timecols import CALENDAR_UNITS, attach_scalars, bucket_of, clock_micros
+from chronoweave.session import cut_lineage
 
 _B, _R = "__cw_bucket", "__cw_rank"
 _UNB = Window.unboundedPreceding
@@ -45,7 +49,7 @@ def _q(name: str) -> Column:
 
 
 def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
-                    partition_by: list[str] | None = None, bucket: str = "auto",
+                    partition_by: list[str] | None = None, bucket: str | Buckets = "auto",
                     lag: dict | None = None, lead: dict | None = None,
                     cumsum: dict | None = None, cummax_before: dict | None = None,
                     bucket_col: Column | None = None) -> DataFrame:
@@ -54,12 +58,10 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
     ``order`` defaults to ``[ts]``; the bucket (``bucket_of(ts, bucket)``,
     or ``bucket_col`` when given) must be non-decreasing along ``order``.
     Rows with a null ``ts`` form their own bucket and are ordered on their own.
-    ``bucket="auto"`` counts rows per key and second first (one job).
+    ``bucket="auto"`` counts rows per key and month first (one job).
     """
     keys = list(partition_by or [])
     order = list(order or [ts])
-    if bucket == "auto" and bucket_col is None:
-        bucket = choose_bucket(df, ts, keys)
     feats = []
     for kind, mapping in (("lag", lag), ("lead", lead), ("cumsum", cumsum), ("cmax", cummax_before)):
         for out, src in (mapping or {}).items():
@@ -68,9 +70,12 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
         return df
     srcs = [s for _, _, s, _ in feats]
 
-    b = bucket_col if bucket_col is not None else bucket_of(ts, bucket)
+    if bucket_col is not None:
+        d, fine = df.withColumn(_B, bucket_col), None
+    else:
+        d, fine = with_bucket(df, ts, keys, bucket, tied=order == [ts])
     # one projection (each DataFrame step is analysed eagerly on the driver)
-    d = df.select("*", b.alias(_B), F.lit(1).alias(_R), *[e.alias(s) for _, _, s, e in feats])
+    d = d.select("*", F.lit(1).alias(_R), *[e.alias(s) for _, _, s, e in feats])
 
     # Per-bucket summary: partial aggregation shrinks it before its shuffle.
     okey = F.struct(*[_q(o) for o in order]) if len(order) > 1 else _q(order[0])
@@ -90,7 +95,6 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
     summary = d.groupBy(*part, _B).agg(*aggs)
 
     # Carry values across buckets: a window over the summary (one row per bucket).
-    fine = bucket_col is None and bucket not in CALENDAR_UNITS
     carry, before, after = _carries(summary, keys, feats, fine)
     pieces = [d]
     if before:
@@ -118,15 +122,15 @@ def ordered_columns(df: DataFrame, ts: str, *, order: list[str] | None = None,
 _SUPER = 4096  # buckets per super-bucket when the summary itself is split
 
 
-def _carries(summary: DataFrame, keys: list[str], feats, fine: bool):
+def _carries(summary: DataFrame, keys: list[str], feats, fine: Column | None):
     """Per-bucket carry columns: (before-row expressions, after-row expressions).
 
     With calendar buckets the summary has one row per (key, bucket) and a
-    window partitioned by key is small.  Fixed-width buckets can be many
-    (one per second over years), so the summary's own ordered problem is
-    solved with the same bucketed method, ``_SUPER`` buckets at a time.
+    window partitioned by key is small.  Finer buckets can be many (one per
+    second over years), so the summary's own ordered problem is solved with
+    the same bucketed method; ``fine`` says which buckets go together.
     """
-    if not fine:
+    if fine is None:
         ws = Window.partitionBy(*[_q(k) for k in keys]).orderBy(_B)
         before, after = [], []
         for _, kind, s, _ in feats:
@@ -139,16 +143,16 @@ def _carries(summary: DataFrame, keys: list[str], feats, fine: bool):
             else:
                 after.append(F.lead(s).over(ws).alias(s))
         return summary, before, after
-    fb = "__cw_fine_bucket"
-    sm = summary.select(*[F.col(f"`{k}`") for k in keys], F.col(_B).alias(fb),
+    fb, together = "__cw_fine_bucket", "__cw_together"
+    sm = summary.select(*[F.col(f"`{k}`") for k in keys], F.col(_B).alias(fb), fine.alias(together),
                         *[F.col(s).alias(f"{s}_v") for _, _, s, _ in feats])
     spec = {"lag": {}, "lead": {}, "cumsum": {}, "cmax": {}}
     for _, kind, s, _ in feats:
         spec[kind][f"{s}_c"] = F.col(f"{s}_v")
     c = ordered_columns(sm, fb, order=[fb], partition_by=keys,
-                        bucket_col=F.floor(F.col(fb) / F.lit(_SUPER)),
+                        bucket_col=F.col(together),
                         lag=spec["lag"], lead=spec["lead"], cumsum=spec["cumsum"],
-                        cummax_before=spec["cmax"]).withColumnRenamed(fb, _B)
+                        cummax_before=spec["cmax"]).withColumnRenamed(fb, _B).drop(together)
     before, after = [], []
     for _, kind, s, _ in feats:
         if kind == "cumsum":
@@ -163,7 +167,7 @@ def _carries(summary: DataFrame, keys: list[str], feats, fine: bool):
 
 def ordered_lag(df: DataFrame, col: str | Column, ts: str, out: str, *,
                 partition_by: list[str] | None = None, order: list[str] | None = None,
-                bucket: str = "auto") -> DataFrame:
+                bucket: str | Buckets = "auto") -> DataFrame:
     return ordered_columns(df, ts, order=order, partition_by=partition_by, bucket=bucket,
                            lag={out: col})
 
@@ -189,48 +193,140 @@ def ordered_row_number(df: DataFrame, ts: str, out: str, *, order: list[str],
                            cumsum={out: F.lit(1).cast("bigint")})
 
 
-# Candidate widths for ``bucket="auto"``, finest first, each a whole multiple of
-# the one before; the last two name calendar units.
-AUTO_SECONDS = (("1 second", 1), ("10 seconds", 10), ("1 minute", 60), ("15 minutes", 900), ("1 hour", 3600),
-                ("day", 86_400), ("month", 31 * 86_400))
-AUTO_MICROS = (("1 microsecond", 1), ("100 microseconds", 100), ("10 milliseconds", 10_000), ("100 milliseconds", 100_000))
 TARGET_ROWS = 2_000_000
+_WIDTH, _MONTH, _TIES = "__cw_width", "__cw_month", "__cw_ties"
+# Nested widths in microseconds, finest first: counted by the second, and by the microsecond where that is not enough.
+_BY_SECOND = (1_000_000, 60_000_000, 3_600_000_000, 86_400_000_000)
+_BY_MICRO = (1, 1_000)
 
 
-def choose_bucket(df: DataFrame, ts: str, partition_by: list[str] | None = None,
-                  target_rows: int = TARGET_ROWS) -> str:
-    """Coarsest bucket width whose densest (key, bucket) holds <= ``target_rows``.
+@dataclass(frozen=True)
+class Buckets:
+    """How the time axis of a table is cut, by key.
 
-    One distributed aggregate: rows per (key, second), counted with a
-    map-side combine, are summed width by width, and one row of maxima
-    reaches the driver.  Only if a single second is too dense, finer widths
-    are counted the same way.  A key that holds a third of all rows but
-    spreads over time is split into many buckets; one that is dense in time
-    gets a finer width.  A time stamp cannot be split: rows of one key that
-    share it stay together.
+    Months, but for the (key, month) spans listed in ``widths``: those are cut
+    into whole widths of their own (microseconds), and rows that share key and
+    time stamp into ``ties`` hash parts where even they are too many.  The
+    table holds at most one row for ``target_rows`` rows of data; None means
+    that no month is too dense.
     """
-    for widths, unit in ((AUTO_SECONDS, "1 second"), (AUTO_MICROS, "1 microsecond")):
-        densest = _densest(df, ts, list(partition_by or []), widths, unit)
-        fitting = [w for w, _ in widths if densest[w] <= target_rows]
-        if fitting:
-            return fitting[-1]
-    return AUTO_MICROS[0][0]
 
+    keys: tuple[str, ...] = ()
+    widths: DataFrame | None = None
 
-def _densest(df: DataFrame, ts: str, keys: list[str], widths, unit: str) -> dict[str, int]:
-    """Rows of the densest (key, bucket) of every width; the widths nest, so each level sums the one before."""
+
+def with_bucket(df: DataFrame, ts: str, keys: list[str], bucket: str | Buckets = "auto",
+                tied: bool = False) -> tuple[DataFrame, Column | None]:
+    """``df`` with its bucket column ``__cw_bucket``, non-decreasing in ``ts``; and, if buckets may be many, which go together.
+
+    ``tied`` says that rows of one time stamp may come in any order, so that
+    a time stamp with very many rows may be cut as well.
+    """
+    if bucket == "auto":
+        bucket = time_buckets(df, ts, keys)
+    if isinstance(bucket, str):
+        fine = None if bucket in CALENDAR_UNITS else F.floor(F.col(_B) / F.lit(_SUPER))
+        return df.withColumn(_B, bucket_of(ts, bucket)), fine
+    if bucket.widths is None:
+        return df.withColumn(_B, bucket_of(ts, "month")), None
+    own = [k for k in bucket.keys if k in df.columns]
+    if len(own) < len(bucket.keys):
+        raise ValueError(f"the buckets are cut by {list(bucket.keys)}, the table has {own}")
+    names = df.columns
+    d = join_on_keys(df.withColumn(_MONTH, bucket_of(ts, "month")), bucket.widths, [*bucket.keys, _MONTH], "left")
+    start = F.floor(clock_micros(ts) / F.col(_WIDTH)) * F.col(_WIDTH)
+    salt = F.when(F.col(_TIES) > 1, F.pmod(F.xxhash64(*[_q(c) for c in names]), F.col(_TIES))).otherwise(0) \
+        if tied else F.lit(0)
+    cut = F.when(_q(ts).isNotNull(), F.struct(F.coalesce(start, clock_micros(_MONTH)).cast("bigint").alias("at"),
+                                              salt.cast("bigint").alias("part")))
+    return d.select(*[_q(c) for c in names], cut.alias(_B)), F.floor(F.col(f"{_B}.at") / F.lit(_BY_SECOND[-1]))
+
+
+def time_buckets(df: DataFrame, ts: str, partition_by: list[str] | None = None,
+                 target_rows: int = TARGET_ROWS) -> Buckets:
+    """Buckets of at most ``target_rows`` rows of one key, from coarse to fine.
+
+    One job counts rows per (key, month); where no month is too dense, as in
+    most tables, that is all.  Otherwise only the dense months are counted per
+    second and rolled up to minutes, hours and days, and each gets the
+    coarsest width that fits; the same by the microsecond where a second is
+    too dense.  A key that is dense for a day is cut finer in that month alone.
+    """
+    keys = list(partition_by or [])
     part = [_q(k) for k in keys]
-    level = (df.select(*part, bucket_of(ts, unit).alias("__s")).groupBy(*part, "__s").agg(F.count(F.lit(1)).alias("__n"))
-             .withColumn("__m0", F.col("__n")))
-    maxima = ["__m0"]
-    for i, (_, width) in enumerate(widths[1:], 1):
-        step = width // widths[i - 1][1]
-        level = (level.groupBy(*part, F.floor(F.col("__s") / F.lit(step)).alias("__s"))
-                 .agg(F.sum("__n").alias("__n"), *[F.max(m).alias(m) for m in maxima])
+    rows = df.select(*part, _q(ts).alias("__t"), bucket_of(ts, "month").alias(_MONTH)).where(F.col("__t").isNotNull())
+    many = rows.groupBy(*part, _MONTH).count().where(F.col("count") > target_rows).drop("count")
+    if not many.take(1):
+        return Buckets(tuple(keys))
+    many = cut_lineage(many, "dense-months")
+    found = _fitting(rows, many, keys, _BY_SECOND, target_rows)
+    rest = found.where(F.col(_WIDTH).isNull()).select(*part, _MONTH)
+    if rest.take(1):
+        fine = _fitting(rows, rest, keys, _BY_MICRO, target_rows)
+        fine = fine.withColumn(_TIES, F.when(F.col(_WIDTH).isNull(), F.ceil(F.col("__n") / F.lit(target_rows)))
+                               .otherwise(1)).fillna(1, [_WIDTH])
+        found = found.where(F.col(_WIDTH).isNotNull()).withColumn(_TIES, F.lit(1).cast("bigint")).unionByName(fine)
+    else:
+        found = found.withColumn(_TIES, F.lit(1).cast("bigint"))
+    return Buckets(tuple(keys), cut_lineage(found.drop("__n"), "bucket-widths"))
+
+
+def _fitting(rows: DataFrame, spans: DataFrame, keys: list[str], widths: tuple[int, ...], target: int) -> DataFrame:
+    """(keys, month, width, n) of the listed spans: the coarsest width whose densest piece holds ``target`` rows at
+    most (null if none does), and the rows of the densest piece of the finest width.  Each level sums the one before."""
+    part = [_q(k) for k in [*keys, _MONTH]]
+    at = F.floor(clock_micros("__t") / F.lit(widths[0])).cast("bigint")
+    level = (join_on_keys(rows, spans, [*keys, _MONTH], "inner").groupBy(*part, at.alias("__s"))
+             .agg(F.count(F.lit(1)).alias("__n")).withColumn("__m0", F.col("__n")))
+    for i in range(1, len(widths)):
+        up = F.floor(F.col("__s") / F.lit(widths[i] // widths[i - 1])).cast("bigint")
+        level = (level.groupBy(*part, up.alias("__s"))
+                 .agg(F.sum("__n").alias("__n"), *[F.max(f"__m{j}").alias(f"__m{j}") for j in range(i)])
                  .withColumn(f"__m{i}", F.col("__n")))
-        maxima.append(f"__m{i}")
-    top = level.agg(*[F.max(m).alias(m) for m in maxima]).first()
-    out = {w: top[m] or 0 for (w, _), m in zip(widths, maxima)}
-    if "month" in out:
-        out["month"] *= 2  # a calendar month can reach into two spans of 31 days
-    return out
+    top = level.groupBy(*part).agg(*[F.max(f"__m{i}").alias(f"__m{i}") for i in range(len(widths))])
+    width = F.lit(None).cast("bigint")
+    for i, w in enumerate(widths):
+        width = F.when(F.col(f"__m{i}") <= target, F.lit(w).cast("bigint")).otherwise(width)
+    return cut_lineage(top.select(*part, width.alias(_WIDTH), F.col("__m0").alias("__n")), "span-widths")
+
+
+_K = "__cw_key"
+
+
+def key_of(keys: list[str]) -> Column:
+    """Keys and bucket as one column that is never null, so that joins and windows on it share one exchange."""
+    return F.struct(*[_q(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(_B).alias("b")).alias(_K)
+
+
+def ordered_positions(df: DataFrame, ts: str, *, order: list[str], partition_by: list[str] | None = None,
+                      bucket: str | Buckets = "auto", pos: str = "__rn", total: str = "__cnt",
+                      pick=None) -> DataFrame:
+    """Adds each row's 1-based position ``pos`` in ``order`` and the number of its key's rows, ``total``.
+
+    A histogram (rows per key and bucket) and its running totals place the
+    buckets; only rows inside a bucket are ranked.  ``pick(first, last, n)``
+    may keep just the buckets whose positions first..last of n it wants: the
+    others are dropped before anything is shuffled or ranked.
+    """
+    keys = list(partition_by or [])
+    d, fine = with_bucket(df, ts, keys, bucket)
+    names = df.columns
+    d = d.select("*", key_of(keys))
+    ks = [f"k{i}" for i in range(len(keys))]
+    hist = d.groupBy(_K).agg(F.count(F.lit(1)).alias("__n"))
+    if fine is None:
+        ws = Window.partitionBy(*[F.col(f"{_K}.{k}") for k in ks])
+        hist = hist.select(_K, "__n", F.sum("__n").over(ws).alias(total), F.coalesce(
+            F.sum("__n").over(ws.orderBy(F.col(f"{_K}.b")).rowsBetween(_UNB, -1)), F.lit(0)).alias("__before"))
+    else:
+        flat = hist.select(f"{_K}.*", "__n").withColumn(_B, F.col("b"))
+        flat = ordered_columns(flat.withColumn("__together", fine).drop(_B), "b", order=["b"], partition_by=ks,
+                               bucket_col=F.col("__together"), cumsum={"__cum": F.col("__n")})
+        sums = flat.groupBy(*ks).agg(F.sum("__n").alias(total))
+        flat = join_on_keys(flat, sums, ks) if keys else attach_scalars(flat, sums, [total])
+        hist = flat.select(F.struct(*ks, "b").alias(_K), "__n", total, (F.col("__cum") - F.col("__n")).alias("__before"))
+    if pick is not None:
+        hist = hist.where(pick(F.col("__before") + 1, F.col("__before") + F.col("__n"), F.col(total)))
+    j = d.join(hist.drop("__n"), _K)
+    rank = F.row_number().over(Window.partitionBy(_K).orderBy(*[_q(o) for o in order]))
+    return j.select(*[_q(c) for c in names], (rank + F.col("__before")).cast("bigint").alias(pos), F.col(total))

@@ -12,7 +12,7 @@ import struct
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from chronoweave.functions.joins import join_on_keys
-from chronoweave.functions.ordered import ordered_columns
+from chronoweave.functions.ordered import Buckets, ordered_columns
 from chronoweave.functions.timecols import add_micros, attach_scalars, micros_between
 from chronoweave.operators.clean import NUMERIC, q
 
@@ -24,14 +24,14 @@ FALLBACK_RESOLUTION_SECONDS = 10.0
 
 
 def ts_delta(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | None = None,
-             bucket: str = "auto", prev_col: str = "prev_ts",
+             bucket: str | Buckets = "auto", prev_col: str = "prev_ts",
              delta_col: str = "delta_seconds") -> DataFrame:
     """Previous time stamp and the step to it in seconds (NULL on first row)."""
     d = ordered_columns(df, ts, partition_by=partition_by, bucket=bucket, lag={prev_col: q(ts)})
     return d.withColumn(delta_col, micros_between(prev_col, q(ts)) / F.lit(1e6))
 
 
-def _steps(df: DataFrame, ts: str, partition_by, bucket: str) -> DataFrame:
+def _steps(df: DataFrame, ts: str, partition_by, bucket: str | Buckets) -> DataFrame:
     keys = list(partition_by or [])
     d = ordered_columns(df.select(*[q(k) for k in keys], q(ts)), ts, partition_by=keys,
                         bucket=bucket, lag={"__prev": q(ts)})
@@ -49,7 +49,7 @@ def _mode_of_steps(steps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def resolution(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | None = None,
-               bucket: str = "auto") -> DataFrame:
+               bucket: str | Buckets = "auto") -> DataFrame:
     """Sampling resolution per key (one row per key having >= 2 rows).
 
     Columns: keys..., resolution_us (bigint), resolution_seconds (double).
@@ -59,7 +59,7 @@ def resolution(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | N
 
 
 def resolution_with_fallback(df: DataFrame, ts: str = "Timestamp",
-                             partition_by: list[str] | None = None, bucket: str = "auto",
+                             partition_by: list[str] | None = None, bucket: str | Buckets = "auto",
                              fallback_seconds: float = FALLBACK_RESOLUTION_SECONDS,
                              margin: float = MARGIN_SECONDS) -> DataFrame:
     """Resolution, or ``fallback_seconds`` where none can be computed.
@@ -93,7 +93,7 @@ def _join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "i
     return attach_scalars(big, small, [c for c in small.columns])
 
 
-def _report_with_res(df: DataFrame, ts: str, keys: list[str], margin: float, bucket: str,
+def _report_with_res(df: DataFrame, ts: str, keys: list[str], margin: float, bucket: str | Buckets,
                      res: DataFrame | None) -> DataFrame:
     steps = _steps(df, ts, keys, bucket).where(F.col("__step_us").isNotNull())
     if res is None:
@@ -111,7 +111,7 @@ def _report_with_res(df: DataFrame, ts: str, keys: list[str], margin: float, buc
 
 
 def gap_report(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | None = None,
-               margin: float = MARGIN_SECONDS, bucket: str = "auto",
+               margin: float = MARGIN_SECONDS, bucket: str | Buckets = "auto",
                res: DataFrame | None = None) -> DataFrame:
     """Steps off the resolution by more than ``margin`` seconds.
 
@@ -137,7 +137,7 @@ def _holds(dtype: T.DataType, value: float) -> bool:
 
 def gap_fill(df: DataFrame, ts: str = "Timestamp", partition_by: list[str] | None = None,
              fill_value: float = FILL_VALUE, margin: float = MARGIN_SECONDS,
-             bucket: str = "auto", chunk: int = 100_000,
+             bucket: str | Buckets = "auto", chunk: int = 100_000,
              res: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert ``prev_ts + j*res`` (j = 1..missing) for every reported gap.
 

@@ -5,14 +5,15 @@ and shaded boxes (P4 P5 A3 A4 A6 A9 W4 W5 W6).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronoweave.functions.joins import join_on_keys
-from chronoweave.functions.ordered import choose_bucket, ordered_columns
+from chronoweave.functions.ordered import Buckets, key_of, time_buckets, with_bucket
 from chronoweave.functions.timecols import add_micros, attach_scalars, micros_between
 from chronoweave.operators import gaps
 from chronoweave.operators.clean import q
-from chronoweave.session import cut_lineage
 
 # Fixed values (the reference's chart rules): valid range [-999998.0, 999998.0];
 # 999999.0 marks an inserted gap row (shaded red), -999999.0 an anomaly
@@ -35,6 +36,18 @@ def to_long(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] | N
     return d.unpivot([*keys, ts], present, series_col, value_col)
 
 
+def sentinel_rows(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] | None = None) -> DataFrame:
+    """(keys, series, ts, class) of the sentinel values.  Rows without any leave before the rest is unpivoted."""
+    present = [c for c in cols if c in df.columns]
+    some = reduce(lambda a, b: a | b, [q(c).isin(GAP_VALUE, ANOMALY_VALUE) for c in present])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("series"), q(c).cast("double").alias("value")) for c in present]))
+    keys = [q(k) for k in (partition_by or [])]
+    value = F.col("__v.value")
+    return (df.where(some).select(*keys, q(ts), each.alias("__v")).where(value.isin(GAP_VALUE, ANOMALY_VALUE))
+            .select(*keys, F.col("__v.series").alias("series"), q(ts),
+                    F.when(value == F.lit(GAP_VALUE), F.lit("red")).otherwise(F.lit("orange")).alias("class")))
+
+
 def valid_values(df: DataFrame, value: str = "value") -> DataFrame:
     """Rows whose value lies in the valid range (NULL/NaN excluded)."""
     return df.where(is_valid(q(value)) & ~F.isnan(q(value)))
@@ -90,9 +103,7 @@ def marker_points(df: DataFrame, ts: str, cols: list[str],
     """
     keys = list(partition_by or [])
     ext = overall_extrema(df, cols, keys).select(*[q(k) for k in keys], "marker_level")
-    lng = to_long(df, ts, cols, keys)
-    hits = lng.where(q("value").isin(GAP_VALUE, ANOMALY_VALUE)).withColumn(
-        "class", F.when(q("value") == F.lit(GAP_VALUE), F.lit("red")).otherwise(F.lit("orange")))
+    hits = sentinel_rows(df, ts, cols, keys)
     j = join_on_keys(hits, ext, keys, "left") if keys else attach_scalars(hits, ext, ["marker_level"])
     return j.select(*[q(k) for k in keys], "series", q(ts), "class", F.col("marker_level").alias("y"))
 
@@ -211,9 +222,13 @@ def profile(df: DataFrame, cols: list[str], fan: int = 32) -> DataFrame:
             .select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 
+_UNB = Window.unboundedPreceding
+_EARLIER, _SO_FAR = (_UNB, -1), (_UNB, Window.currentRow)
+
+
 def bad_runs(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] | None = None,
              res: DataFrame | None = None, margin: float = gaps.MARGIN_SECONDS,
-             bucket: str = "auto", materialize_bounds: bool = True) -> DataFrame:
+             bucket: str | Buckets = "auto") -> DataFrame:
     """Runs of sentinel rows per (keys, series, class) -> shaded intervals.
 
     A new run starts where the step to the previous sentinel row of the same
@@ -221,49 +236,52 @@ def bad_runs(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] |
     [first - res/2, last + res/2]; class red (999999) or orange (-999999).
     Resolution comes from the whole time axis of each key (fallback 10 s).
 
-    Runs are found without numbering rows: a row opens a run when its
-    previous neighbour is far, closes one when its next neighbour is far;
-    only these boundary rows go on, and each closing row takes the time of
-    the opening row just before it.
+    One pass over the sentinel rows: inside a bucket a running count of far
+    steps numbers the runs, which shrink to their ends where they are.  Only a
+    bucket's first and last run can go on in another bucket; those, two rows a
+    bucket, are put together by a second, small window.
     """
     keys = list(partition_by or [])
-    if bucket == "auto":  # sentinel and boundary rows are fewer than the rows counted here
-        bucket = choose_bucket(df, ts, keys)
+    if bucket == "auto":  # chosen once, for the resolution and the runs
+        bucket = time_buckets(df, ts, keys)
     if res is None:
         res = gaps.resolution_with_fallback(df, ts, keys, bucket, margin=margin)
     rs = res.select(*[q(k) for k in keys], "resolution_us", "threshold_seconds")
-    lng = to_long(df, ts, cols, keys)
-    hits = lng.where(q("value").isin(GAP_VALUE, ANOMALY_VALUE)).select(
-        *[q(k) for k in keys], "series", q(ts),
-        F.when(q("value") == F.lit(GAP_VALUE), F.lit("red")).otherwise(F.lit("orange")).alias("class"))
+    hits = sentinel_rows(df, ts, cols, keys)
     hits = (join_on_keys(hits, rs, keys) if keys
             else attach_scalars(hits, rs, ["resolution_us", "threshold_seconds"]))
     part = keys + ["series", "class"]
-    nb = ordered_columns(hits, ts, partition_by=part, bucket=bucket,
-                         lag={"__p": q(ts)}, lead={"__n": q(ts)})
-    thr = F.col("threshold_seconds")
-    opens = F.col("__p").isNull() | (micros_between("__p", q(ts)) / F.lit(1e6) > thr)
-    closes = F.col("__n").isNull() | (micros_between(q(ts), "__n") / F.lit(1e6) > thr)
-    bnd = (nb.select("*", opens.alias("__open"), closes.alias("__close"))
-           .where(F.col("__open") | F.col("__close"))
-           .withColumn("__o", F.when(F.col("__open"), F.lit(0)).otherwise(F.lit(1))))
-    if materialize_bounds:
-        # boundary rows are at most two per run: write them once so the
-        # second ordered pass does not re-run the first over all sentinel rows
-        bnd = cut_lineage(bnd, "run-bounds")
-    paired = ordered_columns(bnd, ts, order=[ts, "__o"], partition_by=part, bucket=bucket,
-                             lag={"__prev_open": q(ts)})
-    half = F.col("resolution_us") / F.lit(2)
-    half = F.floor(half).cast("bigint")
-    first = F.when(F.col("__open"), q(ts)).otherwise(F.col("__prev_open"))
-    return (paired.where(F.col("__close"))
-            .select(*[q(k) for k in keys], "series",
-                    add_micros(first, -half).alias("start"),
-                    add_micros(q(ts), half).alias("end"), "class"))
+    d, _ = with_bucket(hits, ts, keys, bucket)
+    # one set of columns for both ends of the plan, so that they share its exchange
+    d = d.select(key_of(part), q(ts), "resolution_us", "threshold_seconds")
+    names = [F.col(f"__cw_key.k{i}").alias(c) for i, c in enumerate(part)]
+    here = Window.partitionBy("__cw_key")
+
+    def far(before: str, now: Column) -> Column:
+        step = micros_between(before, now) / F.lit(1e6)
+        return (F.col(before).isNull() | (step > F.col("threshold_seconds"))).cast("int")
+
+    local = d.withColumn("__p", F.lag(q(ts)).over(here.orderBy(q(ts))))
+    local = local.withColumn("__run", F.sum(far("__p", q(ts))).over(here.orderBy(q(ts)).rowsBetween(*_SO_FAR)))
+    runs = local.groupBy("__cw_key", "__run").agg(
+        F.min(q(ts)).alias("__a"), F.max(q(ts)).alias("__z"),
+        F.first("resolution_us").alias("resolution_us"), F.first("threshold_seconds").alias("threshold_seconds"))
+    runs = runs.withColumn("__last", F.max("__run").over(here))
+    edge = (F.col("__run") == 1) | (F.col("__run") == F.col("__last"))
+    wide = ["__a", "__z", "resolution_us"]
+    across = Window.partitionBy(*[q(c) for c in part]).orderBy("__a", "__z")
+    ends = (runs.where(edge).select(*names, *wide, "threshold_seconds").withColumn("__p", F.lag("__z").over(across))
+            .withColumn("__run", F.sum(far("__p", F.col("__a"))).over(across.rowsBetween(*_SO_FAR)))
+            .groupBy(*[q(c) for c in part], "__run").agg(F.min("__a").alias("__a"), F.max("__z").alias("__z"),
+                                                         F.first("resolution_us").alias("resolution_us")))
+    whole = runs.where(~edge).select(*names, *wide).unionByName(ends.select(*[q(c) for c in part], *wide))
+    half = F.floor(F.col("resolution_us") / F.lit(2)).cast("bigint")
+    return whole.select(*[q(k) for k in keys], "series", add_micros("__a", -half).alias("start"),
+                        add_micros("__z", half).alias("end"), "class")
 
 
 def merge_intervals(iv: DataFrame, partition_by: list[str] | None = None, start: str = "start",
-                    end: str = "end", cls: str = "class", bucket: str = "auto",
+                    end: str = "end", cls: str = "class", bucket: str | Buckets = "auto",
                     classes: tuple[str, ...] | None = tuple(SENTINEL_CLASSES.values()),
                     series: list[str] | None = None) -> DataFrame:
     """Merge overlapping or touching intervals of the same class.
@@ -272,79 +290,73 @@ def merge_intervals(iv: DataFrame, partition_by: list[str] | None = None, start:
     starts no later than that one's end AND has the same class; a different
     class in between breaks the merge.  Equal starts go by the place of the
     interval's ``series`` column in the list ``series`` (if both are there),
-    then by the place of its class in ``classes``, then by end.
-
-    With the class set known (bad-run intervals are red/orange), three
-    ordered passes: (1) running row count and running count per class give
-    each row a barrier tag B = rows of other classes so far, constant
-    inside a class run and larger in later runs; (2) per class, the running
-    max of (B, end) over earlier intervals of that class -- its B equals the
-    row's own exactly when an earlier interval of the same run exists, and
-    then its end is the run's max end so far; a group starts where that is
-    absent or the start exceeds it; (3) a running count of group starts
-    numbers the groups.  ``classes=None`` uses the generic four-pass form
-    (class-run ids first).
+    then by the place of its class in ``classes`` (None: no such order), then
+    by end.
+
+    One exchange of the intervals, by time bucket.  A bucket is summed up by
+    its first and last class, whether it holds one run of one class only, and
+    the greatest end in its last run.  These summaries combine from bucket to
+    bucket (a bucket of one run, of the class before it, carries the open end
+    on), so a small window over them tells each bucket the class and end that
+    are open at its start.  With that the groups inside a bucket are final,
+    but for the first and the last, which a second small window puts together.
     """
     keys = list(partition_by or [])
-    order = [start, "__so", "__co", end, cls]
     place = F.array_position(F.array(*[F.lit(s) for s in series]), F.col("series")) \
         if series and "series" in iv.columns else F.lit(0)
     kind = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(cls)) if classes else F.lit(0)
-    # Intervals are few (one per run); writing them once keeps the ordered
-    # passes from re-running the plan that found them.
-    iv = cut_lineage(iv.select(*[q(k) for k in keys], start, end, cls, place.cast("int").alias("__so"),
-                               kind.cast("int").alias("__co")), "intervals")
+    d = iv.select(*[q(k) for k in keys], q(start), q(end), q(cls), place.cast("int").alias("__so"), kind.cast("int").alias("__co"))
+    d, _ = with_bucket(d, start, keys, bucket)
+    # one set of columns for all branches of the plan, so that they share its exchange
+    d = d.select(key_of(keys), q(start), q(end), q(cls), "__so", "__co")
+    names = [F.col(f"__cw_key.k{i}").alias(k) for i, k in enumerate(keys)]
+    here = Window.partitionBy("__cw_key")
+    ordered = here.orderBy(q(start), "__so", "__co", q(end), q(cls))
+    d = d.withColumn("__pc", F.lag(q(cls)).over(ordered))
+    d = d.withColumn("__cr", F.sum((F.col("__pc").isNull() | (F.col("__pc") != q(cls))).cast("int")).over(
+        ordered.rowsBetween(*_SO_FAR)))  # number of the class run inside the bucket
+
+    state = d.groupBy("__cw_key").agg(
+        F.max(F.when(F.col("__cr") == 1, q(cls))).alias("first_class"), F.max("__cr").alias("class_runs"),
+        F.max(F.struct(F.col("__cr"), q(cls).alias("c"))).getField("c").alias("last_class"),
+        F.max(F.struct(F.col("__cr"), q(end).alias("e"))).getField("e").alias("last_end"))
+    over = Window.partitionBy(*[F.col(f"__cw_key.k{i}") for i in range(len(keys))]).orderBy(F.col("__cw_key.b"))
+    before = F.lag("last_class").over(over)
+    state = state.withColumn("__open_class", before)
+    goes_on = (F.col("class_runs") == 1) & F.col("first_class").eqNullSafe(F.col("__open_class"))
+    state = state.withColumn("__chain", F.sum((~goes_on).cast("int")).over(over.rowsBetween(*_SO_FAR)))
+    state = state.withColumn("__open_end", F.max(F.struct(F.col("__chain"), F.col("last_end").alias("e"))).over(
+        over.rowsBetween(*_EARLIER)).getField("e"))
+    # the chain that is open before a bucket is the last one so far, and its greatest end the greatest of its buckets
+
+    d = d.join(state.select("__cw_key", "__open_class", "__open_end"), "__cw_key")
+    top = F.max(F.struct(F.col("__cr"), q(end).alias("e"))).over(ordered.rowsBetween(*_EARLIER))
+    d = d.withColumn("__top", top)
+    inside = F.when(F.col("__top.__cr") == F.col("__cr"), F.col("__top.e"))
+    carried = F.when((F.col("__cr") == 1) & (F.col("__open_class") == q(cls)), F.col("__open_end"))
+    reach = F.greatest(inside, carried)
+    d = d.withColumn("__g", F.sum((reach.isNull() | (q(start) > reach)).cast("int")).over(ordered.rowsBetween(*_SO_FAR)))
+    groups = d.groupBy("__cw_key", "__g").agg(
+        F.min(q(start)).alias(start), F.max(q(end)).alias(end),
+        F.first(q(cls)).alias(cls)).withColumn("__last", F.max("__g").over(here))
+    # group 0 belongs to the group that is open at the bucket's start
+    edge = (F.col("__g") == 0) | (F.col("__g") == F.col("__last"))
+    across = Window.partitionBy(*[q(k) for k in keys]).orderBy("__b", "__g").rowsBetween(*_SO_FAR)
+    out = [q(start), q(end), q(cls)]
+    ends = (groups.where(edge).select(*names, F.col("__cw_key.b").alias("__b"), "__g", *out)
+            .withColumn("__g", F.sum((F.col("__g") > 0).cast("int")).over(across))
+            .groupBy(*[q(k) for k in keys], "__g")
+            .agg(F.min(q(start)).alias(start), F.max(q(end)).alias(end), F.first(q(cls)).alias(cls)))
+    return groups.where(~edge).select(*names, *out).unionByName(ends.drop("__g"))
+
+
+def bad_intervals(df: DataFrame, ts: str, cols: list[str], partition_by: list[str] | None = None,
+                  res: DataFrame | None = None, bucket: str | Buckets = "auto") -> DataFrame:
+    """W4 and W5 together: the merged bad-data intervals of the selected series, their time axis cut into buckets once."""
     if bucket == "auto":
-        bucket = choose_bucket(iv, start, keys)
-    if classes is None:
-        return _merge_generic(iv, keys, start, end, cls, bucket)
-    classes = tuple(classes)
-    counts = {"__rn": F.lit(1).cast("bigint")}
-    counts.update({f"__n{i}": F.when(F.col(cls) == c, 1).otherwise(0).cast("bigint") for i, c in enumerate(classes)})
-    a = ordered_columns(iv, start, order=order, partition_by=keys, bucket=bucket, cumsum=counts)
-    own = F.lit(None).cast("bigint")
-    for i, c in enumerate(classes):
-        own = F.when(F.col(cls) == c, F.col(f"__n{i}")).otherwise(own)
-    a = a.withColumn("__bt", F.col("__rn") - own)
-    runmax = {f"__m{i}": F.when(F.col(cls) == c, F.struct(F.col("__bt").alias("b"), F.col(end).alias("e")))
-              for i, c in enumerate(classes)}
-    b = ordered_columns(a, start, order=order, partition_by=keys, bucket=bucket, cummax_before=runmax)
-    pm = F.lit(None)
-    for i, c in enumerate(classes):
-        pm = F.when(F.col(cls) == c, F.col(f"__m{i}")).otherwise(pm)
-    b = b.withColumn("__pm", pm)
-    new = (F.col("__pm").isNull() | (F.col("__pm.b") != F.col("__bt")) | (F.col(start) > F.col("__pm.e")))
-    # written once more so the last pass does not re-run the first two twice
-    b = cut_lineage(b.select(*[q(k) for k in keys], start, end, cls, "__so", "__co", new.cast("bigint").alias("__new"),
-                             (-new.cast("int")).alias("__late")), "interval-groups")
-    # of intervals equal in everything the one that opens a group goes first
-    c = ordered_columns(b, start, order=[*order, "__late"], partition_by=keys, bucket=bucket,
-                        cumsum={"__g": F.col("__new")})
-    return (c.groupBy(*[q(k) for k in keys], "__g")
-            .agg(F.min(start).alias(start), F.max(end).alias(end), F.first(cls).alias(cls))
-            .drop("__g"))
-
-
-def _merge_generic(iv: DataFrame, keys: list[str], start: str, end: str, cls: str, bucket: str) -> DataFrame:
-    """Four ordered passes: class changes, class-run ids, running max of
-    (run, end) over earlier intervals, group ids."""
-    order = [start, "__so", "__co", end, cls]
-    a = ordered_columns(iv, start, order=order, partition_by=keys, bucket=bucket, lag={"__pc": F.col(cls)})
-    a = a.withColumn("__chg", F.when(F.col("__pc").isNull() | (F.col("__pc") != F.col(cls)), 1)
-                     .otherwise(0).cast("bigint"))
-    b = ordered_columns(a, start, order=order, partition_by=keys, bucket=bucket,
-                        cumsum={"__run": F.col("__chg")})
-    b = cut_lineage(b, "interval-runs")
-    c = ordered_columns(b, start, order=order, partition_by=keys, bucket=bucket,
-                        cummax_before={"__pm": F.struct(F.col("__run").alias("r"), F.col(end).alias("e"))})
-    new = (F.col("__pm").isNull() | (F.col("__pm.r") != F.col("__run"))
-           | (F.col(start) > F.col("__pm.e")))
-    c = c.withColumn("__new", new.cast("bigint")).withColumn("__late", -F.col("__new"))
-    d = ordered_columns(c, start, order=[*order, "__late"], partition_by=keys, bucket=bucket,
-                        cumsum={"__g": F.col("__new")})
-    return (d.groupBy(*[q(k) for k in keys], "__g")
-            .agg(F.min(start).alias(start), F.max(end).alias(end), F.first(cls).alias(cls))
-            .drop("__g"))
+        bucket = time_buckets(df, ts, partition_by)
+    runs = bad_runs(df, ts, cols, partition_by, res=res, bucket=bucket)
+    return merge_intervals(runs, partition_by, series=cols, bucket=bucket)
 
 
 def interval_boxes(merged: DataFrame, extrema: DataFrame,

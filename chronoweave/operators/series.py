@@ -8,9 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from chronoweave.functions.joins import join_on_keys
-from chronoweave.functions.ordered import ordered_columns
-from chronoweave.functions.timecols import attach_scalars
+from chronoweave.functions.ordered import Buckets, ordered_positions
 from chronoweave.operators.clean import q
 from chronoweave.operators.quality import is_valid
 
@@ -107,31 +105,33 @@ def ts_label(c: Column) -> Column:
 
 
 def positional_window(df: DataFrame, ts: str, start: int, order: list[str] | None = None,
-                      partition_by: list[str] | None = None, bucket: str = "auto") -> DataFrame:
+                      partition_by: list[str] | None = None, bucket: str | Buckets = "auto") -> DataFrame:
     """P10: rows [start, start + size) in time order, size = max(200, n // 10).
 
-    ``start`` is clamped to [0, max(0, n - size)].  Row positions come from
-    the bucketed running count, so no task holds the whole axis.  Adds
-    ``row_pos`` (0-based).
+    ``start`` is clamped to [0, max(0, n - size)].  A histogram over time
+    buckets tells which buckets hold the wanted positions; only their rows are
+    ranked.  Adds ``row_pos`` (0-based).
     """
-    keys = list(partition_by or [])
-    order = list(order or [ts])
-    n = df.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-    size = F.greatest(F.lit(WINDOW_MIN_ROWS).cast("bigint"),
-                      F.floor(F.col("__n") / F.lit(WINDOW_FRACTION_DIVISOR)).cast("bigint"))
-    lim = n.select(*[q(k) for k in keys], size.alias("__size"),
-                   F.least(F.greatest(F.lit(int(start)).cast("bigint"), F.lit(0).cast("bigint")),
-                           F.greatest(F.lit(0).cast("bigint"), F.col("__n") - size)).alias("__start"))
-    ranked = ordered_columns(df, ts, order=order, partition_by=keys, bucket=bucket,
-                             cumsum={"__rn": F.lit(1).cast("bigint")})
-    j = join_on_keys(ranked, lim, keys) if keys else attach_scalars(ranked, lim, ["__size", "__start"])
+    def bounds(n: Column) -> tuple[Column, Column]:
+        size = F.greatest(F.lit(WINDOW_MIN_ROWS).cast("bigint"),
+                          F.floor(n / F.lit(WINDOW_FRACTION_DIVISOR)).cast("bigint"))
+        first = F.least(F.greatest(F.lit(int(start)).cast("bigint"), F.lit(0).cast("bigint")),
+                        F.greatest(F.lit(0).cast("bigint"), n - size))
+        return first, first + size
+
+    def wanted(first: Column, last: Column, n: Column) -> Column:
+        lo, hi = bounds(n)
+        return (last > lo) & (first <= hi)
+
+    ranked = ordered_positions(df, ts, order=list(order or [ts]), partition_by=list(partition_by or []), bucket=bucket,
+                               pick=wanted)
+    lo, hi = bounds(F.col("__cnt"))
     pos = F.col("__rn") - 1
-    return (j.where((pos >= F.col("__start")) & (pos < F.col("__start") + F.col("__size")))
-            .withColumn("row_pos", pos).drop("__rn", "__size", "__start"))
+    return ranked.where((pos >= lo) & (pos < hi)).withColumn("row_pos", pos).drop("__rn", "__cnt")
 
 
 def minmax_downsample(df: DataFrame, ts: str, value: str = "value", n: int = DEFAULT_POINTS,
-                      partition_by: list[str] | None = None, bucket: str = "auto") -> DataFrame:
+                      partition_by: list[str] | None = None, bucket: str | Buckets = "auto") -> DataFrame:
     """About ``n`` points per series from its valid rows.
 
     Valid rows are numbered in (ts, value) order and cut into n // 2
@@ -144,13 +144,10 @@ def minmax_downsample(df: DataFrame, ts: str, value: str = "value", n: int = DEF
         *[q(k) for k in keys], q(ts), q(value))
 
 
-def _numbered_valid(df: DataFrame, ts: str, value: str, keys: list[str], bucket: str) -> DataFrame:
+def _numbered_valid(df: DataFrame, ts: str, value: str, keys: list[str], bucket: str | Buckets) -> DataFrame:
     """Valid rows with their number ``__rn`` in (ts, value) order and their series' row count ``__cnt``."""
     v = df.where(is_valid(q(value)) & ~F.isnan(q(value))).select(*[q(k) for k in keys], q(ts), q(value))
-    cnt = v.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("__cnt"))
-    ranked = ordered_columns(v, ts, order=[ts, value], partition_by=keys, bucket=bucket,
-                             cumsum={"__rn": F.lit(1).cast("bigint")})
-    return join_on_keys(ranked, cnt, keys) if keys else attach_scalars(ranked, cnt, ["__cnt"])
+    return ordered_positions(v, ts, order=[ts, value], partition_by=keys, bucket=bucket)
 
 
 def _minmax_rows(numbered: DataFrame, ts: str, value: str, n: int, keys: list[str]) -> DataFrame:
@@ -187,7 +184,7 @@ def _lttb_indices(x: np.ndarray, y: np.ndarray, n_out: int) -> np.ndarray:
 
 
 def lttb_downsample(df: DataFrame, ts: str, value: str = "value", n: int = DEFAULT_POINTS,
-                    partition_by: list[str] | None = None, bucket: str = "auto") -> DataFrame:
+                    partition_by: list[str] | None = None, bucket: str | Buckets = "auto") -> DataFrame:
     """Min-max preselection to 4n points (distributed), then LTTB per series.
 
     The Python step sees at most ~4n + 2 rows per series (bounded group),

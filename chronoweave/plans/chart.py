@@ -48,8 +48,7 @@ def series_query(table: DataFrame, codes: list[str], ts: str = "Timestamp", lo=N
     def boxes() -> DataFrame:
         # resolution of the whole table, runs of the visible rows (reference rule)
         res = gaps.resolution_with_fallback(table.select(q(ts)), ts)
-        runs = quality.bad_runs(visible, ts, cols, res=res)
-        return quality.interval_boxes(quality.merge_intervals(runs, series=cols), overall)
+        return quality.interval_boxes(quality.bad_intervals(visible, ts, cols, res=res), overall)
 
     return ChartData(points=points, extrema=quality.series_extrema(visible, cols), overall=overall,
                      markers=quality.marker_points(visible, ts, cols), bounds=series.time_bounds(table, ts),

@@ -109,12 +109,12 @@ def q_bad_runs_axis(spark, d):
 
 
 def q_merge_intervals_axis(spark, d):
-    return quality.merge_intervals(q_bad_runs_axis(spark, d), series=AXIS_SERIES)
+    return quality.bad_intervals(orders_filled(spark, d), "o_orderdate", AXIS_SERIES)
 
 
 def q_interval_boxes_axis(spark, d):
     f = orders_filled(spark, d)
-    merged = quality.merge_intervals(quality.bad_runs(f, "o_orderdate", AXIS_SERIES), series=AXIS_SERIES)
+    merged = quality.bad_intervals(f, "o_orderdate", AXIS_SERIES)
     ext = quality.overall_extrema(f, AXIS_SERIES)
     return quality.interval_boxes(merged, ext).select("start", "end", "class", r6("y_low"), r6("y_high"))
 
@@ -150,12 +150,12 @@ def q_bad_runs(spark, d):
 
 
 def q_merge_intervals(spark, d):
-    return quality.merge_intervals(q_bad_runs(spark, d), EV)
+    return quality.bad_intervals(events_filled(spark, d), "ts", ["value"], EV)
 
 
 def q_interval_boxes(spark, d):
     f = events_filled(spark, d)
-    merged = quality.merge_intervals(quality.bad_runs(f, "ts", ["value"], EV), EV)
+    merged = quality.bad_intervals(f, "ts", ["value"], EV)
     ext = quality.overall_extrema(f, ["value"], EV)
     return quality.interval_boxes(merged, ext, EV).select("event_type", "start", "end", "class",
                                                            r6("y_low"), r6("y_high"))

@@ -103,3 +103,55 @@ def test_merge_identical_intervals_deterministic(spark):
     for _ in range(3):
         assert _merge(spark, iv) == ref
         assert _merge(spark, iv, classes=None) == ref
+
+
+def brute_runs(rows, res, margin=0.5):
+    """Runs per (key, class) walked row by row; rows: (key, second, class)."""
+    out = []
+    for part in sorted({(k, c) for k, _, c in rows}):
+        start = last = None
+        for s in sorted(s for k, s, c in rows if (k, c) == part):
+            if last is not None and s - last > res + margin:
+                out.append((*part, start, last))
+                start = None
+            start = s if start is None else start
+            last = s
+        out.append((*part, start, last))
+    return sorted(out)
+
+
+def test_runs_and_merge_across_many_buckets_equal_a_walk(spark):
+    import random
+
+    from chronoweave.functions.ordered import time_buckets
+    rnd = random.Random(5)
+    rows, wide = [], []
+    for key in "ab":
+        for s in range(0, 40 * 86400, 3600):
+            v = rnd.choice([1.0, 2.0, 999999.0, 999999.0, 999999.0, -999999.0])
+            if 10 * 86400 < s < 31 * 86400 and key == "a":
+                v = 999999.0  # one run through three weeks of buckets
+            wide.append((key, ts(s), v))
+            if abs(v) == 999999.0:
+                rows.append((key, s, "red" if v > 0 else "orange"))
+    df = frame(spark, wide, "k string, t timestamp_ntz, v double")
+    walked = brute_runs(rows, 3600)
+    for bucket in ("month", "day", time_buckets(df, "t", ["k"], target_rows=30)):
+        got = quality.bad_runs(df, "t", ["v"], ["k"], bucket=bucket).collect()
+        assert sorted((r["k"], r["class"], r["start"], r["end"]) for r in got) == sorted(
+            (k, c, ts(a - 1800), ts(z + 1800)) for k, c, a, z in walked)
+    iv = [(rnd.choice("ab"), a, a + rnd.choice([0, 50, 400, 9000, 200000]), rnd.choice(["red", "orange", "red"]))
+          for a in (rnd.randrange(0, 900000) for _ in range(400))]
+    merged = []
+    for key in "ab":
+        cur = None
+        for _, a, z, c in sorted((i for i in iv if i[0] == key), key=lambda i: (i[1], ("red", "orange").index(i[3]), i[2])):
+            if cur and cur[3] == c and a <= cur[2]:
+                cur[2] = max(cur[2], z)
+            else:
+                cur = [key, a, z, c]
+                merged.append(cur)
+    ivs = frame(spark, [(k, ts(a), ts(z), c) for k, a, z, c in iv], "k string, start timestamp_ntz, end timestamp_ntz, class string")
+    for bucket in ("day", "1 minute", time_buckets(ivs, "start", ["k"], target_rows=20)):
+        got = quality.merge_intervals(ivs, ["k"], bucket=bucket).collect()
+        assert sorted((r["k"], r["start"], r["end"], r["class"]) for r in got) == sorted((k, ts(a), ts(z), c) for k, a, z, c in merged)
