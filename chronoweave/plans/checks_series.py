@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chronoweave.operators import gaps, quality, series
 from chronoweave.plans.checks_common import EVENTS_MINUTE_SQL, events_minute, r6, table
 from chronoweave.plans.checks_gaps import _gap_ctes
-from chronoweave.session import cut_lineage
+from chronoweave.session import cut_lineage, table_path
+from chronoweave.sources import store
 
 EV = ["event_type"]
 
@@ -260,12 +263,28 @@ def q_chart_boxes(spark, d):
     return _chart(spark, d).boxes.select("start", "end", "class", r6("y_low"), r6("y_high"))
 
 
+def _stored_chart(spark, d):
+    """The same request on a stored dataset, whose sidecar knows bounds, resolution and densest month."""
+    from chronoweave.plans.chart import series_query
+    known = store.build(spark, table_path(spark, f"chart-{uuid.uuid4().hex}"), lambda: orders_filled(spark, d), ts="o_orderdate")
+    return series_query(known.table, [*AXIS_SERIES, "no_such"], "o_orderdate", CHART_LO, CHART_HI, n=100, known=known)
+
+
+def q_chart_bounds(spark, d):
+    return _stored_chart(spark, d).bounds
+
+
+def q_stored_chart_boxes(spark, d):
+    return _stored_chart(spark, d).boxes.select("start", "end", "class", r6("y_low"), r6("y_high"))
+
+
 QUERIES = {
     "chart_extrema": lambda s, d: _chart(s, d).extrema.select("series", r6("min"), r6("max")),
     "chart_overall": lambda s, d: _chart(s, d).overall.select(r6("y_min"), r6("y_max"), r6("marker_level")),
     "chart_markers": lambda s, d: _chart(s, d).markers.select("series", "o_orderdate", "class", r6("y")),
     "chart_boxes": q_chart_boxes,
-    "chart_bounds": lambda s, d: _chart(s, d).bounds,
+    "chart_bounds": q_chart_bounds,
+    "stored_chart_boxes": q_stored_chart_boxes,
     "bad_runs_axis": q_bad_runs_axis,
     "merge_intervals_axis": q_merge_intervals_axis,
     "interval_boxes_axis": q_interval_boxes_axis,
@@ -316,6 +335,7 @@ ORACLE = {
     "chart_overall": _C + "SELECT round(y_min, 6) AS y_min, round(y_max, 6) AS y_max, round(coalesce(y_min, 0.0), 6) AS marker_level FROM ext",
     "chart_markers": _C + "SELECT series, o_orderdate, class, round(coalesce(y_min, 0.0), 6) AS y FROM h CROSS JOIN ext",
     "chart_boxes": _C + """SELECT start, "end", class, round(y_min, 6) AS y_low, round(y_max, 6) AS y_high FROM merged CROSS JOIN ext""",
+    "stored_chart_boxes": _C + """SELECT start, "end", class, round(y_min, 6) AS y_low, round(y_max, 6) AS y_high FROM merged CROSS JOIN ext""",
     "chart_bounds": _C + "SELECT min(o_orderdate) AS ts_min, max(o_orderdate) AS ts_max FROM f",
     "bad_runs_axis": _A + 'SELECT series, start, "end", class FROM bad',
     "merge_intervals_axis": _A + 'SELECT start, "end", class FROM merged',

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators import clean
 from chronoweave.plans import steps
-from chronoweave.plans.checks_common import r6, table
-from chronoweave.plans.checks_gaps import _fill_sql
+from chronoweave.plans.checks_common import ORDERS_DAILY_SQL, r6, table
+from chronoweave.plans.checks_gaps import _fill_sql, _gap_ctes
 from chronoweave.plans.checks_meta import DICT, dictionary_rows
 from chronoweave.session import checkpoint_dir
-from chronoweave.sources import files
+from chronoweave.sources import files, store
 
 
 def _scratch(spark, name):
@@ -102,12 +102,9 @@ def q_raw_load(spark, d):
 
 
 def q_first_csv(spark, d):
-    """A folder's first CSV; its first column holds times only, so it becomes a time column."""
-    base = _scratch(spark, "first")
-    o = table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("when"), "o_orderkey")
-    o.coalesce(1).write.csv(base, header=True)
-    df, _ = files.read_first_csv(spark, base)
-    return df.select("when", "o_orderkey")
+    """The first CSV of a folder with one for each year; its first column holds times only, so it becomes a time column."""
+    df, _ = files.read_first_csv(spark, _yearly_files(spark, d, "first"))
+    return df.select("Timestamp", "o_orderkey")
 
 
 def _dictionary_file(spark, d):
@@ -157,7 +154,58 @@ def q_clean_pipeline(spark, d):
                                                        F.round(F.col(f"`{FREQUENCY}`"), 6).alias("frequency"))
 
 
+def _daily_files(spark, base, orders, name):
+    """A folder of CSV files with the day's mean order price."""
+    days = orders.groupBy("o_orderdate").agg(F.avg("o_totalprice").alias("o_totalprice"))
+    days.select(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), "o_totalprice").write.csv(
+        os.path.join(base, name), header=True)
+
+
+def _stored_orders(spark, d):
+    """A stored dataset of CSV files that is built, found unchanged, and built anew after files were added."""
+    base = _scratch(spark, "input")
+    path, inputs, o, ran = _scratch(spark, "stored"), [os.path.join(base, "*", "*.csv")], table(spark, d, "orders"), []
+
+    def builder():
+        ran.append(1)
+        return files.scan_union(spark, files.select_files(spark, inputs))
+
+    early = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")
+    _daily_files(spark, base, o.where(early), "early")
+    first = store.build(spark, path, builder, inputs=inputs)
+    if store.build(spark, path, builder, inputs=inputs).version != first.version:
+        raise RuntimeError("an unchanged input was built again")
+    _daily_files(spark, base, o.where(~early), "late")
+    last = store.build(spark, path, builder, inputs=inputs)
+    if len(ran) != 2:
+        raise RuntimeError(f"the builder ran {len(ran)} times")
+    return last
+
+
+def q_stored_dataset(spark, d):
+    return _stored_orders(spark, d).table.select("ts_month", "Timestamp", r6("o_totalprice"))
+
+
+def q_stored_stats(spark, d):
+    return _stored_orders(spark, d).stats.select("row_count", "ts_min", "ts_max", "resolution_us", "densest_month_rows")
+
+
+def q_load_or_build(spark, d):
+    """The catalog table, built at the first call and read at the second; the first two files by name only (O3)."""
+    base = _yearly_files(spark, d, "first-files")
+    name = f"cw_built_{uuid.uuid4().hex}"
+
+    def builder():
+        return files.scan_union(spark, files.select_files(spark, os.path.join(base, "*.csv"), max_files=2))
+
+    files.load_or_build(spark, name, builder)
+    return files.load_or_build(spark, name, lambda: None).select("Timestamp", "o_orderkey", r6("o_totalprice"))
+
+
 QUERIES = {
+    "stored_dataset": q_stored_dataset,
+    "stored_stats": q_stored_stats,
+    "load_or_build": q_load_or_build,
     "select_files": q_select_files,
     "raw_load": q_raw_load,
     "first_csv": q_first_csv,
@@ -177,11 +225,20 @@ _RUN_SQL = """SELECT "Timestamp", o_totalprice, CASE WHEN abs(f + 327.679993) <=
     FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1)"""
 
 ORACLE = {
+    "stored_dataset": """SELECT strftime(o_orderdate, '%Y-%m') AS ts_month, o_orderdate AS "Timestamp",
+        round(avg(o_totalprice), 6) AS o_totalprice FROM orders GROUP BY o_orderdate""",
+    "stored_stats": f"""WITH {_gap_ctes(ORDERS_DAILY_SQL, 'o_orderdate', [])}
+        SELECT (SELECT count(*) FROM s) AS row_count, (SELECT min(o_orderdate) FROM s) AS ts_min,
+               (SELECT max(o_orderdate) FROM s) AS ts_max, (SELECT res_us FROM r) AS resolution_us,
+               (SELECT max(n) FROM (SELECT count(*) AS n FROM s GROUP BY strftime(o_orderdate, '%Y-%m'))) AS densest_month_rows""",
+    "load_or_build": """SELECT o_orderdate AS "Timestamp", o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders
+        WHERE year(o_orderdate) IN (SELECT DISTINCT year(o_orderdate) AS y FROM orders ORDER BY y LIMIT 2)""",
     "select_files": """SELECT o_orderdate AS "Timestamp", o_orderkey, round(o_totalprice, 6) AS o_totalprice,
         'orders_' || CAST(year(o_orderdate) AS VARCHAR) AS file FROM orders""",
     "raw_load": """SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderdate END AS "Timestamp",
         CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders""",
-    "first_csv": 'SELECT o_orderdate AS "when", o_orderkey FROM orders',
+    "first_csv": """SELECT o_orderdate AS "Timestamp", o_orderkey FROM orders
+        WHERE year(o_orderdate) = (SELECT min(year(o_orderdate)) FROM orders)""",
     "event_dictionary": f"WITH {DICT} SELECT row_number() OVER (ORDER BY code, key) - 1 AS ord, key, code FROM k",
     "event_groups_file": f"""WITH {DICT} SELECT component, component AS name, raw_columns, raw_encoded,
         from_to_columns, from_to_encoded FROM grp""",

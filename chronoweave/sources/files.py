@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import os
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -48,17 +49,30 @@ def select_files(spark: SparkSession, pattern, max_files: int | None = None,
     return paths[:max_files] if max_files else paths
 
 
-def _headers(spark: SparkSession, paths: list[str], sep: str, batch: int = 256) -> dict[str, tuple[str, ...]]:
-    """First line of every file: one job per ``batch`` files, each file read
-    with a limit-1 scan (only the start of its first split is touched)."""
-    out: dict[str, tuple[str, ...]] = {}
-    for i in range(0, len(paths), batch):
-        parts = [spark.read.text(p).limit(1).select(F.lit(p).alias("p"), "value") for p in paths[i:i + batch]]
-        for r in reduce(DataFrame.unionByName, parts).collect():
-            out[r.p] = tuple(c.strip() for c in next(csv.reader([r.value], delimiter=sep)))
+def _headers(spark: SparkSession, paths: list[str], sep: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header, in the given order, from one scan that keeps the first line of every file.
+
+    A file's first line lies in the split that starts at byte 0 and has the
+    lowest row id there.  A file without any line has no header and no rows.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"),
+                                          F.col("_metadata.file_block_start").alias("start"),
+                                          F.monotonically_increasing_id().alias("i")).where("start = 0")
+    firsts = lines.groupBy("path").agg(F.min_by("value", "i").alias("line"))
+    line = {_plain(unquote(r.path)): r.line for r in firsts.collect()}
+    out: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        if _plain(p) in line:
+            out.setdefault(tuple(c.strip() for c in next(csv.reader([line[_plain(p)]], delimiter=sep))), []).append(p)
     return out
 
 
+def _plain(path: str) -> str:
+    """A path in one spelling, whichever slashes and scheme a local file is named with."""
+    head, sep, rest = path.partition(":/")
+    return head + ":/" + rest.lstrip("/") if sep and "/" not in head else "file:/" + path.lstrip("/")
+
+
 def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep: str = ",",
                ts_format: str | None = None, infer: bool = True, with_file: bool = False) -> DataFrame:
     """Read CSV files whose headers differ, binding columns BY NAME.
@@ -71,10 +85,9 @@ def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep
     is such a number, boolean when every row holds true or false (any case),
     else stays text.  Types come from one aggregate pass over all rows.
     """
-    heads = _headers(spark, paths, sep)
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        groups.setdefault(heads[p], []).append(p)
+    groups = _headers(spark, paths, sep)
+    if not groups:
+        raise ValueError("the files hold no header line")
     frames = []
     for header, files in groups.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
@@ -153,12 +166,12 @@ def load_or_build(spark: SparkSession, table_name: str, build, ts: str = "Timest
     result, and save it (parquet, month partitions, time-sorted files)."""
     if spark.catalog.tableExists(table_name):
         return spark.table(table_name)
-    df = build()
-    if df.isEmpty():
-        raise ValueError(f"building {table_name!r} gave no rows")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.withColumn("ts_month", _month(ts)).repartitionByRange(n, q(ts)).sortWithinPartitions(q(ts))
-       .write.mode("overwrite").format("parquet").partitionBy("ts_month").saveAsTable(table_name))
+    (build().withColumn("ts_month", _month(ts)).repartitionByRange(n, q(ts)).sortWithinPartitions(q(ts))
+       .write.mode("errorifexists").format("parquet").partitionBy("ts_month").saveAsTable(table_name))
+    if spark.table(table_name).isEmpty():  # the builder's plan ran once, in the write
+        spark.sql(f"DROP TABLE {table_name}")
+        raise ValueError(f"building {table_name!r} gave no rows")
     return spark.table(table_name)
 
 

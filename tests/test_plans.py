@@ -8,7 +8,7 @@ from chronoweave.operators import gaps, quality, series
 from tests.conftest import SF
 
 PASS_THROUGH = ("Sort", "Exchange", "AQEShuffleRead", "ShuffleQueryStage", "InputAdapter",
-                "WholeStageCodegen", "Project", "Filter", "ColumnarToRow")
+                "WholeStageCodegen", "Project", "Filter", "ColumnarToRow", "Window")  # all keep rows as they are
 
 
 def _top_lists(text: str) -> list[str]:
@@ -67,6 +67,19 @@ def test_bad_runs_and_merge_stay_distributed(spark):
     assert unpartitioned_windows_not_on_aggregates(quality.merge_intervals(runs)) == []
 
 
+def test_intervals_are_shuffled_once_and_nothing_is_written(spark):
+    e = spark.read.parquet(f"{SF}/events.parquet").select("event_type", "ts", F.when(F.col("value") > 100, 999999.0)
+                                                              .otherwise(F.col("value")).alias("v"))
+    runs = quality.bad_runs(e, "ts", ["v"], ["event_type"], bucket="month")
+    iv = spark.createDataFrame(runs.collect(), runs.schema)
+    for df in (runs, quality.merge_intervals(iv, ["event_type"], bucket="month")):
+        df.write.format("noop").mode("overwrite").save()
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        rows = [n for n in plan.split("\n") if "Exchange hashpartitioning(__cw_key" in n and "ReusedExchange" not in n]
+        assert len(rows) == 1, rows  # by (key, bucket), shared by all branches of the plan
+
+
 def test_clip_pushed_to_scan(spark):
     e = spark.read.parquet(f"{SF}/events.parquet")
     plan = series.time_range_clip(e.select("ts", "value"), "ts", "2024-01-02", "2024-01-03") \
