@@ -13,10 +13,12 @@ twice or its executor is lost.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,12 +135,13 @@ def write_matrices(docs: DataFrame, tokenizer: str, path: str | None = None, siz
 
     def pack(batches):
         e, held, n = encoder(tokenizer), [], 0
+        task, made = TaskContext.get().partitionId(), itertools.count()
         bits = 16 if max(e.whole.get_vocab_size(), end_id + 1, pad_id + 1) <= 1 << 16 else 32
 
         def shard():
             s = build_shard(held, size, pad_id)
             cell = s["matrix"].astype("<u2" if bits == 16 else "<u4").tobytes()
-            name = f"{zlib.crc32(cell):08x}-{zlib.crc32(repr(s['doc'][:3]).encode()):08x}"
+            name = f"{task:06d}-{next(made):05d}-{zlib.crc32(cell):08x}"  # equal shards keep names of their own
             cols = [[name], [s["n_rows"]], [size], [bits], [cell], [s["cu_seqlens"].tobytes()], [s["row_ends"].tobytes()],
                     [s["resets"].tobytes()]]
             lists = [pa.array([s["doc"]], pa.list_(arrow) if arrow else None), pa.array([s["piece"]], pa.list_(pa.int32())),
