@@ -27,6 +27,7 @@ in place, three times.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm.common import Tables, batch_rows
 from chronoweave.llm.suffix_groups import suffix_array
 from chronoweave.llm.words import _BYTE as _FOLDED
-from chronoweave.llm.words import _powers, buffers, mix
+from chronoweave.llm.words import _powers, buffers
 
 PIECE = 1 << 20          # windows hashed at a time
 GROUP = 8192             # different parts of one core that are sorted together
@@ -49,6 +50,7 @@ HEAVY = 10_000           # a context with at least 1/HEAVY of all places is heav
 _BYTE = _FOLDED.copy()   # one odd number for each byte, upper case apart from lower
 _BYTE[65:91] = np.random.default_rng(11).integers(1, 2**63, 26, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POS = np.uint64((1 << 24) - 1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def runs(window: int) -> int:
@@ -86,25 +88,22 @@ def anchors(raw: np.ndarray, off: np.ndarray, window: int) -> Iterator[tuple]:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
         h = total[k:] - total[:-k]
         h *= down[:len(h)]
-        h = mix(h)
-        key = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)  # smallest hash, then first place
-        tail = -len(key) % many
-        blocks = np.concatenate([key, np.full(tail, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, many)
-        ahead = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        behind = np.minimum.accumulate(blocks, axis=1).ravel()
-        count = n - window + 1
-        at = (np.minimum(ahead[:count], behind[many - 1:many - 1 + count]) & _POS).astype(np.int64)
-        doc = np.repeat(np.arange(len(inner) - 1), np.diff(inner))[:count]
-        whole = np.arange(count) + window <= inner[doc + 1]
-        first = np.ones(count, bool)
-        first[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
-        start = np.flatnonzero(first & whole)
-        if not len(start):
-            continue
-        stop = np.append(np.flatnonzero(first | ~whole), count)
-        last = stop[np.searchsorted(stop, start, side="right")] - 1
-        base = inner[doc[start]] - place
-        yield row + doc[start], start - base, last - base, at[start] - base, h[at[start]]
+        h *= _ODD
+        least = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)  # smallest hash, then first place
+        wide = 1
+        while wide < many:  # minima over 2, 4, ... neighbours
+            least = np.minimum(least[:-wide], least[wide:])
+            wide *= 2
+        start = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(least[1:] != least[:-1]) + 1])
+        at = (least[start] & _POS).astype(np.int64)
+        doc = np.searchsorted(inner, at, side="right") - 1
+        # windows that cross into another row do not count
+        first = np.maximum(start, inner[doc])
+        last = np.minimum(np.append(start[1:], len(least)) - 1, inner[doc + 1] - window)
+        ok = first <= last
+        doc, first, last, at = doc[ok], first[ok], last[ok], at[ok]
+        base = inner[doc] - place
+        yield row + doc, first - base, last - base, at - base, h[at]
 
 
 def _anchor_counts(window: int):
@@ -126,11 +125,11 @@ def _contexts(window: int):
                 begin = off[row] + lo
                 g = np.fromiter((xxhash.xxh3_64_intdigest(view[x:y]) for x, y in
                                  zip(begin.tolist(), (off[row] + hi + window).tolist())), np.uint64, len(row))
-                pick = pa.array(row)
+                k1, k2 = (b.column(c).to_numpy()[row] for c in ("k1", "k2"))
+                # the last window and the anchor lie less than a window behind the first one
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("_key").take(pick), b.column("_id").take(pick), pa.array(h.view(np.int64)),
-                     pa.array(g.view(np.int64)), pa.array(lo), pa.array(hi), pa.array(at)],
-                    ["_key", "_id", "h", "g", "lo", "hi", "at"])
+                    [pa.array(k1), pa.array(k2), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)),
+                     pa.array(lo << 24 | (at - lo) << 12 | (hi - lo))], ["k1", "k2", "h", "g", "place"])
     return run
 
 
@@ -144,7 +143,8 @@ def _cells(window: int):
             out = {c: [] for c in ("h", "g", "n", "core", "left", "right")}
             for start, todo in zip(off.tolist(), b.column("todo").to_pylist()):
                 for t in todo:
-                    lo, at, end = start + t["lo"], start + t["at"], start + t["hi"] + window
+                    lo = start + (t["place"] >> 24)
+                    at, end = lo + (t["place"] >> 12 & 4095), lo + (t["place"] & 4095) + window
                     for c in ("h", "g", "n"):
                         out[c].append(t[c])
                     out["core"].append(xxhash.xxh3_128_digest(raw[at:at + k].tobytes()))
@@ -202,7 +202,13 @@ def repeated(parts: list[tuple[bytes, bytes, bytes]], width: int) -> list[np.nda
     window = np.zeros(len(flat), bool)
     for at, many in zip(begin, starts):
         window[at:at + many] = True
-    order = suffix_array(symbols)
+    collecting = gc.isenabled()
+    gc.disable()  # the sort makes many lists and no cycles
+    try:
+        order = suffix_array(symbols)
+    finally:
+        if collecting:
+            gc.enable()
     twin = np.zeros(len(flat), bool)
     side = np.flatnonzero(window[order[:-1]] & window[order[1:]])
     for i in range(0, len(side), 1 << 15):
@@ -236,15 +242,13 @@ def _sorted_parts(width: int):
 def _merged(batches):
     for b in batches:
         out = []
-        for spans in b.column("spans").to_pylist():
-            flat: list[int] = []
-            for s in sorted(spans, key=lambda s: s["a"]):
-                if flat and s["a"] <= flat[-1]:
-                    flat[-1] = max(flat[-1], s["b"])
-                else:
-                    flat += [s["a"], s["b"]]
-            out.append(flat)
-        yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(out, pa.list_(pa.int64()))], ["_key", "cuts"])
+        for spans in b.column("spans"):
+            v = np.sort(spans.values.to_numpy(zero_copy_only=False))
+            start, end = v >> 32, np.maximum.accumulate(v & 0xFFFFFFFF)
+            gap = np.flatnonzero(start[1:] > end[:-1])
+            out.append(np.stack([start[np.append(0, gap + 1)], end[np.append(gap, len(end) - 1)]], axis=1).ravel())
+        yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(out, pa.list_(pa.int64()))],
+                                         ["k1", "k2", "cuts"])
 
 
 def _kept(batches):
@@ -274,10 +278,8 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
 
 def _marks(tables: Tables, mixed: DataFrame, texts: DataFrame, window: int) -> DataFrame | None:
     """(h, g, low, high): anchor offsets of repeated windows of the cells that share their anchor string with others."""
-    want = tables.written(mixed.groupBy(F.col("rep._key").alias("_key"), F.col("rep._id").alias("_id")).agg(
-        F.collect_list(F.struct("h", "g", "n", "rep.lo", "rep.hi", "rep.at")).alias("todo")), "wanted")
-    want = _small(want, BROADCAST_ROWS)
-    found = texts.join(want, (texts["_key"] == want["_key"]) & texts["_id"].eqNullSafe(want["_id"])).select("_text", "todo")
+    want = tables.written(mixed.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "g", "n", "place")).alias("todo")), "wanted")
+    found = texts.join(_small(want, BROADCAST_ROWS), ["k1", "k2"]).select("_text", "todo")
     members = tables.written(
         found.mapInArrow(_cells(window), "h long, g long, n long, core binary, left binary, right binary")
         .dropDuplicates(["h", "g"]).withColumn("r", F.lit(0).cast("long")), "flanks")
@@ -314,18 +316,15 @@ def _marks(tables: Tables, mixed: DataFrame, texts: DataFrame, window: int) -> D
 
 
 def repeated_spans(tables: Tables, texts: DataFrame, window: int) -> DataFrame:
-    """(_key, cuts) of the texts that hold repeated strings: the removed runs as [from, to, from, to, ...] bytes."""
+    """(k1, k2, cuts) of the texts that hold repeated strings: the removed runs as [from, to, from, to, ...] bytes."""
     counts = texts.select("_text").mapInArrow(_anchor_counts(window), "h long, c long")
     live = tables.written(counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > 1).select("h"), "live-anchors")
-    kind = texts.schema["_id"].dataType.simpleString()
-    places = texts.mapInArrow(_contexts(window), f"_key binary, _id {kind}, h long, g long, lo long, hi long, at long")
+    places = texts.select("k1", "k2", "_text").mapInArrow(_contexts(window), "k1 long, k2 long, h long, g long, place long")
     # rows of one text are equal in all that follows: they count, but travel once
     places = tables.written(places.join(_small(live, 5 * BROADCAST_ROWS), "h", "left_semi")
-                            .groupBy("_key", "h", "g", "lo", "hi", "at")
-                            .agg(F.count(F.lit(1)).alias("c"), F.min("_id").alias("_id")), "places")
+                            .groupBy("k1", "k2", "h", "g", "place").agg(F.count(F.lit(1)).alias("c")), "places")
     cells = tables.written(places.groupBy("h", "g").agg(
-        F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"),
-        F.min(F.struct("_key", "_id", "lo", "hi", "at")).alias("rep")), "cells")
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"), *[F.first(c).alias(c) for c in ("k1", "k2", "place")]), "cells")
     # cells of one anchor string: several, of which one at least is not settled by its count
     several = tables.written(cells.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("n") == 1).alias("open"))
                              .where((F.col("m") > 1) & F.col("open")).select("h"), "shared-anchors")
@@ -337,12 +336,12 @@ def repeated_spans(tables: Tables, texts: DataFrame, window: int) -> DataFrame:
     marks = tables.written(marks.groupBy("h", "g").agg(F.collect_list(F.struct(
         F.col("low"), F.col("high"))).alias("at_offsets")), "marks")
     spans = _placed(tables, places, cells, marks, window)
-    return tables.written(spans.groupBy("_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-                          .mapInArrow(_merged, "_key binary, cuts array<bigint>"), "cuts")
+    return tables.written(spans.groupBy("k1", "k2").agg(F.collect_list(F.shiftleft("a", 32) + F.col("b")).alias("spans"))
+                          .mapInArrow(_merged, "k1 long, k2 long, cuts array<bigint>"), "cuts")
 
 
 def _placed(tables: Tables, places: DataFrame, cells: DataFrame, marks: DataFrame, window: int) -> DataFrame:
-    """(_key, a, b): removed bytes at every place of the marked cells.  A context at very many places is broadcast."""
+    """(k1, k2, a, b): removed bytes at every place of the marked cells.  A context at very many places is broadcast."""
     total = cells.agg(F.sum("d")).first()[0] or 0
     if marks.count() <= BROADCAST_ROWS:
         joined = places.join(F.broadcast(marks), ["h", "g"])
@@ -351,15 +350,20 @@ def _placed(tables: Tables, places: DataFrame, cells: DataFrame, marks: DataFram
         joined = (places.join(F.broadcast(marks.join(heavy, ["h", "g"], "left_semi")), ["h", "g"])
                   .unionByName(places.join(heavy, ["h", "g"], "left_anti")
                                .join(marks.join(heavy, ["h", "g"], "left_anti"), ["h", "g"])))
-    one = joined.select("_key", "lo", "hi", "at", F.explode("at_offsets").alias("o"))
+    lo = F.shiftright("place", 24)
+    at, hi = lo + F.shiftright("place", 12).bitwiseAND(4095), lo + F.col("place").bitwiseAND(4095)
+    one = joined.select("k1", "k2", lo.alias("lo"), at.alias("at"), hi.alias("hi"), F.explode("at_offsets").alias("o"))
     # a mark without offsets is the whole context
-    return one.select("_key", F.coalesce(F.col("at") - F.col("o.high"), F.col("lo")).alias("a"),
+    return one.select("k1", "k2", F.coalesce(F.col("at") - F.col("o.high"), F.col("lo")).alias("a"),
                       (F.coalesce(F.col("at") - F.col("o.low"), F.col("hi")) + window).alias("b"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k1, k2, _id, _text): both halves of the text's MD5, id and text, null texts empty."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.unhex(F.md5(text.cast("binary"))).alias("_key"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
+    md5 = F.md5(text.cast("binary"))
+    k1, k2 = (F.conv(F.substring(md5, at, 16), 16, -10).cast("long") for at in (1, 17))
+    return docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200) -> DataFrame:
@@ -374,12 +378,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with the same text, repeated rows included, are places of their own, so
     such texts of ``window`` bytes or more go as a whole.  Ids are only
     carried, null and shared ones too.  An empty table gives no rows.
+    ``window`` is 2 to 4096 bytes.
     """
+    if not 2 <= window <= 4096:
+        raise ValueError(f"window of {window} bytes")
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     texts = keyed(docs, id_col, text_col)
     with Tables(spark) as tables, batch_rows(spark, 256):
         cuts = _small(repeated_spans(tables, texts, window), BROADCAST_ROWS)
-        rows = texts.join(cuts, "_key", "left").select("_id", "_text", "cuts")
+        rows = texts.join(cuts, ["k1", "k2"], "left").select("_id", "_text", "cuts")
         out = rows.mapInArrow(_kept, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                                      "cuts array<bigint>")
         return tables.written(out.withColumnRenamed("_id", id_col), "without-repeats", keep=True)

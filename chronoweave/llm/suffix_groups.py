@@ -41,7 +41,22 @@ def _groups(symbols: list[int]) -> tuple[list[int], list[int], list[int], list[i
                 p = prev[p]
             prev[s] = p
             done[s] = 1
-            hits = ((1, (p,)),) if p >= 0 else ()
+            members[at] = ()
+            if p >= 0:
+                old = group[p]
+                if size[old] > 1:
+                    new = len(size)
+                    up = above[old]
+                    size.append(1)
+                    members.append([p])
+                    below.append(old)
+                    above.append(up)
+                    above[old] = new
+                    below[up] = new  # ``up`` is a group: ``at`` lies above ``old``
+                    group[p] = new
+                    size[old] -= 1
+            at = below[at]
+            continue
         else:
             here = sorted(x for x in here if group[x] == at)
             for s in here:
@@ -58,7 +73,7 @@ def _groups(symbols: list[int]) -> tuple[list[int], list[int], list[int], list[i
             for p, c in count.items():
                 by.setdefault(c, []).append(p)
             hits = sorted(by.items(), reverse=True)
-        members[at] = []
+        members[at] = ()
         for _, places in hits:
             made: dict[int, int] = {}
             total: dict[int, int] = {}
