@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -85,38 +86,40 @@ class Encoder:
             return None
         return tiktoken.Encoding("merge-table", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _unit(self, unit: str) -> bytes:
-        return np.asarray(self.fast.encode_ordinary(unit), "<u4").tobytes()
-
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._text(t) for t in texts]
+    def _learn(self, known: dict[str, bytes], units: set[str], lead: str) -> list[str]:
+        """Encode the units that are not known yet, each once; returns those too long to be kept."""
+        one, new = self.fast.encode_ordinary, units - known.keys()
+        for u in new:
+            known[u] = array("I", one(lead + u)).tobytes()
+        return [u for u in new if len(u) > LONGEST_CACHED]
 
-    def _text(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.fast is None or _ODD.search(text) or any(s in text for s in self.specials):
-            return self._whole(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out, plain = [b""] * len(texts), []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self.fast is None or _ODD.search(text) or any(s in text for s in self.specials):
+                out[i] = self._whole(text)
+            else:
+                plain.append((i, text.split(" ")))
         if len(self.after) > self.cache_units:
             self.after.clear()
         if len(self.first) > self.cache_units // 8:
             self.first.clear()
-        head, *units = text.split(" ")
-        if head and head not in self.first:
-            if len(head) > LONGEST_CACHED:
-                begin = self._unit(head)
-            else:
-                begin = self.first[head] = self._unit(head)
-        else:
-            begin = self.first[head] if head else b""
-        known, after = self.after, []
-        for u in units:
-            ids = known.get(u)
-            if ids is None:
-                ids = self._unit(" " + u)
-                if len(u) <= LONGEST_CACHED:
-                    known[u] = ids
-            after.append(ids)
-        return begin + b"".join(after)
+        units: set[str] = set()
+        for _, parts in plain:
+            units.update(parts[1:])
+        first, after = self.first, self.after
+        long_first = self._learn(first, {parts[0] for _, parts in plain}, "")
+        long_after = self._learn(after, units, " ")
+        first[""] = b""
+        for i, parts in plain:
+            out[i] = first[parts[0]] + b"".join(map(after.__getitem__, parts[1:]))
+        for u in long_first:
+            del first[u]
+        for u in long_after:
+            del after[u]
+        return out
