@@ -63,7 +63,7 @@ def text_metrics(text: Column) -> dict[str, Column]:
 
 
 def judge(docs: DataFrame, carry: list[str], host_col: str = "source", text_col: str = "text", min_words: int = 50,
-          max_repeat_pct: int = 50, max_host_rate: float = 0.5) -> DataFrame:
+          max_repeat_pct: int = 50, max_host_rate: float = 0.5, stored: bool = True) -> DataFrame:
     """The ``carry`` columns as one struct ``row``, then the metrics, base_failed, host_rate and kept.
 
     base_failed: fewer than ``min_words`` words, or over ``max_repeat_pct``
@@ -77,8 +77,9 @@ def judge(docs: DataFrame, carry: list[str], host_col: str = "source", text_col:
     Null texts are empty and fail as short.  A null host has no verdict, so
     the document's own decides.  Repeated rows count as often as they occur.
     Names of other columns cannot clash, they sit inside ``row``.  The texts
-    are measured once; the measured rows are written, and host counts and the
-    result are read from there.  Counts per host are pre-aggregated before
+    are measured once and the measured rows written, for host counts and
+    result to read; with ``stored=False``, for rows that carry whole texts,
+    nothing but the host counts is written and the result measures again.  Counts per host are pre-aggregated before
     their shuffle, so a host with a third of all rows is no hot key.
     """
     m = text_metrics(F.col(text_col))
@@ -88,12 +89,11 @@ def judge(docs: DataFrame, carry: list[str], host_col: str = "source", text_col:
                        "n_dup_lines", F.col("_words.r").cast("long").alias("n_repeat_words"))
     short = F.col("n_words") < min_words
     repeats = 100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")
-    rows = written(rows.withColumn("fail_short", short).withColumn("fail_repeats", repeats)
-                   .withColumn("base_failed", short | repeats), "quality-rows")
-
-    one = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    rows = rows.withColumn("base_failed", short | repeats)
+    if stored:
+        rows = written(rows, "quality-rows")
     hosts = written(rows.where(F.col("host").isNotNull()).groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), one("fail_short"), one("fail_repeats"), one("base_failed")), "quality-hosts")
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("base_failed")), "quality-hosts")
     prior = hosts.select(F.avg(F.col("base_failed") / F.col("n")).alias("m"),
                          F.var_samp(F.col("base_failed") / F.col("n")).alias("v"),
                          F.avg("n").alias("size"), F.count(F.lit(1)).alias("hosts")).first()
@@ -117,4 +117,4 @@ def quality(docs: DataFrame, id_col: str = "doc_id", **rules) -> DataFrame:
 
 def keep(docs: DataFrame, **rules) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns unchanged.  See ``judge``."""
-    return judge(docs, docs.columns, **rules).where("kept").select("row.*")
+    return judge(docs, docs.columns, stored=False, **rules).where("kept").select("row.*")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import batch_rows, bound_batches, written
+from chronoweave.llm.common import Tables, batch_rows, bound_batches, written
 from chronoweave.llm.words import mix, shingle_sets, word_hashes
 
 PERMUTATIONS, BANDS = 64, 32
@@ -106,13 +106,21 @@ def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(node, comp) for the nodes of ``links`` (a, b); comp is the component's smallest node.
 
     Every round each node takes the smallest of itself and its neighbours and
     that one's own choice, then links are redrawn between the choices.  Rounds
-    end when no link joins two choices.
+    end when no link joins two choices.  The rounds' tables go at the end;
+    the result belongs to ``tables``.
     """
+    with Tables(links.sparkSession) as work:
+        total = _chosen(links, work)
+        return (tables or Tables(links.sparkSession)).written(total, "components")
+
+
+def _chosen(links: DataFrame, work: Tables) -> DataFrame:
+    written = work.written
     edges = written(links.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "edges")
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     total = written(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("comp")), "comp")
@@ -133,31 +141,36 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Finder:
-    """The steps over one table of documents."""
+    """The steps over one table of documents.  ``tables`` owns what later steps read; a step's own tables go at its end."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, part: int, whole: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, part: int, whole: int, tables: Tables):
         bound_batches(docs.sparkSession)
+        self.tables = tables
         self.spark, self.k, self.part, self.whole = docs.sparkSession, k, part, whole
         j = part / whole
         self.estimate = j - 5 * math.sqrt(j * (1 - j) / (2 * PERMUTATIONS))
         self.rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
         kind = self.rows.schema["_id"].dataType.simpleString()
-        self.sketch = written(
+        self.sketch = tables.written(
             self.rows.withColumn("_text_key", F.xxhash64("_text")).mapInArrow(
                 _sketch(k), f"_id {kind}, _text_key long, n long, node binary, bands array<bigint>, sig binary"), "sketch")
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
+    def sets(self, nodes: DataFrame, work: Tables) -> DataFrame:
         """Shingle sets of the listed nodes, computed in one pass over the texts."""
         made = self.rows.select("_text").mapInArrow(_sets(self.k), "node binary, set array<bigint>")
-        return written(made.join(_small(nodes), "node", "left_semi").dropDuplicates(["node"]), "sets")
+        return work.written(made.join(_small(nodes), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The written pairs (a, b) whose full sets reach the threshold."""
-        part, whole = self.part, self.whole
         if not pairs.limit(1).count():
             return pairs
-        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-ends")
-        sets = self.sets(ends)
+        with Tables(self.spark) as work:
+            return self._confirmed(pairs, work)
+
+    def _confirmed(self, pairs: DataFrame, work: Tables) -> DataFrame:
+        part, whole = self.part, self.whole
+        ends = work.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-ends")
+        sets = self.sets(ends, work)
 
         def check(batches):
             for b in batches:
@@ -168,26 +181,27 @@ class _Finder:
                     keep.append(whole * same >= part * (len(x) + len(y) - same))
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        left = sets.join(_small(written(pairs.select(F.col("a").alias("node")).distinct(), "pair-left")), "node", "left_semi")
+        left = sets.join(_small(work.written(pairs.select(F.col("a").alias("node")).distinct(), "pair-left")), "node", "left_semi")
         full = (pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
                 .join(left.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a"))
         with batch_rows(self.spark, 64):
-            return written(full.select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary"), "links")
+            return self.tables.written(full.select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary"), "links")
 
     def buckets(self) -> DataFrame:
         """(key, node, n, sig, size, meets) of the buckets with two nodes or more."""
-        nodes = written(self.sketch.where(F.col("node").isNotNull()).select("node", "n", "bands", "sig")
-                        .dropDuplicates(["node"]), "nodes")
-        dealt = nodes.select("node", F.explode("bands").alias("key"))
-        shared = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "keys")
-        met = written(dealt.join(shared, "key"), "met")
-        degree = written(met.groupBy("node").agg(F.sum(F.col("size") - 1).alias("meets")), "degree")
-        facts = written(nodes.drop("bands").join(degree, "node"), "facts")
-        return written(met.join(facts, "node"), "buckets")
+        with Tables(self.spark) as work:
+            nodes = work.written(self.sketch.where(F.col("node").isNotNull()).select("node", "n", "bands", "sig")
+                            .dropDuplicates(["node"]), "nodes")
+            dealt = nodes.select("node", F.explode("bands").alias("key"))
+            shared = work.written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "keys")
+            met = work.written(dealt.join(shared, "key"), "met")
+            degree = work.written(met.groupBy("node").agg(F.sum(F.col("size") - 1).alias("meets")), "degree")
+            facts = work.written(nodes.drop("bands").join(degree, "node"), "facts")
+            return self.tables.written(met.join(facts, "node"), "buckets")
 
     def stars(self, buckets: DataFrame) -> DataFrame:
         """Pairs (a: centre, b: member) that sizes and signatures allow."""
-        self.centre = written(buckets.groupBy("key").agg(F.max(F.struct("meets", "node", "n", "sig")).alias("c")), "centres")
+        self.centre = self.tables.written(buckets.groupBy("key").agg(F.max(F.struct("meets", "node", "n", "sig")).alias("c")), "centres")
         pairs = (buckets.join(self.centre, "key").where(F.col("node") != F.col("c.node"))
                  .where(self.whole * F.least("n", "c.n") >= self.part * F.greatest("n", "c.n"))
                  .select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.sig").alias("sa"), F.col("sig").alias("sb")))
@@ -198,23 +212,23 @@ class _Finder:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("sa", "sb"))
                 yield b.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
 
-        return written(pairs.mapInArrow(close, "a binary, b binary").distinct(), "star-pairs")
+        return self.tables.written(pairs.mapInArrow(close, "a binary, b binary").distinct(), "star-pairs")
 
-    def thin(self, mixed: DataFrame) -> DataFrame:
+    def thin(self, mixed: DataFrame, work: Tables) -> DataFrame:
         """Large mixed buckets without the nodes that no other component there can reach; the rest with their
         bitmap over the bucket's centre (``bits``) and their shared shingles outside it (``extra``)."""
-        mixed = written(mixed.drop("bits", "extra").join(
+        mixed = work.written(mixed.drop("bits", "extra").join(
             self.centre.select("key", F.col("c.node").alias("centre")), "key"), "large-members")
-        sets = self.sets(written(mixed.select(F.explode(F.array("node", "centre")).alias("node")).distinct(), "large-nodes"))
+        sets = self.sets(work.written(mixed.select(F.explode(F.array("node", "centre")).alias("node")).distinct(), "large-nodes"), work)
         alone = (sets.select("node", F.explode("set").alias("x")).groupBy("x")
                  .agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where(F.col("c") == 1)
                  .groupBy("node").agg(F.count(F.lit(1)).alias("own")))
         least = mixed.groupBy("key").agg(F.min("n").alias("least_n"))
-        known = mixed.join(written(alone, "own-shingles"), "node", "left").join(written(least, "least"), "key")
+        known = mixed.join(work.written(alone, "own-shingles"), "node", "left").join(work.written(least, "least"), "key")
         m = F.col("n") - F.coalesce("own", F.lit(0))
         # J >= part/whole with a set of n' shingles needs whole * m >= part * (n + n' - m)
         able = self.whole * m >= self.part * (F.col("n") + F.greatest("least_n", m) - m)
-        known = written(known.withColumn("shared", m).where(able).drop("own", "least_n"), "able-members")
+        known = work.written(known.withColumn("shared", m).where(able).drop("own", "least_n"), "able-members")
         pairs = known.select("centre", "node").distinct()
         full = (pairs.join(sets.select("node", F.col("set").alias("sb")), "node")
                 .join(sets.select(F.col("node").alias("centre"), F.col("set").alias("sa")), "centre"))
@@ -231,7 +245,7 @@ class _Finder:
                                                   pa.array(same, pa.int64())], ["centre", "node", "bits", "same"])
 
         with batch_rows(self.spark, 64):
-            over = written(full.select("centre", "node", "sa", "sb")
+            over = work.written(full.select("centre", "node", "sa", "sb")
                            .mapInArrow(overlap, "centre binary, node binary, bits binary, same long"), "centre-bits")
         # a centre's own shingles may be unshared, so what lies outside is at least 0
         return (known.join(over, ["centre", "node"])
@@ -240,10 +254,10 @@ class _Finder:
 
     def mixed(self, members: DataFrame) -> DataFrame:
         """Members of buckets with several components, with the bucket's size and whether a member is outside its largest one."""
-        sizes = written(members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")), "comp-sizes")
-        kinds = written(sizes.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"),
+        sizes = self.tables.written(members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")), "comp-sizes")
+        kinds = self.tables.written(sizes.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"),
                                                  F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1), "mixed-keys")
-        return written(members.drop("size").join(kinds, "key").select(
+        return self.tables.written(members.drop("size").join(kinds, "key").select(
             "key", "node", "n", "sig", "comp", "bits", "extra", "size", (F.col("comp") != F.col("top.comp")).alias("out"),
             (F.col("size") - F.col("top.c")).alias("outs")), "mixed")
 
@@ -288,7 +302,7 @@ class _Finder:
                 yield pa.RecordBatch.from_arrays([pa.array(a_, pa.binary()), pa.array(b_, pa.binary())], ["a", "b"])
 
         with batch_rows(self.spark, 32):
-            return written(out.join(all_, ["key", "i", "j"]).select("outs", "members")
+            return self.tables.written(out.join(all_, ["key", "i", "j"]).select("outs", "members")
                            .mapInArrow(compare, "a binary, b binary").distinct(), "cross-pairs")
 
     def classes(self) -> DataFrame:
@@ -296,29 +310,30 @@ class _Finder:
         buckets = self.buckets()
         stars = self.stars(buckets)
         links = self.confirm(stars)
-        comp = components(links)
+        comp = components(links, self.tables)
         members = self.mixed(buckets.join(comp, "node", "left")
                              .withColumn("comp", F.coalesce("comp", "node"))
                              .withColumn("bits", F.lit(None).cast("binary")).withColumn("extra", F.lit(None).cast("long")))
         large = members.where(F.col("size") > LARGE_BUCKET)
         if large.limit(1).count():
-            rest = self.mixed(written(self.thin(large), "thinned"))
+            with Tables(self.spark) as work:
+                rest = self.mixed(work.written(self.thin(large, work), "thinned"))
             members = members.where(F.col("size") <= LARGE_BUCKET).unionByName(rest)
         tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = written(self.cross(members).join(tried, ["a", "b"], "left_anti"), "new-pairs")
+        pairs = self.tables.written(self.cross(members).join(tried, ["a", "b"], "left_anti"), "new-pairs")
         more = self.confirm(pairs)
         if not more.limit(1).count():
             return comp
-        return components(links.unionByName(more))
+        return components(links.unionByName(more), self.tables)
 
     def documents(self) -> DataFrame:
         """(_id, _text_key, n, node, comp, component_id) per row; comp names the class, which its smallest id need not."""
         least = self.sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("_id").alias("first"))
-        first = written(least, "first-ids")
+        first = self.tables.written(least, "first-ids")
         comp = self.classes()
-        named = written(first.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
-        lowest = written(named.groupBy("comp").agg(F.min("first").alias("component_id")), "lowest")
-        named = written(named.join(lowest, "comp").select("node", "comp", "component_id"), "node-classes")
+        named = self.tables.written(first.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "named")
+        lowest = self.tables.written(named.groupBy("comp").agg(F.min("first").alias("component_id")), "lowest")
+        named = self.tables.written(named.join(lowest, "comp").select("node", "comp", "component_id"), "node-classes")
         return (self.sketch.select("_id", "_text_key", "n", "node").join(named, "node", "left")
                 .withColumn("component_id", F.when(F.col("node").isNull(), F.col("_id")).otherwise(F.col("component_id"))))
 
@@ -335,9 +350,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows that share an id keep that id's verdict each; a null id never is a
     smallest id, and counts as kept only where its class has no id at all.
     """
-    found = _Finder(docs, id_col, text_col, k, part, whole).documents()
-    return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-                        F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    with Tables(docs.sparkSession) as tables:
+        found = _Finder(docs, id_col, text_col, k, part, whole, tables).documents()
+        return tables.written(found.select(
+            F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
+            F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")), "near-duplicates", keep=True)
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, part: int = 75,
@@ -348,8 +365,10 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     text, one stays.  The rows to drop are found on ids and text hashes; they
     are broadcast only up to ``BROADCAST_ROWS`` of them.
     """
-    found = written(_Finder(docs, id_col, text_col, k, part, whole).documents().where(F.col("node").isNotNull())
-                    .select("_id", "_text_key", "comp"), "classes")
+    with Tables(docs.sparkSession) as tables:
+        finder = _Finder(docs, id_col, text_col, k, part, whole, tables)
+        found = tables.written(finder.documents().where(F.col("node").isNotNull()).select("_id", "_text_key", "comp"),
+                               "classes", keep=True)
     best = written(found.groupBy("comp").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_text_key"))
                                              .alias("s")), "stays")
     drop = (found.join(best, "comp")
