@@ -27,12 +27,36 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the jobs run inside, put back afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def freed_shuffles(spark: SparkSession):
+    """Jobs run inside drop their shuffle files when they end, and not when the driver next collects garbage.
+
+    A later job over the same frame writes its shuffles anew.
+    """
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def written(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read
-    back: lineage ends there, and a lost executor re-reads files."""
-    path = path or shared_path(df.sparkSession, name)
-    df.write.options(**options).mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back: lineage ends there, its shuffle files go, and a lost executor re-reads files."""
+    spark = df.sparkSession
+    path = path or shared_path(spark, name)
+    with freed_shuffles(spark):
+        df.write.options(**options).mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -55,8 +79,12 @@ class Tables:
         return self
 
     def __exit__(self, *error) -> None:
-        for path in self.paths:
-            removed(self.spark, path)
+        self.drop()
+
+    def drop(self) -> None:
+        """Remove the tables written so far, where a ``with`` block does not fit."""
+        while self.paths:
+            removed(self.spark, self.paths.pop())
 
     def written(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         path = shared_path(self.spark, name)
@@ -76,13 +104,6 @@ def crc_fold(id_col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)
 
 
-@contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for the jobs run inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

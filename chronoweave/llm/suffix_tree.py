@@ -2,9 +2,8 @@
 
 Tokens are lower-cased words and one end token per text; the end token also
 stands before the first word, as its context.  A context of d words is a
-candidate when it was seen ``CONTEXT_SEEN`` times in training (in a corpus so
-small that ``context_share`` of its tokens is less, that often, at least
-twice).  Its next-token counts are gathered over the whole training corpus,
+candidate when it was seen ``CONTEXT_SEEN`` times in training, whatever the
+size of the corpus.  Its next-token counts are gathered over the whole training corpus,
 one depth after the other, and each next token seen ``NEXT_SEEN`` times is
 named.  A candidate becomes a state when the log-likelihood gained over its
 suffix beats half the log of its count per next token it names (divergence
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import bound_batches, crc_fold, shared_path, written
+from chronoweave.llm.common import Tables, bound_batches, crc_fold, written
 from chronoweave.llm.words import mix, word_hashes
 
 END = np.uint64(0x656E642D6F66646F)
@@ -71,14 +70,6 @@ class Lookup:
         return at
 
 
-def _sorted_find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Position of each asked value in a sorted array, -1 if absent."""
-    if not len(keys):
-        return np.full(len(asked), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, at, -1)
-
-
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all rows, an end token after each row's words, and row offsets."""
     hashes, off = word_hashes(col)
@@ -91,101 +82,19 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, off + np.arange(rows + 1)
 
 
-class Model:
-    """The whole model in the memory of one process, for small corpora: tokens with their base probabilities, and the
-    states of each depth."""
-
-    def __init__(self, keys: np.ndarray, train: np.ndarray, total: int, distinct: int):
-        order = np.argsort(keys)
-        self.lookup, self.count = Lookup(keys[order]), train[order]
-        self.total, self.room = total, total + distinct + 1
-        self.base = np.log10((self.count + 1) / self.room)
-        self.end = int(self.lookup.find(np.array([END]))[0])
-        self.size = np.int64(len(keys) + 1)
-        self.depths: list[dict] = []
-
-    def histories(self, ids: np.ndarray, off: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For d = 1..depth: the candidate context of d tokens before each token, -1 if none."""
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[off[:-1]] = self.end
-        out = []
-        for d in range(depth):
-            level = self.depths[d]
-            if d == 0:
-                state = np.where(before >= 0, level["of_token"][before], -1)
-            else:
-                # the context of d tokens before the last one, followed by the last one
-                older = np.full(len(ids), -1, np.int64)
-                older[1:] = out[d - 1][:-1]
-                older[off[:-1]] = -1
-                state = np.full(len(ids), -1, np.int64)
-                ok = np.flatnonzero((older >= 0) & (before >= 0))
-                state[ok] = _sorted_find(level["grams"], older[ok] * self.size + before[ok])
-            out.append(state)
-        return out
-
-    def add_depth(self, grams: np.ndarray, seen: np.ndarray) -> None:
-        """Candidate contexts of one more token: sorted grams (shorter context * size + token), and their counts."""
-        d = len(self.depths)
-        level = {"grams": grams, "seen": seen}
-        if d == 0:
-            level["of_token"] = np.full(int(self.size), -1, np.int64)
-            level["of_token"][grams] = np.arange(len(grams))
-            level["suffix"] = np.full(len(grams), -1, np.int64)
-        else:
-            older, token = grams // self.size, grams % self.size
-            if d == 1:
-                level["suffix"] = self.depths[0]["of_token"][token]
-            else:
-                up = self.depths[d - 1]
-                level["suffix"] = _sorted_find(up["grams"], up["suffix"][older] * self.size + token)
-        self.depths.append(level)
-
-    def chance(self, d: int, state: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Log10 probability of frequent tokens after contexts of depth d (0: no context)."""
-        if d == 0:
-            return self.base[token]
-        level = self.depths[d - 1]
-        out = np.empty(len(token))
-        named = _sorted_find(level["next"], state * self.size + token)
-        out[named >= 0] = level["next_log"][named[named >= 0]]
-        rest = named < 0
-        if rest.any():
-            up = self.chance(d - 1, level["suffix"][state[rest]], token[rest])
-            out[rest] = up + level["rest_log"][state[rest]]
-        return out
-
-    def learn(self, pairs: np.ndarray, seen: np.ndarray) -> None:
-        """Distributions of the deepest contexts from sorted (context * size + token) keys and their counts."""
-        level, d = self.depths[-1], len(self.depths)
-        state, token = pairs // self.size, pairs % self.size
-        n, total = len(level["grams"]), level["seen"].astype(float)
-        up = 10 ** self.chance(d - 1, level["suffix"][state], token) if len(pairs) else np.zeros(0)
-        add = lambda x: np.bincount(state, x, n).astype(float)
-        named, own, suffix = add(np.ones(len(pairs))), add(seen.astype(float)), add(up)
-        mle = seen / total[state]
-        left, left_up = np.maximum(total - own, 0), np.maximum(1 - suffix, 1e-12)
-        gain = add(seen * np.log(mle / up))
-        some = left > 0
-        gain[some] += left[some] * np.log(left[some] / total[some] / left_up[some])
-        keep = gain > 0.5 * np.log(np.maximum(total, 2)) * np.maximum(named, 1)
-        smooth = (seen + PRIOR * up) / (total[state] + PRIOR)
-        rest = np.maximum(1 - add(smooth), 1e-12) / left_up
-        level["rest_log"] = np.where(keep, np.log10(rest), 0.0)
-        stays = keep[state]
-        level["next"], level["next_log"] = pairs[stays], np.log10(smooth[stays])
-
-
-def _emit(keys: list[np.ndarray], train: list[np.ndarray] | None = None):
-    """One batch of distinct keys with their occurrences (and those in training)."""
-    k = np.concatenate(keys)
-    u, inv, c = np.unique(k, return_inverse=True, return_counts=True)
-    cols, names = [pa.array(u.view(np.int64)), pa.array(c)], ["key", "c"]
-    if train is not None:
-        cols.append(pa.array(np.bincount(inv, np.concatenate(train), len(u)).astype(np.int64)))
-        names.append("t")
-    return pa.RecordBatch.from_arrays(cols, names)
+def _emit(keys: list[np.ndarray], train: list[np.ndarray]):
+    """A batch of distinct keys in training and one of those outside, with their occurrences (and those in training)."""
+    k, in_train = np.concatenate(keys), np.concatenate(train)
+    for part, times in ((k[in_train], 1), (k[~in_train], 0)):
+        u, c = _distinct(part)
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c), pa.array(c * times)], ["key", "c", "t"])
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs."""
+    k = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.diff(np.append(first, len(k))).astype(np.int64)
 
 
 def _unigrams(batches):
@@ -193,76 +102,23 @@ def _unigrams(batches):
     for b in batches:
         k, off = tokens(b.column("_text"))
         keys.append(k)
-        train.append(np.repeat(b.column("_train").to_numpy(zero_copy_only=False).astype(np.uint8), np.diff(off)))
+        train.append(np.repeat(b.column("_train").to_numpy(zero_copy_only=False).astype(bool), np.diff(off)))
         n += len(k)
         if n >= FLUSH_TOKENS:
-            yield _emit(keys, train)
+            yield from _emit(keys, train)
             keys, train, n = [], [], 0
     if n:
-        yield _emit(keys, train)
-
-
-def _next_tokens(shared, depth: int):
-    """Counts of (candidate context of ``depth``, frequent next token)."""
-    def run(batches):
-        model, keys, n = shared.value, [], 0
-        for b in batches:
-            k, off = tokens(b.column("_text"))
-            ids = model.lookup.find(k)
-            state = model.histories(ids, off, depth)[-1]
-            ok = (state >= 0) & (ids >= 0)
-            keys.append((state[ok] * model.size + ids[ok]).view(np.uint64))
-            n += len(keys[-1])
-            if n >= FLUSH_TOKENS:
-                yield _emit(keys)
-                keys, n = [], 0
-        if n:
-            yield _emit(keys)
-    return run
-
+        yield from _emit(keys, train)
 
-def least_seen(context_share: float, total: int) -> float:
-    """How often a context must be seen: a fixed count, less in a small corpus, whatever the size of a larger one."""
-    return max(2.0, min(float(CONTEXT_SEEN), context_share * total))
 
-
-def token_counts(rows: DataFrame) -> tuple[DataFrame, int, int, int]:
+def token_counts(rows: DataFrame, tables: Tables) -> tuple[DataFrame, int, int, int]:
     """(counts of all tokens (key, c, t), tokens, training tokens, distinct training tokens) from rows (_text, _train)."""
-    counts = written(rows.mapInArrow(_unigrams, "key long, c long, t long").groupBy("key")
+    counts = tables.written(rows.mapInArrow(_unigrams, "key long, c long, t long").repartition("key").groupBy("key")
                      .agg(F.sum("c").alias("c"), F.sum("t").alias("t")), "token-counts")
     all_ = counts.agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.sum((F.col("t") > 0).cast("long")).alias("v")).first()
     return counts, all_["c"] or 0, all_["t"] or 0, all_["v"] or 0
 
 
-def train(rows: DataFrame, depth: int, context_share: float, token_share: float) -> tuple[Model, DataFrame, int]:
-    """(model, counts of all tokens (key, c, t), training tokens) from rows (_text, _train), the model in memory.
-
-    For corpora whose model fits the driver; ``gram_weights`` makes the same model as tables.
-    """
-    spark = rows.sparkSession
-    counts, _, total, distinct = token_counts(rows)
-    held = counts.select("key", "t").toArrow()
-    model = Model(held["key"].to_numpy().view(np.uint64).copy(), held["t"].to_numpy(), total, distinct)
-    least = least_seen(context_share, total)
-    texts = rows.where("_train").select("_text")
-    grams = np.flatnonzero(model.count >= least).astype(np.int64)
-    seen = model.count[grams]
-    for d in range(1, depth + 1):
-        if not len(grams):
-            break
-        model.add_depth(grams, seen)
-        shared = spark.sparkContext.broadcast(model)
-        found = (texts.mapInArrow(_next_tokens(shared, d), "key long, c long").groupBy("key")
-                 .agg(F.sum("c").alias("c")).where(F.col("c") >= NEXT_SEEN).toArrow())
-        pairs, seen = found["key"].to_numpy(), found["c"].to_numpy()
-        order = np.argsort(pairs)
-        pairs, seen = pairs[order], seen[order]
-        model.learn(pairs, seen)
-        more = (seen >= least) & (pairs % model.size != model.end)
-        grams, seen = pairs[more], seen[more]
-    return model, counts, total
-
-
 def spread(keys: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All texts' tokens with the end token before each, and the row of each."""
     rows = len(off) - 1
@@ -308,26 +164,35 @@ def _mapped(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _gram_counts(shared, d: int):
-    """Counts of the grams of ``d`` + 1 tokens whose first ``d`` can be a candidate, with their last and first token."""
+    """Counts of the grams of ``d`` + 1 tokens whose first ``d`` and last ``d`` can be in the tables of the shorter
+    ones, with their last and, where their key does not tell it, first token."""
+    high = np.uint64(pow(_B, d, 1 << 64))
+
     def emit(keys, last, first):
-        u, at, c = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-        last, first = np.concatenate(last)[at], np.concatenate(first)[at]
-        order = np.argsort(last)  # equal values side by side compress
-        u, c, last, first = u[order], c[order], last[order], first[order]
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(last.view(np.int64)),
-                                           pa.array(first.view(np.int64)), pa.array(c.astype(np.int64))],
-                                          ["key", "last", "first", "c"])
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        cols = {"key": key[new], "last": np.concatenate(last)[order[new]], "c": np.diff(np.append(new, len(key)))}
+        if d > 1:
+            cols["first"] = np.concatenate(first)[order[new]]
+        side = np.argsort(cols["last"])  # equal values side by side compress
+        return pa.RecordBatch.from_arrays([pa.array(v[side].view(np.int64)) for v in cols.values()], list(cols))
 
     def run(batches):
-        bits, keys, last, first, n = shared.value, [], [], [], 0
+        (bits, suffixes), keys, last, first, n = shared.value, [], [], [], 0
         for b in batches:
             ext, row = spread(*tokens(b.column("_text")))
             start, key = windows(ext, row, d + 1)
             ok = _mapped(bits, (key - ext[start + d]) * np.uint64(_B_INV))
             start, key = start[ok], key[ok]
+            if suffixes is not None:
+                ok = _mapped(suffixes, key - ext[start] * high)
+                start, key = start[ok], key[ok]
             keys.append(key)
             last.append(ext[start + d])
-            first.append(ext[start])
+            if d > 1:
+                first.append(ext[start])
             n += len(key)
             if n >= FLUSH_TOKENS:
                 yield emit(keys, last, first)
@@ -343,44 +208,42 @@ def _gram_parts(d: int):
 
     def run(batches):
         for b in batches:
-            key, last, first = (b.column(c).to_numpy().view(np.uint64) for c in ("key", "last", "first"))
+            key, last = (b.column(c).to_numpy().view(np.uint64) for c in ("key", "last"))
+            suf = last if d == 1 else key - b.column("first").to_numpy().view(np.uint64) * high
             yield pa.RecordBatch.from_arrays(
                 [b.column("key"), pa.array(((key - last) * np.uint64(_B_INV)).view(np.int64)),
-                 pa.array((key - first * high).view(np.int64)), pa.array(last == END), b.column("c")],
+                 pa.array(suf.view(np.int64)), pa.array(last == END), b.column("c")],
                 ["key", "ctx", "suf", "ends", "c"])
     return run
 
 
-def _release(spark, *paths: str) -> None:
-    """Delete tables that later written tables have taken in, and let Spark's cleaner drop unreferenced shuffle files."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    spark._jvm.System.gc()
-
-
-def gram_weights(rows: DataFrame, counts: DataFrame, total: int, room: int, depth: int, context_share: float) -> DataFrame:
+def gram_weights(rows: DataFrame, counts: DataFrame, total: int, room: int, depth: int, tables: Tables,
+                 context_seen: int = CONTEXT_SEEN) -> DataFrame:
     """(key, c, w): the states' grams with their training counts and what each adds to a log10 probability.
 
     A gram seen as often as a named next token or a context must be has a
     suffix seen as often, so one join on the suffix finds what the next
-    shorter context says of the same token.
+    shorter context says of the same token; for the same reason a gram whose
+    context or suffix is in no table is left out before the shuffle.  Grams
+    reach the shuffle counted, so they are added up after it only.  What a
+    depth no longer needs goes at its end, the result belongs to ``tables``.
     """
     spark = rows.sparkSession
-    least = least_seen(context_share, total)
     texts = rows.where("_train").select("_text")
     lower = counts.select("key", F.log10((F.col("t") + 1) / F.lit(float(room))).alias("chance"))
-    contexts = counts.where(F.col("t") >= least).select("key", F.col("t").alias("seen"))
-    out, before = None, []
+    contexts = counts.where(F.col("t") >= context_seen).select("key", F.col("t").alias("seen"))
+    out, before = None, None
     for d in range(1, depth + 1):
-        shared = spark.sparkContext.broadcast(key_map(contexts))
-        found = (texts.mapInArrow(_gram_counts(shared, d), "key long, last long, first long, c long").groupBy("key")
-                 .agg(F.first("last").alias("last"), F.first("first").alias("first"), F.sum("c").alias("c"))
+        work = Tables(spark)
+        shared = spark.sparkContext.broadcast((key_map(contexts), key_map(lower) if d > 1 else None))
+        parts = ["last"] + ["first"] * (d > 1)
+        found = (texts.mapInArrow(_gram_counts(shared, d), "key long, last long, c long" + ", first long" * (d > 1))
+                 .repartition("key").groupBy("key").agg(F.sum("c").alias("c"), *(F.first(x).alias(x) for x in parts))
                  .where(F.col("c") >= NEXT_SEEN)
                  .mapInArrow(_gram_parts(d), "key long, ctx long, suf long, ends boolean, c long"))
         up = lower.select(F.col("key").alias("suf"), F.col("chance").alias("up"))
-        at, named_at = shared_path(spark, f"lm-grams-{d}"), shared_path(spark, f"lm-named-{d}")
-        pairs = written(found.join(up, "suf").drop("suf"), "lm-grams", at)
+        pairs = work.written(found.join(up, "suf").drop("suf"), f"lm-grams-{d}")
+        shared.unpersist()
         told = pairs.groupBy("ctx").agg(
             F.count(F.lit(1)).alias("named"), F.sum("c").alias("own"), F.sum(F.pow(F.lit(10.0), "up")).alias("suffix"),
             F.sum(F.col("c") * (F.log("c") - F.col("up") * math.log(10))).alias("gain"))
@@ -388,25 +251,28 @@ def gram_weights(rows: DataFrame, counts: DataFrame, total: int, room: int, dept
         left_up = F.greatest(1 - F.col("suffix"), F.lit(1e-12))
         gain = F.col("gain") - F.col("own") * F.log(seen) + F.when(left > 0, left * F.log(F.greatest(left, F.lit(1)) / seen / left_up)).otherwise(0.0)
         rest = F.greatest(1 - (F.col("own") + PRIOR * F.col("suffix")) / (seen + PRIOR), F.lit(1e-12)) / left_up
-        states = written(told.join(contexts.withColumnRenamed("key", "ctx"), "ctx")
+        states = work.written(told.join(contexts.withColumnRenamed("key", "ctx"), "ctx")
                          .where(gain > 0.5 * F.log(F.greatest(seen, F.lit(2.0))) * F.col("named"))
                          .select("ctx", "seen", F.log10(rest).alias("rest")), f"lm-states-{d}")
         smooth = F.log10((F.col("c") + PRIOR * F.pow(F.lit(10.0), "up")) / (F.col("seen") + PRIOR))
         weight = smooth - F.col("up") - F.col("rest")
-        here = written(states.select(F.col("ctx").alias("key"), F.col("seen").alias("c"), F.col("rest").alias("w"))
+        here = tables.written(states.select(F.col("ctx").alias("key"), F.col("seen").alias("c"), F.col("rest").alias("w"))
                        .unionAll(pairs.join(states, "ctx").select("key", "c", weight.alias("w"))), f"lm-weights-{d}")
         out = here if out is None else out.unionAll(here)
         if d < depth:
-            lower = written(pairs.join(states, "ctx", "left").select("key", "c", "ends", F.coalesce(smooth, "up").alias("chance")),
-                            "lm-named", named_at)
-            contexts = lower.where((F.col("c") >= least) & ~F.col("ends")).select("key", F.col("c").alias("seen"))
-        _release(spark, at, *before)
-        before = [named_at]
+            named = Tables(spark)
+            lower = named.written(pairs.join(states, "ctx", "left").select("key", "c", "ends", F.coalesce(smooth, "up").alias("chance")),
+                                  f"lm-named-{d}")
+            contexts = lower.where((F.col("c") >= context_seen) & ~F.col("ends")).select("key", F.col("c").alias("seen"))
+        work.drop()
+        if before:
+            before.drop()
+        before = named if d < depth else None
     # a gram of 2 tokens or more can be both a named token's and a state's
     return out.groupBy("key").agg(F.max("c").alias("c"), F.sum("w").alias("w"))
 
 
-def score(docs: DataFrame, depth: int = 3, context_share: float = 1e-4, token_share: float = 5e-7, id_col: str = "doc_id",
+def score(docs: DataFrame, depth: int = 3, context_seen: int = CONTEXT_SEEN, token_share: float = 5e-7, id_col: str = "doc_id",
           text_col: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score per row.
 
@@ -424,9 +290,10 @@ def score(docs: DataFrame, depth: int = 3, context_share: float = 1e-4, token_sh
     bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
                        (crc_fold(id_col, folds) != held_out).alias("_train"))
-    counts, every, total, distinct = token_counts(rows)
+    tables = Tables(spark)
+    counts, every, total, distinct = token_counts(rows, tables)
     room = total + distinct + 1
-    weights = gram_weights(rows, counts, total, room, depth, context_share)
+    weights = gram_weights(rows, counts, total, room, depth, tables, context_seen)
     facts = written(
         counts.withColumnRenamed("c", "n").join(weights.select("key", F.col("c").alias("seen"), "w"), "key", "full").select(
             "key", F.coalesce("w", F.lit(0.0)).alias("w"), F.col("n").isNotNull().alias("token"),
@@ -435,6 +302,7 @@ def score(docs: DataFrame, depth: int = 3, context_share: float = 1e-4, token_sh
             (F.when(F.col("n").isNotNull(), F.col("n") >= max(1.0, token_share * every))
              .otherwise(F.col("seen") >= max(1.0, token_share * total))
              | (F.col("key") == F.lit(int(END)))).alias("hot")), "lm-facts")
+    tables.drop()
     hot = facts.where("hot").select("key", "w", "base", "known").toArrow()
     order = np.argsort(hot["key"].to_numpy().view(np.uint64))
     held = {c: hot[c].to_numpy()[order] for c in ("key", "w", "base", "known")}

@@ -1,6 +1,7 @@
 import collections
 import importlib
 import math
+import os
 import random
 import sys
 
@@ -9,7 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.llm import near_dup, suffix_tree, toxicity
+from chronoweave.llm.common import Tables
 from chronoweave.llm.words import shingle_sets, word_hashes
+from chronoweave.session import checkpoint_dir
+import lm_model
 from llm_helpers import DOCS, crc_mod, frame, messy_rows, prose
 
 SF = "/root/testdata/sf0.001"
@@ -205,7 +209,7 @@ def test_distributions_sum_to_one_and_states_help(spark):
             t.append(rng.choice(follow[t[-1]]) if rng.random() < 0.9 else rng.choice("abcdefgh"))
         rows.append((i, " ".join(t), "en", "a", 1))
     df = frame(spark, rows).select(F.col("text").alias("_text"), F.lit(True).alias("_train"))
-    model, counts, total = suffix_tree.train(df, 3, 1e-3, 1e-6)
+    model, counts, total = lm_model.train(df, 3, 10)
     assert len(model.depths) == 3 and len(model.depths[0]["next"]) > 8
     tokens = np.arange(len(model.base))
     unseen = 1 / model.room  # what the base leaves to all unseen tokens together
@@ -220,7 +224,7 @@ def test_distributions_sum_to_one_and_states_help(spark):
                 rest += model.depths[level - 1]["rest_log"][back]
                 back, level = model.depths[level - 1]["suffix"][back], level - 1
             assert abs(p.sum() + unseen * 10 ** rest - 1) < 1e-6
-    out = [r for r in suffix_tree.score(frame(spark, rows), context_share=1e-3).collect() if r["held_out"]]
+    out = [r for r in suffix_tree.score(frame(spark, rows), context_seen=10).collect() if r["held_out"]]
     assert len(out) > 20 and all(r["score"] > r["base_score"] + 5 for r in out)
 
 
@@ -258,8 +262,8 @@ def slow_score(model, text):
 def test_scores_match_a_slow_walk(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
     rows = docs.select(F.col("text").alias("_text"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).alias("_train"))
-    model, _, _ = suffix_tree.train(rows, 3, 1e-4, 5e-7)
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs).collect()}
+    model, _, _ = lm_model.train(rows, 3, 2)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, context_seen=2).collect()}
     for r in docs.where("doc_id < 8").collect():
         assert abs(got[r["doc_id"]] - slow_score(model, r["text"])) < 1e-6 * abs(got[r["doc_id"]])
 
@@ -279,25 +283,35 @@ def follow_rows(n, length, vocabulary, seed):
 
 
 def test_contexts_need_a_fixed_count_whatever_the_corpus(spark):
-    # 300 words of about 170 occurrences each: under a share of 1e-2 (510 of 51,000 tokens) none would be a context
+    # 300 words of about 170 occurrences each, far fewer than a share of a percent of the 51,000 tokens
     rows = follow_rows(300, 200, 300, 21)
     df = frame(spark, rows).select(F.col("text").alias("_text"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).alias("_train"))
-    counts, _, total, distinct = suffix_tree.token_counts(df)
-    weights = suffix_tree.gram_weights(df, counts, total, total + distinct + 1, 3, 1e-2)
-    assert suffix_tree.least_seen(1e-2, total) == suffix_tree.least_seen(1e-2, 10**9) == suffix_tree.CONTEXT_SEEN
-    assert weights.join(counts, "key").count() > 250
-    out = [r for r in suffix_tree.score(frame(spark, rows), context_share=1e-2).collect() if r["held_out"]]
+    for part, least in (df, 250), (df.limit(60), 100):
+        with Tables(spark) as tables:
+            counts, _, total, distinct = suffix_tree.token_counts(part, tables)
+            weights = suffix_tree.gram_weights(part, counts, total, total + distinct + 1, 3, tables)
+            states = weights.join(counts.select("key", "t"), "key")
+            assert states.count() > least and states.agg(F.min("t")).first()[0] >= suffix_tree.CONTEXT_SEEN
+    out = [r for r in suffix_tree.score(frame(spark, rows)).collect() if r["held_out"]]
     assert all(r["score"] > r["base_score"] + 50 for r in out)
 
 
+def test_lm_leaves_only_the_tables_its_result_reads(spark):
+    names = lambda: set(os.listdir(checkpoint_dir(spark)))
+    before = names()
+    out = suffix_tree.score(frame(spark, follow_rows(80, 60, 40, 22)))
+    left = {n.rsplit("-", 1)[0] for n in names() - before}
+    assert out.count() == 80 and left == {"lm-facts", "lm-parts", "lm-rare"}
+
+
 @pytest.mark.parametrize("share", [1e-9, 1.0])  # weights broadcast; all but the end token's joined
 def test_joined_and_broadcast_weights_match_the_slow_walk(spark, share):
     rows = follow_rows(80, 60, 40, 22) + messy_rows()
     df = frame(spark, rows).select(F.col("text").alias("_text"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2).alias("_train"))
-    model, _, _ = suffix_tree.train(df, 3, 1e-3, 5e-7)
+    model, _, _ = lm_model.train(df, 3, 4)
     assert all(len(level["next"]) for level in model.depths[:2])
     got = sorted((r["doc_id"], round(r["score"], 5)) for r in
-                 suffix_tree.score(frame(spark, rows), context_share=1e-3, token_share=share).collect() if r["doc_id"] is not None)
+                 suffix_tree.score(frame(spark, rows), context_seen=4, token_share=share).collect() if r["doc_id"] is not None)
     want = sorted((r[0], round(slow_score(model, r[1] or ""), 5)) for r in rows if r[0] is not None)
     assert len(got) == len(want) and all(i == j and abs(x - y) < 1e-3 for (i, x), (j, y) in zip(got, want))
 
