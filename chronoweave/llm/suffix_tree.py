@@ -20,8 +20,10 @@ token's difference from that to the gram one token longer.  A text's score is
 therefore the sum of the weights of its grams.  Weights of grams that make up
 a share of the corpus (at most 1/share of each length) are broadcast and
 summed where the text is read, which also takes the hot keys out of the join;
-the others are joined.  A bitmap of fixed size says which grams can be in a
-table at all; the joins decide.
+the others are joined, in ``SLICES`` parts by key so that only one part's
+shuffle is on disk at a time.  A bitmap of fixed size says which grams can be
+in a table at all, and a gram can only be there if its context is; the joins
+decide.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ END = np.uint64(0x656E642D6F66646F)
 FLUSH_TOKENS = 4_000_000
 PRIOR = 20.0
 CONTEXT_SEEN, NEXT_SEEN = 10, 2
+SLICES = 2
 MAP_BITS = 27
 _B = 0xD1342543DE82EF95
 _B_INV = pow(_B, -1, 1 << 64)
@@ -221,6 +224,8 @@ def gram_weights(rows: DataFrame, counts: DataFrame, total: int, room: int, dept
                  context_seen: int = CONTEXT_SEEN) -> DataFrame:
     """(key, c, w): the states' grams with their training counts and what each adds to a log10 probability.
 
+    Candidates that are no states are there with 0, so that every gram of the table has its context there too.
+
     A gram seen as often as a named next token or a context must be has a
     suffix seen as often, so one join on the suffix finds what the next
     shorter context says of the same token; for the same reason a gram whose
@@ -256,8 +261,9 @@ def gram_weights(rows: DataFrame, counts: DataFrame, total: int, room: int, dept
                          .select("ctx", "seen", F.log10(rest).alias("rest")), f"lm-states-{d}")
         smooth = F.log10((F.col("c") + PRIOR * F.pow(F.lit(10.0), "up")) / (F.col("seen") + PRIOR))
         weight = smooth - F.col("up") - F.col("rest")
-        here = tables.written(states.select(F.col("ctx").alias("key"), F.col("seen").alias("c"), F.col("rest").alias("w"))
-                       .unionAll(pairs.join(states, "ctx").select("key", "c", weight.alias("w"))), f"lm-weights-{d}")
+        here = tables.written(contexts.join(states.select(F.col("ctx").alias("key"), "rest"), "key", "left")
+                              .select("key", F.col("seen").alias("c"), F.coalesce("rest", F.lit(0.0)).alias("w"))
+                              .unionAll(pairs.join(states, "ctx").select("key", "c", weight.alias("w"))), f"lm-weights-{d}")
         out = here if out is None else out.unionAll(here)
         if d < depth:
             named = Tables(spark)
@@ -296,44 +302,57 @@ def score(docs: DataFrame, depth: int = 3, context_seen: int = CONTEXT_SEEN, tok
     weights = gram_weights(rows, counts, total, room, depth, tables, context_seen)
     facts = written(
         counts.withColumnRenamed("c", "n").join(weights.select("key", F.col("c").alias("seen"), "w"), "key", "full").select(
-            "key", F.coalesce("w", F.lit(0.0)).alias("w"), F.col("n").isNotNull().alias("token"),
+            "key", F.coalesce("w", F.lit(0.0)).alias("w"), F.col("n").isNotNull().alias("token"), F.col("seen").isNotNull().alias("gram"),
             F.coalesce(F.log10((F.col("t") + 1) / F.lit(float(room))), F.lit(0.0)).alias("base"),
             F.coalesce((F.col("t") > 0).cast("long"), F.lit(0).cast("long")).alias("known"),
             (F.when(F.col("n").isNotNull(), F.col("n") >= max(1.0, token_share * every))
              .otherwise(F.col("seen") >= max(1.0, token_share * total))
              | (F.col("key") == F.lit(int(END)))).alias("hot")), "lm-facts")
     tables.drop()
-    hot = facts.where("hot").select("key", "w", "base", "known").toArrow()
+    hot = facts.where("hot").select("key", "w", "base", "known", "gram").toArrow()
     order = np.argsort(hot["key"].to_numpy().view(np.uint64))
-    held = {c: hot[c].to_numpy()[order] for c in ("key", "w", "base", "known")}
+    held = {c: hot[c].to_numpy()[order] for c in ("key", "w", "base", "known", "gram")}
     cold = facts.where("not hot")
-    shared = spark.sparkContext.broadcast((Lookup(held["key"].view(np.uint64)), held["w"], held["base"], held["known"],
-                                           key_map(cold.where("not token"))))
+    shared = spark.sparkContext.broadcast((Lookup(held["key"].view(np.uint64)), held["w"], held["base"], held["known"], held["gram"],
+                                           key_map(cold.where("gram"))))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches):
-        lookup, w, base, known, bits = shared.value
+        lookup, w, base, known, gram, bits = shared.value
         for b in batches:
             keys, off = tokens(b.column("_text"))
             n = len(b)
             per = lambda row, x: np.bincount(row, x, n).astype(float)
-            row = np.repeat(np.arange(n), np.diff(off))
-            at = lookup.find(keys)
-            yes, at = at >= 0, at[at >= 0]
-            # a word is a token and a context; the end token is one after the text and the other before it
-            sums = per(row[yes], base[at])
-            log, seen = sums + per(row[yes], w[at]), per(row[yes], known[at]).astype(np.int64)
-            rare_row, rare = [row[~yes]], [keys[~yes]]
             ext, of = spread(keys, off)
+            found = lookup.find(ext)
+            # a word is a token and a context; the end token is one after the text and the other before it
+            token = np.ones(len(ext), bool)
+            token[off[:-1] + np.arange(n)] = False
+            row, at = of[token], found[token]
+            yes = at >= 0
+            rare_row, rare = [row[~yes]], [ext[token][~yes]]
+            row, at = row[yes], at[yes]
+            sums = per(row, base[at])
+            log, seen = sums + per(row, w[at]), per(row, known[at]).astype(np.int64)
+            # a gram is in a table only if its context is
+            may = np.zeros(len(ext), bool)
+            may[found >= 0] = gram[found[found >= 0]]
+            may[found < 0] = _mapped(bits, ext[found < 0])
             for m in range(2, depth + 2):
                 start, key = windows(ext, of, m)
+                ok = may[start]
+                start, key = start[ok], key[ok]
                 at = lookup.find(key)
                 yes = at >= 0
                 log += per(of[start[yes]], w[at[yes]])
+                may = np.zeros(len(ext), bool)
+                may[start[yes]] = True
                 start, key = start[~yes], key[~yes]
-                may = _mapped(bits, key)
-                rare_row.append(of[start[may]])
-                rare.append(key[may])
+                ok = _mapped(bits, key)
+                start, key = start[ok], key[ok]
+                may[start] = True
+                rare_row.append(of[start])
+                rare.append(key)
             rare_row, rare = np.concatenate(rare_row), np.concatenate(rare)
             rare = rare[np.argsort(rare_row, kind="stable")]
             ends = np.concatenate([[0], np.cumsum(np.bincount(rare_row, minlength=n))])
@@ -344,9 +363,15 @@ def score(docs: DataFrame, depth: int = 3, context_seen: int = CONTEXT_SEEN, tok
 
     parts = written(rows.mapInArrow(run, f"_id {kind}, _train boolean, n long, known long, base double, log double, "
                                          "rare array<bigint>").withColumn("row", F.monotonically_increasing_id()), "lm-parts")
-    rare = parts.select("row", F.explode("rare").alias("key")).join(cold.select("key", "w", "base", "known"), "key")
-    sums = written(rare.groupBy("row").agg(F.sum("base").alias("rare_base"), F.sum("w").alias("rare_w"),
-                                           F.sum("known").alias("rare_known")), "lm-rare")
+    sums = None
+    for i in range(SLICES):
+        own = F.filter("rare", lambda k: F.pmod(k, F.lit(SLICES)) == i)
+        rare = parts.select("row", F.explode(own).alias("key")).join(
+            cold.where(F.pmod("key", F.lit(SLICES)) == i).select("key", "w", "base", "known").hint("shuffle_hash"), "key")
+        some = written(rare.groupBy("row").agg(F.sum("base").alias("rare_base"), F.sum("w").alias("rare_w"),
+                                               F.sum("known").alias("rare_known")), f"lm-rare-{i}")
+        sums = some if sums is None else sums.unionAll(some)
+    sums = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("rare_base", "rare_w", "rare_known")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
     return parts.drop("rare").join(sums, "row", "left").select(
