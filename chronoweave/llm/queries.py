@@ -164,8 +164,11 @@ steps AS (
 draws AS (
   SELECT doc_id, text, lang, source, n_chars, coalesce('=' || source, 'null') AS s,
          CAST(CAST('0x' || substr(md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), ''),
-              md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
-  FROM documents),
+              md5(coalesce(text, '')), twin)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, '')) > 1
+                       THEN concat_ws(':', lang, source, n_chars,
+                            row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars)) END AS twin
+        FROM documents)),
 times AS (
   SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.u,
          (SELECT count(*) FROM steps t WHERE t.s = d.s AND t.cum <= d.u) AS n
