@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import bound_batches, exists, shared_path
+from chronoweave.llm.common import bound_batches, exists, shared_path, written
 from chronoweave.llm.encoder import encoder, file_digest
 
+HOT_SHARE = 1000  # a text on more than one in so many rows gets its count by broadcast
+
 
 def _once_per_task(batches):
     """Drop rows whose digest this task has already passed on."""
@@ -64,6 +66,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str | None = None,
     (misses.mapInArrow(_once_per_task, "digest binary, _text string").repartition("digest")
      .mapInArrow(count, "tokenizer string, digest binary, n_tokens long")
      .write.mode("append").parquet(cache_path))
-    return (rows.select("_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes"))
-            .join(read(), "digest")
-            .select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
+    rows = written(rows.select("_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes")), "token-rows")
+    often = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE > rows.count())
+    hot = F.broadcast(written(read().join(F.broadcast(often.select("digest")), "digest", "left_semi"), "token-hot"))
+    found = (rows.join(hot, "digest")
+             .unionByName(rows.join(hot.select("digest"), "digest", "left_anti").join(read(), "digest")))
+    return found.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
