@@ -47,6 +47,13 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -score[near]))[:k]]
 
 
+def _open_above(length: np.ndarray, least: np.ndarray) -> float:
+    """A candidate length under which no query of a block can reach its threshold (Cauchy-Schwarz, rounding allowed for)."""
+    if not (least > 0).all():
+        return 0.0
+    return float((least / (length * (1 + SLACK))).min()) * (1 - SLACK) - SLACK
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_col: str = "vec_id",
           vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` best rows by integer inner product.
@@ -56,8 +63,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     scores go to the smaller id.  Rows with a null id, a null or empty vector,
     or a null or non-finite component take no part, and vectors are compared
     only with vectors of the same number of components.  Of a query id that
-    occurs twice each row is a query, and its results stay together under the
-    one id, ranked as one list without repeated candidates' rows being merged.
+    occurs twice each row is a query, and their results share the one id's
+    ``k`` ranks; rows of the query's own id are never its candidates.  A
+    candidate id that occurs twice is two candidates.
     Scores are exact while components stay below 2**20 and vectors below 2**12
     components.  An empty table gives no rows.
     """
@@ -99,7 +107,7 @@ def _one_dimension(rows: DataFrame, dim: int, k: int, every: int) -> DataFrame:
                 kth = np.sort(score, axis=1)[:, -k] if len(head_ids) >= k else np.full(len(i), -np.inf)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i.tobytes()]), pa.array([x.tobytes()]), pa.array([kth.tobytes()]),
-                     pa.array([float(np.sqrt((x * x).sum(1)).max())])], ["q_ids", "q", "least", "q_length"])
+                     pa.array([_open_above(np.sqrt((x * x).sum(1)), kth)])], ["q_ids", "q", "least", "c_least"])
 
     def blocks(batches):
         part, ids, vs, n = TaskContext.get().partitionId(), [], [], 0
@@ -122,13 +130,14 @@ def _one_dimension(rows: DataFrame, dim: int, k: int, every: int) -> DataFrame:
 
     with batch_rows(spark, BLOCK_ROWS):
         asked = written(rows.where(F.col("id") % every == 0).select("id", "v").mapInArrow(
-            query_blocks, "q_ids binary, q binary, least binary, q_length double"), "topk-queries")
+            query_blocks, "q_ids binary, q binary, least binary, c_least double"), "topk-queries")
         stored = written(rows.repartitionByRange(F.desc("len2"), "id").sortWithinPartitions(F.desc("len2"), "id")
                          .select("id", "v").mapInArrow(blocks, "part int, c_ids binary, c binary, c_length double"),
                          "topk-blocks")
-    # a query block goes to every part of the length order, and blocks of a part come longest first
-    last = stored.agg(F.max("part")).first()[0]
-    pairs = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last or 0)))).join(stored, "part")
+    # a query block meets the blocks long enough for one of its queries, part by part of the length order, longest first
+    spans = F.broadcast(stored.groupBy("part").agg(F.max("c_length").alias("longest")))  # one row per task of the sort
+    asked = asked.join(spans, F.col("longest") >= F.col("c_least")).drop("longest")
+    pairs = asked.join(stored, "part").where(F.col("c_length") >= F.col("c_least"))
     pairs = pairs.sortWithinPartitions("part", "q_ids", F.desc("c_length"))
 
     def search(batches):
