@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, rule: str = "norm",
-             weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> tuple[np.ndarray, np.ndarray]:
+             weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece; pieces are taken longest first, ties in given order."""
     n = len(lengths)
     caps = np.array([tokens, documents, attention], float)
@@ -100,12 +100,14 @@ def best_fit(lengths: np.ndarray, tokens: int, documents: int, attention: int, r
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, max_documents: int | None = None,
-         max_attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+         max_attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
          end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     The document capacity defaults to ``size`` and the attention capacity to
-    ``size**2``, the most that ``size`` tokens can ask for.  Pieces are cut
+    ``size**2``, the most that ``size`` tokens can ask for.  All three
+    residuals weigh in the choice of a sequence, each as a share of its
+    capacity; ``weights`` sets by how much.  Pieces are cut
     and written once.  A piece of ``size`` tokens is a sequence of its own
     (with a negative sequence_id); shorter ones are dealt by hash into groups
     of about ``GROUP_PIECES`` that fill their sequences apart from each
