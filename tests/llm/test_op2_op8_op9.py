@@ -66,8 +66,55 @@ def test_pack_respects_every_capacity(spark):
         fit_packing.best_fit(np.array([9]), 100, 10, 80)
 
 
+def slow_best_fit(lengths, caps, rule, weights):
+    """Bins as lists of piece numbers: every open bin tried for every piece, nothing cleared away."""
+    bins = []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need, best = (lengths[i], 1, lengths[i] ** 2), None
+        for b, pieces in enumerate(bins):
+            used = (sum(lengths[j] for j in pieces), len(pieces), sum(lengths[j] ** 2 for j in pieces))
+            rest = [c - u for c, u in zip(caps, used)]
+            if all(r >= n for r, n in zip(rest, need)):
+                share = [(r / c, n / c) for r, n, c in zip(rest, need, caps)]
+                score = (sum(w * (r - n) ** 2 for w, (r, n) in zip(weights, share)) if rule == "norm"
+                         else -sum(w * r * n for w, (r, n) in zip(weights, share)))
+                if best is None or score < best[0] - 1e-12:
+                    best = score, b
+        if best is None:
+            bins.append([i])
+        else:
+            bins[best[1]].append(i)
+    return bins
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_vector_rules_follow_the_slow_twin(rule):
+    rng = random.Random(4)
+    bound = set()
+    for trial in range(60):
+        size, n = 128, rng.randint(0, 250)
+        caps = (size, rng.choice([3, 7, size]), rng.choice([size * size // 2, size * size]))
+        lengths = [rng.randint(1, 90) for _ in range(n)]
+        weights = rng.choice([(1, 1, 1), (1, 0.25, 2), (0, 1, 1)])  # shares of these capacities are exact in binary or apart
+        place, offset = fit_packing.best_fit(np.array(lengths, np.int64), *caps, rule, weights)
+        slow = slow_best_fit(lengths, caps, rule, weights)
+        want = {i: b for b, pieces in enumerate(slow) for i in pieces}
+        assert place.tolist() == [want[i] for i in range(n)]
+        for pieces in slow:
+            assert offset[pieces].tolist() == [sum(lengths[j] for j in pieces[:k]) for k in range(len(pieces))]
+            bound.add(len(pieces) == caps[1])
+    assert bound == {True, False}
+
+
+def test_all_three_residuals_choose_the_sequence():
+    lengths = np.array([60, 40, 40, 20, 20, 20, 10, 10, 5, 5])
+    assert (fit_packing.best_fit(lengths, 100, 100, 10_000)[0].tolist()
+            == [{i: b for b, x in enumerate(slow_best_fit(lengths.tolist(), (100, 100, 10_000), "norm", (1, 1, 1))) for i in x}[i]
+                for i in range(10)])
+
+
 def test_best_fit_takes_the_tightest_sequence():
-    place, offset = fit_packing.best_fit(np.array([7, 6, 3, 4, 3]), 10, 10, 100)
+    place, offset = fit_packing.best_fit(np.array([7, 6, 3, 4, 3]), 10, 10, 100, weights=(1, 0, 0))
     assert place.tolist() == [0, 1, 0, 1, 2] and offset.tolist() == [0, 0, 7, 6, 0]
 
 
@@ -139,6 +186,12 @@ def test_cache_holds_distinct_texts_and_only_misses_are_added(spark, tmp_path):
     assert {r["n_tokens"] for r in token_count.token_counts(frame(spark, rows), TOKENIZER, str(tmp_path / "wrong")).collect()} == {-7}
 
 
+def test_counts_of_a_text_that_a_third_of_all_rows_repeat(spark):
+    rows = [(i, "the same text again" if i % 3 == 0 else f"text number {i}", "en", "a", 1) for i in range(3000)]
+    out = token_count.token_counts(frame(spark, rows), TOKENIZER)
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in out.collect()) == [(r[0], len(ids(r[1]))) for r in rows]
+
+
 def test_counts_of_nothing(spark):
     assert token_count.token_counts(spark.createDataFrame([], DOCS), TOKENIZER).count() == 0
 

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import math
 import random
 import re
@@ -117,6 +118,26 @@ def test_top_k_is_exact(spark, monkeypatch, small):
     assert sorted(tuple(r) for r in inner_products.top_k(df).collect()) == brute_top(rows, 5, 50)
 
 
+def test_top_k_of_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i % 120, [float(x) for x in rng.normal(size=6) * (1 + i % 7)]) for i in range(300)]
+    rows += rows[:40]  # equal rows as well
+    whole = [(i, np.floor(256 * np.array(np.float32(v), float))) for i, v in rows]
+    want = []
+    for q in (0, 50, 100):
+        scores = [(-int(x @ y), j) for i, x in whole if i == q for j, y in whole if j != q]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(sorted(scores)[:5])]
+    got = inner_products.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_short_blocks_are_left_out_before_they_are_sent():
+    length, least = np.array([2.0, 4.0]), np.array([10.0, 10.0])
+    assert 2.4 < inner_products._open_above(length, least) <= 2.5
+    assert inner_products._open_above(length, np.array([10.0, -1.0])) == 0.0
+    assert inner_products._open_above(np.array([0.0]), np.array([0.0])) == 0.0
+
+
 def test_top_k_of_few_or_none(spark):
     kind = "vec_id long, embedding array<float>"
     assert inner_products.top_k(spark.createDataFrame([], kind)).collect() == []
@@ -189,12 +210,16 @@ def test_mix_draws_by_hash(spark, clash):
     assert out.columns == docs.columns
     n = collections.Counter(r[3] for r in rows)
     rate = {s: 600 * w / 3 / n[s] for s, w in weights.items()}
-    draws = docs.select("doc_id", "source", mixing.unit_draw(5, "doc_id", "text").alias("u")).collect()
-    want = collections.Counter()
-    for r in draws:
+    pairs, seen, want = collections.Counter((r["doc_id"], r["text"] or "") for r in docs.collect()), collections.Counter(), collections.Counter()
+    for r in docs.collect():
+        named = ["5", "" if r["doc_id"] is None else str(r["doc_id"]), hashlib.md5((r["text"] or "").encode()).hexdigest()]
+        if pairs[r["doc_id"], r["text"] or ""] > 1:
+            seen[tuple(r)] += 1
+            named += [str(r[c]) for c in docs.columns if c not in ("doc_id", "text") and r[c] is not None] + [str(seen[tuple(r)])]
+        u = int(hashlib.md5(":".join(named).encode()).hexdigest()[:13], 16) / 2**52
         p = math.exp(-rate.get(r["source"], 0.0))
         k, cum = 0, p
-        while cum <= r["u"] and rate.get(r["source"], 0.0):
+        while cum <= u and rate.get(r["source"], 0.0):
             k += 1
             p *= rate[r["source"]] / k
             cum += p
@@ -215,6 +240,34 @@ def test_mix_reaches_targets_and_spreads_copies(spark):
     assert abs(np.corrcoef(np.arange(len(ids)), ids)[0, 1]) < 0.05
 
 
+def test_mix_draws_for_each_repeated_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEAT_CHUNK", 100)
+    rows = ([(None, "", "en", "a", 1)] * 3000 + [(None, None, "en", "b", 1)] * 500 + [(7, "same", "en", "a", n) for n in range(400)]
+            + [(100 + i, f"text {i}", "de", "a", 1) for i in range(500)])
+    for seed in (17, 18):
+        docs = frame(spark, rows)
+        out = mixing.mix(docs, power=1.0, seed=seed, copy_col=None)
+        assert out.columns == docs.columns
+        got = collections.Counter(tuple(r) for r in out.collect())
+        assert set(got) <= set(rows)
+        assert abs(got[rows[0]] / 3000 - 1) < 0.08 and abs(got[rows[3000]] / 500 - 1) < 0.2
+        assert abs(sum(n for r, n in got.items() if r[0] == 7) / 400 - 1) < 0.2
+        assert len({n for r, n in got.items() if r[0] == 7}) > 2  # draws of their own
+        again = mixing.mix(docs.repartition(5), power=1.0, seed=seed, copy_col=None)
+        assert collections.Counter(tuple(r) for r in again.collect()) == got
+
+
+def test_mix_spreads_repeated_rows_over_partitions(spark):
+    docs = frame(spark, [(None, "", "en", "a", 1)] * 20000)
+    with_setting = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in mixing.mix(docs).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_setting)
+    assert len(sizes) > 1 and max(sizes) < 2 * sum(sizes) / len(sizes) and abs(sum(sizes) / 20000 - 1) < 0.05
+
+
 def test_mix_of_nothing_and_too_much(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     with pytest.raises(Exception, match="repeat its documents"):
