@@ -1,8 +1,9 @@
 """Measurement catalogue joined to readings: options, lookups, labels, filters.
 
-Catalogue table (flat): ordinal bigint, component_id, component_name,
+Catalogue table (flat): ordinal, component_id, component_name,
 measurement, display_name, unit, type, description.  ``ordinal`` keeps the
-manifest order (components, then measurements), which decides "first".
+manifest order (components, then measurements), which decides "first"; any
+type with an order will do, and options carry it on.
 Column lists are DataFrames with one string column ``column`` (+ ``ordinal``).
 C1 catalogue_flat, C2 measure_options, C3 event_options, C4 fallback,
 C5 measure_info, C6 measure_labels, C7-C9 filters, C10 default_measure,
@@ -11,7 +12,7 @@ A11 type_list / component_list.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from chronoweave.operators.series import selector_decode
 
@@ -32,11 +33,13 @@ def catalogue_flat(components: DataFrame) -> DataFrame:
 
     Input: one row per component (component_id, comp_ord, name,
     measurements map<string, struct<display_name, unit, type, description>>).
+    The ordinal holds the component's place in its upper 32 bits and the
+    measurement's in its lower ones; a map has fewer than 2**31 entries.
     """
     e = components.select("component_id", "comp_ord", F.col("name").alias("component_name"),
                           F.posexplode(F.map_entries("measurements")).alias("m_ord", "m"))
     return e.select(
-        (F.col("comp_ord").cast("bigint") * F.lit(1_000_000) + F.col("m_ord")).alias("ordinal"),
+        (F.shiftleft(F.col("comp_ord").cast("bigint"), 32) + F.col("m_ord")).alias("ordinal"),
         "component_id", "component_name", F.col("m.key").alias("measurement"),
         F.col("m.value.display_name").alias("display_name"), F.col("m.value.unit").alias("unit"),
         F.col("m.value.type").alias("type"), F.col("m.value.description").alias("description"))
@@ -64,24 +67,30 @@ def event_options(groups: DataFrame, columns: DataFrame) -> DataFrame:
     """Options from the grouped event dictionary (compact shape).
 
     For every raw / from_to column that exists: label "c (name · mode)",
-    value "component::mode::c".  Returns (ordinal, label, value).
+    value "component::mode::c".  Returns (ordinal, label, value); the ordinal
+    is a struct of component, place of the mode and place of the column, so
+    components are never numbered across the table.
     """
-    comp_ord = F.row_number().over(Window.orderBy("component"))
-    g = groups.select("component", "name", "raw_columns", "from_to_columns")
-    g = g.withColumn("__co", comp_ord)
     parts = []
-    for mi, mode in enumerate(("raw", "from_to")):
-        parts.append(g.select("component", "name", "__co", F.lit(mi).alias("__mo"), F.lit(mode).alias("mode"),
-                              F.posexplode(f"{mode}_columns").alias("__p", "c")))
-    ex = parts[0].unionByName(parts[1])
-    ex = ex.join(_cols(columns, "c"), "c", "left_semi")
-    ordinal = (F.col("__co").cast("bigint") * 10_000_000 + F.col("__mo") * 1_000_000 + F.col("__p"))
+    for place, mode in enumerate(("raw", "from_to")):
+        parts.append(groups.select("component", "name", F.lit(place).alias("__m"), F.lit(mode).alias("mode"),
+                                   F.posexplode(f"{mode}_columns").alias("__p", "c")))
+    ex = parts[0].unionByName(parts[1]).join(_cols(columns, "c"), "c", "left_semi")
+    ordinal = F.struct("component", F.col("__m").alias("mode"), F.col("__p").alias("place"))
     return ex.select(ordinal.alias("ordinal"),
                      F.concat("c", F.lit(" ("), F.coalesce("name", "component"), F.lit(" · "), "mode",
                               F.lit(")")).alias("label"),
                      F.concat_ws("::", "component", "mode", "c").alias("value"))
 
 
+def _as_ordinal(c: Column, kind: T.DataType) -> Column:
+    """A place as an ordinal of the options' type: in a struct the last field holds it, the others are null."""
+    if not isinstance(kind, T.StructType):
+        return c.cast(kind)
+    last = len(kind.fields) - 1
+    return F.struct(*[(c if i == last else F.lit(None)).cast(f.dataType).alias(f.name) for i, f in enumerate(kind.fields)])
+
+
 def measure_options_fallback(options: DataFrame, columns: DataFrame) -> DataFrame:
     """C4: when no option matched, every column except ``timestamp`` (any case).
 
@@ -90,8 +99,8 @@ def measure_options_fallback(options: DataFrame, columns: DataFrame) -> DataFram
     n = options.agg(F.count(F.lit(1)).alias("__n")).scalar()
     cols = columns.where(F.lower("column") != F.lit(TIME_COLUMN))
     fb = (cols.where(n == 0)
-          .select(F.col("ordinal").cast("bigint").alias("ordinal"), F.col("column").alias("label"),
-                  F.col("column").alias("value")))
+          .select(_as_ordinal(F.col("ordinal"), options.schema["ordinal"].dataType).alias("ordinal"),
+                  F.col("column").alias("label"), F.col("column").alias("value")))
     return options.select("ordinal", "label", "value").unionByName(fb)
 
 

@@ -5,6 +5,7 @@ and shaded boxes (P4 P5 A3 A4 A6 A9 W4 W5 W6).
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,6 +15,7 @@ from chronoweave.functions.ordered import Buckets, key_of, time_buckets, with_bu
 from chronoweave.functions.timecols import add_micros, attach_scalars, micros_between
 from chronoweave.operators import gaps
 from chronoweave.operators.clean import q
+from chronoweave.session import cut_lineage
 
 # Fixed values (the reference's chart rules): valid range [-999998.0, 999998.0];
 # 999999.0 marks an inserted gap row (shaded red), -999999.0 an anomaly
@@ -157,60 +159,95 @@ def _bucket_of_value(df: DataFrame, v: str, splits: str, fan: int, out: str) ->
     return d.withColumn(out, F.col("__coarse") * F.lit(fan) + fine).drop("__coarse")
 
 
-def profile(df: DataFrame, cols: list[str], fan: int = 32) -> DataFrame:
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _quartile_ranks(n: int) -> list[tuple[int, int, float]]:
+    """1-based lower and upper rank and the fraction between them, for each quartile of ``n`` values."""
+    out = []
+    for p in QUARTILES:
+        pos = p * (n - 1)
+        out.append((math.floor(pos) + 1, math.ceil(pos) + 1, pos - math.floor(pos)))
+    return out
+
+
+def _wanted_ranges(dv: DataFrame, target_rows: int, fan: int) -> list[dict]:
+    """Value ranges (column, lo, hi, before, rows) that hold the quartile ranks, each of at most ``target_rows`` values.
+
+    ``dv`` has one row per column and value with its count ``__c``.  Ranges
+    start as whole columns; those over the target are cut into ``fan**2``
+    pieces at approximate quantiles, the pieces are counted, and only the at
+    most six with a wanted rank go on.  The driver holds six ranges a column
+    and, in a round, the counts of their pieces.
+    """
+    spark = dv.sparkSession
+    whole = dv.groupBy("column").agg(F.sum("__c").alias("n"), F.count(F.lit(1)).alias("rows"),
+                                     F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+    ranks = {r["column"]: sorted({k for lo, hi, _ in _quartile_ranks(r["n"]) for k in (lo, hi)}) for r in whole}
+    done, todo = [], [{"column": r["column"], "lo": r["lo"], "hi": r["hi"], "before": 0, "rows": r["rows"]} for r in whole]
+    k = fan * fan
+    while todo:
+        done += [r for r in todo if r["rows"] <= target_rows]
+        todo = [r for r in todo if r["rows"] > target_rows]
+        if not todo:
+            break
+        rows = _in_ranges(dv, spark, todo)
+        splits = rows.groupBy("__r").agg(F.percentile_approx("value", [i / k for i in range(1, k)], k * 4).alias("__splits"))
+        cut = _bucket_of_value(rows.join(F.broadcast(splits), "__r"), "value", "__splits", fan, "__b")
+        pieces = cut.groupBy("__r", "__b").agg(F.sum("__c").alias("n"), F.count(F.lit(1)).alias("rows"),
+                                               F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+        smaller, at = [], {}
+        for piece in sorted(pieces, key=lambda x: (x["__r"], x["__b"])):
+            whole_range = todo[piece["__r"]]
+            before = at.get(piece["__r"], whole_range["before"])
+            at[piece["__r"]] = before + piece["n"]
+            if any(before < r <= before + piece["n"] for r in ranks[whole_range["column"]]):
+                smaller.append({"column": whole_range["column"], "lo": piece["lo"], "hi": piece["hi"],
+                                "before": before, "rows": piece["rows"]})
+        todo = smaller
+    return done
+
+
+def _in_ranges(dv: DataFrame, spark, ranges: list[dict]) -> DataFrame:
+    """The rows of ``dv`` in each range, with its number and the count before it."""
+    table = spark.createDataFrame([(i, r["column"], r["lo"], r["hi"], r["before"]) for i, r in enumerate(ranges)],
+                                  "__r int, column string, __lo double, __hi double, __before long")
+    return (dv.join(F.broadcast(table), "column").where(q("value").between(F.col("__lo"), F.col("__hi")))
+            .drop("__lo", "__hi"))
+
+
+def profile(df: DataFrame, cols: list[str], target_rows: int = 1_000_000, fan: int = 32) -> DataFrame:
     """Count, mean, sample std, min, exact 25/50/75 % (linear), max per column.
 
-    Exact quantiles without gathering a column into one task:
+    Exact quantiles by distributed selection, without gathering a column into
+    one task:
     1. rows are counted per distinct value (map-side combine shrinks
-       low-cardinality measurements to a few rows);
-    2. distinct values are cut into ``fan**2`` value ranges at approximate
-       quantiles (any monotone cut is correct; it only balances the work);
-    3. row counts per range and their prefix sums (one row per range) show
-       which ranges hold the six ranks needed (lo/hi rank of each quartile);
-    4. only those ranges are ranked, each in its own window partition.
+       low-cardinality measurements to a few rows) and the counts written;
+    2. a column of over ``target_rows`` distinct values is cut at approximate
+       quantiles (any monotone cut is right; it only balances the work), and
+       the pieces that hold one of the six ranks needed (lo/hi rank of each
+       quartile) are cut again until each is under the target;
+    3. only those pieces are ranked, each in its own window partition.
     Returns (column, count, mean, std, min, q25, q50, q75, max).
     """
     present = [c for c in cols if c in df.columns]
     lng = (df.select(*[q(c).cast("double").alias(c) for c in present])
            .unpivot([], present, "column", "value"))
     lng = lng.where(q("value").isNotNull() & ~F.isnan(q("value")))
+    dv = cut_lineage(lng.groupBy("column", "value").agg(F.count(F.lit(1)).alias("__c")), "profile-values")
     stats = lng.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    dv = lng.groupBy("column", "value").agg(F.count(F.lit(1)).alias("__c"))
-    k = fan * fan
-    splits = dv.groupBy("column").agg(
-        F.percentile_approx("value", [i / k for i in range(1, k)], k * 4).alias("__splits"))
-    # one row per measured column: a proven-size broadcast
-    cut = _bucket_of_value(dv.join(F.broadcast(splits), "column"), "value", "__splits", fan, "__b") \
-        .drop("__splits")
-    # per-range counts and their running totals: at most fan**2 rows per column
-    per = cut.groupBy("column", "__b").agg(F.sum("__c").alias("__bc"))
-    wb = Window.partitionBy("column").orderBy("__b")
-    per = per.withColumn("__before", F.coalesce(F.sum("__bc").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
-                                                F.lit(0)))
-    qs = (0.25, 0.5, 0.75)
-    per = per.join(stats.select("column", "count"), "column")
-    ranks = []
-    for p in qs:
-        pos = F.lit(p) * (F.col("count") - 1)
-        ranks += [F.floor(pos) + 1, F.ceil(pos) + 1]
-    holds = None
-    for r in ranks:
-        h = (F.col("__before") < r) & (r <= F.col("__before") + F.col("__bc"))
-        holds = h if holds is None else (holds | h)
-    need = per.where(holds).select("column", "__b", "__before", "count")
-    # rank inside the few needed ranges only (each range is one window partition)
-    rows = cut.join(F.broadcast(need), ["column", "__b"])
-    wr = Window.partitionBy("column", "__b").orderBy("value")
+    rows = _in_ranges(dv, df.sparkSession, _wanted_ranges(dv, target_rows, fan))
+    wr = Window.partitionBy("column", "__r").orderBy("value")
     rows = rows.withColumn("__cum", F.col("__before") + F.sum("__c").over(
-        wr.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        wr.rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(stats.select("column", "count"), "column")
 
     def at_rank(r: Column) -> Column:
         return (F.col("__cum") - F.col("__c") < r) & (r <= F.col("__cum"))
 
     qcols = []
-    for p in qs:
+    for p in QUARTILES:
         pos = F.lit(p) * (F.col("count") - 1)
         lo_r, hi_r = F.floor(pos) + 1, F.ceil(pos) + 1
         vlo = F.max(F.when(at_rank(lo_r), q("value")))

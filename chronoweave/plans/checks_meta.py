@@ -42,10 +42,11 @@ def reading_columns(spark, d):
     p = table(spark, d, "part")
     li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
     used = p.join(li, "p_partkey", "left_semi")
-    names = (used.select(F.col("p_name").alias("column"))
-             .unionByName(used.select(F.lower("p_type").alias("column")))
-             .unionByName(spark.range(1).select(F.lit("Timestamp").alias("column"))).distinct())
-    return names.select(F.row_number().over(Window.orderBy("column")).cast("bigint").alias("ordinal"), "column")
+    place = F.col("p_partkey").cast("bigint").alias("ordinal")
+    names = (used.select(F.col("p_name").alias("column"), place)
+             .unionByName(used.select(F.lower("p_type").alias("column"), place))
+             .unionByName(spark.range(1).select(F.lit("Timestamp").alias("column"), F.lit(0).cast("bigint").alias("ordinal"))))
+    return names.groupBy("column").agg(F.min("ordinal").alias("ordinal")).select("ordinal", "column")
 
 
 def nation_components(spark, d):
@@ -177,8 +178,10 @@ QUERIES = {
     "measure_options": part_options,
     "measure_options_fallback": lambda s, d: cat.measure_options_fallback(
         cat.measure_options(nation_catalogue(s, d), reading_columns(s, d)), reading_columns(s, d)),
-    "event_options": lambda s, d: cat.event_options(events.event_groups(dictionary_rows(s, d), "compact"),
-                                                    event_columns(s, d)),
+    "measure_options_matched": lambda s, d: cat.measure_options_fallback(part_options(s, d), reading_columns(s, d)),
+    "event_options": lambda s, d: cat.event_options(
+        events.event_groups(dictionary_rows(s, d), "compact"), event_columns(s, d)).select(
+        *[F.col(f"ordinal.{c}").alias(f"ordinal_{c}") for c in ("component", "mode", "place")], "label", "value"),
     "measure_info": lambda s, d: cat.measure_info(selector_codes(s, d), part_catalogue(s, d)),
     "measure_labels": lambda s, d: cat.measure_labels(selector_codes(s, d), part_catalogue(s, d)),
     "filter_component": lambda s, d: cat.filter_component(part_options(s, d), "Brand#13"),
@@ -222,14 +225,15 @@ cat AS (SELECT ordinal, p_brand AS component_id,
    CASE WHEN sz % 2 = 0 THEN 'kW' WHEN sz % 5 = 0 THEN '' END AS unit,
    't_' || lower(ptype) AS type, 'size ' || CAST(sz AS VARCHAR) AS description FROM g),
 used AS (SELECT * FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
-cn AS (SELECT p_name AS "column" FROM used UNION SELECT lower(p_type) FROM used UNION SELECT 'Timestamp'),
-cols AS (SELECT row_number() OVER (ORDER BY "column") AS ordinal, "column" FROM cn),
+cn AS (SELECT p_name AS "column", CAST(p_partkey AS BIGINT) AS ordinal FROM used
+       UNION ALL SELECT lower(p_type), p_partkey FROM used UNION ALL SELECT 'Timestamp', 0),
+cols AS (SELECT min(ordinal) AS ordinal, "column" FROM cn GROUP BY "column"),
 opts AS (SELECT * FROM (SELECT ordinal,
     coalesce(display_name, measurement) || ' (' || coalesce(component_name, component_id) || ')' AS label,
     CASE WHEN display_name IN (SELECT "column" FROM cols) THEN display_name
          WHEN measurement IN (SELECT "column" FROM cols) THEN measurement END AS value FROM cat) WHERE value IS NOT NULL)"""
 
-NATION_CAT = """nc AS (SELECT r_regionkey * 1000000 + row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1 AS ordinal,
+NATION_CAT = """nc AS (SELECT CAST(r_regionkey AS BIGINT) * 4294967296 + row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1 AS ordinal,
     r_name AS component_id,
     CASE WHEN r_regionkey % 2 = 0 THEN upper(substring(r_name, 1, 1)) || lower(substring(r_name, 2)) END AS component_name,
     n_name AS measurement,
@@ -317,13 +321,15 @@ ORACLE = {
         SELECT * FROM no WHERE value IS NOT NULL
         UNION ALL SELECT ordinal, "column" AS label, "column" AS value FROM cols
         WHERE lower("column") <> 'timestamp' AND NOT EXISTS (SELECT 1 FROM no WHERE value IS NOT NULL)""",
+    "measure_options_matched": f"""WITH {PART_CAT} SELECT * FROM opts
+        UNION ALL SELECT ordinal, "column", "column" FROM cols
+        WHERE lower("column") <> 'timestamp' AND NOT EXISTS (SELECT 1 FROM opts)""",
     "event_options": f"""WITH {DICT},
         ep AS (SELECT CASE WHEN p_size % 3 = 0 THEN 'old_Q' ELSE 'Q' END || lpad(CAST(p_size AS VARCHAR), 2, '0') AS q,
                '_to_Q' || lpad(CAST(51 - p_size AS VARCHAR), 2, '0') AS t FROM part),
         ec AS (SELECT q AS "column" FROM ep UNION SELECT q || t FROM ep),
-        co AS (SELECT component, row_number() OVER (ORDER BY component) AS r FROM (SELECT DISTINCT component FROM c)),
-        ranked AS (SELECT c.*, co.r, row_number() OVER (PARTITION BY c.component, kind ORDER BY ord) - 1 AS p FROM c JOIN co USING (component))
-        SELECT r * 10000000 + (CASE WHEN kind = 'raw' THEN 0 ELSE 1 END) * 1000000 + p AS ordinal,
+        ranked AS (SELECT c.*, row_number() OVER (PARTITION BY component, kind ORDER BY ord) - 1 AS p FROM c)
+        SELECT component AS ordinal_component, CASE WHEN kind = 'raw' THEN 0 ELSE 1 END AS ordinal_mode, CAST(p AS INTEGER) AS ordinal_place,
                "column" || ' (' || component || ' · ' || kind || ')' AS label,
                component || '::' || kind || '::' || "column" AS value
         FROM ranked WHERE "column" IN (SELECT "column" FROM ec)""",

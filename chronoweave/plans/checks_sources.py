@@ -202,7 +202,15 @@ def q_load_or_build(spark, d):
     return files.load_or_build(spark, name, lambda: None).select("Timestamp", "o_orderkey", r6("o_totalprice"))
 
 
+def q_file_metrics(spark, d):
+    """Counters of a selection of yearly files of which the first three of the nineties are taken."""
+    base = _yearly_files(spark, d, "counted")
+    return files.file_metrics(spark, os.path.join(base, "*.csv"), max_files=3, year_filter="_199").select(
+        "step", F.regexp_replace("metric", "_[0-9]+[.]csv$", "").alias("metric"), "value")
+
+
 QUERIES = {
+    "file_metrics": q_file_metrics,
     "stored_dataset": q_stored_dataset,
     "stored_stats": q_stored_stats,
     "load_or_build": q_load_or_build,
@@ -225,6 +233,12 @@ _RUN_SQL = """SELECT "Timestamp", o_totalprice, CASE WHEN abs(f + 327.679993) <=
     FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1)"""
 
 ORACLE = {
+    "file_metrics": """WITH y AS (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1),
+        few AS (SELECT * FROM y WHERE y BETWEEN 1990 AND 1999 ORDER BY y LIMIT 3)
+        SELECT 'select' AS step, 'files_found' AS metric, CAST((SELECT count(*) FROM y) AS DOUBLE) AS value
+        UNION ALL SELECT 'select', 'files_selected', CAST((SELECT count(*) FROM few) AS DOUBLE)
+        UNION ALL SELECT 'select', 'rows:orders_' || CAST(y AS VARCHAR), CAST(n AS DOUBLE) FROM few
+        UNION ALL SELECT 'select', 'columns:orders_' || CAST(y AS VARCHAR), CAST(3 AS DOUBLE) FROM few""",
     "stored_dataset": """SELECT strftime(o_orderdate, '%Y-%m') AS ts_month, o_orderdate AS "Timestamp",
         round(avg(o_totalprice), 6) AS o_totalprice FROM orders GROUP BY o_orderdate""",
     "stored_stats": f"""WITH {_gap_ctes(ORDERS_DAILY_SQL, 'o_orderdate', [])}

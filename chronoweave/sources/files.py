@@ -121,6 +121,29 @@ def scan_union(spark: SparkSession, paths: list[str], ts: str = "Timestamp", sep
     return df
 
 
+def file_metrics(spark: SparkSession, pattern, max_files: int | None = None, year_filter: str | None = None,
+                 sep: str = ",") -> DataFrame:
+    """A10: (step, metric, value) of a file selection: files found and selected, rows and columns of each selected file.
+
+    Headers come from one scan (``scan_union`` reads the same), rows from one
+    scan for each header that decodes no column; one row a file is collected, as for the list itself.  A file without a byte
+    is not listed by Spark and so not found.
+    """
+    found = select_files(spark, pattern)
+    chosen = select_files(spark, pattern, max_files, year_filter) if max_files or year_filter else found
+    name = lambda path: path.rsplit("/", 1)[-1]
+    groups = _headers(spark, chosen, sep)
+    wide = {_plain(p): len(header) for header, paths in groups.items() for p in paths}
+    counts = [spark.read.csv(paths, header=True, schema=T.StructType([T.StructField(c, T.StringType()) for c in header]), sep=sep)
+              .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+              for header, paths in groups.items()]
+    rows = {_plain(unquote(r.path)): r.rows for r in (reduce(DataFrame.unionByName, counts).collect() if counts else [])}
+    out = [("files_found", len(found)), ("files_selected", len(chosen))]
+    for p in chosen:
+        out += [(f"rows:{name(p)}", rows.get(_plain(p), 0)), (f"columns:{name(p)}", wide.get(_plain(p), 0))]
+    return spark.createDataFrame([("select", m, float(v)) for m, v in out], "step string, metric string, value double")
+
+
 def raw_load(spark: SparkSession, paths: list[str], ts: str = "Timestamp", **kw) -> DataFrame:
     """Cleaning disabled -> files concatenated, time parsed, nothing else."""
     return scan_union(spark, paths, ts, **kw)

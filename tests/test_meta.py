@@ -40,6 +40,37 @@ def test_fallback(spark):
     assert sorted(got) == ["a", "b"]
 
 
+def test_fallback_of_event_options(spark):
+    groups = spark.createDataFrame([("B", "B", ["x"], ["y"]), ("A", None, ["x", "z"], [])],
+                                   "component string, name string, raw_columns array<string>, from_to_columns array<string>")
+    found = cat.measure_options_fallback(cat.event_options(groups, cols(spark, ["x", "y", "z"])), cols(spark, ["q"]))
+    assert [r.value for r in found.orderBy("ordinal").collect()] == ["A::raw::x", "A::raw::z", "B::raw::x", "B::from_to::y"]
+    assert cat.default_measure(found).first().value == "A::raw::x"
+    none = cat.measure_options_fallback(cat.event_options(groups, cols(spark, ["q"])), cols(spark, ["p", "timestamp", "q"]))
+    assert [r.value for r in none.orderBy("ordinal").collect()] == ["p", "q"]
+    for plan in (found, cat.event_options(groups, cols(spark, ["x"]))):
+        assert "Window" not in plan._jdf.queryExecution().toString()
+
+
+def test_ordinals_of_a_very_large_component(spark):
+    meta = "named_struct('display_name', 'd', 'unit', 'u', 'type', 't', 'description', '')"
+    nested = spark.range(2).selectExpr(
+        "concat('c', id) AS component_id", "cast(id AS int) AS comp_ord", "'n' AS name",
+        f"map_from_entries(transform(sequence(0, 1000005 - cast(id * 1000000 AS int)), i -> struct(concat('m', i), {meta}))) AS measurements")
+    flat = cat.catalogue_flat(nested)
+    assert flat.count() == flat.select("ordinal").distinct().count() == 1000012
+    assert flat.groupBy("component_id").agg(F.max("ordinal").alias("m"), F.min("ordinal").alias("n")).orderBy("n").collect()[1]["component_id"] == "c1"
+
+
+def test_file_metrics(spark, tmp_path):
+    (tmp_path / "a 1.csv").write_text("Timestamp,a\n2024-01-01 00:00:00,1.5\n2024-01-01 00:00:10,2\n")
+    (tmp_path / "b+2.csv").write_text("Timestamp,b,c\n")
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text("Timestamp\n2024-01-01 00:00:00\n")
+    got = {r.metric: r.value for r in files.file_metrics(spark, str(tmp_path / "*.csv"), max_files=2).collect()}
+    assert got == {"files_found": 3, "files_selected": 2, "rows:a 1.csv": 2, "columns:a 1.csv": 2, "rows:b+2.csv": 0, "columns:b+2.csv": 3}
+
+
 def test_labels(spark):
     codes = spark.createDataFrame([("P",), ("Q",), ("Z",), ("unknown",)], "code string")
     got = {r.code: r.label for r in cat.measure_labels(codes, catalogue(spark)).collect()}

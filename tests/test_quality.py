@@ -89,6 +89,25 @@ def test_profile_matches_pandas(spark):
         assert abs(got[k] - ref[rk]) < 1e-9
 
 
+def test_profile_ranks_no_more_than_its_target(spark):
+    import pandas as pd
+    rnd = random.Random(6)
+    vals = [(rnd.gauss(0, 1) ** 3, float(rnd.randrange(5))) for _ in range(3000)] + [(None, None)] * 50 + [(1.5, 2.0)] * 4000
+    df = frame(spark, vals, "a double, b double")
+    got = {r["column"]: r for r in quality.profile(df, ["a", "b", "absent"], target_rows=20, fan=4).collect()}
+    for name, col in (("a", [v[0] for v in vals]), ("b", [v[1] for v in vals])):
+        ref = pd.Series(col).describe()
+        assert got[name]["count"] == ref["count"]
+        for k, rk in (("q25", "25%"), ("q50", "50%"), ("q75", "75%"), ("min", "min"), ("max", "max")):
+            assert abs(got[name][k] - ref[rk]) < 1e-9
+    for n in (300, 3000, 30000):  # the ranking input stays under the target as the table grows
+        dv = spark.range(n).selectExpr("'x' AS column", "cast(id * 37 % 100003 AS double) AS value", "id % 3 + 1 AS __c")
+        ranges = quality._wanted_ranges(dv, 20, 4)
+        assert 1 <= len(ranges) <= 6 and max(r["rows"] for r in ranges) <= 20
+        assert sum(r["rows"] for r in ranges) == quality._in_ranges(dv, spark, ranges).count()
+    assert quality.profile(spark.createDataFrame([], "a double"), ["a"]).count() == 0
+
+
 def test_merge_three_classes(spark):
     rnd = random.Random(9)
     iv = sorted({(s, s + rnd.randrange(0, 30), rnd.choice("abc")) for s in (rnd.randrange(0, 400) for _ in range(60))})
