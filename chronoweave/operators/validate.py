@@ -119,6 +119,8 @@ def validate_manifest_values(values: DataFrame) -> DataFrame:
     the value's own type, and one row with a NULL field per section or step
     that is there at all.  A required field is missed where its section or
     step is there but the field is not, or is empty; ``metadata`` must be there.
+    Both sides grow with the manifests and are merged by key: size estimates
+    know nothing of rows exploded before, so neither may be picked for a broadcast.
     """
     spark = values.sparkSession
     schema = spark.createDataFrame([(s, f, t, r) for s, f, t, r in MANIFEST_FIELDS],
@@ -128,7 +130,7 @@ def validate_manifest_values(values: DataFrame) -> DataFrame:
     asked = there.join(F.broadcast(schema), "section")
     found = values.where(F.col("field").isNotNull()).select("dataset", "section", F.coalesce("step", F.lit("")).alias("s"),
                                                             "field", "type", "text")
-    j = asked.withColumn("s", F.coalesce("step", F.lit(""))).join(found, ["dataset", "section", "s", "field"], "left")
+    j = asked.withColumn("s", F.coalesce("step", F.lit(""))).join(found.hint("merge"), ["dataset", "section", "s", "field"], "left")
     missing = F.col("required") & (F.col("type").isNull() | (F.col("type") == "null")
                                    | ((F.col("type") == "str") & (F.trim("text") == "")))
     wrong = F.col("type").isNotNull() & (F.col("type") != "null") & (F.col("type") != F.col("want"))

@@ -137,3 +137,20 @@ def test_manifest_values_keep_their_types(spark, tmp_path):
     assert {g[4] for g in got if g[0] == "empty"} == {"version", "dataset", "description", "date_created", "type"}
     assert [r["name"] for r in scan_datasets(spark, str(tmp_path)).orderBy("name").collect()] == ["a set", "empty"]
     assert scan_datasets(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_manifest_values_are_never_broadcast(spark):
+    from chronoweave.operators.validate import validate_manifest_values
+    rows = [(f"d{i % 3}" if i else None, "metadata", None, "version", "str" if i % 2 else "float", "1") for i in range(8)]
+    out = validate_manifest_values(spark.createDataFrame(
+        rows, "dataset string, section string, step string, field string, type string, text string"))
+    # the fixed schema alone may be broadcast: values grow with the manifests, whatever their size estimate says
+    assert _plan(out).count("BroadcastExchange") == 1 and "SortMergeJoin" in _plan(out)
+    got = [(r.dataset, r.rule, r.field) for r in out.collect()]
+    assert got.count(("d0", "type", "version")) == 1 and got.count(("d1", "type", "version")) == 1  # of d0: 3, 6; d1: 1, 4, 7
+    assert got.count((None, "required", "version")) == 1  # a null name finds no value
+    assert len(got) == 2 + 1 + got.count(("d2", "type", "version")) + 4 * 4
