@@ -40,7 +40,8 @@ def part_catalogue(spark, d):
 def reading_columns(spark, d):
     """Column list of a readings table: measurements that have lineitems (renamed ones are absent by name)."""
     p = table(spark, d, "part")
-    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    # each part once: the join then sorts, or broadcasts, parts and not readings
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
     used = p.join(li, "p_partkey", "left_semi")
     place = F.col("p_partkey").cast("bigint").alias("ordinal")
     names = (used.select(F.col("p_name").alias("column"), place)

@@ -154,3 +154,14 @@ def test_manifest_values_are_never_broadcast(spark):
     assert got.count(("d0", "type", "version")) == 1 and got.count(("d1", "type", "version")) == 1  # of d0: 3, 6; d1: 1, 4, 7
     assert got.count((None, "required", "version")) == 1  # a null name finds no value
     assert len(got) == 2 + 1 + got.count(("d2", "type", "version")) + 4 * 4
+
+
+def test_reading_columns_join_each_part_once(spark, tmp_path):
+    from chronoweave.plans.checks_meta import reading_columns
+    spark.createDataFrame([(1, "a", "T"), (1, "b", "T"), (2, "c", "U"), (None, "d", "V")],
+                          "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1,)] * 500 + [(3,), (None,)], "l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = reading_columns(spark, str(tmp_path))
+    assert {(r.ordinal, r.column) for r in out.collect()} == {(0, "Timestamp"), (1, "a"), (1, "b"), (1, "t")}
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("LeftSemi" in x for x in lines) == sum("Aggregate [p_partkey" in x or "Aggregate [l_partkey" in x for x in lines) == 2
