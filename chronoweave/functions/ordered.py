@@ -27,7 +27,7 @@ one row per (key, bucket).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -194,6 +194,7 @@ def ordered_row_number(df: DataFrame, ts: str, out: str, *, order: list[str],
 
 
 TARGET_ROWS = 2_000_000
+RANK_ROWS = 500_000  # rows that a task sorts to rank them, about; and so of a bucket that is ranked
 _WIDTH, _MONTH, _TIES = "__cw_width", "__cw_month", "__cw_ties"
 # Nested widths in microseconds, finest first: counted by the second, and by the microsecond where that is not enough.
 _BY_SECOND = (1_000_000, 60_000_000, 3_600_000_000, 86_400_000_000)
@@ -208,11 +209,13 @@ class Buckets:
     into whole widths of their own (microseconds), and rows that share key and
     time stamp into ``ties`` hash parts where even they are too many.  The
     table holds at most one row for ``target_rows`` rows of data; None means
-    that no month is too dense.
+    that no month is too dense.  ``rows`` is the number of rows with a time
+    stamp, if it was counted.
     """
 
     keys: tuple[str, ...] = ()
     widths: DataFrame | None = None
+    rows: int | None = field(default=None, compare=False)
 
 
 def with_bucket(df: DataFrame, ts: str, keys: list[str], bucket: str | Buckets = "auto",
@@ -255,10 +258,11 @@ def time_buckets(df: DataFrame, ts: str, partition_by: list[str] | None = None,
     keys = list(partition_by or [])
     part = [_q(k) for k in keys]
     rows = df.select(*part, _q(ts).alias("__t"), bucket_of(ts, "month").alias(_MONTH)).where(F.col("__t").isNotNull())
-    many = rows.groupBy(*part, _MONTH).count().where(F.col("count") > target_rows).drop("count")
-    if not many.take(1):
-        return Buckets(tuple(keys))
-    many = cut_lineage(many, "dense-months")
+    months = rows.groupBy(*part, _MONTH).count()
+    densest, total = months.agg(F.max("count"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    if (densest or 0) <= target_rows:
+        return Buckets(tuple(keys), rows=total)
+    many = cut_lineage(months.where(F.col("count") > target_rows).drop("count"), "dense-months")
     found = _fitting(rows, many, keys, _BY_SECOND, target_rows)
     rest = found.where(F.col(_WIDTH).isNull()).select(*part, _MONTH)
     if rest.take(1):
@@ -268,7 +272,7 @@ def time_buckets(df: DataFrame, ts: str, partition_by: list[str] | None = None,
         found = found.where(F.col(_WIDTH).isNotNull()).withColumn(_TIES, F.lit(1).cast("bigint")).unionByName(fine)
     else:
         found = found.withColumn(_TIES, F.lit(1).cast("bigint"))
-    return Buckets(tuple(keys), cut_lineage(found.drop("__n"), "bucket-widths"))
+    return Buckets(tuple(keys), cut_lineage(found.drop("__n"), "bucket-widths"), total)
 
 
 def _fitting(rows: DataFrame, spans: DataFrame, keys: list[str], widths: tuple[int, ...], target: int) -> DataFrame:
@@ -298,6 +302,19 @@ def key_of(keys: list[str]) -> Column:
     return F.struct(*[_q(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(_B).alias("b")).alias(_K)
 
 
+def _rank_tasks(df: DataFrame, bucket: str | Buckets) -> int | None:
+    """Tasks for ranking at ``RANK_ROWS`` rows each, where the session's own number of them is too small or unknown to suffice.
+
+    Adaptive execution joins shuffle partitions by their compressed bytes, so
+    that millions of much repeated rows can end up in one sort.
+    """
+    rows = bucket.rows if isinstance(bucket, Buckets) else None
+    spark = df.sparkSession
+    least = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = -(-(rows or 0) // RANK_ROWS)
+    return n if n > least else None
+
+
 def ordered_positions(df: DataFrame, ts: str, *, order: list[str], partition_by: list[str] | None = None,
                       bucket: str | Buckets = "auto", pos: str = "__rn", total: str = "__cnt",
                       pick=None) -> DataFrame:
@@ -307,9 +324,16 @@ def ordered_positions(df: DataFrame, ts: str, *, order: list[str], partition_by:
     buckets; only rows inside a bucket are ranked.  ``pick(first, last, n)``
     may keep just the buckets whose positions first..last of n it wants: the
     others are dropped before anything is shuffled or ranked.
+
+    With ``"auto"``, or ``Buckets`` that were counted, buckets are dealt to as
+    many tasks as the rows ask for, about ``RANK_ROWS`` each: what a task sorts
+    does not grow with the table.
     """
     keys = list(partition_by or [])
+    if bucket == "auto":
+        bucket = time_buckets(df, ts, keys, RANK_ROWS)
     d, fine = with_bucket(df, ts, keys, bucket)
+    tasks = _rank_tasks(df, bucket)
     names = df.columns
     d = d.select("*", key_of(keys))
     ks = [f"k{i}" for i in range(len(keys))]
@@ -327,6 +351,10 @@ def ordered_positions(df: DataFrame, ts: str, *, order: list[str], partition_by:
         hist = flat.select(F.struct(*ks, "b").alias(_K), "__n", total, (F.col("__cum") - F.col("__n")).alias("__before"))
     if pick is not None:
         hist = hist.where(pick(F.col("__before") + 1, F.col("__before") + F.col("__n"), F.col(total)))
+    if tasks and pick is None:
+        d = d.repartition(tasks, _K)
     j = d.join(hist.drop("__n"), _K)
+    if tasks and pick is not None:
+        j = j.repartition(tasks, _K)  # only what was picked
     rank = F.row_number().over(Window.partitionBy(_K).orderBy(*[_q(o) for o in order]))
     return j.select(*[_q(c) for c in names], (rank + F.col("__before")).cast("bigint").alias(pos), F.col(total))

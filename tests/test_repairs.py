@@ -1,5 +1,6 @@
 """Cases in which rows or values were once lost or changed."""
 
+import collections
 import datetime as dt
 import os
 
@@ -165,3 +166,22 @@ def test_reading_columns_join_each_part_once(spark, tmp_path):
     assert {(r.ordinal, r.column) for r in out.collect()} == {(0, "Timestamp"), (1, "a"), (1, "b"), (1, "t")}
     lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert sum("LeftSemi" in x for x in lines) == sum("Aggregate [p_partkey" in x or "Aggregate [l_partkey" in x for x in lines) == 2
+
+
+def test_ranking_tasks_follow_the_rows(spark, monkeypatch):
+    from chronoweave.functions import ordered
+    monkeypatch.setattr(ordered, "RANK_ROWS", 100)
+    rows = [("a", ts(i % 700 * 86400), float(i % 5)) for i in range(4200)]
+    df = frame(spark, rows, "k string, t timestamp_ntz, value double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # else rows this few are broadcast to their histogram
+    try:
+        out = ordered.ordered_positions(df, "t", order=["t", "value"], partition_by=["k"])
+        tasks = out.select("__rn", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    counts = collections.Counter(r.task for r in tasks)
+    assert len(tasks) == 4200 and len(counts) > 16 and max(counts.values()) < 700  # before: 8 tasks at most
+    for bucket in ("auto", "month"):
+        got = ordered.ordered_positions(df, "t", order=["t", "value"], partition_by=["k"], bucket=bucket)
+        assert sorted((r.t, r.value, r["__rn"], r["__cnt"]) for r in got.collect()) == [
+            (t, v, i + 1, 4200) for i, (t, v) in enumerate(sorted((r[1], r[2]) for r in rows))]
