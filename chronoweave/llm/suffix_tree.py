@@ -20,10 +20,14 @@ token's difference from that to the gram one token longer.  A text's score is
 therefore the sum of the weights of its grams.  Weights of grams that make up
 a share of the corpus (at most 1/share of each length) are broadcast and
 summed where the text is read, which also takes the hot keys out of the join;
-the others are joined, in ``SLICES`` parts by key so that only one part's
+the others are looked up in ``SLICES`` parts by key so that only one part's
 shuffle is on disk at a time.  A bitmap of fixed size says which grams can be
-in a table at all, and a gram can only be there if its context is; the joins
+in a table at all, and a gram can only be there if its context is; the lookups
 decide.
+
+Occurrences of grams are by far the most rows.  They are shuffled as arrays: a
+task sends what it has for a bucket of keys as one row, and a bucket is made
+so small, by its share of the corpus' tokens, that it fits a task.
 """
 
 from __future__ import annotations
@@ -32,18 +36,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from chronoweave.llm.common import Tables, bound_batches, crc_fold, written
+from chronoweave.llm.common import Tables, batch_rows, bound_batches, crc_fold, freed_shuffles, written
 from chronoweave.llm.words import mix, word_hashes
 
 END = np.uint64(0x656E642D6F66646F)
-FLUSH_TOKENS = 4_000_000
+FLUSH_TOKENS = 2_000_000
 PRIOR = 20.0
 CONTEXT_SEEN, NEXT_SEEN = 10, 2
 SLICES = 2
 MAP_BITS = 27
+GRAM_BUCKET, RARE_BUCKET = 1 << 20, 1 << 22  # tokens of the corpus for each bucket of keys
+BATCH_BUCKETS = 16
+PIECE_BYTES = 1 << 16  # hashed at once: work arrays stay in the cache
 _B = 0xD1342543DE82EF95
 _B_INV = pow(_B, -1, 1 << 64)
 
@@ -75,7 +84,7 @@ class Lookup:
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all rows, an end token after each row's words, and row offsets."""
-    hashes, off = word_hashes(col)
+    hashes, off = word_hashes(col, PIECE_BYTES)
     rows = len(off) - 1
     out = np.empty(len(hashes) + rows, np.uint64)
     ends = off[1:] + np.arange(rows)
@@ -149,16 +158,38 @@ def _map_place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def key_map(keys: DataFrame) -> np.ndarray:
-    """Bitmap of the places of the table's ``key`` column: 2 ** MAP_BITS bits at any number of keys."""
+    """Bitmap of the places of the table's ``key`` column: 2 ** MAP_BITS bits at any number of keys.
+
+    A task sends the words that are not 0 of a bitmap of its own, as one row for each part of the bitmap.
+    """
+    words, parts = 1 << (MAP_BITS - 6), 16
+    size = words // parts
+
     def run(batches):
+        own = np.zeros(words, np.uint64)
         for b in batches:
             word, bit = _map_place(b.column("key").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((np.uint64(1) << bit).view(np.int64))], ["word", "bits"])
-
-    got = keys.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return out
+            np.bitwise_or.at(own, word, np.uint64(1) << bit)
+        for p in range(parts):
+            some = np.flatnonzero(own[p * size:(p + 1) * size])
+            if len(some):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "word": [some.astype(np.uint32).tobytes()],
+                                                  "bits": [own[some + p * size].tobytes()]})
+
+    def merged(part: pa.Table) -> pa.Table:
+        own = np.zeros(size, np.uint64)
+        for word, bits in zip(part["word"].to_pylist(), part["bits"].to_pylist()):
+            own[np.frombuffer(word, np.uint32)] |= np.frombuffer(bits, np.uint64)
+        return pa.table({"part": part["part"][:1], "bits": [own.tobytes()]})
+
+    spark = keys.sparkSession
+    with batch_rows(spark, 1 << 16), freed_shuffles(spark):
+        got = (keys.select("key").mapInArrow(run, "part int, word binary, bits binary")
+               .groupBy("part").applyInArrow(merged, "part int, bits binary").toArrow())
+    out = np.zeros((parts, size), np.uint64)
+    for p, bits in zip(got["part"].to_pylist(), got["bits"].to_pylist()):
+        out[p] = np.frombuffer(bits, np.uint64)
+    return out.reshape(-1)
 
 
 def _mapped(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -166,9 +197,26 @@ def _mapped(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[word] >> bit & np.uint64(1)).astype(bool)
 
 
-def _gram_counts(shared, d: int):
+def bucket_bits(tokens: int, each: int) -> int:
+    """Leading bits of a key that name its bucket, for about ``each`` tokens of the corpus a bucket."""
+    return max(1, min(24, round(math.log2(max(1, tokens) / each))))
+
+
+def _buckets(key: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of each bucket that sorted keys have."""
+    of = (key >> np.uint64(64 - bits)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    return list(zip(of[new].tolist(), new.tolist(), [*new[1:].tolist(), len(of)]))
+
+
+def _unpacked(col: pa.ChunkedArray, kind) -> np.ndarray:
+    """All values of a column of packed arrays."""
+    return np.frombuffer(b"".join(col.to_pylist()), kind)
+
+
+def _gram_counts(shared, d: int, bits: int, flush: int):
     """Counts of the grams of ``d`` + 1 tokens whose first ``d`` and last ``d`` can be in the tables of the shorter
-    ones, with their last and, where their key does not tell it, first token."""
+    ones, with their last and, where their key does not tell it, first token: packed, a row for each bucket."""
     high = np.uint64(pow(_B, d, 1 << 64))
 
     def emit(keys, last, first):
@@ -176,18 +224,23 @@ def _gram_counts(shared, d: int):
         order = np.argsort(key)
         key = key[order]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        cols = {"key": key[new], "last": np.concatenate(last)[order[new]], "c": np.diff(np.append(new, len(key)))}
-        if d > 1:
-            cols["first"] = np.concatenate(first)[order[new]]
-        side = np.argsort(cols["last"])  # equal values side by side compress
-        return pa.RecordBatch.from_arrays([pa.array(v[side].view(np.int64)) for v in cols.values()], list(cols))
+        c = np.diff(np.append(new, len(key))).astype(np.uint32)
+        key, order = key[new], order[new]
+        cols = [key, np.concatenate(last)[order], *([np.concatenate(first)[order]] if d > 1 else []), c]
+        found = _buckets(key, bits)
+        for at in range(0, len(found), BATCH_BUCKETS):
+            some = found[at:at + BATCH_BUCKETS]
+            side = [x + np.argsort(cols[1][x:y]) for _, x, y in some]  # equal tokens side by side compress
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in some], pa.int32()), *(pa.array([v[i].tobytes() for i in side], pa.binary()) for v in cols)],
+                ["bucket", "key", "last", *["first"] * (d > 1), "c"])
 
     def run(batches):
-        (bits, suffixes), keys, last, first, n = shared.value, [], [], [], 0
+        (tops, suffixes), keys, last, first, n = shared.value, [], [], [], 0
         for b in batches:
             ext, row = spread(*tokens(b.column("_text")))
             start, key = windows(ext, row, d + 1)
-            ok = _mapped(bits, (key - ext[start + d]) * np.uint64(_B_INV))
+            ok = _mapped(tops, (key - ext[start + d]) * np.uint64(_B_INV))
             start, key = start[ok], key[ok]
             if suffixes is not None:
                 ok = _mapped(suffixes, key - ext[start] * high)
@@ -197,29 +250,74 @@ def _gram_counts(shared, d: int):
             if d > 1:
                 first.append(ext[start])
             n += len(key)
-            if n >= FLUSH_TOKENS:
-                yield emit(keys, last, first)
+            if n >= flush:
+                yield from emit(keys, last, first)
                 keys, last, first, n = [], [], [], 0
         if n:
-            yield emit(keys, last, first)
+            yield from emit(keys, last, first)
     return run
 
 
-def _gram_parts(d: int):
-    """Each gram's context (without its last token) and suffix (without its first)."""
+def _gram_sums(d: int):
+    """A bucket's grams seen ``NEXT_SEEN`` times, with context (without the last token) and suffix (without the first)."""
     high = np.uint64(pow(_B, d, 1 << 64))
 
-    def run(batches):
-        for b in batches:
-            key, last = (b.column(c).to_numpy().view(np.uint64) for c in ("key", "last"))
-            suf = last if d == 1 else key - b.column("first").to_numpy().view(np.uint64) * high
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), pa.array(((key - last) * np.uint64(_B_INV)).view(np.int64)),
-                 pa.array(suf.view(np.int64)), pa.array(last == END), b.column("c")],
-                ["key", "ctx", "suf", "ends", "c"])
+    def run(bucket: pa.Table) -> pa.Table:
+        key = _unpacked(bucket["key"], np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        c = np.add.reduceat(_unpacked(bucket["c"], np.uint32)[order], new, dtype=np.int64)
+        new, c = new[c >= NEXT_SEEN], c[c >= NEXT_SEEN]
+        key, at = key[new], order[new]
+        last = _unpacked(bucket["last"], np.uint64)[at]
+        suf = last if d == 1 else key - _unpacked(bucket["first"], np.uint64)[at] * high
+        return pa.table({"key": key.view(np.int64), "ctx": ((key - last) * np.uint64(_B_INV)).view(np.int64),
+                         "suf": suf.view(np.int64), "ends": last == END, "c": c})
     return run
 
 
+def _close(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, first bytes first: the leading ones are mostly 0 and compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _opened(packed: bytes) -> np.ndarray:
+    """The keys that ``_close`` packed."""
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(-1))
+
+
+def _rare_sums(bits: int):
+    """What a bucket of the table holds for the keys asked for, summed by text: packed, a row for each row of keys."""
+    shared = np.uint64(bits)
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        keys = held["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        lookup = Lookup(keys[order] << shared)  # a bucket's keys share their leading bits
+        values = {c: held[c].to_numpy()[order] for c in ("base", "w", "known")}
+        out = {"row": [], "texts": [], **{c: [] for c in values}}
+        for row, *packed in zip(*(asked[c].to_pylist() for c in ("row", "keys", "times", "texts"))):
+            at = np.repeat(lookup.find(_opened(packed[0]) << shared), np.frombuffer(packed[1], np.uint32))
+            text = np.frombuffer(packed[2], np.uint16)
+            text, at = text[at >= 0], at[at >= 0]
+            some = np.flatnonzero(np.bincount(text))
+            out["row"].append(row)
+            out["texts"].append(some.astype(np.uint16).tobytes())
+            for c, v in values.items():
+                out[c].append(np.bincount(text, v[at])[some].astype(float).tobytes())
+        return pa.table([pa.array(out["row"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
+    return run
+
+
+def _text_sums(flush: pa.Table) -> pa.Table:
+    """Each text's sums over all buckets."""
+    text = _unpacked(flush["texts"], np.uint16)
+    some = np.flatnonzero(np.bincount(text))
+    base, w, known = (np.bincount(text, _unpacked(flush[c], float))[some] for c in ("base", "w", "known"))
+    return pa.table({"row": flush["row"][0].as_py() + some, "rare_base": base, "rare_w": w, "rare_known": known.astype(np.int64)})
+
+
 def gram_weights(rows: DataFrame, counts: DataFrame, total: int, room: int, depth: int, tables: Tables,
                  context_seen: int = CONTEXT_SEEN) -> DataFrame:
     """(key, c, w): the states' grams with their training counts and what each adds to a log10 probability.
@@ -230,25 +328,23 @@ def gram_weights(rows: DataFrame, counts: DataFrame, total: int, room: int, dept
     suffix seen as often, so one join on the suffix finds what the next
     shorter context says of the same token; for the same reason a gram whose
     context or suffix is in no table is left out before the shuffle.  Grams
-    reach the shuffle counted, so they are added up after it only.  What a
-    depth no longer needs goes at its end, the result belongs to ``tables``.
+    reach the shuffle counted and packed, and are added up bucket by bucket.
+    What a depth no longer needs goes at its end, the result belongs to ``tables``.
     """
     spark = rows.sparkSession
     texts = rows.where("_train").select("_text")
     lower = counts.select("key", F.log10((F.col("t") + 1) / F.lit(float(room))).alias("chance"))
     contexts = counts.where(F.col("t") >= context_seen).select("key", F.col("t").alias("seen"))
-    out, before = None, None
+    out, bits = None, bucket_bits(total, GRAM_BUCKET)
     for d in range(1, depth + 1):
         work = Tables(spark)
         shared = spark.sparkContext.broadcast((key_map(contexts), key_map(lower) if d > 1 else None))
-        parts = ["last"] + ["first"] * (d > 1)
-        found = (texts.mapInArrow(_gram_counts(shared, d), "key long, last long, c long" + ", first long" * (d > 1))
-                 .repartition("key").groupBy("key").agg(F.sum("c").alias("c"), *(F.first(x).alias(x) for x in parts))
-                 .where(F.col("c") >= NEXT_SEEN)
-                 .mapInArrow(_gram_parts(d), "key long, ctx long, suf long, ends boolean, c long"))
+        found = (texts.mapInArrow(_gram_counts(shared, d, bits, FLUSH_TOKENS), "bucket int, key binary, last binary, "
+                                  + "first binary, " * (d > 1) + "c binary")
+                 .groupBy("bucket").applyInArrow(_gram_sums(d), "key long, ctx long, suf long, ends boolean, c long"))
         up = lower.select(F.col("key").alias("suf"), F.col("chance").alias("up"))
         pairs = work.written(found.join(up, "suf").drop("suf"), f"lm-grams-{d}")
-        shared.unpersist()
+        shared.destroy()
         told = pairs.groupBy("ctx").agg(
             F.count(F.lit(1)).alias("named"), F.sum("c").alias("own"), F.sum(F.pow(F.lit(10.0), "up")).alias("suffix"),
             F.sum(F.col("c") * (F.log("c") - F.col("up") * math.log(10))).alias("gain"))
@@ -261,19 +357,15 @@ def gram_weights(rows: DataFrame, counts: DataFrame, total: int, room: int, dept
                          .select("ctx", "seen", F.log10(rest).alias("rest")), f"lm-states-{d}")
         smooth = F.log10((F.col("c") + PRIOR * F.pow(F.lit(10.0), "up")) / (F.col("seen") + PRIOR))
         weight = smooth - F.col("up") - F.col("rest")
-        here = tables.written(contexts.join(states.select(F.col("ctx").alias("key"), "rest"), "key", "left")
-                              .select("key", F.col("seen").alias("c"), F.coalesce("rest", F.lit(0.0)).alias("w"))
-                              .unionAll(pairs.join(states, "ctx").select("key", "c", weight.alias("w"))), f"lm-weights-{d}")
+        own = tables.written(contexts.join(states.select(F.col("ctx").alias("key"), "rest"), "key", "left")
+                             .select("key", F.col("seen").alias("c"), F.coalesce("rest", F.lit(0.0)).alias("w")), f"lm-contexts-{d}")
+        named = tables.written(pairs.join(states, "ctx", "left" if d < depth else "inner")
+                               .select("key", "c", "ends", F.coalesce(smooth, "up").alias("chance"), weight.alias("w")), f"lm-named-{d}")
+        here = own.unionAll(named.where("w is not null").select("key", "c", "w"))
         out = here if out is None else out.unionAll(here)
-        if d < depth:
-            named = Tables(spark)
-            lower = named.written(pairs.join(states, "ctx", "left").select("key", "c", "ends", F.coalesce(smooth, "up").alias("chance")),
-                                  f"lm-named-{d}")
-            contexts = lower.where((F.col("c") >= context_seen) & ~F.col("ends")).select("key", F.col("c").alias("seen"))
+        lower = named.select("key", "chance")
+        contexts = named.where((F.col("c") >= context_seen) & ~F.col("ends")).select("key", F.col("c").alias("seen"))
         work.drop()
-        if before:
-            before.drop()
-        before = named if d < depth else None
     # a gram of 2 tokens or more can be both a named token's and a state's
     return out.groupBy("key").agg(F.max("c").alias("c"), F.sum("w").alias("w"))
 
@@ -316,9 +408,30 @@ def score(docs: DataFrame, depth: int = 3, context_seen: int = CONTEXT_SEEN, tok
     shared = spark.sparkContext.broadcast((Lookup(held["key"].view(np.uint64)), held["w"], held["base"], held["known"], held["gram"],
                                            key_map(cold.where("gram"))))
     kind = rows.schema["_id"].dataType.simpleString()
+    id_kind = to_arrow_type(rows.schema["_id"].dataType)
+    bits, flush = bucket_bits(every, RARE_BUCKET), FLUSH_TOKENS
+    names = ["_id", "_train", "n", "known", "base", "log", "row", "bucket", "keys", "times", "texts"]
+
+    def emit(first, rare_row, rare):
+        """The texts' rare keys, a row for each bucket: distinct keys, how often each occurs, and in which texts."""
+        key, of = np.concatenate(rare), np.concatenate(rare_row)
+        order = np.argsort(key)
+        key, of = key[order], (of[order] - first).astype(np.uint16)
+        for at in range(0, len(found := _buckets(key, bits)), BATCH_BUCKETS):
+            some = found[at:at + BATCH_BUCKETS]
+            sums = [_distinct(key[x:y]) for _, x, y in some]
+            lone = lambda x: pa.nulls(len(some), x)
+            yield pa.RecordBatch.from_arrays(
+                [lone(id_kind), lone(pa.bool_()), lone(pa.int64()), lone(pa.int64()), lone(pa.float64()), lone(pa.float64()),
+                 pa.array([first] * len(some), pa.int64()), pa.array([x[0] for x in some], pa.int32()),
+                 pa.array([_close(k) for k, _ in sums], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in sums], pa.binary()),
+                 pa.array([of[x:y].tobytes() for _, x, y in some], pa.binary())], names)
 
     def run(batches):
-        lookup, w, base, known, gram, bits = shared.value
+        lookup, w, base, known, gram, tops = shared.value
+        # rows are numbered within their task
+        first = here = TaskContext.get().partitionId() << 40
+        all_row, all_rare, held = [], [], 0
         for b in batches:
             keys, off = tokens(b.column("_text"))
             n = len(b)
@@ -337,44 +450,55 @@ def score(docs: DataFrame, depth: int = 3, context_seen: int = CONTEXT_SEEN, tok
             # a gram is in a table only if its context is
             may = np.zeros(len(ext), bool)
             may[found >= 0] = gram[found[found >= 0]]
-            may[found < 0] = _mapped(bits, ext[found < 0])
-            for m in range(2, depth + 2):
-                start, key = windows(ext, of, m)
-                ok = may[start]
-                start, key = start[ok], key[ok]
+            may[found < 0] = _mapped(tops, ext[found < 0])
+            start = np.flatnonzero(may)
+            key, end = ext[start], np.append(of, np.full(depth, -1))
+            for m in range(1, depth + 1):
+                ok = end[start + m] == of[start]
+                start = start[ok]
+                key = key[ok] * np.uint64(_B) + ext[start + m]
                 at = lookup.find(key)
                 yes = at >= 0
                 log += per(of[start[yes]], w[at[yes]])
-                may = np.zeros(len(ext), bool)
-                may[start[yes]] = True
-                start, key = start[~yes], key[~yes]
-                ok = _mapped(bits, key)
-                start, key = start[ok], key[ok]
-                may[start] = True
-                rare_row.append(of[start])
-                rare.append(key)
-            rare_row, rare = np.concatenate(rare_row), np.concatenate(rare)
-            rare = rare[np.argsort(rare_row, kind="stable")]
-            ends = np.concatenate([[0], np.cumsum(np.bincount(rare_row, minlength=n))])
+                cold_start, cold_key = start[~yes], key[~yes]
+                ok = _mapped(tops, cold_key)
+                cold_start, cold_key = cold_start[ok], cold_key[ok]
+                rare_row.append(of[cold_start])
+                rare.append(cold_key)
+                start, key = np.concatenate([start[yes], cold_start]), np.concatenate([key[yes], cold_key])
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), b.column("_train"), pa.array(np.diff(off)), pa.array(seen), pa.array(sums), pa.array(log),
-                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rare.view(np.int64)))],
-                ["_id", "_train", "n", "known", "base", "log", "rare"])
-
-    parts = written(rows.mapInArrow(run, f"_id {kind}, _train boolean, n long, known long, base double, log double, "
-                                         "rare array<bigint>").withColumn("row", F.monotonically_increasing_id()), "lm-parts")
+                 pa.array(here + np.arange(n)), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3], names)
+            all_row += [here + x for x in rare_row]
+            all_rare += rare
+            held += sum(map(len, rare))
+            here += n
+            if held >= flush or here - first >= 1 << 15:  # texts of a flush are told apart by 16 bits
+                yield from emit(first, all_row, all_rare)
+                first, all_row, all_rare, held = here, [], [], 0
+        if held:
+            yield from emit(first, all_row, all_rare)
+
+    every_part = written(rows.mapInArrow(run, f"_id {kind}, _train boolean, n long, known long, base double, log double, row long, "
+                                              "bucket int, keys binary, times binary, texts binary"), "lm-parts")
+    shared.destroy()
+    parts = every_part.where("bucket is null")
+    of_key = F.shiftrightunsigned("key", 64 - bits).cast("int")
     sums = None
     for i in range(SLICES):
-        own = F.filter("rare", lambda k: F.pmod(k, F.lit(SLICES)) == i)
-        rare = parts.select("row", F.explode(own).alias("key")).join(
-            cold.where(F.pmod("key", F.lit(SLICES)) == i).select("key", "w", "base", "known").hint("shuffle_hash"), "key")
-        some = written(rare.groupBy("row").agg(F.sum("base").alias("rare_base"), F.sum("w").alias("rare_w"),
-                                               F.sum("known").alias("rare_known")), f"lm-rare-{i}")
+        mine = F.col("bucket") % SLICES == i
+        asked = every_part.where(mine).select("bucket", "row", "keys", "times", "texts")
+        table = cold.select(of_key.alias("bucket"), "key", "w", "base", "known").where(mine)
+        rare = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(
+            _rare_sums(bits), "row long, texts binary, base binary, w binary, known binary")
+        with batch_rows(spark, 1 << 16):
+            some = written(rare.groupBy("row").applyInArrow(_text_sums, "row long, rare_base double, rare_w double, rare_known long"),
+                           f"lm-rare-{i}")
         sums = some if sums is None else sums.unionAll(some)
     sums = sums.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("rare_base", "rare_w", "rare_known")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return parts.drop("rare").join(sums, "row", "left").select(
+    return parts.join(sums, "row", "left").select(
         F.col("_id").alias(id_col), (~F.col("_train")).alias("held_out"), F.col("n").alias("n_tokens"),
         (F.col("known") + zero("rare_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"),

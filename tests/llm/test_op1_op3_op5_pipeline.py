@@ -316,6 +316,39 @@ def test_joined_and_broadcast_weights_match_the_slow_walk(spark, share):
     assert len(got) == len(want) and all(i == j and abs(x - y) < 1e-3 for (i, x), (j, y) in zip(got, want))
 
 
+def test_lm_shuffles_grams_as_arrays_by_bucket(spark, monkeypatch):
+    # many buckets and flushes give the scores of the slow walk; a flush sends a row for each bucket, not for each gram
+    for name, value in (("FLUSH_TOKENS", 500), ("GRAM_BUCKET", 300), ("RARE_BUCKET", 300)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    rows = follow_rows(80, 60, 40, 22) + messy_rows()
+    df = frame(spark, rows).select(F.col("text").alias("_text"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2).alias("_train"))
+    model, counts, total = lm_model.train(df, 3, 4)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(frame(spark, rows), context_seen=4, token_share=1.0).collect()}
+    for i, text, *_ in rows[:80]:
+        assert abs(got[i] - slow_score(model, text or "")) < 1e-3
+    bits = suffix_tree.bucket_bits(total, 300)
+    shared = spark.sparkContext.broadcast((suffix_tree.key_map(counts), None))
+    sent = df.where("_train").coalesce(1).mapInArrow(suffix_tree._gram_counts(shared, 1, bits, 10**6),
+                                                     "bucket int, key binary, last binary, c binary").collect()
+    grams = sum(len(r["key"]) // 8 for r in sent)
+    assert 8 <= len(sent) <= 1 << bits and grams > 2 * len(sent)
+    assert sum(np.frombuffer(r["c"], np.uint32).sum() for r in sent) == total
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_lm_keys_packed_by_difference_come_back(n):
+    keys = np.unique(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))
+    assert (suffix_tree._opened(suffix_tree._close(keys)) == keys).all()
+
+
+def test_lm_key_map_has_every_key_and_few_others(spark):
+    keys = np.random.default_rng(1).integers(-2**63, 2**63, 5000)
+    bits = suffix_tree.key_map(spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(3))
+    assert len(bits) == 1 << (suffix_tree.MAP_BITS - 6)
+    assert suffix_tree._mapped(bits, keys.view(np.uint64)).all()
+    assert suffix_tree._mapped(bits, np.random.default_rng(2).integers(0, 2**64, 5000, dtype=np.uint64)).sum() < 10
+
+
 def test_lm_of_nothing_and_without_training(spark):
     assert suffix_tree.score(spark.createDataFrame([], DOCS)).count() == 0
     held = next(i for i in range(100) if crc_mod(i, 7) == 2)
