@@ -50,7 +50,7 @@ PRIOR = 20.0
 CONTEXT_SEEN, NEXT_SEEN = 10, 2
 SLICES = 2
 MAP_BITS = 27
-GRAM_BUCKET, RARE_BUCKET = 1 << 20, 1 << 22  # tokens of the corpus for each bucket of keys
+GRAM_BUCKET, RARE_BUCKET = 1 << 20, 1 << 21  # tokens of the corpus for each bucket of keys
 BATCH_BUCKETS = 16
 PIECE_BYTES = 1 << 16  # hashed at once: work arrays stay in the cache
 _B = 0xD1342543DE82EF95
@@ -282,7 +282,7 @@ def _close(keys: np.ndarray) -> bytes:
     return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _opened(packed: bytes) -> np.ndarray:
+def _opened(packed: bytes | pa.Buffer) -> np.ndarray:
     """The keys that ``_close`` packed."""
     return np.cumsum(np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(-1))
 
@@ -297,7 +297,8 @@ def _rare_sums(bits: int):
         lookup = Lookup(keys[order] << shared)  # a bucket's keys share their leading bits
         values = {c: held[c].to_numpy()[order] for c in ("base", "w", "known")}
         out = {"row": [], "texts": [], **{c: [] for c in values}}
-        for row, *packed in zip(*(asked[c].to_pylist() for c in ("row", "keys", "times", "texts"))):
+        for i, row in enumerate(asked["row"].to_pylist()):
+            packed = [asked[c][i].as_buffer() for c in ("keys", "times", "texts")]
             at = np.repeat(lookup.find(_opened(packed[0]) << shared), np.frombuffer(packed[1], np.uint32))
             text = np.frombuffer(packed[2], np.uint16)
             text, at = text[at >= 0], at[at >= 0]
