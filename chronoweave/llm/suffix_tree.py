@@ -45,7 +45,7 @@ from chronoweave.llm.common import Tables, batch_rows, bound_batches, crc_fold,
 from chronoweave.llm.words import mix, word_hashes
 
 END = np.uint64(0x656E642D6F66646F)
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 PRIOR = 20.0
 CONTEXT_SEEN, NEXT_SEEN = 10, 2
 SLICES = 2
